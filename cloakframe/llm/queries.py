@@ -17,6 +17,27 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contaminated
+
+    out = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    out = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return out.select("doc_id", "source", "lang", "topic", "n_tokens", "factor", "probability", "sampled")
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_archives, write_archives
+
+    out = read_archives(write_archives(table(spark, sf_dir, "pages")), payloads=False)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import remove_repeats
 
@@ -24,5 +45,27 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op7_substring_dedup)}
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import interleave
+
+    body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
+    out = interleave(docs, shards=24, content="text_crc32").withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
+    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "source")
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+OPERATORS = [op1_quality_rules, op2_decontamination, op4_mixing, op5_warc, op7_substring_dedup, op8_sharding, op9_html_extraction, op10_jaccard_join]
+QUERIES = {f.__name__: f for f in OPERATORS}
 ORACLE_SQL: dict[str, str] = {}

@@ -141,14 +141,27 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[off[0] : off[-1]], off - off[0]
 
 
-def split(texts: pa.Array) -> Words:
-    """Words of each text of a large_string array without nulls."""
+def plain(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-cased bytes (ASCII and the Latin-1 letters of UTF-8), and which of them belong to words when
+    everything but ASCII letters, digits and non-ASCII bytes separates."""
+    upper = (data >= 65) & (data <= 90)
+    if len(data):
+        upper[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+    low = data + (upper * np.uint8(32))
+    return low, (low >= 0x80) | ((low >= 97) & (low <= 122)) | ((low >= 48) & (low <= 57))
+
+
+def split(texts: pa.Array, normal: bool = False) -> Words:
+    """Words of each text of a large_string array without nulls; with ``normal`` those of ``plain``."""
     data, off = raw(texts)
     n = len(data)
     if not n:
         empty = np.empty(0, dtype=np.int64)
         return Words(data, empty, empty, np.zeros(len(texts) + 1, dtype=np.int64))
-    solid = (data != 32) & ((data < 9) | (data > 13))
+    if normal:
+        data, solid = plain(data)
+    else:
+        solid = (data != 32) & ((data < 9) | (data > 13))
     first = np.empty(n, dtype=bool)
     first[0] = solid[0]
     np.logical_and(solid[1:], ~solid[:-1], out=first[1:])
