@@ -5,7 +5,7 @@ shared by all grades, and ordered thresholds cut its score: P(grade <= k) = sigm
 model gives each document its expected grade and the tail probability P(grade >= 1), by which documents
 are selected.
 
-Features of a text: shares of its words by hashed word, by hashed first three and last three bytes, each
+Features of a text: roots of the shares of its words by hashed word, by hashed first three and last three bytes, each
 in its own range of ``buckets``, and a few dense measures (length, distinct words, repeated neighbours,
 symbols, upper case, digits, repeated lines).
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import words as W
 
 GRADES = 3
-DENSE = 9
+DENSE = 19
 OUTPUTS = ("expected_grade", "tail_probability", "selected")
 
 
@@ -41,9 +41,9 @@ OUTPUTS = ("expected_grade", "tail_probability", "selected")
 class QualityClassifier:
     buckets: int = 1 << 14
     max_rated: int = 8000
-    steps: int = 150
-    rate: float = 0.05
-    ridge: float = 1e-4
+    steps: int = 400
+    rate: float = 1.0
+    ridge: float = 1e-5
     select_at: float = 0.5
 
 
@@ -75,7 +75,7 @@ def features(texts: pa.Array, p: QualityClassifier) -> Features:
     rows3 = np.tile(row, 3)
     key, n_of = np.unique(rows3 * (3 * p.buckets) + index, return_counts=True)
     erow = key // (3 * p.buckets)
-    value = n_of / np.maximum(counts, 1)[erow]
+    value = np.sqrt(n_of / np.maximum(counts, 1)[erow])
     distinct = _distinct(row, h, n)
     same = np.zeros(m, dtype=bool)
     if m:
@@ -86,10 +86,13 @@ def features(texts: pa.Array, p: QualityClassifier) -> Features:
     upper = (last >= 65) & (last <= 90)
     digit = (initial >= 48) & (initial <= 57)
     lines, repeated = _lines(texts)
+    same_share, symbols = _shares(row, n, same, counts), _shares(row, n, symbol, counts)
+    variety, doubled = distinct / np.maximum(counts, 1), repeated / np.maximum(lines, 1)
     dense = np.stack(
         [
-            np.ones(n), np.log1p(counts) / 8, counts == 0, counts < 20, distinct / np.maximum(counts, 1), _shares(row, n, same, counts),
-            _shares(row, n, symbol, counts), _shares(row, n, upper, counts) + _shares(row, n, digit, counts), repeated / np.maximum(lines, 1),
+            np.ones(n), np.log1p(counts) / 8, counts == 0, counts < 10, counts < 20, counts < 50,
+            variety, variety < 0.5, variety < 0.2, variety < 0.05, same_share, same_share > 0.1, same_share > 0.3,
+            symbols, symbols > 0.05, symbols > 0.2, doubled, doubled > 0.2, _shares(row, n, upper, counts) + _shares(row, n, digit, counts),
         ],
         axis=1,
     )
@@ -140,8 +143,9 @@ def grade_chances(score: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
 
 def fit(f: Features, grade: np.ndarray, p: QualityClassifier) -> Model:
-    """Full-batch Adam on the ridge-penalised likelihood.  The thresholds are the first one and the
-    logarithms of the gaps, so they stay ordered."""
+    """Accelerated full-batch gradient descent on the ridge-penalised likelihood, with a restart whenever
+    the likelihood falls.  The thresholds are the first one and the logarithms of the gaps, so they stay
+    ordered."""
     size = 3 * p.buckets
     share = (np.bincount(grade, minlength=GRADES) + 0.5) / (len(grade) + 0.5 * GRADES)
     base = np.cumsum(share)[:-1]
@@ -150,11 +154,16 @@ def fit(f: Features, grade: np.ndarray, p: QualityClassifier) -> Model:
     if len(np.unique(grade)) < 2:
         return model
     free = np.r_[np.zeros(size + DENSE), cuts[0], np.log(np.diff(cuts))]
-    scale = np.sqrt(np.bincount(f.index, weights=f.value**2, minlength=size) / len(grade)) + 1e-3  # rarer features move less in units of the score
     row = np.repeat(np.arange(len(grade)), np.diff(f.rows))
-    m, v = np.zeros_like(free), np.zeros_like(free)
-    for t in range(1, p.steps + 1):
-        model = Model(free[:size] / scale, free[size : size + DENSE], free[size + DENSE] + np.r_[0, np.cumsum(np.exp(free[size + DENSE + 1 :]))])
+    norm = np.bincount(row, weights=f.value**2, minlength=len(grade)) + (f.dense**2).sum(1)
+    step = p.rate / (0.25 * norm.max() + 0.25 + p.ridge)
+    ahead, last, momentum = free.copy(), np.inf, 1.0
+
+    def unpack(x: np.ndarray) -> Model:
+        return Model(x[:size], x[size : size + DENSE], x[size + DENSE] + np.r_[0, np.cumsum(np.exp(x[size + DENSE + 1 :]))])
+
+    for _ in range(p.steps):
+        model = unpack(ahead)
         score = linear(f, model)
         below = np.c_[np.zeros(len(score)), sigmoid(model.cuts[None, :] - score[:, None]), np.ones(len(score))]
         slope = below * (1 - below)
@@ -164,14 +173,17 @@ def fit(f: Features, grade: np.ndarray, p: QualityClassifier) -> Model:
         dcut = np.zeros(GRADES - 1)
         for k in range(GRADES - 1):
             dcut[k] = (-(slope[:, k + 1] / chance)[grade == k].sum() + (slope[:, k + 1] / chance)[grade == k + 1].sum()) / len(grade)
-        gaps = np.exp(free[size + DENSE + 1 :])
+        gaps = np.exp(ahead[size + DENSE + 1 :])
         grad = np.r_[
-            np.bincount(f.index, weights=f.value * dscore[row], minlength=size) / scale + p.ridge * free[:size],
+            np.bincount(f.index, weights=f.value * dscore[row], minlength=size) + p.ridge * ahead[:size],
             f.dense.T @ dscore, dcut.sum(), gaps * np.cumsum(dcut[::-1])[::-1][1:],
         ]
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        free = free - p.rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return Model(free[:size] / scale, free[size : size + DENSE], free[size + DENSE] + np.r_[0, np.cumsum(np.exp(free[size + DENSE + 1 :]))])
+        loss = -np.log(chance).mean() + 0.5 * p.ridge * (ahead[:size] ** 2).sum()
+        momentum = 1.0 if loss > last else momentum
+        last = loss
+        new, grown = ahead - step * grad, (1 + np.sqrt(1 + 4 * momentum**2)) / 2
+        ahead, free, momentum = new + (momentum - 1) / grown * (new - free), new, grown
+    return unpack(free)
 
 
 def _rated(batches: Iterator[pa.RecordBatch], p: QualityClassifier) -> Iterator[pa.RecordBatch]:

@@ -24,6 +24,13 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import classify, train
+
+    docs = table(spark, sf_dir, "documents")
+    return classify(docs.select("doc_id", "text"), train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -38,6 +45,13 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs.select("doc_id", "text"), train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import remove_repeats
 
@@ -66,6 +80,6 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-OPERATORS = [op1_quality_rules, op2_decontamination, op4_mixing, op5_warc, op7_substring_dedup, op8_sharding, op9_html_extraction, op10_jaccard_join]
+OPERATORS = [op1_quality_rules, op2_decontamination, op3_quality_classifier, op4_mixing, op5_warc, op6_toxicity, op7_substring_dedup, op8_sharding, op9_html_extraction, op10_jaccard_join]
 QUERIES = {f.__name__: f for f in OPERATORS}
 ORACLE_SQL: dict[str, str] = {}
