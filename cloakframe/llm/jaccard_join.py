@@ -305,8 +305,9 @@ def near_duplicates(docs: DataFrame, p: JaccardJoin = JaccardJoin(), id_col: str
     sig = classes.select("cls", "sig", "copies").dropDuplicates(["cls"])
     left = cut(_tasks(dealt.join(sig.drop("copies"), "cls")).mapInArrow(partial(_prune, p=p), task), "candidates")
 
-    need = left.select("cls").distinct()
-    texts = slim.join(need.withColumnRenamed("cls", "id"), "id").dropDuplicates(["id"]).withColumnRenamed("id", "cls")
+    # the list of classes grows with the corpus, so the join is a merge join at every size
+    need = left.select(F.col("cls").alias("id")).distinct().hint("merge")
+    texts = slim.join(need, "id").dropDuplicates(["id"]).withColumnRenamed("id", "cls")
     full = _tasks(left.join(texts.join(sig, "cls"), "cls"))
     found = cut(full.mapInArrow(partial(_verify, p=p), f"cls {kind}, links long, root {kind}"), "links")
 
