@@ -4,9 +4,10 @@ The verdict of a document is
 
     llr = mean over its word n-grams g of  log(p_target(g) / p_raw(g))
 
-where both multinomials are add-``alpha`` smoothed counts over ``buckets`` hash buckets: ``raw`` counts
-every n-gram of the whole corpus, ``target`` those of trusted documents (labelled quality 1 and not
-failing the base rules).  The mean makes it length-normalised; ``llr >= threshold`` decides each
+where both multinomials are smoothed counts over ``buckets`` hash buckets: ``raw`` counts every n-gram of
+the whole corpus, ``target`` those of trusted documents (labelled quality 1).  The target adds ``alpha``
+to each bucket, the raw corpus as much more as it is larger, so smoothing weighs the same in both and
+the ratio of an n-gram without evidence is 1 at every size of corpus.  The mean makes it length-normalised; ``llr >= threshold`` decides each
 document by itself, so equal texts always get equal verdicts.
 
 Only DataFrame functions are used, and texts are never shuffled: the corpus side is one scan that ends
@@ -41,7 +42,7 @@ class QualityRules:
 
     order: int = 1
     buckets: int = 16384
-    alpha: float = 0.5
+    alpha: float = 4.0
     threshold: float = -0.16
     min_words: int = 50
     max_repeat_percent: int = 50
@@ -122,7 +123,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, rules: QualityRules, text: st
     every = docs.sparkSession.range(n).select(F.col("id").cast("int").alias("b")).join(counted, "b", "left").na.fill(0)
     rows = F.array_sort(F.collect_list(F.struct("b", "raw", "target")))
     table = every.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"), rows.alias("rows"))
-    gain = f"coalesce(ln((x.target + {a}D) / (target + {a * n}D)) - ln((x.raw + {a}D) / (raw + {a * n}D)), 0D)"
+    gain = f"coalesce(ln((x.target + {a}D) / (x.raw * (target / raw) + {a}D)), 0D)"
     return table.select(F.expr(f"transform(rows, x -> CASE WHEN target = 0 THEN 0D ELSE {gain} END)").alias("ratios"))
 
 
