@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 OCTETS = r"^(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])){3}$"
 IPV6 = (
-    r"^(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=(?:[0-9A-Fa-f]{0,4}:){0,7}[0-9A-Fa-f]{0,4}$)"
+    r"^(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=(?:[0-9A-Fa-f]{0,4}:){0,8}[0-9A-Fa-f]{0,4}$)"
     r"(?:(?:[0-9A-Fa-f]{1,4}:)*[0-9A-Fa-f]{1,4})?::(?:(?:[0-9A-Fa-f]{1,4}:)*[0-9A-Fa-f]{1,4})?)(?:/[0-9]{1,3})?$"
 )
 # fixed values: RFC 1918, loopback, link-local, shared address space, benchmarking
@@ -22,7 +22,8 @@ def valid_ipv4(value: Column) -> Column:
 
 
 def valid_ipv6(value: Column) -> Column:
-    return value.rlike(IPV6)
+    groups = F.regexp_count(F.substring_index(value, "/", 1), F.lit("[0-9A-Fa-f]+"))
+    return value.rlike(IPV6) & (~value.contains("::") | (groups <= 7))
 
 
 def ipv4_number(value: Column) -> Column:

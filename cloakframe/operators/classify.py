@@ -60,8 +60,8 @@ def candidates(name: str) -> list[str]:
     out = [first]
     for form in out:
         out += [form.removeprefix(w) for w in WRAPPERS if form.startswith(w) and form.removeprefix(w) not in out]
-    out += [leaf for form in out[:] if (leaf := form.rpartition(".")[2]) not in out]
-    return list(dict.fromkeys(f for f in out if f))
+    leaf = first.rpartition(".")[2]
+    return [*dict.fromkeys(f for f in out if f and f != leaf), leaf]
 
 
 def safe_name(name: str) -> bool:

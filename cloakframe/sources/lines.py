@@ -119,10 +119,10 @@ def detect_format(lines: DataFrame, column: str = "value") -> str | None:
     full = c.rlike(r"\S")
     looks = F.btrim(c).rlike(r"^[\[{]")
     cases = {"cef": c.startswith("CEF:"), "leef": c.startswith("LEEF:"), "ndjson": looks & F.try_parse_json(c).isNotNull(), "json": looks, "syslog": F.size(F.coalesce(parse_syslog(c)["pairs"], F.array())) >= 2}
-    row = lines.where(full).agg(F.count("*").alias("n"), *[F.count_if(F.coalesce(t, F.lit(False))).alias(k) for k, t in cases.items()], F.min_by(c, F.monotonically_increasing_id()).alias("first")).first()
+    row = lines.where(full).agg(F.count("*").alias("n"), *[F.count_if(F.coalesce(t, F.lit(False))).alias(k) for k, t in cases.items()]).first()
     if not row["n"]:
         return None
-    if row["first"].lstrip()[:1] in ("{", "["):
+    if lines.where(full).first()[column].lstrip()[:1] in ("{", "["):
         return "ndjson" if row["ndjson"] == row["n"] and row["n"] > 1 else "json"
     return next((k for k in ("cef", "leef", "syslog") if row[k] == row["n"]), None)
 

@@ -24,7 +24,7 @@ def flatten(df: DataFrame, id_col: str, column: str, depth: int = 8) -> DataFram
     for d in range(depth):
         kind = F.schema_of_variant("node")
         nested = (kind.startswith("OBJECT") | kind.startswith("ARRAY")) & F.lit(d < depth - 1)
-        leaves = level.where(~nested & F.col("node").isNotNull()).select("id", "path", F.expr("coalesce(try_variant_get(node, '$', 'string'), to_json(node))").alias("value"))
+        leaves = level.where(~nested & F.col("node").isNotNull()).select("id", "path", F.expr("CASE WHEN NOT is_variant_null(node) THEN coalesce(try_variant_get(node, '$', 'string'), to_json(node)) END").alias("value"))
         out = leaves if out is None else out.union(leaves)
         name = f"_level{d}"
         level.where(nested).createOrReplaceTempView(name)

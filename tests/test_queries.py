@@ -1,0 +1,36 @@
+import os
+
+import pytest
+
+import __spark_entry__ as entry
+from cloakframe import queries
+
+SF = "/root/testdata/sf0.001"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def rows(names, values):
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    plain = lambda v: int(v) if isinstance(v, float) and v.is_integer() else v
+    return sorted((tuple(str(plain(r[i])) for i in order) for r in values))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are not here")
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_matches_its_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    con.execute(queries.SQL[name])
+    names = [d[0] for d in con.description]
+    got = entry.queries()[name](spark, SF)
+    assert sorted(got.columns) == sorted(names)
+    assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(names, con.fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are not here")
+def test_entry(spark):
+    assert entry.entry(spark).columns == ["kind", "n_values", "n_findings"]
+    assert set(entry.oracle_sql()) <= set(entry.queries())
