@@ -3,7 +3,8 @@
 A stage marks all its matches with a control character in one regular-expression pass, splits the text at
 the marks, and turns every second piece into a token.  So positions are exact, the text is scanned once
 for a stage, no Python runs, and no shuffle is needed.  Later stages see what earlier ones wrote; pieces
-that have the shape of a token stay as they are, which makes masking idempotent.
+that have the shape of a token stay as they are, which makes masking idempotent (but for domain SIDs,
+whose tokens look like any SID: ``vault.owned`` tells them).
 """
 
 from __future__ import annotations
@@ -124,7 +125,7 @@ def hidden(c: Column, keys: Keys, o: Options, stage: tuple[Rule, ...]) -> Column
 
     def user(x: Column) -> Column:
         machine = F.concat(tokens.token(keys, "host", F.regexp_replace(x, r"\$$", "")), F.lit("$"))
-        return F.when(~rules.not_well_known(x), x).when(x.endswith("$"), machine).otherwise(tokens.token(keys, "user", x))
+        return F.when(~rules.not_well_known(x) | tokens.is_token(x), x).when(x.endswith("$"), machine).otherwise(tokens.token(keys, "user", x))
 
     def sid() -> Column:
         part = lambda i: F.regexp_extract(v, r"^(?i)(S-1-5-21(?:-[0-9]+){3})((?:-[0-9]+)*)$", i)
@@ -136,7 +137,7 @@ def hidden(c: Column, keys: Keys, o: Options, stage: tuple[Rule, ...]) -> Column
     masks = {
         "url": lambda: mask_url(v, keys, o),
         "user": lambda: F.when(v.contains("@"), upn()).otherwise(user(v)) if "url" in kinds else user(v),
-        "winuser": lambda: F.concat(tokens.token(keys, "windomain", F.substring_index(v, "\\", 1)), F.lit("\\"), user(F.substring_index(v, "\\", -1))),
+        "winuser": lambda: F.concat(let(F.substring_index(v, "\\", 1), lambda d: F.when(tokens.is_token(d), d).otherwise(tokens.token(keys, "windomain", d))), F.lit("\\"), user(F.substring_index(v, "\\", -1))),
         "siddomain": sid,
         "ipv4": lambda: F.when(network.masks_ip(v, o.ip_mode, o.tenant_networks), tokens.token(keys, "ipv4", v, network.is_internal(v) if o.keep_scope else None)).otherwise(v),
         "ipv6": lambda: F.when(network.masks_ip(v, o.ip_mode, o.tenant_networks), tokens.token(keys, "ipv6", v)).otherwise(v),
