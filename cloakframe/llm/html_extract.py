@@ -22,6 +22,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import partial
@@ -70,9 +71,13 @@ class Extraction:
 class Element:
     tag: str
     parent: Element | None
-    path: str
+    path: int  # a hash of the tags from the root
+    depth: int
     dull: bool  # boilerplate, by its own mark or an ancestor's
     article: Element | None  # the innermost article or main element around
+    implied: Element | None = None  # the innermost element around, itself included, whose end may be implied
+    weight: int = 0  # content text inside
+    held: bool = False  # lies in an element chosen as the main text
 
 
 @dataclass
@@ -85,6 +90,7 @@ class Block:
 @dataclass
 class Page:
     blocks: list[Block] = field(default_factory=list)
+    elements: list[Element] = field(default_factory=list)  # parents before children
 
 
 def _marked(tag: str, attributes: str, article: Element | None) -> bool:
@@ -104,7 +110,9 @@ def _marked(tag: str, attributes: str, article: Element | None) -> bool:
 
 def parse(source: str) -> Page:
     """The text blocks of a page in order."""
-    page, root = Page(), Element("", None, "", False, None)
+    root = Element("", None, 0, 0, False, None)
+    page = Page(elements=[root])
+    open_tags: Counter[str] = Counter()
     here, buffer, linked, in_link, pos, n = root, [], 0, 0, 0, len(source)
 
     def flush() -> None:
@@ -116,6 +124,13 @@ def parse(source: str) -> Page:
             buffer.clear()
         linked = 0
 
+    def leave(e: Element) -> None:
+        """Ends ``e`` and what is open inside it."""
+        nonlocal here
+        while here is not e.parent:
+            open_tags[here.tag] -= 1
+            here = here.parent
+
     while pos < n:
         m = TAG.search(source, pos)
         stop = m.start() if m else n
@@ -137,19 +152,22 @@ def parse(source: str) -> Page:
         elif tag in BLOCKS:
             flush()
             if closing:
-                up = here
-                while up is not root and up.tag != tag:
-                    up = up.parent
-                if up is not root:
-                    here = up.parent
+                if open_tags[tag]:
+                    up = here
+                    while up.tag != tag:
+                        up = up.parent
+                    leave(up)
                 continue
-            up = here
-            while up is not root and up.tag not in SCOPES:
-                if tag in ENDS.get(up.tag, ()):
-                    here = up.parent
-                up = up.parent
+            up = here.implied
+            while up is not None:
+                if tag in ENDS[up.tag]:
+                    leave(up)
+                up = up.parent.implied
             dull = here.dull or _marked(tag, m[3], here.article)
-            new = Element(tag, here, f"{here.path}/{tag}", dull, here.article)
+            new = Element(tag, here, hash((here.path, tag)), here.depth + 1, dull, here.article)
+            new.implied = new if tag in ENDS else None if tag in SCOPES else here.implied
+            page.elements.append(new)
+            open_tags[tag] += 1
             if tag in ("article", "main") and not dull:
                 new.article = new
             here = new
@@ -166,7 +184,7 @@ def parse(source: str) -> Page:
 
 def scores(blocks: list[Block], p: Extraction) -> list[float]:
     """The fused, smoothed tag-path ratio of each block."""
-    nodes: dict[str, list[float]] = {}
+    nodes: dict[int, list[float]] = {}
     for b in blocks:
         x = nodes.setdefault(b.element.path, [0, 0, 0])
         x[0] += 1
@@ -185,19 +203,12 @@ def scores(blocks: list[Block], p: Extraction) -> list[float]:
     return out
 
 
-def _chain(e: Element) -> list[Element]:
-    out = []
-    while e is not None:
-        out.append(e)
-        e = e.parent
-    return out
-
-
 def main_text(source: str | None, p: Extraction = Extraction()) -> str:
     """The main text of a page."""
     if not source:
         return ""
-    blocks = [b for b in parse(source).blocks if not b.element.dull]
+    page = parse(source)
+    blocks = [b for b in page.blocks if not b.element.dull]
     if not blocks:
         return ""
     fused = scores(blocks, p)
@@ -205,21 +216,22 @@ def main_text(source: str | None, p: Extraction = Extraction()) -> str:
     content = [b for b, s in zip(blocks, fused, strict=True) if s >= p.share * best and b.linked <= len(b.text) / 2]
     if not content:
         return ""
-    weight: dict[int, int] = {}
-    place: dict[int, Element] = {}
     for b in content:
-        for e in _chain(b.element)[1:] or [b.element]:
-            weight[id(e)] = weight.get(id(e), 0) + len(b.text)
-            place[id(e)] = e
-    articles = [k for k, e in place.items() if e.article is e]
-    total = sum(len(b.text) for b in content)
-    if articles:
-        outer = [k for k in articles if not any(place[k] is not place[o] and place[o] in _chain(place[k]) for o in articles)]
-        inside = [place[k] for k in outer]
+        b.element.weight += len(b.text)
+    total = sum(e.weight for e in page.elements)
+    for e in reversed(page.elements[1:]):
+        e.parent.weight += e.weight
+    if any(e.article is e and e.weight for e in page.elements):
+        for e in page.elements:
+            e.held = e.article is not None and e.article.weight > 0 and not e.dull
     else:
-        inside = [place[min((k for k in weight if weight[k] >= 0.8 * total), key=lambda k: (weight[k], -place[k].path.count("/")))]]
-    held = {id(e) for e in inside}
-    return "\n".join(b.text for b in blocks if any(id(e) in held for e in _chain(b.element)))
+        # a block's own element is too narrow a container, unless it is the root
+        inner = {id(b.element) for b in content if b.element.parent is not None}
+        wide = [e for e in page.elements if e.weight >= 0.8 * total and id(e) not in inner]
+        chosen = min(wide, key=lambda e: (e.weight, -e.depth))
+        for e in page.elements:
+            e.held = e is chosen or (e.parent is not None and e.parent.held)
+    return "\n".join(b.text for b in blocks if b.element.held)
 
 
 def _extract(batches: Iterator[pa.RecordBatch], p: Extraction) -> Iterator[pa.RecordBatch]:

@@ -25,6 +25,12 @@ def test_pages_without_semantic_elements():
     assert main_text(html) == "\n".join(["Head", *BODY])
 
 
+def test_deep_and_unclosed_markup():
+    deep = "<div>" * 100_000 + "".join(f"<p>{b}" for b in BODY)
+    assert main_text(deep) == "\n".join(BODY)
+    assert main_text("<article>" + "<p>some, text. " * 20_000).count("\n") == 19_999
+
+
 def test_edges(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, None, "<nav>only</nav>"), (4, "u", "no tags at all, really."), (4, "u", "no tags at all, really."), (None, None, "<p" + " x" * 1000), (5, "u", page("<article>" + "".join(f"<p>{b}</p>" for b in BODY * 500) + "</article>"))]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'mine' AS text", "'x' AS n_chars", "1 AS extra")
