@@ -143,3 +143,13 @@ def apply_rules(docs: DataFrame, labels: DataFrame, rules: QualityRules = Qualit
     grams = f"greatest(size({h}), 1)" if rules.order == 1 else f"greatest(2 * size({h}) - 1, 1)"
     out = out.withColumn(table, ratios.scalar()).withColumn("llr", F.expr(f"({total}) / {grams}"))
     return out.drop(tokens, hashed, table).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= rules.threshold))
+
+
+def keep(docs: DataFrame, labels: DataFrame, rules: QualityRules = QualityRules(), text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept.  The optimiser would move a filter on ``kept`` below the
+    columns it is made of and so put the splitting of a text into every step of the loops over its words;
+    a row number that the filter looks at holds it back."""
+    out = apply_rules(docs, labels, rules, text)
+    (row,) = scratch(out, "row")
+    out = out.withColumn(row, F.monotonically_increasing_id()).where(F.col("kept") & (F.col(row) >= 0))
+    return out.select([F.col(f"`{c}`") for c in docs.columns if c in out.columns])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cloakframe.llm.decontamination import clean
 from cloakframe.llm.jaccard_join import keep_one
 from cloakframe.llm.mixing import mix
-from cloakframe.llm.quality_rules import apply_rules
+from cloakframe.llm.quality_rules import keep
 from cloakframe.llm.queries import table
 from cloakframe.llm.sharding import interleave
 from cloakframe.llm.storage import cut
@@ -19,7 +19,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or the log-likelihood ratio go."""
-    return apply_rules(docs, table(spark, sf_dir, "labels")).where("kept").select(COLUMNS)
+    return keep(docs, table(spark, sf_dir, "labels")).select(COLUMNS)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
