@@ -325,5 +325,5 @@ def keep_one(docs: DataFrame, p: JaccardJoin = JaccardJoin(), id_col: str = "doc
     """The rows of ``docs`` whose document leads its group; rows without an id stay.  Repeated rows of a
     kept id all stay (they are one document)."""
     classes = near_duplicates(docs, p, id_col, text)
-    gone = classes.where("class_id <> id").select(F.col("id").alias("_gone"))
+    gone = classes.where("class_id <> id").select(F.col("id").alias("_gone")).hint("merge")  # grows with the corpus
     return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
