@@ -110,20 +110,23 @@ def repeats(docs: DataFrame, p: SubstringDedup = SubstringDedup(), id_col: str =
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text}`").alias("fp"), F.col(f"`{text}`").alias("text")).where("id IS NOT NULL")
     kind = dict(slim.dtypes)["id"]
     anchors = slim.mapInArrow(partial(_seeds, p=p), f"anchor long, reach long, id {kind}, fp long, first int, last int")
-    shared = (
+    # groups are written before they are joined: a join on an exchange of its own can be split when an
+    # anchor is hot, one on top of the grouping's exchange cannot
+    shared = cut(
         anchors.groupBy("anchor")
         .agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("reach").alias("r0"), F.max("reach").alias("r1"))
-        .where("lo < hi").select("anchor", "lo", (F.col("r0") == F.col("r1")).alias("alike"))
+        .where("lo < hi").select("anchor", "lo", (F.col("r0") == F.col("r1")).alias("alike")),
+        "shared",
     )
     hits = cut(anchors.join(shared, "anchor").where("NOT alike OR id > lo"), "anchors")
     mixed = hits.where("NOT alike")
-    leads = mixed.groupBy("anchor", "reach").agg(F.min("id").alias("lead"))
+    leads = cut(mixed.groupBy("anchor", "reach").agg(F.min("id").alias("lead")), "leads")
     led = cut(mixed.drop("lo").join(leads, ["anchor", "reach"]), "reaches")
     whole = hits.where("alike").select("id", "fp", "first", "last").union(led.where("id > lead").select("id", "fp", "first", "last"))
     whole = whole.select("id", "fp", "first", (F.col("last") + p.min_words).alias("end"))
     lists = led.where("id = lead").groupBy("id", "fp").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("seeds"))
     frames = cut(slim.join(lists, ["id", "fp"]).mapInArrow(partial(_frames, p=p), f"anchor long, frame long, id {kind}, fp long, first int"), "frames")
-    least = frames.groupBy("anchor", "frame").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").drop("hi")
+    least = cut(frames.groupBy("anchor", "frame").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").drop("hi"), "least")
     single = frames.join(least, ["anchor", "frame"]).where("id > lo").select("id", "fp", "first", (F.col("first") + p.min_words).alias("end"))
     return whole.union(single)
 
