@@ -23,6 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """At least one partition for each core: text stages cost far more than dealing the rows."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(4 * n) if df.rdd.getNumPartitions() < n else df
+
+
 def _found(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return text.findings(docs, tuple(BY_NAME[n] for n in names))
@@ -362,7 +368,7 @@ def q_html_readable(spark, sf_dir):
 
 def q_text_engine(spark, sf_dir):
     """All stages over whole texts, then the residual pass."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     out = text.redact_residuals(text.mask_text(docs, DEMO))
     return out.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5(F.encode("text", "UTF-8")).alias("digest"))
 
