@@ -4,73 +4,123 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from functools import lru_cache, partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+ACTIONS = ("keep", "mask", "redact", "drop")
 
-def strict(value: Column) -> Column:
-    """The document as a variant, or null if it is no JSON (repeated keys and NaN included)."""
-    return F.try_parse_json(value)
-
-
-def flatten(df: DataFrame, id_col: str, column: str, depth: int = 8) -> DataFrame:
-    """(id, path, value): every scalar leaf of a JSON column; array elements share the path ``p[]``.  One
-    exploding step for each level down to ``depth``; anything deeper comes as one leaf, its JSON text."""
-    spark = df.sparkSession
-    level = df.select(F.col(id_col).alias("id"), F.lit("").alias("path"), strict(F.col(column)).alias("node"))
-    out = None
-    for d in range(depth):
-        kind = F.schema_of_variant("node")
-        nested = (kind.startswith("OBJECT") | kind.startswith("ARRAY")) & F.lit(d < depth - 1)
-        leaves = level.where(~nested & F.col("node").isNotNull()).select("id", "path", F.expr("CASE WHEN NOT is_variant_null(node) THEN coalesce(try_variant_get(node, '$', 'string'), to_json(node)) END").alias("value"))
-        out = leaves if out is None else out.union(leaves)
-        name = f"_level{d}"
-        level.where(nested).createOrReplaceTempView(name)
-        level = spark.sql(
-            f"SELECT l.id, CASE WHEN v.key IS NULL THEN concat(l.path, '[]') WHEN l.path = '' THEN v.key ELSE concat(l.path, '.', v.key) END AS path, v.value AS node "
-            f"FROM {name} l, LATERAL variant_explode(l.node) v"
-        )
-        spark.catalog.dropTempView(name)
+
+def _unique(pairs: list[tuple]) -> dict:
+    out = dict(pairs)
+    if len(out) < len(pairs):
+        raise ValueError("a key is repeated")
     return out
 
 
-def _leaves(value, path: str, plan: dict[str, str], found: list) -> None:
-    if isinstance(value, dict):
-        for k, v in value.items():
-            _leaves(v, f"{path}.{k}" if path else k, plan, found)
-    elif isinstance(value, list):
-        for v in value:
-            _leaves(v, f"{path}[]", plan, found)
-    elif value is not None and not isinstance(value, bool):
-        found.append((path, value if isinstance(value, str) else json.dumps(value)))
+def _constant(name: str):
+    raise ValueError(f"{name} is no JSON")
+
 
+def strict(document: str):
+    """The parsed document, or a ValueError if it is no JSON (repeated keys, NaN and nesting deeper than
+    the parser's stack included)."""
+    try:
+        return json.loads(document, object_pairs_hook=_unique, parse_constant=_constant)
+    except RecursionError as e:
+        raise ValueError("the document is nested too deeply") from e
 
-def replace_leaves(documents: DataFrame, changed: DataFrame, id_col: str, column: str) -> DataFrame:
-    """``documents`` with its leaves replaced by ``changed`` (id, path, old, new); a leaf that did not
-    change keeps its type, one that did becomes a string.  Documents and changes meet in a join."""
-    lists = changed.where("old <> new").groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("path", "old", "new")).alias("_changes"))
-    joined = documents.join(lists, F.col(id_col) == F.col("_id"), "left").drop("_id")
-    keep = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
 
-    def walk(value, path: str, new: dict):
+def _leaves(root: list) -> Iterator[tuple[list | dict, str | int, str]]:
+    """(container, key, path) of every scalar below ``root``, a list of the one document, in document order;
+    array elements share the path ``p[]``.  It keeps its own stack, so depth is no limit."""
+    stack = [(root, 0, "")]
+    while stack:
+        container, key, path = stack.pop()
+        value = container[key]
         if isinstance(value, dict):
-            return {k: walk(v, f"{path}.{k}" if path else k, new) for k, v in value.items()}
-        if isinstance(value, list):
-            return [walk(v, f"{path}[]", new) for v in value]
-        if value is None or isinstance(value, bool):
-            return value
-        return new.get((path, value if isinstance(value, str) else json.dumps(value)), value)
+            stack.extend((value, k, f"{path}.{k}" if path else k) for k in reversed(value))
+        elif isinstance(value, list):
+            stack.extend((value, i, f"{path}[]") for i in reversed(range(len(value))))
+        else:
+            yield container, key, path
+
+
+def _plain(text: str) -> str:
+    """Without halves of surrogate pairs, which JSON can escape and Arrow cannot hold."""
+    return text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace") if any("\ud800" <= c <= "\udfff" for c in text) else text
+
+
+def _text(value) -> str | None:
+    """A scalar as text."""
+    return None if value is None else _plain(value) if isinstance(value, str) else json.dumps(value)
+
+
+LEAF = pa.struct([("path", pa.string()), ("value", pa.string()), ("action", pa.string()), ("kind", pa.string())])
+
+
+def _read(batches: Iterator[pa.RecordBatch], column: str, decide: Callable[[str], tuple[str, str | None]] | None, invalid: str) -> Iterator[pa.RecordBatch]:
+    """Adds ``_leaves``: the leaves of each document with what ``decide`` says of their paths."""
+    decided = lru_cache(65_536)(decide or (lambda path: ("keep", None)))
+
+    def leaves(document: str | None) -> list[dict] | None:
+        if document is None:
+            return None
+        try:
+            root = [strict(document)]
+        except ValueError as e:
+            if invalid == "raise":
+                raise ValueError(f"a value of {column} is no JSON document: {type(e).__name__}") from None
+            return None
+        out = []
+        for container, key, path in _leaves(root):
+            path, value = _plain(path), container[key]
+            action, kind = decided(path)
+            if action not in ACTIONS:
+                raise ValueError(f"unknown action for {path}: {action}")
+            out.append({"path": path, "value": _text(value), "action": "keep" if isinstance(value, bool) else action, "kind": kind})
+        return out
+
+    for batch in batches:
+        found = pa.array([leaves(x.as_py()) for x in batch.column(column)], pa.list_(LEAF))
+        yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "_leaves"])
+
+
+def _write(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Puts ``_new`` back, leaf by leaf in the order of ``_read``: null leaves the leaf and its type."""
+
+    def written(document: str | None, new: list | None) -> str | None:
+        if document is None or new is None:
+            return None
+        if not any(x is not None for x in new):
+            return document
+        root = [strict(document)]
+        for (container, key, _), x in zip(list(_leaves(root)), new, strict=True):
+            if x is not None:
+                container[key] = x
+        return _plain(json.dumps(root[0], ensure_ascii=False, separators=(",", ":"), allow_nan=False))
+
+    for batch in batches:
+        out = pa.array([written(d.as_py(), n.as_py()) for d, n in zip(batch.column(column), batch.column("_new"), strict=True)], pa.string())
+        names = [n for n in batch.schema.names if n != "_new"]
+        yield pa.RecordBatch.from_arrays([out if n == column else batch.column(n) for n in names], names=names)
+
+
+def _schema(df: DataFrame, more: str = "") -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + more
+
+
+def _with_leaves(df: DataFrame, column: str, decide: Callable[[str], tuple[str, str | None]] | None = None, invalid: str = "null") -> DataFrame:
+    return df.mapInArrow(partial(_read, column=column, decide=decide, invalid=invalid), _schema(df, ", `_leaves` array<struct<path:string,value:string,action:string,kind:string>>"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, lists = batch.column(column).to_pylist(), batch.column("_changes").to_pylist()
-            out = [json.dumps(walk(json.loads(t), "", {(c["path"], c["old"]): c["new"] for c in ch}), ensure_ascii=False, separators=(",", ":")) if t is not None and ch else t for t, ch in zip(texts, lists, strict=True)]
-            cols = {n: batch.column(n) for n in batch.schema.names if n != "_changes"} | {column: pa.array(out, pa.string())}
-            yield pa.RecordBatch.from_pydict(cols)
 
-    return joined.mapInArrow(run, keep)
+def flatten(df: DataFrame, id_col: str, column: str) -> DataFrame:
+    """(id, path, value): every scalar leaf of a JSON column at any depth; array elements share the path
+    ``p[]``.  A text that is no JSON has no leaves."""
+    found = _with_leaves(df.select(F.col(id_col).alias("id"), F.col(column).alias("document")), "document")
+    return found.select("id", F.explode("_leaves").alias("x")).select("id", "x.path", "x.value")
 
 
 def redact(value: Column, names: list[str]) -> Column:
@@ -79,16 +129,23 @@ def redact(value: Column, names: list[str]) -> Column:
     return F.to_json(F.transform_values(parsed, lambda k, v: F.when(F.lower(k).isin([n.lower() for n in names]), F.lit("[ELIDED]")).otherwise(v)))
 
 
-def mask_json(df: DataFrame, id_col: str, column: str, decide: Callable[[str], tuple[str, str | None]], mask: Callable[[str, Column], Column]) -> DataFrame:
-    """Masks the leaves of a JSON column: paths are few, so they are decided on the driver by
-    ``decide(path)`` -> (action, kind) and become one CASE over the flattened leaves."""
-    leaves = flatten(df, id_col, column)
-    paths = [r["path"] for r in leaves.select("path").distinct().limit(100_000).collect()]
-    change = F.col("value")
-    for path in paths:
-        action, kind = decide(path)
-        new = {"mask": lambda k=kind: mask(k, F.col("value")), "redact": lambda: F.lit("[ELIDED]"), "drop": lambda: F.lit("")}.get(action)
-        if new:
-            change = F.when(F.col("path") == path, new()).otherwise(change)
-    changed = leaves.select("id", "path", F.col("value").alias("old"), change.alias("new"))
-    return replace_leaves(df, changed, id_col, column)
+def mask_json(df: DataFrame, id_col: str, column: str, decide: Callable[[str], tuple[str, str | None]], mask: Callable[[str, Column], Column], invalid: str = "raise") -> DataFrame:
+    """Masks the leaves of a JSON column in place, whatever their number, paths and depth.  ``decide(path)``
+    -> (action, kind) runs where the rows are; only the kinds it masks, which are few, come to the driver.
+    ``mask(kind, value)`` is a native column expression.  Leaves stay in their row, so ``id_col`` need not be
+    unique.  Null and true or false stay; of the others a masked one becomes a string, one that did not
+    change keeps its type.  A text that is no JSON ends the job, or
+    becomes null if ``invalid`` is "null"; it never passes as it is."""
+    if invalid not in ("raise", "null"):
+        raise ValueError(f"unknown treatment of invalid documents: {invalid}")
+    found = _with_leaves(df, column, decide, invalid)
+    kinds = [r["kind"] for r in found.select(F.explode("_leaves").alias("x")).where("x.action = 'mask'").select("x.kind").distinct().collect()]
+
+    def changed(x: Column) -> Column:
+        new = F.when(x["action"] == "redact", F.lit("[ELIDED]")).when(x["action"] == "drop", F.lit(""))
+        for kind in kinds:
+            new = new.when((x["action"] == "mask") & x["kind"].eqNullSafe(F.lit(kind)), mask(kind, x["value"]))
+        return F.when(new != x["value"], new)
+
+    done = found.withColumn("_new", F.transform("_leaves", changed)).drop("_leaves")
+    return done.mapInArrow(partial(_write, column=column), _schema(df))

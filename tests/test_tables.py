@@ -60,6 +60,24 @@ def test_json_leaves(spark):
     assert json.loads(out[1]) == {"a": {"b": "x", "n": 1}, "l": [{"c": "My"}, {"c": "Mz"}], "t": True, "u": None}
 
 
+def test_json_masks_every_leaf_or_raises(spark):
+    deep = json.dumps({"a": "secret"})
+    for _ in range(400):
+        deep = json.dumps([{"d": json.loads(deep)}])
+    wide = json.dumps({f"user{i}": {"mail": f"secret{i}", "n": 1e-8, "on": True, "none": None} for i in range(101_000)})
+    df = spark.createDataFrame([(1, deep), (1, wide), (2, None), (3, '"secret"')], "id long, doc string")
+    paths = trees.flatten(df, "id", "doc").where("value LIKE 'secret%'").select("path").distinct()
+    assert paths.count() == 101_002
+    decide = lambda p: ("redact", None) if p.endswith(".n") else ("mask", "k")
+    out = [r.doc for r in trees.mask_json(df, "id", "doc", decide, lambda k, v: F.lit("masked")).collect()]
+    assert out[2] is None and out[3] == '"masked"' and not [d for d in out if d and "secret" in d] and out[0].count("masked") == 1
+    assert json.loads(out[1])["user100999"] == {"mail": "masked", "n": "[ELIDED]", "on": True, "none": None}
+    bad = spark.createDataFrame([(1, '{"mail":"secret"'), (2, '{"a":"secret","a":"secret"}'), (3, '{"a":"x"}')], "id long, doc string")
+    with pytest.raises(Exception, match="no JSON document"):
+        trees.mask_json(bad, "id", "doc", decide, lambda k, v: F.lit("masked")).collect()
+    assert [r.doc for r in trees.mask_json(bad, "id", "doc", decide, lambda k, v: F.lit("masked"), invalid="null").collect()] == [None, None, '{"a":"masked"}']
+
+
 def test_csv(spark, tmp_path):
     assert tables.sniff("a;b;c\n1;2;3\n") == ";" and tables.looks_like_csv("a,b,c\n1,2,3\n4,5,6") and not tables.looks_like_csv("just words\nand words")
     assert tables.collapsed(["one two three four five six seven eight"]) and not tables.collapsed(["a", "b"])
