@@ -144,6 +144,9 @@ def token(keys: Keys, kind: str, raw: Column, internal: Column | None = None, sa
     return let(normal(kind, raw), lambda norm: let(seed(keys, kind, norm, salt), lambda h: shape(kind, h, norm, keys, internal, keep_domain)))
 
 
+#: Kinds whose originals the vault keeps.
+REVERSIBLE = ("user", "host", "opaque", "taxid", "iban", "phone", "person", "address", "vat", "cloud", "windomain", "email", "fqdn", "ipv4", "ipv6", "mac", "siddomain")
+
 #: What every token of ours looks like (whole string).
 OWN_SHAPE = (
     r"(?:usr-[a-z2-7]{8}(?:@[a-z2-7]{6}\.masked)?|host-[a-z2-7]{8}(?:\.masked\.local|(?:\.[A-Za-z0-9-]+){2})?"

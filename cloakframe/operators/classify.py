@@ -154,26 +154,27 @@ def plan(df: DataFrame, kit: str | None = None, **config) -> list[Decision]:
     return [decide(c, seen.get(c), kit, **config) for c in df.columns]
 
 
-def masked_scalar(kind: str, v: Column, keys: Keys, o: free_text.Options) -> Column:
+def masked_scalar(kind: str, v: Column, keys: Keys | free_text.Maker, o: free_text.Options) -> Column:
     """One value masked under a column's kind; a value that is not of the kind is elided."""
-    ipv4 = F.when(network.masks_ip(v, o.ip_mode, o.tenant_networks), tokens.token(keys, "ipv4", v, network.is_internal(v))).otherwise(v)
-    address = F.when(network.valid_ipv4(v), ipv4).when(network.valid_ipv6(v), F.when(network.masks_ip(v, o.ip_mode), tokens.token(keys, "ipv6", v)).otherwise(v))
-    dotted = F.when(v.rlike(dict(SNIFFERS)["fqdn"]), tokens.token(keys, "fqdn", v))
+    make = free_text.made(keys)
+    ipv4 = F.when(network.masks_ip(v, o.ip_mode, o.tenant_networks), make.token("ipv4", v, network.is_internal(v) if o.keep_scope else None)).otherwise(v)
+    address = F.when(network.valid_ipv4(v), ipv4).when(network.valid_ipv6(v), F.when(network.masks_ip(v, o.ip_mode), make.token("ipv6", v)).otherwise(v))
+    dotted = F.when(v.rlike(dict(SNIFFERS)["fqdn"]), make.token("fqdn", v))
     body = {
         "ip": address, "ipv4": address, "ipv6": address,
-        "endpoint": F.coalesce(address, dotted, tokens.token(keys, "host", v)),
-        "fqdn": F.coalesce(dotted, tokens.token(keys, "host", v)),
-        "email": F.when(v.rlike(dict(SNIFFERS)["email"]), tokens.token(keys, "email", v)),
-        "mac": F.when(v.rlike(dict(SNIFFERS)["mac"]), tokens.token(keys, "mac", v)),
-        "sid": F.when(v.rlike(dict(SNIFFERS)["sid"]), F.when(v.rlike(r"^(?i)S-1-5-21(?:-[0-9]+){3}"), F.concat(tokens.token(keys, "siddomain", F.regexp_extract(v, r"^(?i)(S-1-5-21(?:-[0-9]+){3})", 1)), F.regexp_extract(v, r"^(?i)S-1-5-21(?:-[0-9]+){3}((?:-[0-9]+)*)$", 1))).otherwise(v)),
-        "winuser": F.when(v.contains("\\"), F.concat(tokens.token(keys, "windomain", F.substring_index(v, "\\", 1)), F.lit("\\"), tokens.token(keys, "user", F.substring_index(v, "\\", -1)))),
-        "user": F.when(rules.not_well_known(v), tokens.token(keys, "user", v)).otherwise(v),
+        "endpoint": F.coalesce(address, dotted, make.token("host", v)),
+        "fqdn": F.coalesce(dotted, make.token("host", v)),
+        "email": F.when(v.rlike(dict(SNIFFERS)["email"]), make.token("email", v)),
+        "mac": F.when(v.rlike(dict(SNIFFERS)["mac"]), make.token("mac", v)),
+        "sid": F.when(v.rlike(dict(SNIFFERS)["sid"]), F.when(v.rlike(r"^(?i)S-1-5-21(?:-[0-9]+){3}"), F.concat(make.token("siddomain", F.regexp_extract(v, r"^(?i)(S-1-5-21(?:-[0-9]+){3})", 1)), F.regexp_extract(v, r"^(?i)S-1-5-21(?:-[0-9]+){3}((?:-[0-9]+)*)$", 1))).otherwise(v)),
+        "winuser": F.when(v.contains("\\"), F.concat(make.token("windomain", F.substring_index(v, "\\", 1)), F.lit("\\"), make.token("user", F.substring_index(v, "\\", -1)))),
+        "user": F.when(rules.not_well_known(v), make.token("user", v)).otherwise(v),
     }.get(kind)
-    body = tokens.token(keys, kind, v) if body is None else body
+    body = make.token(kind, v) if body is None else body
     return F.when(tokens.is_token(v), v).otherwise(F.coalesce(body, F.lit(free_text.ELIDED)))
 
 
-def masked_cell(kind: str, cell: Column, keys: Keys, o: free_text.Options) -> Column:
+def masked_cell(kind: str, cell: Column, keys: Keys | free_text.Maker, o: free_text.Options) -> Column:
     """A cell, which may hold several values: separators (comma, semicolon, bar, brackets, quotes, and
     white space but for names of people and users) stay, every value between them is masked."""
     between = r"[,;|\[\]\"]+\s*" if kind in ("user", "person", "address", "winuser") else r"[,;|\s\[\]\"]+"
@@ -182,9 +183,13 @@ def masked_cell(kind: str, cell: Column, keys: Keys, o: free_text.Options) -> Co
     return F.array_join(F.transform(parts, one), "")
 
 
-def apply_plan(df: DataFrame, decisions: list[Decision], keys: Keys, o: free_text.Options = free_text.Options()) -> DataFrame:
-    """One projection: drop empties, redact elides, mask masks cells, text runs the text stages, keep keeps."""
-    out = []
+def apply_plan(df: DataFrame, decisions: list[Decision], keys: Keys | free_text.Maker, o: free_text.Options = free_text.Options(), record: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One projection: drop empties, redact elides, mask masks cells, text runs the text stages, keep keeps.
+    The array ``record`` gets the ``kind|value`` of every token written; the columns ``carry`` stay."""
+    out = [F.col(f"`{c}`") for c in carry]
+    if record:
+        cells = [free_text.slots(masked_cell(d.kind, F.col(f"`{d.column}`").cast("string"), free_text.Recorder(), o)) for d in decisions if d.action == "mask"]
+        out.append(F.concat(F.array().cast("array<string>"), *cells).alias(record))
     for d in decisions:
         c = F.col(f"`{d.column}`")
         v = c.cast("string")
@@ -200,7 +205,7 @@ def apply_plan(df: DataFrame, decisions: list[Decision], keys: Keys, o: free_tex
     done = df.select(*out)
     for d in decisions:
         if d.action == "text":
-            done = free_text.mask_text(done, keys, o, d.column)
+            done = free_text.mask_text(done, keys, o, d.column, record)
     return done
 
 

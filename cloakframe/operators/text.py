@@ -79,7 +79,46 @@ def classified(piece: Column, stage: tuple[Rule, ...]) -> Column:
     return let(chosen, checked)
 
 
-def mask_url(url: Column, keys: Keys, o: Options) -> Column:
+class Maker:
+    """Makes the tokens of a tenant.  ``issued``, a map from ``kind|normal form`` to token, has the values of
+    the row whose token in the vault is not the unsalted one."""
+
+    def __init__(self, keys: Keys, issued: Column | None = None):
+        self.keys, self.issued = keys, issued
+
+    def _known(self, kind: Column, norm: Column, token: Column) -> Column:
+        return token if self.issued is None else F.coalesce(F.try_element_at(self.issued, F.concat(kind, F.lit("|"), norm)), token)
+
+    def token(self, kind: str, raw: Column, internal: Column | None = None, keep_domain: bool = False) -> Column:
+        return self._known(F.lit(kind), tokens.normal(kind, raw), tokens.token(self.keys, kind, raw, internal, keep_domain=keep_domain))
+
+    def prefixed(self, kind: Column, v: Column, kinds: list[str]) -> Column:
+        return self._known(kind, _normal(kind, v, kinds), _prefixed(kind, v, kinds, self.keys))
+
+
+class Recorder(Maker):
+    """Writes between marks, in the place of a token, the kind and value that the token is made of."""
+
+    def __init__(self):
+        super().__init__(None)
+
+    def token(self, kind: str, raw: Column, internal: Column | None = None, keep_domain: bool = False) -> Column:
+        return F.lit("") if kind not in tokens.REVERSIBLE else F.concat(F.lit(f"{MARK}{kind}|"), raw, F.lit(MARK))
+
+    def prefixed(self, kind: Column, v: Column, kinds: list[str]) -> Column:
+        return F.when(kind.isin(*tokens.REVERSIBLE), F.concat(F.lit(MARK), kind, F.lit("|"), v, F.lit(MARK))).otherwise("")
+
+
+def made(keys: Keys | Maker) -> Maker:
+    return keys if isinstance(keys, Maker) else Maker(keys)
+
+
+def slots(recorded: Column) -> Column:
+    """What a ``Recorder`` wrote into a text: an array of ``kind|value``."""
+    return F.filter(F.split(F.coalesce(recorded, F.lit("")), MARK), lambda p, i: i % 2 == 1)
+
+
+def mask_url(url: Column, keys: Keys | Maker, o: Options) -> Column:
     """A URL with its host, user information, identifiers and query values masked.
 
     ``all`` masks every host; ``internal`` keeps public hosts and ordinary values and masks internal
@@ -87,12 +126,12 @@ def mask_url(url: Column, keys: Keys, o: Options) -> Column:
     sensitive = r"(?i)^(?:ref|index|token|key|sig|signature|api_?key|access_token|id_token|refresh_token|code|state|session|session_?id|auth|jwt|password|pwd|secret|redirect|redirect_to|redirect_uri|return|returnurl|back|next|target|url|continue)$"
     safe = r"(?i)^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9:.]+(?:Z|[+-][0-9]{2}:?[0-9]{2})?)?|[0-9]{1,13}|true|false|yes|no)$"
     part = lambda i: F.regexp_extract(url, r"^(?i)(https?://)([^/@?#]*@)?([^/:?#]*)(:[0-9]+)?([^?#]*)(\?[^#]*)?(#.*)?$", i)
-    host = part(3)
+    host, make = part(3), made(keys)
     ip = network.valid_ipv4(host)
-    hidden = F.when(ip, tokens.token(keys, "ipv4", host, network.is_internal(host))).otherwise(tokens.token(keys, "fqdn", host, keep_domain=o.keep_domain))
+    hidden = F.when(ip, make.token("ipv4", host, network.is_internal(host) if o.keep_scope else None)).otherwise(make.token("fqdn", host, keep_domain=o.keep_domain))
     inner = network.is_internal(host) | network.in_networks(host, o.tenant_networks)
     shown = {"all": F.when(host == "", host).when(tokens.is_token(host), host).otherwise(hidden), "internal": F.when(ip & inner, hidden).otherwise(host)}.get(o.url_mode, host)
-    segment = lambda s: F.when(s.rlike(rf"(?i)^(?:WB-[A-Z0-9][A-Z0-9-]{{6,80}}|[0-9a-f]{{24,64}}|{rules.GUID})$"), tokens.token(keys, "opaque", s)).otherwise(s)
+    segment = lambda s: F.when(s.rlike(rf"(?i)^(?:WB-[A-Z0-9][A-Z0-9-]{{6,80}}|[0-9a-f]{{24,64}}|{rules.GUID})$"), make.token("opaque", s)).otherwise(s)
     path = F.array_join(F.transform(F.split(part(5), "/"), segment), "/") if o.url_mode == "all" else part(5)
 
     def parameter(p: Column) -> Column:
@@ -107,47 +146,52 @@ def mask_url(url: Column, keys: Keys, o: Options) -> Column:
     return F.concat(part(1), F.when(part(2) == "", "").otherwise(ELIDED + "@"), shown, part(4), path, query, tail)
 
 
-def _prefixed(kind: Column, v: Column, kinds: list[str], keys: Keys) -> Column:
-    """Tokens of the kinds that are a prefix and a tag, by one keyed hash."""
+def _normal(kind: Column, v: Column, kinds: list[str]) -> Column:
+    """The normal form under one of ``kinds``."""
     stripped = [k for k in kinds if k in ("iban", "taxid", "vat", "phone")]
     plain = F.when(kind == "secret", F.btrim(v)).otherwise(F.lower(v)) if "secret" in kinds else F.lower(v)
-    norm = F.when(kind.isin(stripped), F.lower(F.regexp_replace(v, r"[ ./()-]", ""))).otherwise(plain) if stripped else plain
+    return F.when(kind.isin(stripped), F.lower(F.regexp_replace(v, r"[ ./()-]", ""))).otherwise(plain) if stripped else plain
+
+
+def _prefixed(kind: Column, v: Column, kinds: list[str], keys: Keys) -> Column:
+    """Tokens of the kinds that are a prefix and a tag, by one keyed hash."""
+    norm = _normal(kind, v, kinds)
     short = [k for k in kinds if tokens.PREFIXED[k][1] == 8]
     prefix = reduce(lambda rest, k: F.when(kind == k, tokens.PREFIXED[k][0]).otherwise(rest), kinds[1:], F.lit(tokens.PREFIXED[kinds[0]][0]))
     tagged = tokens.tag(tokens.seed(keys, kind, norm), 12)
     return F.concat(prefix, F.substr(tagged, F.lit(1), F.when(kind.isin(short), 8).otherwise(12)) if short else tagged)
 
 
-def hidden(c: Column, keys: Keys, o: Options, stage: tuple[Rule, ...]) -> Column:
+def hidden(c: Column, keys: Keys | Maker, o: Options, stage: tuple[Rule, ...]) -> Column:
     """What stands for a classified match of the stage."""
-    v, kind, kinds = c["value"], c["kind"], {r.kind for r in stage}
+    v, kind, kinds, make = c["value"], c["kind"], {r.kind for r in stage}, made(keys)
     act = lambda name: F.coalesce(c["category"].isin([k for k, a in o.dlp.items() if a == name]), F.lit(False))
 
     def user(x: Column) -> Column:
-        machine = F.concat(tokens.token(keys, "host", F.regexp_replace(x, r"\$$", "")), F.lit("$"))
-        return F.when(~rules.not_well_known(x) | tokens.is_token(x), x).when(x.endswith("$"), machine).otherwise(tokens.token(keys, "user", x))
+        machine = F.concat(make.token("host", F.regexp_replace(x, r"\$$", "")), F.lit("$"))
+        return F.when(~rules.not_well_known(x) | tokens.is_token(x), x).when(x.endswith("$"), machine).otherwise(make.token("user", x))
 
     def sid() -> Column:
         part = lambda i: F.regexp_extract(v, r"^(?i)(S-1-5-21(?:-[0-9]+){3})((?:-[0-9]+)*)$", i)
-        return F.concat(tokens.token(keys, "siddomain", part(1)), part(2))
+        return F.concat(make.token("siddomain", part(1)), part(2))
 
     def upn() -> Column:
-        return F.concat(user(F.substring_index(v, "@", 1)), F.lit("@"), tokens.token(keys, "windomain", F.substring_index(v, "@", -1)))
+        return F.concat(user(F.substring_index(v, "@", 1)), F.lit("@"), make.token("windomain", F.substring_index(v, "@", -1)))
 
     masks = {
-        "url": lambda: mask_url(v, keys, o),
+        "url": lambda: mask_url(v, make, o),
         "user": lambda: F.when(v.contains("@"), upn()).otherwise(user(v)) if "url" in kinds else user(v),
-        "winuser": lambda: F.concat(let(F.substring_index(v, "\\", 1), lambda d: F.when(tokens.is_token(d), d).otherwise(tokens.token(keys, "windomain", d))), F.lit("\\"), user(F.substring_index(v, "\\", -1))),
+        "winuser": lambda: F.concat(let(F.substring_index(v, "\\", 1), lambda d: F.when(tokens.is_token(d), d).otherwise(make.token("windomain", d))), F.lit("\\"), user(F.substring_index(v, "\\", -1))),
         "siddomain": sid,
-        "ipv4": lambda: F.when(network.masks_ip(v, o.ip_mode, o.tenant_networks), tokens.token(keys, "ipv4", v, network.is_internal(v) if o.keep_scope else None)).otherwise(v),
-        "ipv6": lambda: F.when(network.masks_ip(v, o.ip_mode, o.tenant_networks), tokens.token(keys, "ipv6", v)).otherwise(v),
-        "client": lambda: {"elide": F.lit(ELIDED), "label": F.lit(o.client_label)}.get(o.client_mode, tokens.token(keys, "client", F.regexp_replace(v, r"[\s_.-]", ""))),
-        "email": lambda: tokens.token(keys, "email", v),
-        "fqdn": lambda: tokens.token(keys, "fqdn", v, keep_domain=o.keep_domain),
-        "mac": lambda: tokens.token(keys, "mac", v),
+        "ipv4": lambda: F.when(network.masks_ip(v, o.ip_mode, o.tenant_networks), make.token("ipv4", v, network.is_internal(v) if o.keep_scope else None)).otherwise(v),
+        "ipv6": lambda: F.when(network.masks_ip(v, o.ip_mode, o.tenant_networks), make.token("ipv6", v)).otherwise(v),
+        "client": lambda: {"elide": F.lit(ELIDED), "label": F.lit(o.client_label)}.get(o.client_mode, make.token("client", F.regexp_replace(v, r"[\s_.-]", ""))),
+        "email": lambda: make.token("email", v),
+        "fqdn": lambda: make.token("fqdn", v, keep_domain=o.keep_domain),
+        "mac": lambda: make.token("mac", v),
     }
     simple = sorted(k for k in kinds if k in tokens.PREFIXED and k not in masks)
-    masked = _prefixed(kind, v, simple, keys) if simple else v
+    masked = make.prefixed(kind, v, simple) if simple else v
     for k in (k for k in masks if k in kinds):
         masked = F.when(kind == k, masks[k]()).otherwise(masked)
     if any(r.category for r in stage):
@@ -161,10 +205,13 @@ def run_stage(text: Column, stage: tuple[Rule, ...], change: Callable[[Column],
     return F.array_join(F.transform(pieces(text, stage), lambda p, i: F.when(i % 2 == 1, one(p)).otherwise(p)), "")
 
 
-def mask_text(df: DataFrame, keys: Keys, o: Options = Options(), text: str = "text") -> DataFrame:
-    """``df`` with its text masked by all stages in order."""
+def mask_text(df: DataFrame, keys: Keys | Maker, o: Options = Options(), text: str = "text", record: str | None = None) -> DataFrame:
+    """``df`` with its text masked by all stages in order.  The array ``record`` gets the ``kind|value`` of
+    every token that they write, as each stage sees the text."""
     out = df
     for _, stage in stages(o):
+        if record:
+            out = out.withColumn(record, F.concat(record, slots(run_stage(F.col(text), stage, lambda c, s=stage: hidden(c, Recorder(), o, s)))))
         out = out.withColumn(text, F.when(F.col(text).isNotNull(), run_stage(F.col(text), stage, lambda c, s=stage: hidden(c, keys, o, s))))
     return out
 

@@ -17,7 +17,7 @@ from ..functions import network, tokens
 from ..functions.tokens import Keys
 from ..shared import kept
 
-KINDS = ("user", "host", "opaque", "taxid", "iban", "phone", "person", "address", "vat", "cloud", "windomain", "email", "fqdn", "ipv4", "ipv6", "mac", "siddomain")
+KINDS = tokens.REVERSIBLE
 MAX_SALT = 4096
 
 
@@ -38,13 +38,13 @@ def values(found: DataFrame, keys: Keys) -> DataFrame:
     return out.withColumn("bidx", tokens.blind_index(keys, F.col("kind"), F.col("norm")))
 
 
-def salted(df: DataFrame, keys: Keys) -> DataFrame:
-    """Adds the token of (kind, norm, salt)."""
+def salted(df: DataFrame, keys: Keys, keep_scope: bool = True) -> DataFrame:
+    """Adds the token of (kind, norm, salt); ``keep_scope`` as in the options of the texts."""
     seeded = df.withColumn("_seed", tokens.seed(keys, F.col("kind"), F.col("norm"), F.col("salt")))
-    return seeded.withColumn("token", _by_kind(lambda k: tokens.shape(k, F.col("_seed"), F.col("norm"), keys, network.is_internal(F.col("norm")) if k == "ipv4" else None))).drop("_seed")
+    return seeded.withColumn("token", _by_kind(lambda k: tokens.shape(k, F.col("_seed"), F.col("norm"), keys, network.is_internal(F.col("norm")) if k == "ipv4" and keep_scope else None))).drop("_seed")
 
 
-def assign(found: DataFrame, keys: Keys, vault: DataFrame | None = None) -> DataFrame:
+def assign(found: DataFrame, keys: Keys, vault: DataFrame | None = None, keep_scope: bool = True) -> DataFrame:
     """The rows (bidx, kind, norm, raw, hits, salt, token) to add to the vault: values that it does not
     hold, each with a token that nothing else has."""
     new = values(found, keys)
@@ -52,7 +52,7 @@ def assign(found: DataFrame, keys: Keys, vault: DataFrame | None = None) -> Data
     if vault is not None:
         new = new.join(vault.select("bidx"), "bidx", "left_anti")
         taken = vault.select("token")
-    open_, done = kept(salted(new.withColumn("salt", F.lit(0)), keys), "values"), None
+    open_, done = kept(salted(new.withColumn("salt", F.lit(0)), keys, keep_scope), "values"), None
     order = Window.partitionBy("token").orderBy("bidx")
     for salt in range(1, MAX_SALT + 1):
         free = open_ if taken is None else open_.join(taken, "token", "left_anti")
@@ -63,10 +63,22 @@ def assign(found: DataFrame, keys: Keys, vault: DataFrame | None = None) -> Data
         if lost.isEmpty():
             return done
         taken = won.select("token") if taken is None else taken.union(won.select("token"))
-        open_ = kept(salted(lost.drop("token").withColumn("salt", F.lit(salt)), keys), "values")
+        open_ = kept(salted(lost.drop("token").withColumn("salt", F.lit(salt)), keys, keep_scope), "values")
     raise TokenSpaceExhausted("a kind has no free token left; archive the vault or use another tenant")
 
 
+def issued(found: DataFrame, rows: DataFrame, keys: Keys, key: str, keep_scope: bool = True) -> DataFrame:
+    """(key, _issued): for each key of the findings (key, kind, value) a map from ``kind|norm`` to token of the
+    values whose token in the vault is not the unsalted one.  Other keys have no row."""
+    norm = _by_kind(lambda k: tokens.normal(k, F.col("value")))
+    seen = found.where(F.col("kind").isin(*KINDS)).select(key, "kind", norm.alias("norm")).distinct()
+    known = seen.select("kind", "norm").distinct().withColumn("bidx", tokens.blind_index(keys, F.col("kind"), F.col("norm")))
+    known = salted(known.withColumn("salt", F.lit(0)), keys, keep_scope).withColumnRenamed("token", "_first")
+    other = known.join(rows.select("bidx", "token"), "bidx").where("token <> _first").select("kind", "norm", "token")
+    met = seen.join(other, ["kind", "norm"])
+    return met.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.lit("|"), "norm"), "token"))).alias("_issued"))
+
+
 def sealed(rows: DataFrame, keys: Keys) -> DataFrame:
     """Vault rows with the raw spelling encrypted, written at once: the nonce is random."""
     return kept(rows.select("bidx", "kind", "token", tokens.encrypt(keys, F.col("raw")).alias("raw_enc"), "hits"), "vault")
@@ -101,13 +113,13 @@ def lookup(vault: DataFrame, keys: Keys, value: str) -> DataFrame:
 
 #: Tokens as they are found in text.
 TOKEN_IN_TEXT = (
-    r"(?<![A-Za-z0-9._@-])(usr-[a-z2-7]{8}@[a-z2-7]{6}\.masked|host-[a-z2-7]{8}\.masked\.local|(?:usr|host)-[a-z2-7]{8}|(?:id|cf|iban|tel|person|addr|vat|cloud)-[a-z2-7]{12}"
-    r"|DOM-[a-z2-7]{8}|198\.1[89]\.[0-9]{1,3}\.[0-9]{1,3}|fd00:[0-9a-f]{4}:[0-9a-f]{4}:[0-9a-f]{4}::1|02(?::[0-9a-f]{2}){5}|S-1-5-21(?:-[0-9]+){3})(?![A-Za-z0-9])"
+    r"((?<=@)DOM-[a-z2-7]{8}|(?<=\[ELIDED\]@)(?:host-[a-z2-7]{8}\.masked\.local|198\.1[89]\.[0-9]{1,3}\.[0-9]{1,3})|(?<![A-Za-z0-9._@-])(?:usr-[a-z2-7]{8}@[a-z2-7]{6}\.masked|host-[a-z2-7]{8}\.masked\.local|(?:usr|host)-[a-z2-7]{8}|(?:id|cf|iban|tel|person|addr|vat|cloud)-[a-z2-7]{12}"
+    r"|DOM-[a-z2-7]{8}|198\.1[89]\.[0-9]{1,3}\.[0-9]{1,3}|fd00:[0-9a-f]{4}:[0-9a-f]{4}:[0-9a-f]{4}::1|02(?::[0-9a-f]{2}){5}|S-1-5-21(?:-[0-9]+){3}))(?![A-Za-z0-9])"
 )
 _MARK = "\x01"
 
 
-def restore(df: DataFrame, vault: DataFrame, keys: Keys, id_col: str, text: str = "text") -> DataFrame:
+def restore(df: DataFrame, vault: DataFrame, keys: Keys, id_col: str, text: str = "text", depth: int = 16) -> DataFrame:
     """``df`` (unique ``id_col``) with every token of this vault replaced by its original, and n_unresolved.
     Tokens become rows, meet the vault in a join, and go back by their position in the text."""
     cut = F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), TOKEN_IN_TEXT, _MARK + "$1" + _MARK), _MARK)
@@ -116,7 +128,11 @@ def restore(df: DataFrame, vault: DataFrame, keys: Keys, id_col: str, text: str
     # a bare host label falls back to the one qualified token that starts with it
     stems = vault.where("kind = 'fqdn'").groupBy(F.substring_index("token", ".", 1).alias("token")).agg(F.count("*").alias("n"), F.min("raw_enc").alias("raw_enc")).where("n = 1").select("token", "raw_enc")
     known = vault.select("token", "raw_enc").unionByName(stems.join(vault.select("token"), "token", "left_anti"))
-    raws = known.join(seen.select("token").distinct(), "token", "left_semi").withColumn("raw", tokens.decrypt(keys, F.col("raw_enc")))
+    raws = known.join(seen.select("token").distinct(), "token", "left_semi").select("token", tokens.decrypt(keys, F.col("raw_enc")).alias("raw"))
+    nested = raws.where(F.col("raw").rlike(TOKEN_IN_TEXT)).withColumnRenamed("token", "_of")
+    if depth and not nested.isEmpty():  # a later stage masked a passage with tokens of an earlier one
+        inner = restore(nested, vault, keys, "_of", "raw", depth - 1).select(F.col("_of").alias("token"), "raw")
+        raws = raws.where(~F.col("raw").rlike(TOKEN_IN_TEXT)).unionByName(inner)
     back = seen.join(raws.select("token", "raw"), "token", "left").groupBy(id_col)
     back = back.agg(F.map_from_entries(F.collect_list(F.struct("at", "raw"))).alias("_raws"), F.count_if(F.col("raw").isNull()).alias("n_unresolved"))
     joined = base.join(back, id_col, "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.tokens import Keys
 from ..operators import classify, gate, text, vault
+from ..shared import kept
 
 #: Option bundles by use.
 PROFILES: dict[str, dict] = {
@@ -27,30 +29,73 @@ def options(profile: str = "logs", **changes) -> text.Options:
     return replace(text.Options(**PROFILES[profile]), **changes)
 
 
-def all_findings(df: DataFrame, o: text.Options, column: str = "text") -> DataFrame:
-    """Findings of all stages on the text as it is, for the vault."""
-    out = None
-    for _, stage in text.stages(o):
-        found = text.findings(df, stage, column).select("kind", "value")
-        out = found if out is None else out.union(found)
-    user = out.where("kind = 'winuser'")
-    parts = user.select(F.explode(F.array(F.struct(F.lit("windomain").alias("kind"), F.substring_index("value", "\\", 1).alias("value")), F.struct(F.lit("user").alias("kind"), F.substring_index("value", "\\", -1).alias("value")))).alias("x")).select("x.*")
-    sid = out.where("kind = 'siddomain'").select("kind", F.regexp_extract("value", r"^(?i)(S-1-5-21(?:-[0-9]+){3})", 1).alias("value"))
-    return out.where("kind NOT IN ('winuser', 'siddomain', 'url', 'secret', 'client')").union(parts).union(sid)
+def _pairs(df: DataFrame, *others: str) -> DataFrame:
+    """(others, kind, value): what the column ``_made`` recorded."""
+    cut = df.select(*others, F.explode("_made").alias("x"))
+    return cut.select(*others, F.substring_index("x", "|", 1).alias("kind"), F.expr("substr(x, instr(x, '|') + 1)").alias("value"))
+
+
+def _recorded(df: DataFrame) -> DataFrame:
+    return df.withColumn("_made", F.array().cast("array<string>"))
+
+
+def all_findings(df: DataFrame, o: text.Options, column: str = "text", keys: Keys = Keys(bytes(32))) -> DataFrame:
+    """(kind, value) of every token that masking the texts with all stages makes, for the vault: hosts and
+    identifiers in URLs and the parts of accounts included.  A value that embeds the token of an earlier
+    stage is the one of these ``keys``."""
+    return _pairs(text.mask_text(_recorded(df), keys, o, column, "_made"))
+
+
+Run = Callable[[DataFrame, text.Maker], DataFrame]
+
+
+def _through_vault(df: DataFrame, keys: Keys, o: text.Options, columns: list[str], run: Run, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(masked table, new vault rows).  ``run`` masks and records in ``_made``; the first time with unsalted
+    tokens, then with those of the vault for rows that have a value with another one, until no token
+    changes: later stages see tokens that earlier ones wrote, so it ends after as many times as there are
+    stages, and after one where no value is salted."""
+    source = _recorded(df).withColumn("_key", F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns])), 256))
+    done, before = kept(run(source, text.Maker(keys)), "masked"), None
+    for _ in range(len(text.stages(o)) + 2):
+        found = _pairs(done, "_key")
+        rows = vault.assign(found.select("kind", "value"), keys, known, o.keep_scope)
+        every = rows.select("bidx", "token") if known is None else rows.select("bidx", "token").union(known.select("bidx", "token"))
+        issued = kept(vault.issued(found, every, keys, "_key", o.keep_scope), "issued")
+        now = issued.select(F.explode("_issued")).distinct()
+        if issued.isEmpty() if before is None else before.exceptAll(now).isEmpty() and now.exceptAll(before).isEmpty():
+            return done.drop("_made", "_key"), rows
+        done, before = kept(run(source.join(issued, "_key", "left"), text.Maker(keys, F.col("_issued"))), "masked"), now
+    raise RuntimeError("the tokens of the vault do not settle")
+
+
+def mask_known(df: DataFrame, keys: Keys, o: text.Options = text.Options(), column: str = "text", known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(masked table, new rows of the vault ``known``): every value has the token that the vault has for it."""
+    names = [*df.columns, "_made", "_key"]
+    return _through_vault(df, keys, o, [column], lambda x, make: text.mask_text(x, make, o, column, "_made").select(*[f"`{n}`" for n in names]), known)
 
 
 def mask(df: DataFrame, keys: Keys, o: text.Options = text.Options(), column: str = "text", safe: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(masked table, vault rows): text masked by all stages, residual personal data elided if ``safe``."""
-    masked = text.mask_text(df, keys, o, column)
+    """(masked table, vault rows): text masked by all stages with the tokens of the vault, residual personal
+    data elided if ``safe``."""
+    masked, rows = mask_known(df, keys, o, column)
     if safe:
         masked = text.redact_residuals(masked, o, column)
-    return masked, vault.sealed(vault.assign(all_findings(df, o, column), keys), keys)
+    return masked, vault.sealed(rows, keys)
 
 
-def mask_table(df: DataFrame, keys: Keys, o: text.Options = text.Options(), **config) -> tuple[DataFrame, list[classify.Decision]]:
-    """(masked table, plan): every column classified and masked by its decision."""
+def mask_table(df: DataFrame, keys: Keys, o: text.Options = text.Options(), **config) -> tuple[DataFrame, list[classify.Decision], DataFrame]:
+    """(masked table, plan, vault rows): every column classified and masked by its decision, with the tokens
+    of the vault."""
     decisions = classify.plan(df, **config)
-    return classify.apply_plan(df, decisions, keys, o), decisions
+    masked = [d.column for d in decisions if d.action in ("mask", "text")]
+    if not masked:
+        return classify.apply_plan(df, decisions, keys, o), decisions, vault.sealed(vault.assign(_pairs(_recorded(df)), keys), keys)
+
+    def run(x: DataFrame, make: text.Maker) -> DataFrame:
+        return classify.apply_plan(x, decisions, make, o, "_made", ("_key", *(["_issued"] if make.issued is not None else []))).drop("_issued")
+
+    out, rows = _through_vault(df, keys, o, masked, run, None)
+    return out, decisions, vault.sealed(rows, keys)
 
 
 def release(df: DataFrame, keys: Keys, path: str, o: text.Options = text.Options(), column: str = "text") -> gate.Verdict:

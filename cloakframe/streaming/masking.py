@@ -15,6 +15,7 @@ from ..plans import jobs
 
 
 def mask_stream(stream: DataFrame, keys: Keys, o: text.Options = text.Options(), column: str = "text") -> DataFrame:
+    """The stream with unsalted tokens and no vault; ``start`` masks what is to be restored."""
     return text.mask_text(stream, keys, o, column)
 
 
@@ -30,9 +31,9 @@ def start(stream: DataFrame, keys: Keys, vault_path: str, emit: Callable[[DataFr
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
             known = None
-        rows = vault.assign(jobs.all_findings(df, o, column), keys, known)
+        masked, rows = jobs.mask_known(df, keys, o, column, known)
         vault.sealed(rows, keys).write.mode("append").parquet(vault_path)
-        emit(text.mask_text(df, keys, o, column), n)
+        emit(masked, n)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -117,3 +117,26 @@ def test_stream(spark, lines, tmp_path):
     q.awaitTermination(120)
     out = {r.id: r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert "@example.com" not in out[0] and spark.read.parquet(str(tmp_path / "vault")).where("kind = 'email'").count() == 1
+
+
+def test_masking_uses_the_tokens_of_the_vault(spark, tmp_path):
+    texts = [f"seen 10.{n // 500}.{n % 50}.{n % 250} then 10.{n // 500}.{n % 50}.{n % 250} address: near 10.{n // 500}.{n % 50}.{n % 250}; end" for n in range(2000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    o = text.Options(types=("ipv4",))
+    out, stored = jobs.mask(df, KEYS, o, safe=False)
+    n = len({t.split()[1] for t in texts})
+    assert n > 900 and stored.where("kind = 'ipv4'").count() == n == out.selectExpr("split(text, ' ')[1]").distinct().count()
+    back = {r.id: r for r in vault.restore(out, stored, KEYS, "id").collect()}
+    assert [back[i].text for i in range(2000)] == texts and not any(r.n_unresolved for r in back.values())
+    table = df.selectExpr("cast(id AS string) AS record", "split(text, ' ')[1] AS source_ip", "text AS message")
+    out, _, stored = jobs.mask_table(table, KEYS, o, keep=("record",))
+    for column in ("source_ip", "message"):
+        back = vault.restore(out, stored, KEYS, "record", column).select("record", column)
+        assert back.exceptAll(table.select("record", column)).isEmpty()
+    for part in (df.where("id < 1000"), df.where("id >= 1000")):
+        part.repartition(2).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+    q = masking.start(stream, KEYS, str(tmp_path / "vault"), lambda x, n: x.write.mode("append").parquet(str(tmp_path / "out")), str(tmp_path / "cp"), o)
+    q.awaitTermination(120)
+    back = vault.restore(spark.read.parquet(str(tmp_path / "out")), spark.read.parquet(str(tmp_path / "vault")), KEYS, "id")
+    assert back.select("id", "text").exceptAll(df).isEmpty() and back.count() == 2000
