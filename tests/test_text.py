@@ -140,3 +140,13 @@ def test_masking_uses_the_tokens_of_the_vault(spark, tmp_path):
     q.awaitTermination(120)
     back = vault.restore(spark.read.parquet(str(tmp_path / "out")), spark.read.parquet(str(tmp_path / "vault")), KEYS, "id")
     assert back.select("id", "text").exceptAll(df).isEmpty() and back.count() == 2000
+
+
+def test_the_vault_has_what_urls_and_accounts_hold(spark):
+    line = "see https://web.example.com/a/0123456789abcdef0123456789abcdef and http://10.9.8.7/b, bob@CORP user=pc77$ ACME\\wks12$ CN=Jane Roe,OU=x"
+    df = spark.createDataFrame([(1, line)], "id long, text string")
+    out, stored = jobs.mask(df, KEYS)
+    masked = out.first().text
+    assert not [s for s in ("example", "0123456789abcdef", "10.9.8.7", "bob", "CORP", "pc77", "wks12", "Jane") if s in masked]
+    back = vault.restore(out, stored, KEYS, "id").first()
+    assert back.text == line and back.n_unresolved == 0
