@@ -201,9 +201,16 @@ def q_cell_lists(spark, sf_dir):
 
 
 def q_dlp_counts(spark, sf_dir):
+    """International phone numbers only, which SQL can express; ``q_dlp_report`` has all rules."""
     return _found(spark, sf_dir, "phone_international").groupBy("category", "rule").agg(F.count("*").alias("n"), F.count_distinct("value").alias("n_values"))
 
 
+def q_dlp_report(spark, sf_dir):
+    """What all personal-data rules find in whole texts, by category and rule."""
+    docs = _spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return text.findings(docs, rules.DLP).groupBy("category", "rule").agg(F.count("*").alias("n"), F.count_distinct("value").alias("n_values"))
+
+
 def q_luhn(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(\b[0-9]{16}\b)"))).alias("number"))
     return docs.select("doc_id", "number", checks.luhn(F.col("number")).alias("valid")).distinct()
@@ -344,12 +351,21 @@ def q_field_registry(spark, sf_dir):
 
 
 def q_gate_residuals(spark, sf_dir):
-    """What the residual rules find in texts masked for e-mail only, by source."""
+    """International phone numbers in texts as they are, by source, which SQL can express; the gate itself
+    is ``q_gate_report``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     found = text.findings(docs, (BY_NAME["phone_international"],))
     return found.groupBy("source").agg(F.count("*").alias("n_residual"), F.count_distinct("doc_id").alias("n_docs"))
 
 
+def q_gate_report(spark, sf_dir):
+    """What the gate finds in masked texts whose main stage masked e-mail only, by source and rule."""
+    docs = _spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    o = text.Options(types=("email",))
+    found = gate.residuals(text.mask_text(docs, DEMO, o), o)
+    return found.groupBy("source", "category", "rule").agg(F.count("*").alias("n_residual"), F.count_distinct("doc_id").alias("n_docs"))
+
+
 def q_user_activity(spark, sf_dir):
     name = tokens.token(DEMO, "user", F.col("user_id").cast("string")).alias("user_token")
     e = table(spark, sf_dir, "events").groupBy(F.date_trunc("day", "ts").alias("day"), name)
