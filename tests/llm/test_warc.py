@@ -4,6 +4,8 @@ import io
 import random
 import zlib
 
+import pytest
+
 from cloakframe.llm import warc
 from cloakframe.llm.warc import Warc, members, parse, read_archives, write_archives
 
@@ -15,9 +17,10 @@ def test_any_split_reads_each_record_once():
     inner = stored.compress(warc.record(40, None, recs[0] + recs[1], None, "d")) + stored.flush()
     data = b"junk" + b"".join(recs) + inner
     for size in (64, 997, 5000, 1 << 20):
-        got = [parse(x)[0] for s in range(0, len(data), size) for x in members(io.BytesIO(data), s, min(s + size, len(data)))]
+        got = [parse(x)[1] for s in range(0, len(data), size) for x in members(io.BytesIO(data), s, min(s + size, len(data))) if x is not None]
         assert [g for g in got if g != 40][:40] == list(range(40))
-    assert [parse(x)[0] for x in members(io.BytesIO(data[:-40]), 0, len(data))][:40] == list(range(40))  # a cut last member is left out
+    cut = [x for x in members(io.BytesIO(data[:-40]), 0, len(data))]
+    assert cut[0] is None and [parse(x)[1] for x in cut[1:41]] == list(range(40)) and cut[41] is None  # the junk, and the last member that was cut
 
 
 def brute(rows, least=0):
@@ -45,3 +48,54 @@ def test_round_trip(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert read_archives(write_archives(df)).count() == 0
+
+
+def archive(tmp_path, spark, data):
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    return spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz", len(data))], "path string, bytes long")
+
+
+def foreign(kind, ident, block, more=""):
+    return warc.member(f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{ident}>\r\n{more}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n", 6)
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    ids = [f"urn:uuid:00000000-0000-4000-8000-00000000000{i}" for i in range(5)]
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>x</p>"
+    data = foreign("warcinfo", ids[0], b"software: x\r\n") + foreign("request", ids[1], b"GET / HTTP/1.1\r\n\r\n") + foreign("response", ids[2], http, "WARC-Target-URI: http://h/\r\n")
+    data += foreign("revisit", ids[3], b"", f"WARC-Refers-To: <{ids[2]}>\r\nWARC-Payload-Digest: sha1:ABC\r\n") + foreign("metadata", ids[4], b"k: v")
+    manifest = archive(tmp_path, spark, data)
+    rows = {r.record_id: r for r in read_archives(manifest, Warc(split_bytes=90), types=None).collect()}
+    assert [rows[i].record_type for i in ids] == ["warcinfo", "request", "response", "revisit", "metadata"]
+    assert bytes(rows[ids[2]].payload) == b"<p>x</p>" and rows[ids[2]].url == "http://h/" and rows[ids[2]].page_id is None
+    assert rows[ids[3]].refers_to_id == ids[2] and rows[ids[3]].payload_digest == "ABC" and rows[ids[3]].payload_bytes is None
+    assert bytes(rows[ids[4]].payload) == b"k: v"
+    assert sorted(r.record_id for r in read_archives(manifest).collect()) == ids[2:4]
+
+
+def test_damaged_members_are_counted(spark, tmp_path):
+    r = random.Random(2)
+    recs = [warc.member(warc.record(i, "http://h/", r.randbytes(3000), None, "d"), 1) for i in range(5)]
+    whole = b"".join(recs)
+    at = len(recs[0]) + len(recs[1]) + len(recs[2]) // 2
+    manifest = archive(tmp_path, spark, whole[:at] + bytes(16) + whole[at + 16 :])
+    for size in (500, 1 << 20):
+        got = read_archives(manifest, Warc(split_bytes=size), types=None).collect()
+        assert sorted(x.page_id for x in got if x.record_type == "response") == [0, 1, 3, 4] and sum(x.record_type == "damaged" for x in got) == 1
+    with pytest.raises(Exception, match="damaged"):
+        read_archives(manifest).collect()
+
+
+def test_a_header_at_the_end_of_the_buffer():
+    big = warc.member(warc.record(1, "u", random.Random(3).randbytes(warc.PIECE - 60), None, "d"), 0)
+    data = big + warc.member(warc.record(2, "u", b"x" * 50, None, "d"), 9)
+    for cut in (warc.PIECE - 100, warc.PIECE - 10, warc.PIECE):
+        pad = b"\0" * cut
+        got = [parse(x)[1] for x in members(io.BytesIO(pad + data), 0, len(pad) + len(data)) if x is not None]
+        assert got == [1, 2]
+
+
+def test_splits_are_tasks(spark):
+    df = spark.range(300).selectExpr("id AS page_id", "'u' AS url", "repeat(sha2(cast(id AS string), 256), 40) AS html").coalesce(1)
+    out = read_archives(write_archives(df), Warc(split_bytes=4_000))
+    assert out.rdd.getNumPartitions() > 10 and out.count() == 300
