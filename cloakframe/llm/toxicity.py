@@ -7,8 +7,8 @@ boundary.  The Viterbi path under a trigram character model gives the restored w
 model is counted over the words of every document.
 
 Scoring.  Words (the text's and the restored ones) and their prefixes are hashed; each bucket has a
-shrunken log odds of occurring in toxic rather than clean documents.  A document is summed up by its
-largest word weights, and a logistic regression on that gives the score.  The log odds are fitted in two
+shrunken log odds of occurring in toxic rather than clean documents.  A document is summed up over all
+its different weighty words, however many, and a logistic regression on that gives the score.  The log odds are fitted in two
 folds, each summing up the other's documents for the regression.
 
 Labels are read for at most ``max_labelled`` documents (those with the least hashes of their ids), none
@@ -19,7 +19,7 @@ counts by the alphabet's cube, the word counts by the buckets, the regression by
 Defined results: null, empty and blank texts have no words and get the score of a text without weighty
 words; missing labels are not used; without labels of both kinds every score is the smoothed share of
 toxic ones; repeated rows get equal scores; a label given twice counts as its maximum; an empty table
-gives an empty result; extra columns pass through (outputs replace columns of the same name).
+gives an empty result; extra columns pass through (outputs replace columns of the same name, working columns get free names).
 """
 
 from __future__ import annotations
@@ -35,12 +35,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .storage import scratch
 
 OUTPUTS = ("held_out", "score", "predicted")
 CLASSES = 64
 #: What a character may stand for (fixed values).
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "aeiou"}
-SEPARATORS = "._- "
+SEPARATORS = "._- */,"
 SUMMARY = 7
 
 
@@ -96,45 +97,71 @@ def character_model(docs: DataFrame, text: str = "text") -> np.ndarray:
     return np.log((n3 + 2 * p2[None]) / (n3.sum(2, keepdims=True) + 2)).astype(np.float32)
 
 
-CORE = re.compile(r"^[^a-z0-9@$!|(*+\x80-\U0010ffff]+|[^a-z0-9@$\x80-\U0010ffff]+$")
-NOISY = re.compile(r"[a-z\x80-\U0010ffff].*[0-9@$!|+(*]|[0-9@$!|+(*].*[a-z]|([a-z])\1\1|^[a-z](?:[._\- ][a-z])+$")
+SOLID = re.compile(r"[a-z0-9@$!|(*+\x80-\U0010ffff]")
+LAST = re.compile(r"[a-z0-9@$\x80-\U0010ffff]")
+LETTER = re.compile(r"[a-z\x80-\U0010ffff]")
+ODD = re.compile(r"[0-9@$!|+(*]")
+THRICE = re.compile(r"([a-z])\1\1")
+INNER = re.compile(r"[a-z0-9@$\x80-\U0010ffff][._\- */,]+[a-z0-9@$\x80-\U0010ffff]")
+
+
+def core_of(token: str) -> str:
+    """The token in lower case without punctuation around it."""
+    token = token.lower()
+    first = SOLID.search(token)
+    if not first:
+        return ""
+    end = len(token)
+    while not LAST.match(token[end - 1]) and end - 1 > first.start():
+        end -= 1
+    return token[first.start() : end]
+
+
+def one_of(token: str) -> str:
+    """The letter or look-alike of a token that has one."""
+    found = LAST.search(token.lower())
+    return found[0] if found else token
 
 
 def noisy(token: str) -> str | None:
-    """The token's core in lower case if it looks obfuscated."""
-    core = token.lower()
-    core = CORE.sub("", core)
-    return core if len(core) > 2 and NOISY.search(core) else None
+    """The token's core if it looks obfuscated.  The time is linear in its length."""
+    core = core_of(token)
+    if len(core) < 3 or not LETTER.search(core):
+        return None
+    return core if ODD.search(core) or THRICE.search(core) or INNER.search(core) else None
 
 
 def restore(core: str, model: np.ndarray, p: Toxicity) -> list[str]:
-    """The words on the best path through the token's lattice."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The words on the best path through the token's lattice.  Paths are chains of shared cells, so time
+    and memory are linear in the token's length."""
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for i, ch in enumerate(core):
-        moves: list[tuple[str, float]]
+        moves: list[tuple[str, float]] = [(x, p.swap_cost) for x in LOOKALIKES.get(ch, "")]
         if ch in SEPARATORS:
-            moves = [("", 0.0), (" ", p.split_cost)]
-        else:
-            moves = [(x, p.swap_cost) for x in LOOKALIKES.get(ch, "")]
-            if ch.isalnum():
-                moves.append((ch, 0.0 if not ch.isdigit() else p.swap_cost))
-            elif not moves:
-                moves = [(" ", 0.0)]
-            if ch.isalpha() and core[max(0, i - 2) : i + 3].count(ch) >= 3 and i and core[i - 1] == ch:
-                moves.append(("", p.drop_cost))
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, done) in best.items():
-            for out, cost in moves:
+            moves += [("", 0.0), (" ", p.split_cost)]
+        elif ch.isalnum():
+            moves.append((ch, 0.0 if not ch.isdigit() else p.swap_cost))
+        elif not moves:
+            moves = [(" ", 0.0)]
+        if ch.isalpha() and core[max(0, i - 2) : i + 3].count(ch) >= 3 and i and core[i - 1] == ch:
+            moves.append(("", p.drop_cost))
+        steps = [(out, cost, [int(CLASS[byte]) for byte in out.encode()]) for out, cost in moves]
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, path) in best.items():
+            for out, cost, classes in steps:
                 s, x, y = score - cost, a, b
-                for byte in out.encode():
-                    c = int(CLASS[byte])
+                for c in classes:
                     s += float(model[x, y, c])
                     x, y = y, c
                 if (x, y) not in after or after[x, y][0] < s:
-                    after[x, y] = (s, done + out)
+                    after[x, y] = (s, (path, out) if out else path)
         best = after
-    end = max((s + float(model[a, b, 0]) + float(model[b, 0, 0] if b else 0.0), done) for (a, b), (s, done) in best.items())
-    return end[1].split()
+    path = max(((s + float(model[a, b, 0]) + float(model[b, 0, 0] if b else 0.0), path) for (a, b), (s, path) in best.items()), key=lambda x: x[0])[1]
+    pieces = []
+    while path is not None:
+        path, out = path
+        pieces.append(out)
+    return "".join(reversed(pieces)).split()
 
 
 class Restorer:
@@ -147,6 +174,10 @@ class Restorer:
         self.letter = np.zeros(256, dtype=bool)
         self.letter[65:91] = self.letter[97:123] = self.letter[128:] = True
 
+        self.head = self.letter.copy()  # first bytes of letters, digits and the symbols that are no punctuation
+        self.head[128:192] = False
+        self.head[np.frombuffer(b"0123456789@$", dtype=np.uint8)] = True
+
     def of(self, token: str) -> list[str]:
         if token not in self.known:
             if len(self.known) >= self.p.cache:
@@ -167,12 +198,14 @@ class Restorer:
         three[2:] = (d[2:] == d[1:-1]) & (d[2:] == d[:-2]) & self.letter[d[2:]] & (d[2:] < 128)
         three = np.r_[0, np.cumsum(three)]
         inner = np.zeros(len(d), dtype=bool)
-        inner[1:-1] = np.isin(d[1:-1], np.frombuffer(b"._-", dtype=np.uint8)) & self.letter[d[:-2]] & self.letter[d[2:]]
+        inner[1:-1] = np.isin(d[1:-1], np.frombuffer(b"._-*/,", dtype=np.uint8)) & self.letter[d[:-2]] & (self.letter[d[2:]] | self.odd[d[2:]])
         inner = np.r_[0, np.cumsum(inner)]
         count = lambda t: t[w.end] - t[w.start]
-        flagged = (count(letters) > 0) & ((count(odd) > 0) | (count(three) > 0) | (count(inner) > 1))
+        flagged = (count(letters) > 0) & ((count(odd) > 0) | (count(three) > 0) | (count(inner) > 0))
         row_of = w.row_of()
-        single = (w.end - w.start == 1) & self.letter[d[w.start]]
+        # a token of one letter or look-alike with punctuation around it
+        heads = np.r_[0, np.cumsum(self.head[d])]
+        single = (w.end - w.start <= 4) & (count(heads) == 1) | (w.end - w.start == 1) & self.odd[d[w.start]]
         edge = np.flatnonzero(np.diff(np.r_[False, single, False].astype(np.int8)))
         rows, out = [], []
         raw = d.tobytes()
@@ -180,11 +213,14 @@ class Restorer:
             for x in self.of(raw[w.start[i] : w.end[i]].decode("utf-8", "replace")):
                 rows.append(row_of[i])
                 out.append(x)
+        lettered = np.r_[0, np.cumsum(count(letters) > 0)]
         for s, e in zip(edge[::2], edge[1::2], strict=True):
+            if e - s < 3:
+                continue
             for r in np.unique(row_of[s:e]):
                 lo, hi = max(s, w.rows[r]), min(e, w.rows[r + 1])
-                if hi - lo >= 3:
-                    for x in self.of(" ".join(chr(d[w.start[k]]) for k in range(lo, hi))):
+                if hi - lo >= 3 and lettered[hi] - lettered[lo] >= 2:
+                    for x in self.of(" ".join(one_of(raw[w.start[k] : w.end[k]].decode("utf-8", "replace")) for k in range(lo, hi))):
                         rows.append(r)
                         out.append(x)
         return np.array(rows, dtype=np.int64), out
@@ -241,23 +277,23 @@ def log_odds(n: np.ndarray, docs: np.ndarray, p: Toxicity) -> np.ndarray:
 
 
 def summary(texts: pa.Array, weights: np.ndarray, restorer: Restorer, p: Toxicity) -> np.ndarray:
-    """A constant, the five largest weights of different words, and the number of weighty words."""
+    """A constant and six measures over all different words of a text: the largest weight, the logarithms
+    of the sums of the weighty words' odds, of their weights and of their squares, of the number of very weighty words
+    and of the number of words."""
     row, h, b = tokens(texts, restorer, p)
-    out = np.zeros((len(texts), SUMMARY))
+    n = len(texts)
+    out = np.zeros((n, SUMMARY))
     out[:, 0] = 1
+    order = np.lexsort((h, row))
+    new = np.r_[True, (row[order][1:] != row[order][:-1]) | (h[order][1:] != h[order][:-1])] if len(row) else np.empty(0, dtype=bool)
+    row, b = row[order[new]], b[:, order[new]]
     w = np.where(b >= 0, weights[b], -np.inf).max(0) if len(row) else np.empty(0)
+    out[:, 6] = np.log1p(np.bincount(row, minlength=n))
     some = w > 0.5
-    row, h, w = row[some], h[some], w[some]
-    order = np.lexsort((h, row))
-    row, h, w = row[order], h[order], w[order]
-    new = np.r_[True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])] if len(row) else some[:0]
-    row, w = row[new], w[new]
-    order = np.lexsort((-w, row))
-    row, w = row[order], w[order]
-    rank = np.arange(len(row)) - np.searchsorted(row, row)
-    top = rank < 5
-    out[row[top], 1 + rank[top]] = w[top]
-    out[:, 6] = np.log1p(np.bincount(row, weights=w > 2.5, minlength=len(texts)))
+    row, w = row[some], w[some]
+    np.maximum.at(out[:, 1], row, w)
+    for k, part in ((2, np.exp(w)), (3, w), (4, w * w), (5, w > 2.5)):
+        out[:, k] = np.log1p(np.bincount(row, weights=part, minlength=n))
     return out
 
 
@@ -271,23 +307,37 @@ def _summaries(batches: Iterator[pa.RecordBatch], weights: list[np.ndarray], mod
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("toxic"), flat], names=["id", "toxic", "x"])
 
 
-def regress(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> np.ndarray:
-    """Logistic regression by Newton steps with a small ridge (none on the constant)."""
+def regress(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+    """Logistic regression by Newton steps, halved until the loss falls, with a small ridge on the
+    coefficients of the standardised measures (none on the constant, the first column)."""
     beta = np.zeros(x.shape[1])
     share = (y.sum() + 0.5) / (len(y) + 1)
     beta[0] = np.log(share / (1 - share))
     if len(np.unique(y)) < 2:
         return beta
+    shift, scale = x.mean(0), x.std(0)
+    shift[0], scale[0] = 0, 1
+    scale[scale == 0] = 1
+    z = (x - shift) / scale
     cost = np.full(x.shape[1], ridge)
     cost[0] = 0
-    for _ in range(30):
-        m = 0.5 * (1 + np.tanh(0.5 * (x @ beta)))
-        hess = (x * (m * (1 - m) + 1e-9)[:, None]).T @ x + np.diag(cost + 1e-9)
-        move = np.linalg.solve(hess, x.T @ (y - m) - cost * beta)
-        beta = beta + np.clip(move, -2, 2)
-        if np.abs(move).max() < 1e-8:
+
+    def loss(b: np.ndarray) -> float:
+        return float(np.logaddexp(0, np.where(y > 0, -1, 1) * (z @ b)).sum() + 0.5 * (cost * b * b).sum())
+
+    for _ in range(60):
+        m = 0.5 * (1 + np.tanh(0.5 * (z @ beta)))
+        hess = (z * (m * (1 - m))[:, None]).T @ z + np.diag(cost + 1e-9)
+        move = np.linalg.solve(hess, z.T @ (y - m) - cost * beta)
+        step, now = 1.0, loss(beta)
+        while step > 1e-6 and loss(beta + step * move) > now:
+            step /= 2
+        beta = beta + step * move
+        if np.abs(step * move).max() < 1e-8:
             break
-    return beta
+    out = beta / scale
+    out[0] = beta[0] - (out * shift)[1:].sum()
+    return out
 
 
 @dataclass
@@ -320,18 +370,19 @@ def train(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity(), id_col:
     return Model(model, log_odds(n.sum(0), size.sum(0), p), regress(x, rows.column("toxic").to_numpy().astype(np.float64)))
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: Model, p: Toxicity) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model: Model, p: Toxicity, text: str) -> Iterator[pa.RecordBatch]:
     restorer = Restorer(model.characters, p)
     for batch in batches:
-        for part, texts in W.chunks(batch, "_toxicity_text"):
+        for part, texts in W.chunks(batch, text):
             s = 0.5 * (1 + np.tanh(0.5 * (summary(texts, model.weights, restorer, p) @ model.beta)))
-            have = {k: part.column(k) for k in part.schema.names if k != "_toxicity_text"}
+            have = {k: part.column(k) for k in part.schema.names if k != text}
             yield pa.RecordBatch.from_pydict(have | {"score": pa.array(s), "predicted": pa.array((s >= p.predict_at).astype(np.int32))})
 
 
 def score(docs: DataFrame, model: Model, p: Toxicity = Toxicity(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without its text, with held_out, score and predicted."""
-    base = docs.drop(*[c for c in docs.columns if c.lower() in OUTPUTS]).withColumn("held_out", held_out(F.col(f"`{id_col}`")))
-    base = base.withColumn("_toxicity_text", F.col(f"`{text}`")).drop(text)
-    keep = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in base.drop("_toxicity_text").schema)
-    return base.mapInArrow(partial(_score, model=model, p=p), f"{keep}score double, predicted int")
+    held, raw = scratch(docs, "held", "text")
+    base = docs.withColumn(held, held_out(F.col(f"`{id_col}`"))).withColumn(raw, F.col(f"`{text}`")).drop(text)
+    base = base.drop(*[c for c in base.columns if c.lower() in OUTPUTS]).withColumnRenamed(held, "held_out")
+    keep = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in base.drop(raw).schema)
+    return base.mapInArrow(partial(_score, model=model, p=p, text=raw), f"{keep}score double, predicted int")
