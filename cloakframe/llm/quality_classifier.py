@@ -9,14 +9,15 @@ Features of a text: roots of the shares of its words by hashed word, by hashed f
 in its own range of ``buckets``, and a few dense measures (length, distinct words, repeated neighbours,
 symbols, upper case, digits, repeated lines).
 
-The model is fitted on at most ``max_rated`` rated documents (those with the least hashes of their ids),
-so what reaches the driver has a fixed bound; scoring is a map over the whole table, without a shuffle.
+The model is fitted on at most ``max_rated`` rated documents of at most ``max_bytes`` of text together (those
+with the least hashes of their ids; a text of over ``max_bytes`` is never among them), so what reaches the driver has a fixed
+bound: no more entries than three for each two bytes; scoring is a map over the whole table, without a shuffle.
 
 Defined results: null, empty and blank texts have only the dense features of an empty text; ratings
 without a quality are not used, a missing toxic rating counts as 0; a table without usable ratings, or
 with one grade alone, gives the smoothed shares of the grades for every document; repeated rows get
 equal results; an empty table gives an empty result; extra columns pass through (outputs replace columns
-of the same name).
+of the same name, working columns get free names).
 """
 
 from __future__ import annotations
@@ -27,10 +28,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
+from .storage import scratch
 
 GRADES = 3
 DENSE = 19
@@ -41,6 +43,7 @@ OUTPUTS = ("expected_grade", "tail_probability", "selected")
 class QualityClassifier:
     buckets: int = 1 << 14
     max_rated: int = 8000
+    max_bytes: int = 32 << 20
     steps: int = 400
     rate: float = 1.0
     ridge: float = 1e-5
@@ -154,36 +157,44 @@ def fit(f: Features, grade: np.ndarray, p: QualityClassifier) -> Model:
     if len(np.unique(grade)) < 2:
         return model
     free = np.r_[np.zeros(size + DENSE), cuts[0], np.log(np.diff(cuts))]
-    row = np.repeat(np.arange(len(grade)), np.diff(f.rows))
-    norm = np.bincount(row, weights=f.value**2, minlength=len(grade)) + (f.dense**2).sum(1)
+    norm = np.bincount(_row_of(f), weights=f.value**2, minlength=len(grade)) + (f.dense**2).sum(1)
     step = p.rate / (0.25 * norm.max() + 0.25 + p.ridge)
     ahead, last, momentum = free.copy(), np.inf, 1.0
-
-    def unpack(x: np.ndarray) -> Model:
-        return Model(x[:size], x[size : size + DENSE], x[size + DENSE] + np.r_[0, np.cumsum(np.exp(x[size + DENSE + 1 :]))])
-
     for _ in range(p.steps):
-        model = unpack(ahead)
-        score = linear(f, model)
-        below = np.c_[np.zeros(len(score)), sigmoid(model.cuts[None, :] - score[:, None]), np.ones(len(score))]
-        slope = below * (1 - below)
-        each = np.arange(len(grade))
-        chance = np.maximum(below[each, grade + 1] - below[each, grade], 1e-12)
-        dscore = (slope[each, grade + 1] - slope[each, grade]) / chance / len(grade)
-        dcut = np.zeros(GRADES - 1)
-        for k in range(GRADES - 1):
-            dcut[k] = (-(slope[:, k + 1] / chance)[grade == k].sum() + (slope[:, k + 1] / chance)[grade == k + 1].sum()) / len(grade)
-        gaps = np.exp(ahead[size + DENSE + 1 :])
-        grad = np.r_[
-            np.bincount(f.index, weights=f.value * dscore[row], minlength=size) + p.ridge * ahead[:size],
-            f.dense.T @ dscore, dcut.sum(), gaps * np.cumsum(dcut[::-1])[::-1][1:],
-        ]
-        loss = -np.log(chance).mean() + 0.5 * p.ridge * (ahead[:size] ** 2).sum()
+        loss, grad = loss_and_gradient(ahead, f, grade, p)
         momentum = 1.0 if loss > last else momentum
         last = loss
         new, grown = ahead - step * grad, (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         ahead, free, momentum = new + (momentum - 1) / grown * (new - free), new, grown
-    return unpack(free)
+    return unpack(free, size)
+
+
+def _row_of(f: Features) -> np.ndarray:
+    return np.repeat(np.arange(len(f.rows) - 1), np.diff(f.rows))
+
+
+def unpack(x: np.ndarray, size: int) -> Model:
+    """The model of a parameter vector: weights, dense weights, first threshold, logarithms of the gaps."""
+    return Model(x[:size], x[size : size + DENSE], x[size + DENSE] + np.r_[0, np.cumsum(np.exp(x[size + DENSE + 1 :]))])
+
+
+def loss_and_gradient(x: np.ndarray, f: Features, grade: np.ndarray, p: QualityClassifier) -> tuple[float, np.ndarray]:
+    """Mean negative log-likelihood with the ridge penalty, and its gradient."""
+    size = 3 * p.buckets
+    model = unpack(x, size)
+    score = linear(f, model)
+    below = np.c_[np.zeros(len(score)), sigmoid(model.cuts[None, :] - score[:, None]), np.ones(len(score))]
+    slope = below * (1 - below)
+    each = np.arange(len(grade))
+    chance = np.maximum(below[each, grade + 1] - below[each, grade], 1e-12)
+    dscore = (slope[each, grade + 1] - slope[each, grade]) / chance / len(grade)
+    dcut = np.array([(-(slope[:, k + 1] / chance)[grade == k].sum() + (slope[:, k + 1] / chance)[grade == k + 1].sum()) / len(grade) for k in range(GRADES - 1)])
+    gaps = np.exp(x[size + DENSE + 1 :])
+    grad = np.r_[
+        np.bincount(f.index, weights=f.value * dscore[_row_of(f)], minlength=size) + p.ridge * x[:size],
+        f.dense.T @ dscore, dcut.sum(), gaps * np.cumsum(dcut[::-1])[::-1][1:],
+    ]
+    return -np.log(chance).mean() + 0.5 * p.ridge * (x[:size] ** 2).sum(), grad
 
 
 def _rated(batches: Iterator[pa.RecordBatch], p: QualityClassifier) -> Iterator[pa.RecordBatch]:
@@ -206,6 +217,12 @@ def train(docs: DataFrame, labels: DataFrame, p: QualityClassifier = QualityClas
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
     kind = dict(slim.dtypes)["id"]
     sample = slim.join(F.broadcast(rated), "id").select("id", "grade", "text")
+    # at most max_rated numbers: the longest prefix, in the order of the hashes, that fits
+    sizes = sample.select("id", F.xxhash64("id", "text").alias("fp"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    sizes = sizes.where(F.col("size") <= p.max_bytes).orderBy(F.xxhash64("id"), "fp").limit(p.max_rated)
+    whole = Window.orderBy(F.xxhash64("id"), "fp").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fits = sizes.withColumn("total", F.sum("size").over(whole)).where(F.col("total") <= p.max_bytes).select("id", "fp").distinct()
+    sample = sample.withColumn("fp", F.xxhash64("id", "text")).join(F.broadcast(fits), ["id", "fp"], "left_semi").select("id", "grade", "text").limit(p.max_rated)
     rows = sample.mapInArrow(partial(_rated, p=p), f"id {kind}, grade int, index array<int>, value array<double>, dense array<double>")
     got = rows.toArrow().sort_by("id").combine_chunks()
     if not got.num_rows:
@@ -216,17 +233,19 @@ def train(docs: DataFrame, labels: DataFrame, p: QualityClassifier = QualityClas
     return fit(f, got.column("grade").to_numpy().astype(np.int64), p)
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: Model, p: QualityClassifier) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model: Model, p: QualityClassifier, text: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, texts in W.chunks(batch, "_quality_text"):
+        for part, texts in W.chunks(batch, text):
             chance = grade_chances(linear(features(texts, p), model), model.cuts)
             tail = 1 - chance[:, 0]
-            have = {k: part.column(k) for k in part.schema.names if k != "_quality_text"}
+            have = {k: part.column(k) for k in part.schema.names if k != text}
             yield pa.RecordBatch.from_pydict(have | {"expected_grade": pa.array(chance @ np.arange(GRADES)), "tail_probability": pa.array(tail), "selected": pa.array(tail >= p.select_at)})
 
 
 def classify(docs: DataFrame, model: Model, p: QualityClassifier = QualityClassifier(), text: str = "text") -> DataFrame:
     """``docs`` without its text, with expected_grade, tail_probability and selected."""
-    base = docs.drop(*[c for c in docs.columns if c.lower() in OUTPUTS]).withColumn("_quality_text", F.col(f"`{text}`")).drop(text)
-    keep = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in base.drop("_quality_text").schema)
-    return base.mapInArrow(partial(_score, model=model, p=p), f"{keep}expected_grade double, tail_probability double, selected boolean")
+    (raw,) = scratch(docs, "text")
+    base = docs.withColumn(raw, F.col(f"`{text}`")).drop(text)
+    base = base.drop(*[c for c in base.columns if c.lower() in OUTPUTS])
+    keep = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in base.drop(raw).schema)
+    return base.mapInArrow(partial(_score, model=model, p=p, text=raw), f"{keep}expected_grade double, tail_probability double, selected boolean")
