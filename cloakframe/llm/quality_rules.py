@@ -2,7 +2,7 @@
 
 The verdict of a document is
 
-    llr = mean over its word n-grams g of  log(p_target(g) / p_raw(g))
+    llr = mean over its one- and two-word n-grams g of  log(p_target(g) / p_raw(g))
 
 where both multinomials are smoothed counts over ``buckets`` hash buckets: ``raw`` counts every n-gram of
 the whole corpus, ``target`` those of trusted documents (labelled quality 1).  The target adds ``alpha``
@@ -10,9 +10,16 @@ to each bucket, the raw corpus as much more as it is larger, so smoothing weighs
 the ratio of an n-gram without evidence is 1 at every size of corpus.  The mean makes it length-normalised; ``llr >= threshold`` decides each
 document by itself, so equal texts always get equal verdicts.
 
-Only DataFrame functions are used, and texts are never shuffled: the corpus side is one scan that ends
-in a partial aggregation over at most ``buckets`` keys, and scoring is a projection.  What is sent to
-every task is the table of ``buckets`` log ratios, whose size is a parameter and not a function of the data.
+The threshold comes from the labelled documents: each is scored with the target counts of the other half
+of the trusted ones (halves by hash of the text, so copies stay together), and the threshold is the middle
+between the ``lowest`` quantile of the trusted documents' ratios and the ``highest`` quantile of the others' (labelled
+quality 0).  With one of the two kinds alone it is that quantile; without labels nothing is rejected.
+A number given as ``threshold`` is used as it is.
+
+Only DataFrame functions are used, and texts of the corpus are not shuffled: the corpus side is one scan that ends
+in a partial aggregation over at most ``buckets`` keys, trusted documents (all of them) are met by a join whose
+small side Spark broadcasts by its size, and scoring is a projection.  What is sent to every task is the
+table of ``buckets`` log ratios; what comes to the driver are counts of ratios rounded to 1e-4.
 
 Defined results: null, empty and blank texts have no words, all counts 0, llr 0.0 and fail the base
 rules; repeated rows are judged alike; an empty table gives an empty result; without labels the target
@@ -27,7 +34,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import scratch
+from .storage import cut, scratch
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -36,17 +43,16 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 @dataclass(frozen=True)
 class QualityRules:
-    """Parameters: ``max_trusted`` bounds the labelled sample behind the target multinomial (the ids that
-    are broadcast); the raw multinomial always covers the whole corpus.  ``order`` is the longest n-gram counted,
-    1 or 2."""
+    """``order`` is the longest n-gram counted, 1 or 2; ``threshold`` None: from the labels."""
 
-    order: int = 1
+    order: int = 2
     buckets: int = 16384
     alpha: float = 4.0
-    threshold: float = -0.16
+    threshold: float | None = None
+    lowest: float = 0.001
+    highest: float = 0.99
     min_words: int = 50
     max_repeat_percent: int = 50
-    max_trusted: int = 20000
 
 
 def words(text: Column) -> Column:
@@ -97,52 +103,88 @@ def base_failed(rules: QualityRules) -> Column:
     return (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, rules: QualityRules, text: str = "text") -> DataFrame:
-    """One row: an array of ``buckets`` log ratios.  One scan of the corpus counts every n-gram, and
-    those of trusted documents besides."""
-    trusted = (
-        labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull())
-        .select("doc_id").distinct()
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rules.max_trusted)
-        .select(F.col("doc_id").alias("_trusted"))
-    )
-    slim = docs.select(F.col("doc_id").alias("_id"), words(F.col(f"`{text}`")).alias("_words"))
-    slim = slim.join(F.broadcast(trusted), F.col("_id") == F.col("_trusted"), "left")
-    flag = F.col("_trusted").isNotNull().cast("long").alias("t")
+def _grams(hashed: str, rules: QualityRules) -> str:
+    """SQL for the buckets of all n-grams of a document with the word hashes ``hashed``."""
+    n = rules.buckets
+    one = f"transform({hashed}, x -> cast(pmod(x, {n}) AS int))"
     if rules.order == 1:
-        found = slim.select(F.explode("_words").alias("w"), flag).select(F.expr(f"pmod(xxhash64(w), {rules.buckets})").alias("b"), "t")
-    else:
-        one, two = "pmod(xxhash64(g._words), {n})", "pmod(xxhash64(xxhash64(g._words), xxhash64(g.`1`)), {n})"
-        pairs = slim.select(F.explode(F.expr("arrays_zip(_words, slice(_words, 2, size(_words)))")).alias("g"), flag)
-        found = pairs.select(F.expr(f"array({one}, if(g.`1` IS NULL, null, {two}))".format(n=rules.buckets)).alias("b"), "t")
-        found = found.select(F.explode("b").alias("b"), "t").where("b IS NOT NULL")
-    counted = (
-        found.groupBy(F.col("b").cast("int").alias("b")).agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
-    )
-    a, n = rules.alpha, rules.buckets
-    every = docs.sparkSession.range(n).select(F.col("id").cast("int").alias("b")).join(counted, "b", "left").na.fill(0)
-    rows = F.array_sort(F.collect_list(F.struct("b", "raw", "target")))
-    table = every.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"), rows.alias("rows"))
-    gain = f"coalesce(ln((x.target + {a}D) / (x.raw * (target / raw) + {a}D)), 0D)"
-    return table.select(F.expr(f"transform(rows, x -> CASE WHEN target = 0 THEN 0D ELSE {gain} END)").alias("ratios"))
+        return one
+    return f"concat({one}, slice(transform({hashed}, (x, i) -> cast(pmod(xxhash64(x, get({hashed}, i + 1)), {n}) AS int)), 1, greatest(size({hashed}) - 1, 0)))"
+
+
+def _hashes(text: str) -> Column:
+    return F.transform(words(F.col(f"`{text}`")), lambda w: F.xxhash64(w))
+
+
+def _marked(docs: DataFrame, labels: DataFrame, text: str) -> DataFrame:
+    """(good, half, _hashes): the labelled documents; a label given twice counts as its maximum."""
+    marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("_marked")).agg((F.max("quality") >= 1).alias("good"))
+    slim = docs.select(F.col("doc_id").alias("_id"), F.col(f"`{text}`"))
+    return slim.join(marks, F.col("_id") == F.col("_marked")).select("good", F.pmod(F.xxhash64(f"`{text}`"), F.lit(2)).cast("int").alias("half"), _hashes(text).alias("_hashes"))
+
+
+def log_ratios(docs: DataFrame, labels: DataFrame, rules: QualityRules, text: str = "text") -> DataFrame:
+    """One row: arrays of ``buckets`` log ratios, ``ratios`` with all trusted documents and ``ratios_0`` and ``ratios_1``
+    without those of that half."""
+    buckets = F.explode(F.expr(_grams("_hashes", rules))).alias("b")
+    raw = docs.select(_hashes(text).alias("_hashes")).select(buckets).groupBy("b").agg(F.count("*").alias("raw"))
+    target = _marked(docs, labels, text).where("good").select("half", buckets).groupBy("b").agg(F.count_if(F.col("half") == 0).alias("t0"), F.count_if(F.col("half") == 1).alias("t1"))
+    every = docs.sparkSession.range(rules.buckets).select(F.col("id").cast("int").alias("b")).join(raw, "b", "left").join(target, "b", "left").na.fill(0)
+    rows = F.array_sort(F.collect_list(F.struct("b", "raw", "t0", "t1")))
+    table = every.agg(F.sum("raw").alias("raw"), F.sum("t0").alias("t0"), F.sum("t1").alias("t1"), rows.alias("rows"))
+
+    def ratios(mine: str, total: str, name: str) -> Column:
+        a = rules.alpha
+        gain = f"coalesce(ln(({mine} + {a}D) / (x.raw * (({total}) / raw) + {a}D)), 0D)"
+        return F.expr(f"transform(rows, x -> CASE WHEN ({total}) = 0 THEN 0D ELSE {gain} END)").alias(name)
+
+    return table.select(ratios("(x.t0 + x.t1)", "t0 + t1", "ratios"), ratios("x.t1", "t1", "ratios_0"), ratios("x.t0", "t0", "ratios_1"))
+
+
+def _mean_ratio(hashed: str, table: str, rules: QualityRules) -> str:
+    """SQL for the mean log ratio of a document's n-grams."""
+    n = rules.buckets
+    total = f"aggregate({hashed}, 0D, (s, x) -> s + get({table}, cast(pmod(x, {n}) AS int)))"
+    if rules.order > 1:
+        pairs = f"slice(transform({hashed}, (x, i) -> xxhash64(x, get({hashed}, i + 1))), 1, greatest(size({hashed}) - 1, 0))"
+        total += f" + aggregate({pairs}, 0D, (s, x) -> s + get({table}, cast(pmod(x, {n}) AS int)))"
+    count = f"greatest(size({hashed}), 1)" if rules.order == 1 else f"greatest(2 * size({hashed}) - 1, 1)"
+    return f"({total}) / {count}"
+
+
+def _quantile(counts: list[tuple[int, int]], share: float) -> float:
+    """The least value (in steps of 1e-4) that at least ``share`` of the rows do not exceed."""
+    total, seen = sum(n for _, n in counts), 0
+    for value, n in sorted(counts):
+        seen += n
+        if seen >= share * total:
+            return value / 1e4
+    return 0.0
+
+
+def derived_threshold(docs: DataFrame, labels: DataFrame, ratios: DataFrame, rules: QualityRules, text: str = "text") -> float:
+    """The threshold that the labelled documents give (see above); short and empty ones do not count."""
+    marked = _marked(docs, labels, text).where(F.size("_hashes") >= rules.min_words)
+    scored = marked.withColumn("_table", F.when(F.col("half") == 0, ratios.select("ratios_0").scalar()).otherwise(ratios.select("ratios_1").scalar()))
+    bins = scored.select("good", F.floor(F.expr(_mean_ratio("_hashes", "_table", rules)) * 10_000).alias("value")).groupBy("good", "value").agg(F.count("*").alias("n")).collect()
+    good, poor = ([(r["value"], r["n"]) for r in bins if r["good"] == g] for g in (True, False))
+    if not good:
+        return float("-inf")
+    low = _quantile(good, rules.lowest)
+    return (low + _quantile(poor, rules.highest)) / 2 if poor else low
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, rules: QualityRules = QualityRules(), text: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` with the counts, ``base_failed``, ``llr`` and ``kept``."""
     ours = [*COUNTS, "base_failed", "llr", "kept"]
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ours])
-    ratios = log_ratios(docs, labels, rules, text)
-    tokens, hashed, table = scratch(docs, "words", "hashes", "ratios")
+    ratios = cut(log_ratios(docs, labels, rules, text), "ratios")
+    threshold = derived_threshold(docs, labels, ratios, rules, text) if rules.threshold is None else rules.threshold
+    hashed, tokens, table = scratch(docs, "hashes", "words", "ratios")
     out = docs.withColumn(tokens, words(F.col(f"`{text}`"))).withColumn(hashed, F.transform(tokens, lambda w: F.xxhash64(w)))
     out = with_counts(out, tokens, hashed, text).withColumn("base_failed", base_failed(rules))
-    h, t, n = f"`{hashed}`", f"`{table}`", rules.buckets
-    total = f"aggregate({h}, 0D, (s, x) -> s + get({t}, cast(pmod(x, {n}) AS int)))"
-    if rules.order > 1:
-        pairs = f"slice(transform({h}, (x, i) -> xxhash64(x, get({h}, i + 1))), 1, greatest(size({h}) - 1, 0))"
-        total += f" + aggregate({pairs}, 0D, (s, x) -> s + get({t}, cast(pmod(x, {n}) AS int)))"
-    grams = f"greatest(size({h}), 1)" if rules.order == 1 else f"greatest(2 * size({h}) - 1, 1)"
-    out = out.withColumn(table, ratios.scalar()).withColumn("llr", F.expr(f"({total}) / {grams}"))
-    return out.drop(tokens, hashed, table).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= rules.threshold))
+    out = out.withColumn(table, ratios.select("ratios").scalar()).withColumn("llr", F.expr(_mean_ratio(f"`{hashed}`", f"`{table}`", rules)))
+    return out.drop(tokens, hashed, table).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(threshold)))
 
 
 def keep(docs: DataFrame, labels: DataFrame, rules: QualityRules = QualityRules(), text: str = "text") -> DataFrame:

@@ -2,7 +2,7 @@ import math
 import re
 from collections import Counter
 
-from cloakframe.llm.quality_rules import QualityRules, apply_rules
+from cloakframe.llm.quality_rules import QualityRules, apply_rules, derived_threshold, log_ratios
 
 from .conftest import make_words
 
@@ -40,22 +40,31 @@ def test_ratio_matches_brute_force_and_rejects_junk(spark):
     rows = [(i, " ".join(make_words(i, 120))) for i in range(60)] + [(100 + i, " ".join(w + "###" for w in make_words(i, 120))) for i in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     marks = spark.createDataFrame([(i, 1, 0) for i in range(30)] + [(100 + i, 0, 0) for i in range(10)], "doc_id long, quality int, toxic int")
-    rules = QualityRules(buckets=1 << 14)
+    rules = QualityRules(buckets=1 << 20)
     got = {r.doc_id: r for r in apply_rules(docs, marks, rules).collect()}
     assert all(got[i].kept for i in range(60)) and not any(got[100 + i].kept for i in range(20))
-    raw, target = Counter(), Counter()
-    for i, t in rows:
-        raw.update(t.split())
-        if i < 30:
-            target.update(t.split())
-    part = sum(target.values()) / sum(raw.values())
-    for i, t in rows[::7]:
-        want = sum(math.log((target[w] + rules.alpha) / (raw[w] * part + rules.alpha)) for w in t.split()) / len(t.split())
-        assert abs(got[i].llr - want) < 0.15  # exact but for words that share a bucket
-
-
-def test_order_two_and_no_labels(spark, no_labels, empty_docs, labels):
+    half = {r.doc_id: r.h for r in docs.selectExpr("doc_id", "pmod(xxhash64(text), 2) AS h").collect()}
+    grams = {i: [*t.split(), *zip(t.split(), t.split()[1:], strict=False)] for i, t in rows}
+    raw = Counter(g for x in grams.values() for g in x)
+
+    def llr(i, trusted):
+        target = Counter(g for k in trusted for g in grams[k])
+        part = sum(target.values()) / sum(raw.values())
+        return sum(math.log((target[g] + rules.alpha) / (raw[g] * part + rules.alpha)) for g in grams[i]) / len(grams[i])
+
+    for i, _ in rows[::7]:
+        assert abs(got[i].llr - llr(i, range(30))) < 2e-3  # exact but for n-grams that share a bucket
+    out = {i: llr(i, [k for k in range(30) if half[k] != half[i]]) for i in [*range(30), *range(100, 110)]}
+    want = (min(out[i] for i in range(30)) + max(out[i] for i in range(100, 110))) / 2
+    ratios = log_ratios(docs, marks, rules)
+    assert abs(derived_threshold(docs, marks, ratios, rules) - want) < 2e-3
+    assert derived_threshold(docs, marks.where("quality = 1"), ratios, rules) > want > -10
+    fixed = apply_rules(docs, marks, QualityRules(threshold=1e9)).collect()
+    assert not any(r.kept for r in fixed)
+
+
+def test_unigrams_and_no_labels(spark, no_labels, empty_docs, labels):
     docs = spark.createDataFrame([(i, " ".join(make_words(i, 90))) for i in range(6)], "doc_id long, text string")
     assert all(r.llr == 0.0 and r.kept for r in apply_rules(docs, no_labels).collect())
-    assert apply_rules(docs, labels, QualityRules(order=2)).count() == 6
+    assert apply_rules(docs, labels, QualityRules(order=1)).count() == 6
     assert apply_rules(empty_docs, labels).count() == 0
