@@ -2,20 +2,25 @@
 
 Documents fall into cells (source, language, topic); a cell's token count is its starting weight.  Each
 round scales the weights so that the sources' totals meet their targets, then the languages', then the
-topics', until all margins hold.  A cell's factor is its raked weight per token.  Documents are then
-sampled by the calibrated probability min(1, c * factor), with c solved (by water filling over the
-cells) so that the expected tokens are the ``keep`` share of all tokens, or of what the raked cells hold.
+topics', until all margins hold within ``tolerance`` or the error no longer falls.  ``margin_error`` is what is
+left; with ``strict`` targets that cannot be met together raise an error.  A cell's factor is its raked weight per token.  Documents are then
+sampled by the calibrated probability min(1, c * factor), with c such that the expected tokens are the
+``keep`` share of all tokens, or of what the raked cells hold: c grows from the budget over all weight to
+the budget that full cells leave over the weight of the others, until no further cell is full.
 
-Only DataFrame functions are used.  Texts are never shuffled: the table of cells is a map-side combined
-aggregate, the raking works on that table, and documents meet their probability by a join that is
-broadcast only when the counted number of cells is at most ``small_cells``.
+The topic is the column ``topic`` if ``topic_column`` names one, else what kind of text it is.
+
+Only DataFrame functions are used.  Texts are looked at once and never shuffled: topic and token count are
+written with the rows, cells are a map-side combined aggregate of them, and the raking works on that table.  A
+margin's step is dealt by category and totals are aggregates, so no step needs all cells in one task; only where the counted number of cells is at most ``small_cells`` they are kept in one partition,
+which saves tiny shuffles and gives the same results, and are broadcast to the rows.
 
 The sampling is deterministic: the draw is a hash of seed and doc_id, so repeated rows share their fate.
 
 Defined results: null sources, languages and null or blank texts (topic ``empty``, no tokens, factor 1)
 are categories of their own; categories absent from explicit targets get share 0 and are not sampled;
 targets of absent categories are ignored and the rest rescaled; an empty table gives an empty result;
-extra columns pass through (outputs replace columns of the same name).
+extra columns pass through (outputs replace columns of the same name, working columns get free names).
 """
 
 from __future__ import annotations
@@ -25,10 +30,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import cut
+from .storage import cut, scratch
 
 MARGINS = ("source", "lang", "topic")
-OUTPUTS = ("topic", "n_tokens", "factor", "probability", "sampled")
+OUTPUTS = ("topic", "n_tokens", "factor", "probability", "sampled", "margin_error")
 
 
 @dataclass(frozen=True)
@@ -41,8 +46,10 @@ class Mixing:
     keep: float = 0.7
     seed: int = 4
     tolerance: float = 1e-6
-    max_rounds: int = 60
+    max_rounds: int = 400
     rounds_per_job: int = 4
+    strict: bool = False
+    topic_column: str | None = None
     small_cells: int = 100_000
 
 
@@ -65,75 +72,84 @@ def tokens_of(text: Column) -> Column:
 
 def _aims(cells: DataFrame, p: Mixing) -> DataFrame:
     """Adds the target share of each cell's category in every margin."""
-    alone = Window.partitionBy()
     out = cells
     for m in MARGINS:
-        mine = Window.partitionBy(m)
-        total = F.sum("tokens").over(mine)
+        totals = cells.groupBy(F.col(m).alias("_category")).agg(F.sum("tokens").alias("_total"))
         given = (p.targets or {}).get(m)
         if given:
             pairs = [F.lit(x) for kv in sorted(given.items()) for x in (kv[0], float(kv[1]))]
-            raw = F.coalesce(F.create_map(*pairs)[F.col(m)], F.lit(0.0))
+            raw = F.coalesce(F.create_map(*pairs)[F.col("_category")], F.lit(0.0))
         else:
-            raw = F.pow(F.sum("tokens").over(mine).cast("double"), F.lit(p.temperature))
-        # each category once in the normaliser: a cell brings its part of the category's tokens
-        part = F.when(total > 0, F.col("tokens") / total).otherwise(0.0)
-        out = out.withColumn(f"raw_{m}", raw).withColumn(f"part_{m}", part)
-        out = out.withColumn(f"aim_{m}", F.try_divide(F.col(f"raw_{m}"), F.sum(F.col(f"raw_{m}") * F.col(f"part_{m}")).over(alone)))
-        out = out.drop(f"raw_{m}", f"part_{m}")
+            raw = F.pow(F.col("_total").cast("double"), F.lit(p.temperature))
+        raws = totals.select("_category", F.when(F.col("_total") > 0, raw).otherwise(0.0).alias("_raw"))
+        aims = raws.crossJoin(F.broadcast(raws.agg(F.sum("_raw").alias("_all")))).select("_category", F.try_divide("_raw", "_all").alias(f"aim_{m}"))  # one row
+        out = out.join(aims, F.col(m).eqNullSafe(F.col("_category"))).drop("_category")
     return out
 
 
 def rake(cells: DataFrame, p: Mixing = Mixing()) -> DataFrame:
-    """``cells`` (source, lang, topic, tokens) with ``weight``: raked shares that meet all margins."""
+    """``cells`` (source, lang, topic, tokens) with ``weight``, raked shares that meet all margins, and
+    ``margin_error``, what is left between a category's share and its target."""
     small = cells.count() <= p.small_cells
-    together = (lambda df: df.coalesce(1)) if small else (lambda df: df)  # one sorted task instead of many tiny shuffles
-    state = cut(_aims(together(cells), p).withColumn("weight", F.col("tokens").cast("double")), "rake")
+    together = (lambda df: df.coalesce(1)) if small else (lambda df: df)
+    state = cut(together(_aims(cells, p)).withColumn("weight", F.col("tokens").cast("double")), "rake")
+    worst = float("inf")
     for _ in range(0, p.max_rounds, p.rounds_per_job):
         out = together(state)
         for _ in range(p.rounds_per_job):
             for m in MARGINS:
                 now = F.sum("weight").over(Window.partitionBy(m))
                 out = out.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"aim_{m}") / now).otherwise(0.0))
-        state = cut(out, "rake")
-        off = [F.max(F.abs(F.col(f"sum_{m}") - F.col(f"aim_{m}"))).alias(m) for m in MARGINS]
-        sums = together(state)
-        for m in MARGINS:
-            sums = sums.withColumn(f"sum_{m}", F.sum("weight").over(Window.partitionBy(m)))
-        worst = sums.where("tokens > 0").agg(*off).first()
-        if max((x or 0.0) for x in worst) < p.tolerance:
+        state = cut(together(out), "rake")
+        before, worst = worst, margin_error(state)
+        if worst < p.tolerance:
+            break
+        if worst > 0.999999 * before:  # it no longer falls
             break
-    return state.drop(*[f"aim_{m}" for m in MARGINS])
+    if worst >= p.tolerance and p.strict:
+        raise ValueError(f"the margins cannot be met together: {worst:.3g} is left after raking")
+    return state.drop(*[f"aim_{m}" for m in MARGINS]).withColumn("margin_error", F.lit(worst))
+
+
+def margin_error(cells: DataFrame) -> float:
+    """The largest difference between a category's share of the weight and its target."""
+    found = [0.0]
+    for m in MARGINS:
+        sums = cells.where("tokens > 0").groupBy(m).agg(F.sum("weight").alias("s"), F.max(f"aim_{m}").alias("aim"))
+        found.append(sums.agg(F.max(F.abs(F.col("s") - F.col("aim")))).first()[0] or 0.0)
+    return max(found)
 
 
 def calibrated(raked: DataFrame, p: Mixing) -> DataFrame:
     """Adds factor and probability to the raked cells."""
-    factor = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))
-    cells = raked.withColumn("factor", factor)
-    rank = Window.orderBy(F.desc_nulls_last("factor"), *MARGINS)
-    up_to = rank.rowsBetween(Window.unboundedPreceding, -1)
-    alone = Window.partitionBy()
+    cells = raked.withColumn("factor", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")))
     live = F.when(F.col("factor") > 0, F.col("tokens")).otherwise(0)
-    budget = F.least(F.sum("tokens").over(alone) * p.keep, F.sum(live).over(alone).cast("double"))
-    cells = cells.withColumn("budget", budget).withColumn("capped", F.coalesce(F.sum("tokens").over(up_to), F.lit(0)))
-    rest = F.sum("weight").over(alone) - F.coalesce(F.sum("weight").over(up_to), F.lit(0.0))
-    scale = F.when(rest > 0, (F.col("budget") - F.col("capped")) / rest)
-    cells = cells.withColumn("scale", scale)
-    fits = F.col("scale") * F.col("factor") <= 1 + 1e-12
-    # the first cell, by falling factor, that need not be capped fixes the scale for it and all after it
-    cells = cells.withColumn("scale", F.max(F.when(fits, F.struct(-F.col("capped"), F.col("scale").alias("c")))).over(alone)["c"])
-    chance = F.when(F.col("factor").isNull(), 1.0).when(F.col("factor") == 0, 0.0).otherwise(F.least(F.lit(1.0), F.coalesce(F.col("scale") * F.col("factor"), F.lit(1.0))))
-    return cells.select(*MARGINS, F.coalesce("factor", F.lit(1.0)).alias("factor"), chance.alias("probability"))
+    first = cells.agg(F.sum("tokens").alias("tokens"), F.sum(live).alias("live"), F.sum("weight").alias("weight")).first()
+    budget = min((first["tokens"] or 0) * p.keep, float(first["live"] or 0))
+    c, full = budget / first["weight"] if first["weight"] else 0.0, -1
+    while True:  # each step fills cells or ends
+        fills = F.col("factor") * c >= 1
+        now = cells.agg(F.count_if(fills).alias("n"), F.sum(F.when(fills, F.col("tokens")).otherwise(0)).alias("tokens"), F.sum(F.when(fills, 0.0).otherwise(F.col("weight"))).alias("weight")).first()
+        if (now["n"] or 0) <= full or not now["weight"]:
+            break
+        c, full = (budget - now["tokens"]) / now["weight"], now["n"]
+    chance = F.when(F.col("factor").isNull(), 1.0).when(F.col("factor") == 0, 0.0).otherwise(F.least(F.lit(1.0), F.col("factor") * c))
+    left = [c for c in raked.columns if c == "margin_error"]
+    return cells.select(*MARGINS, *left, F.coalesce("factor", F.lit(1.0)).alias("factor"), chance.alias("probability"))
 
 
 def mix(docs: DataFrame, p: Mixing = Mixing(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """All rows of ``docs`` with topic, n_tokens, factor, probability and sampled."""
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in OUTPUTS])
-    docs = docs.withColumn("topic", topic_of(F.col(f"`{text}`"))).withColumn("n_tokens", tokens_of(F.col(f"`{text}`")))
-    cells = cut(docs.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    known = cut(calibrated(rake(cells, p), p), "probabilities").withColumnsRenamed({m: f"_{m}_" for m in MARGINS})
+    """All rows of ``docs`` with topic, n_tokens, factor, probability, sampled and margin_error."""
+    (topic,) = scratch(docs, "topic")
+    told = F.col(f"`{p.topic_column}`").cast("string") if p.topic_column else topic_of(F.col(f"`{text}`"))
+    rows = docs.withColumn(topic, told)
+    rows = rows.drop(*[c for c in rows.columns if c.lower() in OUTPUTS]).withColumnRenamed(topic, "topic")
+    rows = cut(rows.withColumn("n_tokens", tokens_of(F.col(f"`{text}`"))), "tokens")
+    cells = cut(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "cells")
+    own = dict(zip(MARGINS, scratch(rows, *MARGINS), strict=True))
+    known = cut(calibrated(rake(cells, p), p), "probabilities").withColumnsRenamed(own)
     if known.count() <= p.small_cells:
         known = F.broadcast(known)
-    out = docs.join(known, [F.col(m).eqNullSafe(F.col(f"_{m}_")) for m in MARGINS]).drop(*[f"_{m}_" for m in MARGINS])
+    out = rows.join(known, [F.col(m).eqNullSafe(F.col(own[m])) for m in MARGINS]).drop(*own.values())
     draw = F.expr(f"shiftrightunsigned(xxhash64({p.seed}, `{id_col}`), 11) / {float(1 << 53)}D")
     return out.withColumn("sampled", draw < F.col("probability"))

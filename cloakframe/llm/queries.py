@@ -35,7 +35,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
     out = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
-    return out.select("doc_id", "source", "lang", "topic", "n_tokens", "factor", "probability", "sampled")
+    return out.select("doc_id", "source", "lang", "topic", "n_tokens", "factor", "probability", "sampled", "margin_error")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
