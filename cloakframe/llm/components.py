@@ -3,8 +3,9 @@
 Alternates two steps until the edges no longer change: every node hands its neighbours with greater ids
 to the least node of its neighbourhood, then its neighbours with smaller ids.  Both keep the components
 and make the edges a star around each component's least id, after a number of rounds that grows with
-the logarithm of its size.  Groups are only ever minima and joins, so a node with very many edges is a
-skewed join key (split by adaptive execution), never one task's list.
+the logarithm of its size.  Groups are only ever minima and joins, and minima are written before they are joined: a
+join whose sides are exchanges of its own can be split by adaptive execution where a node has very
+many edges, one on top of the grouping's exchange could not.
 """
 
 from __future__ import annotations
@@ -17,13 +18,13 @@ from .storage import cut
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    least = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
     return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = cut(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 

@@ -22,7 +22,8 @@ documents (copies included) with similarity of at least ``threshold``.
 
 Defined results: null, empty and blank texts have no shingles and link to nothing, not even each other;
 rows of one doc_id count as one document (the union of their links); rows with a null id get a null
-class; an empty table gives an empty result; extra columns pass through.
+class; an empty table gives an empty result; the result has no extra columns (``keep_one`` passes them
+through, working columns get free names).
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .storage import cut
+from .storage import cut, scratch
 
 
 @dataclass(frozen=True)
@@ -325,5 +326,6 @@ def keep_one(docs: DataFrame, p: JaccardJoin = JaccardJoin(), id_col: str = "doc
     """The rows of ``docs`` whose document leads its group; rows without an id stay.  Repeated rows of a
     kept id all stay (they are one document)."""
     classes = near_duplicates(docs, p, id_col, text)
-    gone = classes.where("class_id <> id").select(F.col("id").alias("_gone")).hint("merge")  # grows with the corpus
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    (name,) = scratch(docs, "gone")
+    gone = classes.where("class_id <> id").select(F.col("id").alias(name)).hint("merge")  # grows with the corpus
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col(name), "left_anti")

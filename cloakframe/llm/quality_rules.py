@@ -13,7 +13,8 @@ document by itself, so equal texts always get equal verdicts.
 The threshold comes from the labelled documents: each is scored with the target counts of the other half
 of the trusted ones (halves by hash of the text, so copies stay together), and the threshold is the middle
 between the ``lowest`` quantile of the trusted documents' ratios and the ``highest`` quantile of the others' (labelled
-quality 0).  With one of the two kinds alone it is that quantile; without labels nothing is rejected.
+quality 0).  Without documents of quality 0 it lies as far below the trusted ones' quantile as that lies below their
+median; without trusted documents nothing is rejected.
 A number given as ``threshold`` is used as it is.
 
 Only DataFrame functions are used, and texts of the corpus are not shuffled: the corpus side is one scan that ends
@@ -171,7 +172,7 @@ def derived_threshold(docs: DataFrame, labels: DataFrame, ratios: DataFrame, rul
     if not good:
         return float("-inf")
     low = _quantile(good, rules.lowest)
-    return (low + _quantile(poor, rules.highest)) / 2 if poor else low
+    return (low + _quantile(poor, rules.highest)) / 2 if poor else 2 * low - _quantile(good, 0.5)
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, rules: QualityRules = QualityRules(), text: str = "text") -> DataFrame:

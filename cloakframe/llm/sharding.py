@@ -14,7 +14,7 @@ DataFrame functions are used.
 Defined results: null sources are a source of their own; repeated rows are placed like others (equal
 rows are interchangeable, so the result does not depend on which is which); an empty table gives an
 empty result; fewer rows than shards leave shards empty; extra columns pass through (outputs replace
-columns of the same name).
+columns of the same name, working columns get free names).
 """
 
 from __future__ import annotations
@@ -42,9 +42,10 @@ def _numbered(df: DataFrame, keys: list[str], bucket: str, order: list[Column],
     counts = counts.withColumn(offset, F.coalesce(F.sum(size).over(before), F.lit(0)))
     if total:
         counts = counts.withColumn(total, F.sum(size).over(whole))
-    counts = counts.drop(size).withColumnsRenamed({c: f"_k_{c}" for c in [*keys, bucket]})
-    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in [*keys, bucket]]
-    joined = df.join(counts, same).drop(*[f"_k_{c}" for c in [*keys, bucket]])
+    own = dict(zip([*keys, bucket], scratch(df.withColumn(offset, F.lit(0)), *[f"of_{c}" for c in [*keys, bucket]]), strict=True))
+    counts = counts.drop(size).withColumnsRenamed(own)
+    same = [F.col(f"`{c}`").eqNullSafe(F.col(f"`{k}`")) for c, k in own.items()]
+    joined = df.join(counts, same).drop(*own.values())
     number = F.row_number().over(Window.partitionBy(*keys, bucket).orderBy(*order))
     return joined.withColumn(rank, number + F.col(offset)).drop(offset)
 

@@ -1,7 +1,7 @@
 """Shared storage for intermediate results.
 
 ``spark.checkpoint.dir`` names a folder that the driver and every executor can reach.  It is read from
-the session; only where it is unset (a local test session) is a temporary folder used instead.
+the session; only where it is unset and Spark runs in one process (a local test session) is a temporary folder used instead.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The shared folder of this session, without a trailing slash."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.cloakframe.shared.dir", None)
     if not folder:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="cloakframe-")
         spark.conf.set("spark.cloakframe.shared.dir", folder)
     return folder.rstrip("/")

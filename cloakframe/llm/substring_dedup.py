@@ -131,12 +131,12 @@ def repeats(docs: DataFrame, p: SubstringDedup = SubstringDedup(), id_col: str =
     return whole.union(single)
 
 
-def _removed(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+def _removed(batches: Iterator[pa.RecordBatch], names: list[str], text: str, found: str) -> Iterator[pa.RecordBatch]:
     n_words, n_removed, kept_text, spans = names
     for batch in batches:
-        for part, texts in W.chunks(batch, "_dedup_text"):
+        for part, texts in W.chunks(batch, text):
             w = W.split(texts)
-            lists = part.column("_dedup_spans")
+            lists = part.column(found)
             flat = lists.flatten()
             row = np.repeat(np.arange(len(lists)), pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
             edge = np.zeros(len(w.start) + 1, dtype=np.int64)
@@ -160,7 +160,7 @@ def _removed(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa
             kept = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets.tobytes()), pa.py_buffer(out[mask].tobytes()))
             merged = _merged(gone, w.rows)
             cols = {n_words: pa.array(w.counts()), n_removed: pa.array(removed), kept_text: kept.cast(pa.string()), spans: merged}
-            have = {k: part.column(k) for k in part.schema.names if k not in ("_dedup_text", "_dedup_spans")}
+            have = {k: part.column(k) for k in part.schema.names if k not in (text, found)}
             yield pa.RecordBatch.from_pydict(have | cols)
 
 
@@ -186,12 +186,12 @@ OUTPUTS = ("n_words", "n_removed", "kept_text", "removed_spans")
 def remove_repeats(docs: DataFrame, p: SubstringDedup = SubstringDedup(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without its text column, with n_words, n_removed, kept_text (kept words joined by one
     space) and removed_spans (maximal repeats, array of first and end word)."""
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in OUTPUTS])
-    key, fp = scratch(docs, "dedup_key", "dedup_fp")
-    found = repeats(docs, p, id_col, text).groupBy("id", "fp").agg(F.collect_list(F.struct("first", "end")).alias("_dedup_spans"))
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in OUTPUTS and c != text])
+    key, fp, raw, spans = scratch(docs, "dedup_key", "dedup_fp", "dedup_text", "dedup_spans")
+    found = repeats(docs, p, id_col, text).groupBy("id", "fp").agg(F.collect_list(F.struct("first", "end")).alias(spans))
     found = found.withColumnsRenamed({"id": key, "fp": fp})
-    base = docs.withColumn("_dedup_text", F.col(f"`{text}`")).drop(text)
-    joined = base.join(found, (F.col(f"`{id_col}`") == F.col(key)) & (F.xxhash64("_dedup_text") == F.col(fp)), "left").drop(key, fp)
-    keep = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.drop("_dedup_text").schema)
+    base = docs.withColumn(raw, F.col(f"`{text}`")).drop(text)
+    joined = base.join(found, (F.col(f"`{id_col}`") == F.col(key)) & (F.xxhash64(raw) == F.col(fp)), "left").drop(key, fp)
+    keep = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.drop(raw).schema)
     schema = f"{keep}, n_words long, n_removed long, kept_text string, removed_spans array<struct<first:int,end:int>>"
-    return joined.mapInArrow(partial(_removed, names=list(OUTPUTS)), schema)
+    return joined.mapInArrow(partial(_removed, names=list(OUTPUTS), text=raw, found=spans), schema)

@@ -23,7 +23,7 @@ def edge_docs(spark):
         (6, long, "en", "a", 1), (None, "null id text " * 30, "fr", None, 5), (None, None, None, None, None), (7, "été naïve ß 你好 " * 20, "fr", "c", 9), (8, "one", "en", "c", 3), (9, body + " tail words here", "en", "a", 1),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    clash = ["n_words", "kept", "llr", "_words", "_hashes", "_ratios", "_lines", "score", "predicted", "held_out", "topic", "shard", "slot", "_key", "_tie", "_bucket", "n_tokens", "id", "class_id"]
+    clash = ["n_words", "kept", "llr", "_words", "_hashes", "_ratios", "_lines", "score", "predicted", "held_out", "topic", "shard", "slot", "_key", "_tie", "_bucket", "n_tokens", "id", "class_id", "_html", "_text", "_dedup_text", "_dedup_spans", "_dedup_key", "_gone", "_source_", "_source", "_topic", "_k_source", "_of_source", "_quality_text", "_toxicity_text", "_held", "margin_error", "fp", "words", "gram", "u", "v", "node", "copies", "weight", "_marked", "_id", "good"]
     return df.selectExpr("*", *[f"'x' AS {c}" for c in clash])
 
 

@@ -1,5 +1,6 @@
 import random
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -88,3 +89,25 @@ def test_components(spark):
         group[y] = x
     got = {x.node: x.component for x in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: find(i) for a, b in edges if a != b for i in (a, b)}
+
+
+def test_links_of_whole_table_against_all_pairs(spark):
+    """Every pair of documents of the smallest table at the threshold or above is found, and no other."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {}
+    for r in docs.collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
+        if w:
+            sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    holders = defaultdict(list)
+    for i, s in sets.items():
+        for g in s:
+            holders[g].append(i)
+    both = Counter((a, b) for ids in holders.values() for a in ids for b in ids if a < b)
+    links = Counter()
+    for (a, b), n in both.items():
+        if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n):
+            links[a] += 1
+            links[b] += 1
+    got = {r.id: r.n_links for r in near_duplicates(docs).collect()}
+    assert len(links) > 100 and all(got[i] == links[i] for i in got)

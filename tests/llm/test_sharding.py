@@ -39,3 +39,19 @@ def test_edges(spark, edge_docs, empty_docs):
     out = interleave(edge_docs).collect()
     assert len(out) == 12 and Counter(r.shard for r in out).most_common(1)[0][1] == 1 and out[0]._key == "x"
     assert interleave(empty_docs).count() == 0
+
+
+@pytest.mark.parametrize("bits", [0, 3])
+def test_order_against_brute_force(spark, monkeypatch, bits):
+    monkeypatch.setattr(sharding, "_bits", lambda rows: bits)
+    rows = [(i, f"t{i % 90}", None if i % 10 == 0 else "hot" if i % 3 else f"s{i % 5}") for i in range(300)] + [(7, "t7", "hot")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    keyed = df.selectExpr("*", "xxhash64(text, 20) AS tie").selectExpr("*", "shiftrightunsigned(xxhash64(20, doc_id, tie), 1) AS key", "xxhash64(source, 20) AS hs").collect()
+    placed = []
+    for source in {r.source for r in keyed}:
+        mine = sorted((r for r in keyed if r.source == source), key=lambda r: (r.key, r.doc_id, r.tie))
+        placed += [((i + 0.5) / len(mine), r.hs, r.source or "", r.key, r.doc_id, r.tie) for i, r in enumerate(mine)]
+    placed.sort()
+    n, shards = len(placed), 7
+    want = Counter((x[4], k * shards // n, k - -(-(k * shards // n) * n // shards)) for k, x in enumerate(placed))
+    assert Counter((r.doc_id, r.shard, r.slot) for r in interleave(df, shards=shards).collect()) == want
