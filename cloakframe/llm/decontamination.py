@@ -13,8 +13,7 @@ Words are compared in a plain form (lower case, punctuation ignored).
    copy; at ``threshold`` a passage is a copy, exact, edited or partly paraphrased.
 
 Texts are never shuffled but for those with a seed in them, and these as word hashes.  Tasks are sent a
-sieve (a bit for each of 2**``least_bits`` to 2**``most_bits`` hash values, by the number of n-grams; 32 MB at
-most), which only saves work: what passes it by chance is dropped by the join.  Items, n-grams, seeds and
+sieve (three of 2**``least_bits`` to 2**``most_bits`` bits for each n-gram, by their number; 32 MB at most), which only saves work: what passes it by chance is dropped by the join.  Items, n-grams, seeds and
 hits are tables of any size.  Every hit is aligned; there is no cap.
 
 Defined results: null or blank texts and items match nothing; an item of fewer words than ``longest`` is
@@ -43,7 +42,7 @@ from .storage import cut, scratch
 class Decontamination:
     rare: float = 1e-7
     few: int = 20
-    copies: int = 8
+    copies: int = 2
     shortest: int = 3
     longest: int = 8
     match: int = 2
@@ -89,24 +88,33 @@ def _lists(h: np.ndarray, rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(h.view(np.int64)))
 
 
+PROBES = 3
+
+
 @dataclass
 class Sieve:
-    """A bit for each hash value (its low bits) that is sought."""
+    """Bits for the hash values that are sought, ``PROBES`` for each, taken from its bits 0, 18 and 36 on."""
 
     bits: np.ndarray
     mask: np.uint64
 
     def holds(self, h: np.ndarray) -> np.ndarray:
-        at = h & self.mask
-        return (self.bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+        out = np.ones(len(h), dtype=bool)
+        some = np.arange(len(h))
+        for k in range(PROBES):  # few pass the first
+            at = (h[some] >> np.uint64(18 * k)) & self.mask
+            out[some] = (self.bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+            some = some[out[some]]
+        return out
 
 
 def sieve(sought: DataFrame, p: Decontamination) -> Sieve:
     """The sieve of the column ``gram``; what comes to the driver is the sieve."""
     n = sought.count()
     bits = min(p.most_bits, max(p.least_bits, int(64 * max(n, 1)).bit_length()))
-    slot = F.expr(f"gram & {(1 << bits) - 1}L")
-    packed = sought.select(F.shiftright(slot, 6).alias("word"), slot.bitwiseAND(F.lit(63)).cast("int").alias("bit")).distinct()
+    probes = ", ".join(f"shiftrightunsigned(gram, {18 * k}) & {(1 << bits) - 1}L" for k in range(PROBES))
+    slot = F.col("slot")
+    packed = sought.select(F.explode(F.expr(f"array({probes})")).alias("slot")).select(F.shiftright(slot, 6).alias("word"), slot.bitwiseAND(F.lit(63)).cast("int").alias("bit")).distinct()
     got = packed.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toArrow()
     out = np.zeros(1 << (bits - 6), dtype=np.uint64)
     out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
