@@ -18,8 +18,9 @@ median; without trusted documents nothing is rejected.
 A number given as ``threshold`` is used as it is.
 
 Only DataFrame functions are used, and texts of the corpus are not shuffled: the corpus side is one scan that ends
-in a partial aggregation over at most ``buckets`` keys, trusted documents (all of them) are met by a join whose
-small side Spark broadcasts by its size, and scoring is a projection.  What is sent to every task is the
+in a partial aggregation over at most ``buckets`` keys; labelled documents (all of them) are met by a join, whose ids
+are broadcast if they are counted to be at most ``broadcast_rows`` (beyond, it is a merge join), and are written as
+bucket numbers; scoring is a projection.  What is sent to every task is the
 table of ``buckets`` log ratios; what comes to the driver are counts of ratios rounded to 1e-4.
 
 Defined results: null, empty and blank texts have no words, all counts 0, llr 0.0 and fail the base
@@ -54,6 +55,7 @@ class QualityRules:
     highest: float = 0.99
     min_words: int = 50
     max_repeat_percent: int = 50
+    broadcast_rows: int = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -117,19 +119,22 @@ def _hashes(text: str) -> Column:
     return F.transform(words(F.col(f"`{text}`")), lambda w: F.xxhash64(w))
 
 
-def _marked(docs: DataFrame, labels: DataFrame, text: str) -> DataFrame:
-    """(good, half, _hashes): the labelled documents; a label given twice counts as its maximum."""
+def labelled(docs: DataFrame, labels: DataFrame, rules: QualityRules, text: str = "text") -> DataFrame:
+    """(good, half, n, grams): the labelled documents, their words and the buckets of their n-grams; a label
+    given twice counts as its maximum."""
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("_marked")).agg((F.max("quality") >= 1).alias("good"))
+    marks = F.broadcast(marks) if labels.count() <= rules.broadcast_rows else marks.hint("merge")
     slim = docs.select(F.col("doc_id").alias("_id"), F.col(f"`{text}`"))
-    return slim.join(marks, F.col("_id") == F.col("_marked")).select("good", F.pmod(F.xxhash64(f"`{text}`"), F.lit(2)).cast("int").alias("half"), _hashes(text).alias("_hashes"))
+    met = slim.join(marks, F.col("_id") == F.col("_marked")).select("good", F.pmod(F.xxhash64(f"`{text}`"), F.lit(2)).cast("int").alias("half"), _hashes(text).alias("_hashes"))
+    return cut(met.select("good", "half", F.size("_hashes").alias("n"), F.expr(_grams("_hashes", rules)).alias("grams")), "labelled")
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, rules: QualityRules, text: str = "text") -> DataFrame:
+def log_ratios(docs: DataFrame, marked: DataFrame, rules: QualityRules, text: str = "text") -> DataFrame:
     """One row: arrays of ``buckets`` log ratios, ``ratios`` with all trusted documents and ``ratios_0`` and ``ratios_1``
     without those of that half."""
     buckets = F.explode(F.expr(_grams("_hashes", rules))).alias("b")
     raw = docs.select(_hashes(text).alias("_hashes")).select(buckets).groupBy("b").agg(F.count("*").alias("raw"))
-    target = _marked(docs, labels, text).where("good").select("half", buckets).groupBy("b").agg(F.count_if(F.col("half") == 0).alias("t0"), F.count_if(F.col("half") == 1).alias("t1"))
+    target = marked.where("good").select("half", F.explode("grams").alias("b")).groupBy("b").agg(F.count_if(F.col("half") == 0).alias("t0"), F.count_if(F.col("half") == 1).alias("t1"))
     every = docs.sparkSession.range(rules.buckets).select(F.col("id").cast("int").alias("b")).join(raw, "b", "left").join(target, "b", "left").na.fill(0)
     rows = F.array_sort(F.collect_list(F.struct("b", "raw", "t0", "t1")))
     table = every.agg(F.sum("raw").alias("raw"), F.sum("t0").alias("t0"), F.sum("t1").alias("t1"), rows.alias("rows"))
@@ -163,11 +168,11 @@ def _quantile(counts: list[tuple[int, int]], share: float) -> float:
     return 0.0
 
 
-def derived_threshold(docs: DataFrame, labels: DataFrame, ratios: DataFrame, rules: QualityRules, text: str = "text") -> float:
+def derived_threshold(marked: DataFrame, ratios: DataFrame, rules: QualityRules) -> float:
     """The threshold that the labelled documents give (see above); short and empty ones do not count."""
-    marked = _marked(docs, labels, text).where(F.size("_hashes") >= rules.min_words)
-    scored = marked.withColumn("_table", F.when(F.col("half") == 0, ratios.select("ratios_0").scalar()).otherwise(ratios.select("ratios_1").scalar()))
-    bins = scored.select("good", F.floor(F.expr(_mean_ratio("_hashes", "_table", rules)) * 10_000).alias("value")).groupBy("good", "value").agg(F.count("*").alias("n")).collect()
+    long = marked.where(F.col("n") >= rules.min_words)
+    scored = long.withColumn("_table", F.when(F.col("half") == 0, ratios.select("ratios_0").scalar()).otherwise(ratios.select("ratios_1").scalar()))
+    bins = scored.select("good", F.floor(F.expr("aggregate(grams, 0D, (s, b) -> s + get(_table, b)) / size(grams)") * 10_000).alias("value")).groupBy("good", "value").agg(F.count("*").alias("n")).collect()
     good, poor = ([(r["value"], r["n"]) for r in bins if r["good"] == g] for g in (True, False))
     if not good:
         return float("-inf")
@@ -179,8 +184,9 @@ def apply_rules(docs: DataFrame, labels: DataFrame, rules: QualityRules = Qualit
     """All rows and columns of ``docs`` with the counts, ``base_failed``, ``llr`` and ``kept``."""
     ours = [*COUNTS, "base_failed", "llr", "kept"]
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ours])
-    ratios = cut(log_ratios(docs, labels, rules, text), "ratios")
-    threshold = derived_threshold(docs, labels, ratios, rules, text) if rules.threshold is None else rules.threshold
+    marked = labelled(docs, labels, rules, text)
+    ratios = cut(log_ratios(docs, marked, rules, text), "ratios")
+    threshold = derived_threshold(marked, ratios, rules) if rules.threshold is None else rules.threshold
     hashed, tokens, table = scratch(docs, "hashes", "words", "ratios")
     out = docs.withColumn(tokens, words(F.col(f"`{text}`"))).withColumn(hashed, F.transform(tokens, lambda w: F.xxhash64(w)))
     out = with_counts(out, tokens, hashed, text).withColumn("base_failed", base_failed(rules))

@@ -2,7 +2,7 @@ import math
 import re
 from collections import Counter
 
-from cloakframe.llm.quality_rules import QualityRules, apply_rules, derived_threshold, log_ratios
+from cloakframe.llm.quality_rules import QualityRules, apply_rules, derived_threshold, labelled, log_ratios
 
 from .conftest import make_words
 
@@ -56,9 +56,11 @@ def test_ratio_matches_brute_force_and_rejects_junk(spark):
         assert abs(got[i].llr - llr(i, range(30))) < 2e-3  # exact but for n-grams that share a bucket
     out = {i: llr(i, [k for k in range(30) if half[k] != half[i]]) for i in [*range(30), *range(100, 110)]}
     want = (min(out[i] for i in range(30)) + max(out[i] for i in range(100, 110))) / 2
-    ratios = log_ratios(docs, marks, rules)
-    assert abs(derived_threshold(docs, marks, ratios, rules) - want) < 2e-3
-    alone = derived_threshold(docs, marks.where("quality = 1"), ratios, rules)
+    marked = labelled(docs, marks, rules)
+    ratios = log_ratios(docs, marked, rules)
+    assert abs(derived_threshold(marked, ratios, rules) - want) < 2e-3
+    alone = derived_threshold(marked.where("good"), ratios, rules)
+    assert labelled(docs, marks, QualityRules(broadcast_rows=0)).count() == marked.count() == 40
     assert abs(alone - (2 * min(out[i] for i in range(30)) - sorted(out[i] for i in range(30))[14])) < 4e-3
     fixed = apply_rules(docs, marks, QualityRules(threshold=1e9)).collect()
     assert not any(r.kept for r in fixed)
