@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,15 +31,27 @@ def luhn(value: Column) -> Column:
     return F.coalesce(value.rlike("^[0-9]+$") & F.call_function("luhn_check", value), F.lit(False))
 
 
+#: Forms of the national VAT numbers of the European Union without the country's letters (fixed values):
+#: 9 a digit, A a letter, X either.
+VAT_FORMS = {
+    "AT": ["U99999999"], "BE": ["9999999999"], "BG": ["999999999", "9999999999"], "CY": ["99999999A"], "CZ": ["99999999", "999999999", "9999999999"], "DE": ["999999999"], "DK": ["99999999"],
+    "EE": ["999999999"], "EL": ["999999999"], "ES": ["X9999999X"], "FI": ["99999999"], "FR": ["XX999999999"], "HR": ["99999999999"], "HU": ["99999999"], "IE": ["9X99999A", "9999999AA"],
+    "IT": ["99999999999"], "LT": ["999999999", "999999999999"], "LU": ["99999999"], "LV": ["99999999999"], "MT": ["99999999"], "NL": ["999999999B99"], "PL": ["9999999999"], "PT": ["999999999"],
+    "RO": ["99999999", "999999999", "9999999999"], "SE": ["999999999999"], "SI": ["99999999"], "SK": ["9999999999"],
+}
+
+
+def vat_shapes() -> str:
+    """A pattern of the numbers with their country's letters."""
+    form = lambda x: re.sub("9+", lambda m: f"[0-9]{{{len(m[0])}}}", x).replace("A", "[A-Z]").replace("X", "[A-Z0-9]")
+    return "(?:" + "|".join(f"{country} ?(?:{'|'.join(map(form, sorted(forms, key=len, reverse=True)))})" for country, forms in VAT_FORMS.items()) + ")"
+
+
 def valid_vat(value: Column) -> Column:
-    """Italian numbers by Luhn; other European forms by shape, with at least one digit."""
-    compact = F.upper(F.regexp_replace(value, r"[ .\-]", ""))
-    size = F.length(compact)
-    italian = compact.rlike("^IT[0-9]{11}$")
-    bare = compact.rlike("^[0-9]+$")
-    foreign = compact.rlike("^[A-Z]{2}[A-Z0-9]{6,12}$") & compact.rlike("[0-9]")
-    rule = F.when(italian, luhn(F.substring(compact, 3, 11))).when(bare, (size == 11) & luhn(compact)).otherwise(foreign)
-    return F.coalesce((size >= 8) & (size <= 14) & rule, F.lit(False))
+    """The form of a country, for Italy with the check digit; eleven digits alone are Italian."""
+    v = F.upper(F.regexp_replace(value, r"[\s.-]+", ""))
+    digits = F.regexp_extract(v, "^(?:IT)?([0-9]{11})$", 1)
+    return F.coalesce(F.when(digits != "", luhn(digits)).otherwise(v.rlike(f"^{vat_shapes()}$")), F.lit(False))
 
 
 #: Values of the characters 0-9, A-Z at odd positions of an Italian tax id (fixed values).

@@ -78,8 +78,8 @@ def detect_kit(columns: list[str], kits: dict[str, Kit] = KITS) -> tuple[str | N
     score, n, best = scored[0]
     if not ((n >= 2 and score >= 5) or score >= 8):
         return None, 0.0, n, score
-    margin = score - (scored[1][0] if len(scored) > 1 else 0)
-    return best, min(1.0, 0.35 + score / 24 + margin / 20), n, score
+    second = scored[1][0] if len(scored) > 1 else 0
+    return best, score / (score + second + 1), n, score  # its share of the weight of the best two
 
 
 SNIFFERS: tuple[tuple[str, str], ...] = (
@@ -119,8 +119,8 @@ def profile(df: DataFrame) -> DataFrame:
     return out.select("column", "n_filled", "best.kind", F.coalesce("best.n", F.lit(0)).cast("long").alias("n_kind"), "n_long")
 
 
-def decide(column: str, seen: dict | None, kit: str | None = None, keep: tuple[str, ...] = (), overrides: dict[str, tuple[str, str | None]] | None = None, safe: bool = True) -> Decision:
-    """The cascade for one column; ``seen`` is its row of the profile."""
+def decide(column: str, seen: dict | None, kit: str | None = None, keep: tuple[str, ...] = (), overrides: dict[str, tuple[str, str | None]] | None = None, safe: bool = True, kits: dict[str, Kit] = KITS) -> Decision:
+    """The cascade for one column; ``seen`` is its row of the profile, ``kit`` the id of one of ``kits``."""
     forms = candidates(column)
     if set(forms) & {normalised(k) for k in keep}:
         return Decision(column, None, "keep", "config")
@@ -129,7 +129,7 @@ def decide(column: str, seen: dict | None, kit: str | None = None, keep: tuple[s
             action, kind = overrides[f]
             return Decision(column, kind or ("opaque" if action == "mask" else None), action, "override")
     if kit:
-        for pattern, action, kind in KITS[kit].rules:
+        for pattern, action, kind in kits[kit].rules:
             if any(re.fullmatch(pattern, f) for f in forms):
                 return Decision(column, kind, action, f"kit:{kit}")
     if any(TEXT_NAMES.fullmatch(f) for f in forms):
@@ -147,11 +147,11 @@ def decide(column: str, seen: dict | None, kit: str | None = None, keep: tuple[s
     return Decision(column, None, "redact" if safe and n else "keep", "unclassified")
 
 
-def plan(df: DataFrame, kit: str | None = None, **config) -> list[Decision]:
+def plan(df: DataFrame, kit: str | None = None, kits: dict[str, Kit] = KITS, **config) -> list[Decision]:
     """Decisions for all columns (the profile has one row per column)."""
     seen = {r["column"]: r.asDict() for r in profile(df).collect()}
-    kit = kit or detect_kit(df.columns)[0]
-    return [decide(c, seen.get(c), kit, **config) for c in df.columns]
+    kit = kit or detect_kit(df.columns, kits)[0]
+    return [decide(c, seen.get(c), kit, kits=kits, **config) for c in df.columns]
 
 
 def masked_scalar(kind: str, v: Column, keys: Keys | free_text.Maker, o: free_text.Options) -> Column:
@@ -171,7 +171,7 @@ def masked_scalar(kind: str, v: Column, keys: Keys | free_text.Maker, o: free_te
         "user": F.when(rules.not_well_known(v), make.token("user", v)).otherwise(v),
     }.get(kind)
     body = make.token(kind, v) if body is None else body
-    return F.when(tokens.is_token(v), v).otherwise(F.coalesce(body, F.lit(free_text.ELIDED)))
+    return F.when(make.own(v), v).otherwise(F.coalesce(body, F.lit(free_text.ELIDED)))
 
 
 def masked_cell(kind: str, cell: Column, keys: Keys | free_text.Maker, o: free_text.Options) -> Column:

@@ -1,16 +1,20 @@
 """Staged masking of free text, entirely in column expressions.
 
-A stage marks all its matches with a control character in one regular-expression pass, splits the text at
-the marks, and turns every second piece into a token.  So positions are exact, the text is scanned once
-for a stage, no Python runs, and no shuffle is needed.  Later stages see what earlier ones wrote; pieces
-that have the shape of a token stay as they are, which makes masking idempotent (but for domain SIDs,
-whose tokens look like any SID: ``vault.owned`` tells them).
+A stage marks all its matches in one regular-expression pass: the pattern has two groups for each rule, and
+what is put in their place has a separator for each rule, so a match tells by the separators before it which
+rule it is, and what of it is prefix and value.  The text is split at the marks, and every second piece is
+turned into a token.  So positions are exact, the text is scanned once for a stage, no Python runs, and no shuffle
+is needed.  Later stages see what earlier ones wrote, and leave the tokens among it alone.
+
+A value of the input that only looks like a token is none: ``foreign`` has all such values of a text, and they are masked
+like others.  Where the vault is known (``jobs.mask_known``), the tokens that it issued are taken off that list, which
+makes masking idempotent.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -39,52 +43,67 @@ class Options:
     family_names: tuple[str, ...] = ()
     person_terms: tuple[str, ...] = ()
     types: tuple[str, ...] = ()
+    only: tuple[str, ...] = ()
     dlp: dict = field(default_factory=rules.policy)
 
 
 def stages(o: Options) -> list[tuple[str, tuple[Rule, ...]]]:
-    """The stages in order; ``types`` selects rules of the main stage."""
+    """The stages in order; ``types`` selects rules of the main stage, ``only`` stages by name.  Name pairs are no rules, see ``mask_pairs``."""
     main = tuple(r for r in rules.MAIN if not o.types or r.name in o.types)
     every = [
         ("main", main), ("identity", rules.IDENTITY), ("host_terms", rules.host_terms(list(o.host_terms))), ("bare_hosts", rules.BARE_HOST), ("shared_folders", rules.SHARED_FOLDER),
-        ("persons", rules.person_terms(list(o.person_terms)) + rules.person_pairs(list(o.given_names), list(o.family_names))), ("prose", rules.PROSE), ("dlp", rules.DLP),
-        ("clients", rules.client_terms(list(o.client_terms))),
+        ("persons", rules.person_terms(list(o.person_terms))), ("prose", rules.PROSE), ("dlp", rules.DLP), ("clients", rules.client_terms(list(o.client_terms))),
     ]
-    return [(n, r) for n, r in every if r]
+    return [(n, r) for n, r in every if r and (not o.only or n in o.only)]
+
+
+VALUE, NEXT = "\x03", "\x02"  # before a rule's value, and behind it
+Own = Callable[[Column], Column]
 
 
 def pieces(text: Column, stage: tuple[Rule, ...]) -> Column:
-    """The text cut at the stage's matches: odd elements (from 0) are the matches."""
-    found = "(?i)(" + "|".join(r.pattern for r in stage) + ")"
-    clean = F.translate(F.coalesce(text, F.lit("")), MARK, "")
-    return F.split(F.regexp_replace(clean, found, MARK + "$1" + MARK), MARK)
+    """The text cut at the stage's matches: odd elements (from 0) are the matches, with a rule's separators
+    before them for each rule that comes first."""
+    found = r"(?i)(?!\B\w)" + rules.guard(stage) + "(?:" + "|".join(r.pattern for r in stage) + ")"
+    clean = F.translate(F.coalesce(text, F.lit("")), MARK + VALUE + NEXT, "")
+    groups = "".join(f"${2 * i + 1}{VALUE}${2 * i + 2}{NEXT}" for i in range(len(stage)))
+    return F.split(F.regexp_replace(clean, F.lit(found), F.lit(MARK + groups + MARK)), MARK)
 
 
-def classified(piece: Column, stage: tuple[Rule, ...]) -> Column:
-    """struct(rule, kind, category, prefix, value) of a match, null if its rule's check fails or it is
-    one of our tokens."""
+def whole(piece: Column) -> Column:
+    """A match as it stood in the text."""
+    return F.translate(piece, VALUE + NEXT, "")
 
-    def one(r: Rule) -> Column:
-        prefix = F.regexp_extract(piece, f"^(?i)((?:{r.prefix}))(?:{r.value})$", 1) if r.prefix else F.lit("")
-        return F.struct(F.lit(r.name).alias("rule"), F.lit(r.kind).alias("kind"), F.lit(r.category).cast("string").alias("category"), prefix.alias("prefix"), F.substr(piece, F.length(prefix) + 1).alias("value"))
 
+def classified(piece: Column, stage: tuple[Rule, ...], own: Own = tokens.is_token) -> Column:
+    """struct(rule, kind, category, prefix, value) of a match, null if its rule's check fails or it is
+    one of our tokens."""
     none = F.lit(None).cast("struct<rule:string,kind:string,category:string,prefix:string,value:string>")
-    chosen = reduce(lambda rest, r: F.when(piece.rlike(r.whole), one(r)).otherwise(rest), reversed(stage), none)
+
+    def struct(at: Column) -> Column:
+        body = F.btrim(piece, F.lit(VALUE + NEXT))
+        prefix = F.when(body.contains(VALUE), F.substring_index(body, VALUE, 1)).otherwise("")
+        told = lambda xs: F.get(F.array(*[F.lit(x).cast("string") for x in xs]), at)
+        return F.struct(told([r.name for r in stage]).alias("rule"), told([r.kind for r in stage]).alias("kind"), told([r.category for r in stage]).alias("category"), prefix.alias("prefix"), F.substring_index(body, VALUE, -1).alias("value"))
 
     def checked(c: Column) -> Column:
         bad = [(c["rule"] == r.name) & ~r.valid(c["value"]) for r in stage if r.valid]
-        wrong = reduce(Column.__or__, bad, tokens.is_token(c["value"]) | tokens.is_token(piece))
-        return F.when(c.isNull() | wrong, none).otherwise(c)
+        return F.when(reduce(Column.__or__, bad, own(c["value"]) | own(F.concat(c["prefix"], c["value"]))), none).otherwise(c)
 
-    return let(chosen, checked)
+    at = F.floor((F.length(piece) - F.length(F.ltrim(piece, F.lit(VALUE + NEXT)))) / 2).cast("int")
+    return let(let(at, struct), checked)
 
 
 class Maker:
     """Makes the tokens of a tenant.  ``issued``, a map from ``kind|normal form`` to token, has the values of
     the row whose token in the vault is not the unsalted one."""
 
-    def __init__(self, keys: Keys, issued: Column | None = None):
-        self.keys, self.issued = keys, issued
+    def __init__(self, keys: Keys, issued: Column | None = None, foreign: Column | None = None):
+        self.keys, self.issued, self.foreign = keys, issued, foreign
+
+    def own(self, v: Column) -> Column:
+        """Whether a value is one of our tokens: it looks like one, and is none of the text's ``foreign`` values."""
+        return tokens.is_token(v) if self.foreign is None else tokens.is_token(v) & ~F.array_contains(self.foreign, v)
 
     def _known(self, kind: Column, norm: Column, token: Column) -> Column:
         return token if self.issued is None else F.coalesce(F.try_element_at(self.issued, F.concat(kind, F.lit("|"), norm)), token)
@@ -99,8 +118,8 @@ class Maker:
 class Recorder(Maker):
     """Writes between marks, in the place of a token, the kind and value that the token is made of."""
 
-    def __init__(self):
-        super().__init__(None)
+    def __init__(self, foreign: Column | None = None):
+        super().__init__(None, foreign=foreign)
 
     def token(self, kind: str, raw: Column, internal: Column | None = None, keep_domain: bool = False) -> Column:
         return F.lit("") if kind not in tokens.REVERSIBLE else F.concat(F.lit(f"{MARK}{kind}|"), raw, F.lit(MARK))
@@ -123,14 +142,14 @@ def mask_url(url: Column, keys: Keys | Maker, o: Options) -> Column:
 
     ``all`` masks every host; ``internal`` keeps public hosts and ordinary values and masks internal
     addresses and sensitive parameters; ``none`` masks user information and sensitive parameters only."""
-    sensitive = r"(?i)^(?:ref|index|token|key|sig|signature|api_?key|access_token|id_token|refresh_token|code|state|session|session_?id|auth|jwt|password|pwd|secret|redirect|redirect_to|redirect_uri|return|returnurl|back|next|target|url|continue)$"
+    sensitive = f"(?i)^(?:{rules.SECRET_PARAMETERS}|{rules.TARGET_PARAMETERS})$"
     safe = r"(?i)^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9:.]+(?:Z|[+-][0-9]{2}:?[0-9]{2})?)?|[0-9]{1,13}|true|false|yes|no)$"
     part = lambda i: F.regexp_extract(url, r"^(?i)(https?://)([^/@?#]*@)?([^/:?#]*)(:[0-9]+)?([^?#]*)(\?[^#]*)?(#.*)?$", i)
     host, make = part(3), made(keys)
     ip = network.valid_ipv4(host)
     hidden = F.when(ip, make.token("ipv4", host, network.is_internal(host) if o.keep_scope else None)).otherwise(make.token("fqdn", host, keep_domain=o.keep_domain))
     inner = network.is_internal(host) | network.in_networks(host, o.tenant_networks)
-    shown = {"all": F.when(host == "", host).when(tokens.is_token(host), host).otherwise(hidden), "internal": F.when(ip & inner, hidden).otherwise(host)}.get(o.url_mode, host)
+    shown = {"all": F.when(host == "", host).when(make.own(host), host).otherwise(hidden), "internal": F.when(ip & inner, hidden).otherwise(host)}.get(o.url_mode, host)
     segment = lambda s: F.when(s.rlike(rf"(?i)^(?:WB-[A-Z0-9][A-Z0-9-]{{6,80}}|[0-9a-f]{{24,64}}|{rules.GUID})$"), make.token("opaque", s)).otherwise(s)
     path = F.array_join(F.transform(F.split(part(5), "/"), segment), "/") if o.url_mode == "all" else part(5)
 
@@ -169,7 +188,7 @@ def hidden(c: Column, keys: Keys | Maker, o: Options, stage: tuple[Rule, ...]) -
 
     def user(x: Column) -> Column:
         machine = F.concat(make.token("host", F.regexp_replace(x, r"\$$", "")), F.lit("$"))
-        return F.when(~rules.not_well_known(x) | tokens.is_token(x), x).when(x.endswith("$"), machine).otherwise(make.token("user", x))
+        return F.when(~rules.not_well_known(x) | make.own(x), x).when(x.endswith("$"), machine).otherwise(make.token("user", x))
 
     def sid() -> Column:
         part = lambda i: F.regexp_extract(v, r"^(?i)(S-1-5-21(?:-[0-9]+){3})((?:-[0-9]+)*)$", i)
@@ -180,8 +199,8 @@ def hidden(c: Column, keys: Keys | Maker, o: Options, stage: tuple[Rule, ...]) -
 
     masks = {
         "url": lambda: mask_url(v, make, o),
-        "user": lambda: F.when(v.contains("@"), upn()).otherwise(user(v)) if "url" in kinds else user(v),
-        "winuser": lambda: F.concat(let(F.substring_index(v, "\\", 1), lambda d: F.when(tokens.is_token(d), d).otherwise(make.token("windomain", d))), F.lit("\\"), user(F.substring_index(v, "\\", -1))),
+        "user": lambda: F.when(v.contains("@"), upn()).otherwise(user(v)) if any(r.name == "upn" for r in stage) else user(v),
+        "winuser": lambda: F.concat(let(F.substring_index(v, "\\", 1), lambda d: F.when(make.own(d), d).otherwise(make.token("windomain", d))), F.lit("\\"), user(F.substring_index(v, "\\", -1))),
         "siddomain": sid,
         "ipv4": lambda: F.when(network.masks_ip(v, o.ip_mode, o.tenant_networks), make.token("ipv4", v, network.is_internal(v) if o.keep_scope else None)).otherwise(v),
         "ipv6": lambda: F.when(network.masks_ip(v, o.ip_mode, o.tenant_networks), make.token("ipv6", v)).otherwise(v),
@@ -199,21 +218,65 @@ def hidden(c: Column, keys: Keys | Maker, o: Options, stage: tuple[Rule, ...]) -
     return F.concat(c["prefix"], masked)
 
 
-def run_stage(text: Column, stage: tuple[Rule, ...], change: Callable[[Column], Column]) -> Column:
+def run_stage(text: Column, stage: tuple[Rule, ...], change: Callable[[Column], Column], own: Own = tokens.is_token) -> Column:
     """The text with every accepted match replaced by ``change`` of its classification."""
-    one = lambda p: let(classified(p, stage), lambda c: F.when(c.isNull(), p).otherwise(change(c)))
+    one = lambda p: let(classified(p, stage, own), lambda c: F.when(c.isNull(), whole(p)).otherwise(change(c)))
+    marks = {rules.IDENTITY: (":", "="), rules.SHARED_FOLDER: ("/",)}.get(stage)  # without one of these there is no match
+    met = reduce(Column.__or__, [text.contains(m) for m in marks]) if marks else F.lit(True)
+    return F.when(~met, F.translate(text, MARK + VALUE + NEXT, "")).otherwise(_replaced(text, stage, one))
+
+
+def _replaced(text: Column, stage: tuple[Rule, ...], one: Callable[[Column], Column]) -> Column:
     return F.array_join(F.transform(pieces(text, stage), lambda p, i: F.when(i % 2 == 1, one(p)).otherwise(p)), "")
 
 
+def mask_pairs(text: Column, given: list[str], family: list[str], make: Maker) -> Column:
+    """A given and a family name side by side, in either order, as one person.  Every two neighbouring words are looked
+    up, so a word before the pair does not hide it; a word belongs to one pair at most, the first."""
+    first, last = rules.named(given), rules.named(family)
+    cut = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([\p{L}']+|[^\p{L}']+)"))
+
+    def pair(p: Column, i: Column) -> Column:
+        a, b = F.get(p, i), F.get(p, i + 2)
+        titled = a.rlike(r"^\p{Lu}") & b.rlike(r"^\p{Lu}") & F.get(p, i + 1).rlike(rules.PERSON_GAP)
+        edges = ~F.coalesce(F.get(p, i - 1), F.lit("")).rlike(r"[\w@.-]$") & ~F.coalesce(F.get(p, i + 3), F.lit("")).rlike(r"^[\w@-]|^\.\w")
+        return F.coalesce(titled & edges & ((first(a) & last(b)) | (last(a) & first(b))), F.lit(False))
+
+    def masked(p: Column) -> Column:
+        starts = F.filter(F.transform(p, lambda x, i: F.when(pair(p, i), i)), lambda i: i.isNotNull())
+        free = F.aggregate(starts, F.array().cast("array<int>"), lambda acc, i: F.when(i - F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(-9)) > 2, F.concat(acc, F.array(i))).otherwise(acc))
+        token = lambda i: make.prefixed(F.lit("person"), F.concat(F.get(p, i), F.get(p, i + 1), F.get(p, i + 2)), ["person"])
+        out = lambda s: F.transform(p, lambda x, i: F.when(F.array_contains(s, i), token(i)).when(F.array_contains(s, i - 1) | F.array_contains(s, i - 2), "").otherwise(x))
+        return let(free, lambda s: F.array_join(out(s), ""))
+
+    return let(cut, masked)
+
+
+def looks_own(text: Column) -> Column:
+    """All values in a text that look like tokens of ours, but for SIDs."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"(?<![A-Za-z0-9._@-])({tokens.OWN_SHAPE})(?![A-Za-z0-9])")))
+
+
 def mask_text(df: DataFrame, keys: Keys | Maker, o: Options = Options(), text: str = "text", record: str | None = None) -> DataFrame:
     """``df`` with its text masked by all stages in order.  The array ``record`` gets the ``kind|value`` of
-    every token that they write, as each stage sees the text."""
+    every token that they write, as each stage sees the text.  Nothing in the input counts as a token of ours, unless ``keys``
+    is a ``Maker`` that knows the ``foreign`` values."""
+    make = made(keys)
     out = df
-    for _, stage in stages(o):
-        if record:
-            out = out.withColumn(record, F.concat(record, slots(run_stage(F.col(text), stage, lambda c, s=stage: hidden(c, Recorder(), o, s)))))
-        out = out.withColumn(text, F.when(F.col(text).isNotNull(), run_stage(F.col(text), stage, lambda c, s=stage: hidden(c, keys, o, s))))
-    return out
+    foreign = "_foreign_" + text
+    if make.foreign is None:
+        out = out.withColumn(foreign, F.when(F.col(text).rlike(r"198\.1[89]\.|fd00:|02:|-[a-z2-7]{8}|ELIDED|CLIENT-"), looks_own(F.col(text))).otherwise(F.array().cast("array<string>")))
+        make = Maker(make.keys, make.issued, F.col(foreign))
+    notes = Recorder(make.foreign)
+    for name, stage in stages(o):
+        runs = [lambda m, s=stage: run_stage(F.col(text), s, lambda c: hidden(c, m, o, s), m.own)]
+        if name == "prose" and o.given_names and o.family_names:
+            runs.insert(0, lambda m: mask_pairs(F.col(text), list(o.given_names), list(o.family_names), m))
+        for run in runs:
+            if record:
+                out = out.withColumn(record, F.concat(record, slots(run(notes))))
+            out = out.withColumn(text, F.when(F.col(text).isNotNull(), run(make)))
+    return out.drop(foreign)
 
 
 def findings(df: DataFrame, stage: tuple[Rule, ...], text: str = "text") -> DataFrame:
@@ -221,7 +284,17 @@ def findings(df: DataFrame, stage: tuple[Rule, ...], text: str = "text") -> Data
     rule, kind, category and value."""
     others = [c for c in df.columns if c != text]
     cut = df.select(*others, F.posexplode(pieces(F.col(text), stage)).alias("at", "piece")).where("at % 2 = 1")
-    return cut.withColumn("c", classified(F.col("piece"), stage)).where("c IS NOT NULL").select(*others, F.expr("cast((at - 1) div 2 AS int)").alias("at"), "c.rule", "c.kind", "c.category", "c.value")
+    found = cut.withColumn("c", classified(F.col("piece"), stage)).where("c IS NOT NULL")
+    return found.select(*others, F.expr("cast((at - 1) div 2 AS int)").alias("at"), "c.rule", "c.kind", "c.category", "c.value")
+
+
+def pseudonymize_residuals(df: DataFrame, keys: Keys | Maker, o: Options = Options(), text: str = "text") -> DataFrame:
+    """Gives tokens to what the personal-data rules still find, for documents that are to stay readable; secrets get a
+    token that no vault keeps.  Categories that are kept or blocked stay."""
+    fixed = {k: a if a in ("keep", "block") else "pseudonymize" for k, a in o.dlp.items()}
+    stage, make = rules.DLP + tuple(r for r in rules.MAIN if r.name == "email"), made(keys)
+    change = lambda c: hidden(c, make, replace(o, dlp=fixed), stage)
+    return df.withColumn(text, F.when(F.col(text).isNotNull(), run_stage(F.col(text), stage, change, make.own)))
 
 
 def redact_residuals(df: DataFrame, o: Options = Options(), text: str = "text") -> DataFrame:

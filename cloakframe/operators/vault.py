@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import network, tokens
@@ -38,42 +38,46 @@ def values(found: DataFrame, keys: Keys) -> DataFrame:
     return out.withColumn("bidx", tokens.blind_index(keys, F.col("kind"), F.col("norm")))
 
 
-def salted(df: DataFrame, keys: Keys, keep_scope: bool = True) -> DataFrame:
-    """Adds the token of (kind, norm, salt); ``keep_scope`` as in the options of the texts."""
+def salted(df: DataFrame, keys: Keys, keep_scope: bool = True, keep_domain: bool = False) -> DataFrame:
+    """Adds the token of (kind, norm, salt); ``keep_scope`` and ``keep_domain`` as in the options of the texts."""
     seeded = df.withColumn("_seed", tokens.seed(keys, F.col("kind"), F.col("norm"), F.col("salt")))
-    return seeded.withColumn("token", _by_kind(lambda k: tokens.shape(k, F.col("_seed"), F.col("norm"), keys, network.is_internal(F.col("norm")) if k == "ipv4" and keep_scope else None))).drop("_seed")
+    return seeded.withColumn("token", _by_kind(lambda k: tokens.shape(k, F.col("_seed"), F.col("norm"), keys, network.is_internal(F.col("norm")) if k == "ipv4" and keep_scope else None, keep_domain))).drop("_seed")
 
 
-def assign(found: DataFrame, keys: Keys, vault: DataFrame | None = None, keep_scope: bool = True) -> DataFrame:
+def assign(found: DataFrame, keys: Keys, vault: DataFrame | None = None, keep_scope: bool = True, keep_domain: bool = False) -> DataFrame:
     """The rows (bidx, kind, norm, raw, hits, salt, token) to add to the vault: values that it does not
-    hold, each with a token that nothing else has."""
+    hold, each with a token that nothing else has and that is none of the values themselves."""
     new = values(found, keys)
-    taken = None
     if vault is not None:
         new = new.join(vault.select("bidx"), "bidx", "left_anti")
-        taken = vault.select("token")
-    open_, done = kept(salted(new.withColumn("salt", F.lit(0)), keys, keep_scope), "values"), None
+    open_, done = kept(salted(new.withColumn("salt", F.lit(0)), keys, keep_scope, keep_domain), "values"), None
+    crowded = open_.where("kind = 'ipv4'").groupBy(F.substring("token", 1, 7).alias("scope")).count().where(F.col("count") > 65_536)
+    if not crowded.isEmpty():  # told at once, not after all rounds
+        raise TokenSpaceExhausted("more addresses of one scope than there are tokens")
+    taken = open_.where(tokens.is_token(F.col("raw"))).select(F.col("raw").alias("token"))
+    if vault is not None:
+        taken = taken.union(vault.select("token"))
     order = Window.partitionBy("token").orderBy("bidx")
     for salt in range(1, MAX_SALT + 1):
-        free = open_ if taken is None else open_.join(taken, "token", "left_anti")
+        free = open_.join(taken, "token", "left_anti")
         won = free.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
         won = kept(won, "assigned")
         done = won if done is None else done.unionByName(won)
         lost = open_.join(won.select("bidx"), "bidx", "left_anti")
         if lost.isEmpty():
             return done
-        taken = won.select("token") if taken is None else taken.union(won.select("token"))
-        open_ = kept(salted(lost.drop("token").withColumn("salt", F.lit(salt)), keys, keep_scope), "values")
+        taken = taken.union(won.select("token"))
+        open_ = kept(salted(lost.drop("token").withColumn("salt", F.lit(salt)), keys, keep_scope, keep_domain), "values")
     raise TokenSpaceExhausted("a kind has no free token left; archive the vault or use another tenant")
 
 
-def issued(found: DataFrame, rows: DataFrame, keys: Keys, key: str, keep_scope: bool = True) -> DataFrame:
+def issued(found: DataFrame, rows: DataFrame, keys: Keys, key: str, keep_scope: bool = True, keep_domain: bool = False) -> DataFrame:
     """(key, _issued): for each key of the findings (key, kind, value) a map from ``kind|norm`` to token of the
     values whose token in the vault is not the unsalted one.  Other keys have no row."""
     norm = _by_kind(lambda k: tokens.normal(k, F.col("value")))
     seen = found.where(F.col("kind").isin(*KINDS)).select(key, "kind", norm.alias("norm")).distinct()
     known = seen.select("kind", "norm").distinct().withColumn("bidx", tokens.blind_index(keys, F.col("kind"), F.col("norm")))
-    known = salted(known.withColumn("salt", F.lit(0)), keys, keep_scope).withColumnRenamed("token", "_first")
+    known = salted(known.withColumn("salt", F.lit(0)), keys, keep_scope, keep_domain).withColumnRenamed("token", "_first")
     other = known.join(rows.select("bidx", "token"), "bidx").where("token <> _first").select("kind", "norm", "token")
     met = seen.join(other, ["kind", "norm"])
     return met.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.lit("|"), "norm"), "token"))).alias("_issued"))
@@ -113,7 +117,7 @@ def lookup(vault: DataFrame, keys: Keys, value: str) -> DataFrame:
 
 #: Tokens as they are found in text.
 TOKEN_IN_TEXT = (
-    r"((?<=@)DOM-[a-z2-7]{8}|(?<=\[ELIDED\]@)(?:host-[a-z2-7]{8}\.masked\.local|198\.1[89]\.[0-9]{1,3}\.[0-9]{1,3})|(?<![A-Za-z0-9._@-])(?:usr-[a-z2-7]{8}@[a-z2-7]{6}\.masked|host-[a-z2-7]{8}\.masked\.local|(?:usr|host)-[a-z2-7]{8}|(?:id|cf|iban|tel|person|addr|vat|cloud)-[a-z2-7]{12}"
+    r"((?<=@)DOM-[a-z2-7]{8}|(?<=\[ELIDED\]@)(?:host-[a-z2-7]{8}(?:\.[A-Za-z0-9-]+){2}|198\.1[89]\.[0-9]{1,3}\.[0-9]{1,3})|(?<![A-Za-z0-9._@-])(?:usr-[a-z2-7]{8}@[a-z2-7]{6}\.masked|host-[a-z2-7]{8}(?:\.[A-Za-z0-9-]+){2}|(?:usr|host)-[a-z2-7]{8}|(?:id|cf|iban|tel|person|addr|vat|cloud)-[a-z2-7]{12}"
     r"|DOM-[a-z2-7]{8}|198\.1[89]\.[0-9]{1,3}\.[0-9]{1,3}|fd00:[0-9a-f]{4}:[0-9a-f]{4}:[0-9a-f]{4}::1|02(?::[0-9a-f]{2}){5}|S-1-5-21(?:-[0-9]+){3}))(?![A-Za-z0-9])"
 )
 _MARK = "\x01"
@@ -140,34 +144,90 @@ def restore(df: DataFrame, vault: DataFrame, keys: Keys, id_col: str, text: str
     return joined.withColumn(text, F.when(F.col(text).isNotNull(), F.array_join(fill, ""))).withColumn("n_unresolved", F.coalesce("n_unresolved", F.lit(0)).cast("long")).drop("_pieces", "_raws")
 
 
-def sweep(df: DataFrame, vault: DataFrame, keys: Keys, id_col: str, text: str = "text", kinds: tuple[str, ...] = ("fqdn", "host", "email", "user")) -> DataFrame:
-    """(id, at, kind, token): words of the texts that the vault knows as sensitive, found by blind index;
-    of several kinds the first of ``kinds`` wins.  Words that do not look like names of machines or
-    people (no digit, dot, hyphen or @) are left alone."""
-    words = df.select(id_col, F.posexplode(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"([A-Za-z0-9][A-Za-z0-9._@-]{2,252})"))).alias("at", "word"))
-    words = words.select(id_col, "at", F.lower(F.rtrim(F.col("word"), F.lit(".-_"))).alias("word")).where(F.col("word").rlike("[0-9.@-]") & ~tokens.is_token(F.col("word")))
-    known = words.select("word").distinct().select("word", F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(k).alias("kind")) for i, k in enumerate(kinds)])).alias("k"))
-    known = known.select("word", "k.*").withColumn("bidx", tokens.blind_index(keys, F.col("kind"), F.col("word")))
+def sweep(df: DataFrame, vault: DataFrame, keys: Keys, id_col: str, text: str = "text", kinds: tuple[str, ...] = ("fqdn", "host", "email", "user", "person"), sieve_rows: int = 2_000_000) -> DataFrame:
+    """(id, at, kind, token): words of the texts, and pairs of neighbouring words, that the vault knows as sensitive, found by
+    blind index; of several kinds the first of ``kinds`` wins.  Single words that do not look like names of machines
+    or people (no digit, dot, hyphen or @) are left alone; pairs count as persons only, and both begin with a capital.
+
+    Blind indexes are costly, so the distinct words are first met with the hashes of the originals of the vault, which are
+    broadcast if they are counted to be at most ``sieve_rows`` and joined otherwise."""
+    word = r"[A-Za-z0-9][A-Za-z0-9._@-]{2,252}"
+    words = df.select(id_col, F.posexplode(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"({word})"))).alias("at", "word"))
+    words = words.select(id_col, "at", F.lower(F.rtrim(F.col("word"), F.lit(".-_"))).alias("word"), F.lit(False).alias("pair")).where(F.col("word").rlike("[0-9.@-]") & ~tokens.is_token(F.col("word")))
+    if "person" in kinds:
+        name = r"\p{Lu}[\p{L}'-]{1,40}"
+        pairs = df.select(id_col, F.posexplode(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(rf"(?<![\w@.-])({name})(?=( {name})(?![\w@-]))"), F.lit(0))).alias("at", "first"), text)
+        both = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(rf"(?<![\w@.-]){name}(?= ({name})(?![\w@-]))"), F.lit(1))
+        pairs = pairs.select(id_col, "at", F.lower(F.concat("first", F.lit(" "), F.get(both, F.col("at")))).alias("word"), F.lit(True).alias("pair"))
+        words = words.union(pairs)
+    known = vault.where(F.col("kind").isin(*kinds)).select(tokens.decrypt(keys, F.col("raw_enc")).alias("raw") if "raw_enc" in vault.columns else F.col("norm").alias("raw"))
+    sieve = known.select(F.xxhash64(F.lower("raw")).alias("h")).distinct()
+    sieve = F.broadcast(sieve) if vault.count() <= sieve_rows else sieve
+    words = words.withColumn("h", F.xxhash64("word")).join(sieve, "h", "left_semi").drop("h")
+    ranked = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(k).alias("kind")) for i, k in enumerate(kinds)])
+    known = words.select("word", "pair").distinct().select("word", "pair", F.explode(ranked).alias("k")).select("word", "pair", "k.*").where("pair = (kind = 'person')")
+    known = known.withColumn("bidx", tokens.blind_index(keys, F.col("kind"), F.col("word")))
     hit = known.join(vault.select("bidx", "token"), "bidx").groupBy("word").agg(F.min_by(F.struct("kind", "token"), "rank").alias("best"))
     return words.join(hit, "word").select(id_col, "at", "best.kind", "best.token")
 
 
+def sweep_text(df: DataFrame, vault: DataFrame, keys: Keys, id_col: str, text: str = "text", kinds: tuple[str, ...] = ("fqdn", "host", "email", "user", "person")) -> DataFrame:
+    """``df`` (unique ``id_col``) with every original of the vault that ``sweep`` finds in its text replaced by its token: each
+    text is met with its own hits only."""
+    found = sweep(df, vault, keys, id_col, text, kinds).select(id_col, "token").distinct()
+    raws = vault.select("token", tokens.decrypt(keys, F.col("raw_enc")).alias("raw"))
+    mine = found.join(raws, "token").groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct((-F.length("raw")).alias("n"), "raw", "token"))).alias("_hits"))
+    swap = lambda acc, h: F.regexp_replace(acc, F.concat(F.lit(r"(?i)(?<![\w@.-])\Q"), h["raw"], F.lit(r"\E(?![\w@-])")), h["token"])
+    return df.join(mine, id_col, "left").withColumn(text, F.when(F.col("_hits").isNull(), F.col(text)).otherwise(F.aggregate("_hits", F.col(text), swap))).drop("_hits")
+
+
 def host_labels(names: DataFrame, column: str = "value") -> DataFrame:
     """(label, n_names, full): bare labels and the qualified name they belong to, if it is the only one."""
     full = names.select(F.lower(column).alias("full")).where("full LIKE '%.%'").distinct()
     return full.groupBy(F.substring_index("full", ".", 1).alias("label")).agg(F.count("*").alias("n_names"), F.when(F.count("*") == 1, F.min("full")).alias("full"))
 
 
-def subnet_tokens(found: DataFrame, keys: Keys) -> DataFrame:
-    """(value, token): IPv4 addresses masked as network and host, so one /24 stays one /24.  Networks of a
-    scope are numbered without gaps in the order of their keyed hashes, hosts of a network likewise."""
+def subnet_tokens(found: DataFrame, keys: Keys, known: DataFrame | None = None) -> DataFrame:
+    """(kind, value, slot, bidx): vault rows of kind ``ipv4net`` (value a /24, slot its number in its scope) and
+    ``ipv4host`` (value an address, slot its last octet), so one /24 stays one /24.  Rows of ``known`` keep their
+    slots; new ones get free slots in the order of their keyed hashes, so a later host renumbers nothing."""
     ips = found.where(network.valid_ipv4(F.col("value"))).select("value").distinct()
     ips = ips.withColumn("net", F.substring_index("value", ".", 3)).withColumn("inner", network.is_internal(F.col("value")))
-    nets = ips.select("net", "inner").distinct().withColumn("key", tokens.seed(keys, "ipv4net", F.col("net")))
-    nets = nets.withColumn("n", F.row_number().over(Window.partitionBy("inner").orderBy("key")) - 1)
-    if not nets.where("n > 255").isEmpty():
+    nets = ips.groupBy("net").agg(F.max("inner").alias("inner"))
+    nets = nets.select(F.lit("ipv4net").alias("kind"), F.col("net").alias("value"), F.when(F.col("inner"), "198.18").otherwise("198.19").alias("within"))
+    hosts = ips.select(F.lit("ipv4host").alias("kind"), "value", F.col("net").alias("within"))
+    rows = nets.union(hosts).withColumn("bidx", tokens.blind_index(keys, F.col("kind"), F.col("value")))
+    if known is not None:
+        rows = rows.join(known.select("bidx"), "bidx", "left_anti")
+    slots = rows.sparkSession.range(256).select(F.col("id").cast("int").alias("slot"))
+    free = rows.select("kind", "within").distinct().crossJoin(F.broadcast(slots))  # 256 rows
+    if known is not None:
+        free = free.join(known.select("kind", "within", "slot"), ["kind", "within", "slot"], "left_anti")
+    order = Window.partitionBy("kind", "within")
+    free = free.withColumn("n", F.row_number().over(order.orderBy("slot")))
+    rows = rows.withColumn("n", F.row_number().over(order.orderBy(tokens.seed(keys, F.col("kind"), F.col("value")))))
+    out = kept(rows.join(free, ["kind", "within", "n"], "left").select("kind", "value", "within", "slot", "bidx"), "subnets")
+    if not out.where("slot IS NULL").isEmpty():
         raise TokenSpaceExhausted("more than 256 networks of one scope")
-    hosts = ips.withColumn("key", tokens.seed(keys, "ipv4host", F.col("value")))
-    hosts = hosts.withColumn("h", F.row_number().over(Window.partitionBy("net").orderBy("key")) - 1)
-    out = hosts.join(nets.select("net", "inner", "n"), ["net", "inner"])
-    return out.select("value", F.concat(F.when(F.col("inner"), "198.18.").otherwise("198.19."), F.col("n").cast("string"), F.lit("."), F.col("h").cast("string")).alias("token"))
+    return out if known is None else known.unionByName(out)
+
+
+def subnet_map(rows: DataFrame) -> DataFrame:
+    """(value, token) of the addresses in the rows of ``subnet_tokens``."""
+    nets = rows.where("kind = 'ipv4net'").select(F.col("value").alias("within"), F.col("within").alias("scope"), F.col("slot").alias("net"))
+    out = rows.where("kind = 'ipv4host'").join(nets, "within")
+    return out.select("value", F.concat_ws(".", "scope", F.col("net").cast("string"), F.col("slot").cast("string")).alias("token"))
+
+
+def archive(path: str, spark: SparkSession) -> str:
+    """Moves a vault aside (tokens stay the same, as they come from the keys) and gives its new place."""
+    jvm = spark.sparkContext._jvm
+    old = jvm.org.apache.hadoop.fs.Path(path)
+    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    n = 1
+    while fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.archive-{n}")):
+        n += 1
+    new = f"{path.rstrip('/')}.archive-{n}"
+    if not fs.rename(old, jvm.org.apache.hadoop.fs.Path(new)):
+        raise OSError(f"cannot archive {path}")
+    return new

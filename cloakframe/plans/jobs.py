@@ -12,6 +12,7 @@ from ..functions import rules
 from ..functions.tokens import Keys
 from ..operators import classify, gate, text, vault
 from ..shared import kept
+from ..sources import lines
 
 #: Option bundles by use.
 PROFILES: dict[str, dict] = {
@@ -46,6 +47,17 @@ def all_findings(df: DataFrame, o: text.Options, column: str = "text", keys: Key
     return _pairs(text.mask_text(_recorded(df), keys, o, column, "_made"))
 
 
+def _with_foreign(df: DataFrame, columns: list[str], known: DataFrame | None) -> DataFrame:
+    """Adds ``_foreign``: what looks like a token in the row's columns and was not issued by the vault ``known``."""
+    looks = F.array_distinct(F.flatten(F.array(*[text.looks_own(F.col(f"`{c}`").cast("string")) for c in columns])))
+    if known is None:
+        return df.withColumn("_foreign", looks)
+    seen = df.select("_key", F.explode(looks).alias("token")).distinct()
+    stem = F.explode(F.array_distinct(F.array("token", F.substring_index("token", ".", 1)))).alias("token")
+    alien = kept(seen.join(known.select(stem).distinct(), "token", "left_anti").groupBy("_key").agg(F.collect_list("token").alias("_foreign")), "foreign")
+    return df.join(alien, "_key", "left").withColumn("_foreign", F.coalesce("_foreign", F.array().cast("array<string>")))
+
+
 Run = Callable[[DataFrame, text.Maker], DataFrame]
 
 
@@ -55,16 +67,17 @@ def _through_vault(df: DataFrame, keys: Keys, o: text.Options, columns: list[str
     changes: later stages see tokens that earlier ones wrote, so it ends after as many times as there are
     stages, and after one where no value is salted."""
     source = _recorded(df).withColumn("_key", F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns])), 256))
-    done, before = kept(run(source, text.Maker(keys)), "masked"), None
+    source = _with_foreign(source, columns, known)
+    done, before = kept(run(source, text.Maker(keys, None, F.col("_foreign"))), "masked"), None
     for _ in range(len(text.stages(o)) + 2):
         found = _pairs(done, "_key")
-        rows = vault.assign(found.select("kind", "value"), keys, known, o.keep_scope)
+        rows = vault.assign(found.select("kind", "value"), keys, known, o.keep_scope, o.keep_domain)
         every = rows.select("bidx", "token") if known is None else rows.select("bidx", "token").union(known.select("bidx", "token"))
-        issued = kept(vault.issued(found, every, keys, "_key", o.keep_scope), "issued")
+        issued = kept(vault.issued(found, every, keys, "_key", o.keep_scope, o.keep_domain), "issued")
         now = issued.select(F.explode("_issued")).distinct()
         if issued.isEmpty() if before is None else before.exceptAll(now).isEmpty() and now.exceptAll(before).isEmpty():
             return done.drop("_made", "_key"), rows
-        done, before = kept(run(source.join(issued, "_key", "left"), text.Maker(keys, F.col("_issued"))), "masked"), now
+        done, before = kept(run(source.join(issued, "_key", "left"), text.Maker(keys, F.col("_issued"), F.col("_foreign"))), "masked"), now
     raise RuntimeError("the tokens of the vault do not settle")
 
 
@@ -92,12 +105,94 @@ def mask_table(df: DataFrame, keys: Keys, o: text.Options = text.Options(), **co
         return classify.apply_plan(df, decisions, keys, o), decisions, vault.sealed(vault.assign(_pairs(_recorded(df)), keys), keys)
 
     def run(x: DataFrame, make: text.Maker) -> DataFrame:
-        return classify.apply_plan(x, decisions, make, o, "_made", ("_key", *(["_issued"] if make.issued is not None else []))).drop("_issued")
+        return classify.apply_plan(x, decisions, make, o, "_made", ("_key", "_foreign", *(["_issued"] if make.issued is not None else []))).drop("_issued", "_foreign")
 
     out, rows = _through_vault(df, keys, o, masked, run, None)
     return out, decisions, vault.sealed(rows, keys)
 
 
-def release(df: DataFrame, keys: Keys, path: str, o: text.Options = text.Options(), column: str = "text") -> gate.Verdict:
-    """Masks and writes, or raises and writes nothing."""
-    return gate.release(mask(df, keys, o, column)[0], path, o, column)
+def release(df: DataFrame, keys: Keys, path: str, o: text.Options = text.Options(), column: str = "text") -> tuple[gate.Verdict, DataFrame]:
+    """Masks and writes, or raises and writes nothing; gives the verdict and the vault rows that restore what was written."""
+    masked, rows = mask(df, keys, o, column)
+    return gate.release(masked, path, o, column, rows), rows
+
+
+def restore_table(df: DataFrame, rows: DataFrame, keys: Keys, columns: list[str] | None = None) -> DataFrame:
+    """``df`` with the tokens in its columns (all text columns) restored, and n_unresolved: the columns of a row
+    become rows of one text column, are restored by one join, and go back."""
+    names = columns or [n for n, t in df.dtypes if t == "string"]
+    base = kept(df.withColumn("_row", F.expr("uuid()")), "rows")
+    cells = base.select(F.explode(F.array(*[F.struct(F.concat_ws("|", "_row", F.lit(n)).alias("cell"), "_row", F.lit(n).alias("column"), F.col(f"`{n}`").alias("text")) for n in names])).alias("c")).select("c.*")
+    back = vault.restore(cells, rows, keys, "cell").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("column", "text"))).alias("_cells"), F.sum("n_unresolved").alias("n_unresolved"))
+    out = base.drop(*[n for n in ("n_unresolved",) if n in base.columns]).join(back, "_row")
+    return out.select(*[F.col("_cells")[n].alias(n) if n in names else F.col(f"`{n}`") for n in df.columns if n != "n_unresolved"], "n_unresolved")
+
+
+def restore_header(columns: list[str], rows: DataFrame, keys: Keys) -> list[str]:
+    """Column names with their tokens restored."""
+    named = rows.sparkSession.createDataFrame(list(enumerate(columns)), "n int, text string")
+    return [r["text"] for r in vault.restore(named, rows, keys, "n").orderBy("n").collect()]
+
+
+def mask_lines(df: DataFrame, fmt: str, keys: Keys, o: text.Options = text.Options(), column: str = "value", keep: tuple[str, ...] = (), invalid: str = "raise") -> tuple[DataFrame, DataFrame]:
+    """(masked table, vault rows) of CEF, LEEF or key=value syslog lines: each pair's value is masked by what its key is classified
+    as, the event name of CEF and the prefix of syslog as free text, other header fields stay.  A line that is not of the
+    format ends the job, or becomes null if ``invalid`` is "null"."""
+    parse, _ = lines.PARSERS[fmt]
+    parsed = kept(df.withColumn("_record", parse(F.col(column))), "lines")
+    bad = parsed.where(F.col("_record").isNull() & F.col(column).isNotNull())
+    if invalid == "raise" and not bad.isEmpty():
+        raise ValueError(f"a line is no {fmt} record")
+    names = [r["key"] for r in parsed.select(F.explode("_record.pairs.key").alias("key")).distinct().collect()]  # few: a format's fields
+    decisions = {n: classify.decide(n, None, keep=keep) for n in names}
+
+    def run(x: DataFrame, make: text.Maker) -> DataFrame:
+        return _lines_masked(x, fmt, make, o, column, decisions)
+
+    out, rows = _through_vault(parsed, keys, o, [column], run, None)
+    return out, vault.sealed(rows, keys)
+
+
+def _lines_masked(x: DataFrame, fmt: str, make: text.Maker, o: text.Options, column: str, decisions: dict) -> DataFrame:
+    _, render = lines.PARSERS[fmt]
+    notes = text.Recorder(make.foreign)
+    kinds = {k: d for k, d in decisions.items() if d.action == "mask"}
+    clear = [k for k, d in decisions.items() if d.action == "keep" and d.by != "unclassified"]
+    free = [k for k, d in decisions.items() if d.action == "text"]
+
+    def value(key, v, m):
+        out = F.when(key.isin(*clear, *free), v).otherwise(F.when(classify.filled(v), F.lit(text.ELIDED)).otherwise(v)) if clear or free else F.when(classify.filled(v), F.lit(text.ELIDED)).otherwise(v)
+        for kind in sorted({d.kind for d in kinds.values()}):
+            mine = [k for k, d in kinds.items() if d.kind == kind]
+            out = F.when(key.isin(*mine), classify.masked_cell(kind, v, m, o)).otherwise(out)
+        return out
+
+    noted = F.transform("_record.pairs", lambda p: F.when(p["key"].isin(*kinds), value(p["key"], p["value"], notes)).otherwise("")) if kinds else F.array().cast("array<string>")
+    out = x.withColumn("_made", F.concat("_made", F.coalesce(text.slots(F.array_join(noted, "")), F.array().cast("array<string>"))))
+    out = out.withColumn("_record", lines.transform_pairs(F.col("_record"), lambda k, v: value(k, v, make)))
+    # free text of the record: the name of the event, the prefix, and message fields, masked as one text with separators
+    pick = F.filter("_record.pairs", lambda p: p["key"].isin(*free)) if free else F.filter("_record.pairs", lambda p: F.lit(False))
+    head = F.when(F.size("_record.header") > 5, F.get("_record.header", F.lit(5))).otherwise("")
+    joined = F.concat_ws("\n\x04\n", head, F.col("_record.prefix"), F.transform(pick, lambda p: p["value"]))
+    out = text.mask_text(out.withColumn("_free", joined), make, o, "_free", "_made")
+    cut = F.split("_free", "\n\x04\n")
+    header = F.transform("_record.header", lambda h, i: F.when((i == 5) & (F.size("_record.header") > 5), F.get(cut, F.lit(0))).otherwise(h))
+    at = lambda i: F.size(F.filter(F.slice("_record.pairs", 1, i), lambda p: p["key"].isin(*free)))
+    pairs = F.transform("_record.pairs", lambda p, i: F.when(p["key"].isin(*free), p.withField("value", F.get(cut, at(i) + 2))).otherwise(p)) if free else F.col("_record.pairs")
+    record = F.when(F.col("_record").isNotNull(), F.col("_record").withField("header", header).withField("prefix", F.get(cut, F.lit(1))).withField("pairs", pairs))
+    return out.withColumn(column, render(record)).drop("_record", "_free", "_foreign", "_issued")
+
+
+def restore_lines(df: DataFrame, fmt: str, rows: DataFrame, keys: Keys, id_col: str, column: str = "value") -> DataFrame:
+    """Lines with the tokens in their values, headers and prefixes restored, and n_unresolved: tokens need no escaping, and
+    originals are escaped again as the format asks, so the line is parsed, restored part by part, and rendered."""
+    parse, render = lines.PARSERS[fmt]
+    parts = df.select(id_col, parse(F.col(column)).alias("_record"))
+    texts = F.concat(F.array("_record.prefix"), "_record.header", F.transform("_record.pairs", lambda p: p["value"]))
+    cells = parts.select(id_col, F.posexplode(texts).alias("_at", "text")).withColumn("_cell", F.concat_ws("|", F.col(id_col).cast("string"), "_at"))
+    done = vault.restore(cells, rows, keys, "_cell").groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("_at", "text"))).alias("_texts"), F.sum("n_unresolved").alias("n_unresolved"))
+    n = F.size("_record.header")
+    header = F.transform("_record.header", lambda h, i: F.col("_texts")[i + 1])
+    pairs = F.transform("_record.pairs", lambda p, i: p.withField("value", F.col("_texts")[i + n + 1]))
+    record = F.col("_record").withField("prefix", F.col("_texts")[F.lit(0)]).withField("header", header).withField("pairs", pairs)
+    return df.drop(column).join(parts.join(done, id_col).select(id_col, render(record).alias(column), "n_unresolved"), id_col, "left")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .functions import checks, network, rules, tokens
 from .functions.tokens import BASE32, Keys, pads
-from .operators import classify, gate, text, vault
+from . import rule_queries
+from .operators import classify, fields, gate, spans, text, vault
 from .plans import jobs
 from .sources import documents as doc_formats
 from .sources import lines, trees
@@ -273,7 +274,7 @@ def q_sweep_known(spark, sf_dir):
 
 def q_subnet_tokens(spark, sf_dir):
     ips = table(spark, sf_dir, "events").select(F.concat(F.lit("10.0."), (F.col("user_id") % 40).cast("string"), F.lit("."), (F.col("event_id") % 50).cast("string")).alias("value"))
-    return vault.subnet_tokens(ips, DEMO)
+    return vault.subnet_map(vault.subnet_tokens(ips, DEMO))
 
 
 def q_reverse_roundtrip(spark, sf_dir):
@@ -366,6 +367,130 @@ def q_gate_report(spark, sf_dir):
     return found.groupBy("source", "category", "rule").agg(F.count("*").alias("n_residual"), F.count_distinct("doc_id").alias("n_docs"))
 
 
+def q_gate_judge(spark, sf_dir):
+    """The gate's verdict on texts masked by all stages, with the vault that issued their tokens."""
+    docs = _spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    masked, rows = jobs.mask(docs, DEMO)
+    verdict = gate.judge(masked, text.Options(), "text", rows)
+    return spark.createDataFrame([(verdict.n_rows, verdict.n_residual, verdict.n_blocked, verdict.released)], "n_rows long, n_residual long, n_blocked long, released boolean")
+
+
+def _customers(spark, sf_dir, *exprs):
+    keyed = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("k"))
+    return keyed.select("c_custkey", *[F.expr(e) for e in exprs])
+
+
+ADDRESSES = "'10.' || (c_custkey % 200) || '.' || (c_custkey // 200 % 250) || '.7 and 8.' || (c_custkey % 190) || '.' || (c_custkey // 190 % 250) || '.9; 10.' || (c_custkey % 230) || '.' || (c_custkey // 230 % 250) || '.5, 9.' || (c_custkey % 180) || '.' || (c_custkey // 180 % 250) || '.3'"
+
+
+def q_many_addresses(spark, sf_dir):
+    """Texts with so many addresses that tokens collide, masked with the vault's tokens and restored: all as they were."""
+    texts = _customers(spark, sf_dir, ADDRESSES.replace("//", "div") + " AS text")
+    masked, rows = jobs.mask_known(texts, DEMO, jobs.options(types=("ipv4",), only=("main",)))
+    out = vault.restore(masked, vault.sealed(rows, DEMO), DEMO, "c_custkey")
+    return out.select("c_custkey", F.md5(F.encode("text", "UTF-8")).alias("digest"), "n_unresolved")
+
+
+def q_foreign_tokens(spark, sf_dir):
+    """Values of the input that look like tokens are masked like others, and come back."""
+    texts = _customers(spark, sf_dir, "'card 02:42:ac:11:00:' || lpad(substr(k, 1, 2), 2, '0') || ' at 198.18.7.' || (c_custkey % 250) AS text")
+    masked, rows = jobs.mask_known(texts, DEMO, jobs.options(types=("ipv4", "mac"), only=("main",)))
+    out = vault.restore(masked.withColumn("kept_text", F.col("text")), vault.sealed(rows, DEMO), DEMO, "c_custkey")
+    clear = F.col("kept_text").contains("02:42:ac:11")
+    return out.select("c_custkey", F.md5(F.encode("text", "UTF-8")).alias("digest"), "n_unresolved", clear.alias("in_clear"))
+
+
+def q_json_mask_nested(spark, sf_dir):
+    """Leaves at every depth masked, redacted or kept by their paths; numbers by path too."""
+    doc = """'{"a":{"b":[{"user":{"name":"u' || user_id || '"}},{"n":' || (event_id % 1000) || '.0,"d":{"e":{"f":{"g":{"h":{"i":{"j":"x' || user_id || '"}}}}}}}]},"ok":true}' AS doc"""
+    events = table(spark, sf_dir, "events").select("event_id", F.expr(doc))
+    decide = lambda path: ("mask", "user") if path.endswith("user.name") else ("redact", None) if path.endswith(("[].n", ".j")) else ("keep", None)
+    return trees.mask_json(events, "event_id", "doc", decide, lambda kind, v: tokens.token(DEMO, kind, v))
+
+
+def q_json_invalid(spark, sf_dir):
+    """Texts that are no JSON, or repeat a key, do not pass."""
+    doc = """CASE WHEN event_id % 3 = 0 THEN '{"k":' || user_id WHEN event_id % 3 = 1 THEN '{"k":1,"k":' || user_id || '}' ELSE '{"k":' || user_id || '}' END AS doc"""
+    events = table(spark, sf_dir, "events").select("event_id", F.expr(doc))
+    return trees.mask_json(events, "event_id", "doc", lambda path: ("keep", None), lambda kind, v: v, invalid="null")
+
+
+RESOLVE = "'address: Main VAT DE' || lpad(k, 9, '0') || ' tel: 0' || lpad(k, 9, '0')"
+
+
+def q_dlp_resolved(spark, sf_dir):
+    """Of findings that overlap, the one of higher priority."""
+    return spans.findings(_customers(spark, sf_dir, RESOLVE + " AS text"), rules.DLP).select("c_custkey", "start", "rule", "priority", "value")
+
+
+def q_dlp_field(spark, sf_dir):
+    """Fields masked by what their names say, and by what is embedded in others."""
+    c = _customers(spark, sf_dir, "'Ada Lovelace' AS name", "'+39 06 ' || lpad(k, 7, '0') AS phone", "'GB82WEST12345698765432' AS iban", "'s3cret-' || k AS secret", "'password: hunter2' || k AS note")
+    named = {"name": "owner.contact_name", "phone": "billing.phone", "iban": "bank_iban", "secret": "api_key", "note": "remark"}
+    return c.select("c_custkey", *[fields.mask_field(n, F.col(a), DEMO).alias(a) for a, n in named.items()])
+
+
+def q_keep_scrub(spark, sf_dir):
+    """A kept field without addresses, host names of the tenant and customer names."""
+    c = _customers(spark, sf_dir, "'mail bob' || k || '@example.com from plant-' || k || ' for AcmeWater' AS remark")
+    o = text.Options(host_terms=("plant-*",), client_terms=("Acme Water",), client_mode="label", client_label="<C>")
+    return c.select("c_custkey", fields.scrub_kept("remark", F.col("remark"), DEMO, o).alias("remark"))
+
+
+def q_person_pairs(spark, sf_dir):
+    """Given and family names side by side, in either order."""
+    c = _customers(spark, sf_dir, "'Dear Mario Rossi, no ' || k || ' and Bianchi, Ada' AS text")
+    return c.select("c_custkey", text.mask_pairs(F.col("text"), ["mario", "ada"], ["rossi", "bianchi"], text.Maker(DEMO)).alias("text"))
+
+
+def q_restore_table(spark, sf_dir):
+    """A table masked column by column and restored through its vault."""
+    c = _customers(spark, sf_dir, "'Owner ' || k AS owner", "'bob' || k || '@example.com' AS email", "'10.1.' || (c_custkey % 250) || '.7' AS src_ip")
+    masked, _, rows = jobs.mask_table(c, DEMO, keep=("c_custkey",))
+    return jobs.restore_table(masked, rows, DEMO).withColumn("c_custkey", F.col("c_custkey").cast("long"))
+
+
+LINE_FORMS = {
+    "cef": r"""'CEF:0|Acme|Prod|1.0|' || k || '|mail bob' || k || '@example.com|5|suser=ann' || k || ' src_ip=10.1.2.' || (c_custkey % 250) || ' msg=by eve' || k || '@example.com'""",
+    "leef": r"""'LEEF:2.0|Acme|Prod|1.0|' || k || '|^|usrName=ann' || k || '^src_ip=10.1.2.' || (c_custkey % 250)""",
+    "syslog": r"""'<13>Jan  1 10:00:00 srv' || k || '.corp.local app: user=ann' || k || ' src_ip=10.1.2.' || (c_custkey % 250)""",
+}
+
+
+def _line_job(spark, sf_dir, fmt):
+    """Lines masked by a job and restored; what was in clear must not be left in between."""
+    df = _customers(spark, sf_dir, LINE_FORMS[fmt] + " AS value")
+    masked, rows = jobs.mask_lines(df, fmt, DEMO)
+    left = masked.select("c_custkey", F.col("value").rlike(r"bob|ann|eve|10\.1\.2\.|corp").alias("in_clear"))
+    return jobs.restore_lines(masked, fmt, rows, DEMO, "c_custkey").join(left, "c_custkey")
+
+
+def q_cef_job(spark, sf_dir):
+    return _line_job(spark, sf_dir, "cef")
+
+
+def q_leef_job(spark, sf_dir):
+    return _line_job(spark, sf_dir, "leef")
+
+
+def q_syslog_job(spark, sf_dir):
+    return _line_job(spark, sf_dir, "syslog")
+
+
+def q_sweep_text(spark, sf_dir):
+    """Originals that a vault knows, replaced in texts that no rule would find them in."""
+    hosts = _customers(spark, sf_dir, "'fqdn' AS kind", "'w' || k || '.plant.zz' AS value").select("kind", "value")
+    texts = _customers(spark, sf_dir, "'ping w' || k || '.plant.zz, then w' || k || '.plant.zzz' AS text")
+    rows = vault.sealed(vault.assign(hosts, DEMO), DEMO)
+    return vault.sweep_text(texts, rows, DEMO, "c_custkey")
+
+
+def q_pseudonymize_residuals(spark, sf_dir):
+    """Documents that stay readable: secrets and phone numbers get tokens instead of a blank."""
+    c = _customers(spark, sf_dir, "'password: hunter2' || k || ' tel: 0' || lpad(k, 9, '0')  AS text")
+    return text.pseudonymize_residuals(c, DEMO)
+
+
 def q_user_activity(spark, sf_dir):
     name = tokens.token(DEMO, "user", F.col("user_id").cast("string")).alias("user_token")
     e = table(spark, sf_dir, "events").groupBy(F.date_trunc("day", "ts").alias("day"), name)
@@ -456,7 +581,33 @@ SQL["q_vault_assign"] = (
     f"SELECT {_bidx(chr(39) + 'user' + chr(39), 'norm')}, 'user', norm, hits, 'usr-' || {_tag('h', 8)} FROM us"
 )
 
-QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q_")}
+_K = "t AS (SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS k FROM customer)"
+_kind = lambda kind, norm: _seed(f"'{kind}'", norm)
+SQL["q_many_addresses"] = f"WITH t AS (SELECT *, {ADDRESSES} AS text FROM customer) SELECT c_custkey, md5(text) AS digest, 0::BIGINT AS n_unresolved FROM t"
+SQL["q_foreign_tokens"] = f"WITH {_K} SELECT c_custkey, md5('card 02:42:ac:11:00:' || lpad(substr(k, 1, 2), 2, '0') || ' at 198.18.7.' || (c_custkey % 250)) AS digest, 0::BIGINT AS n_unresolved, false AS in_clear FROM t"
+SQL["q_json_mask_nested"] = f"""WITH s AS (SELECT event_id, {_kind('user', "'u' || user_id")} AS h FROM events) SELECT event_id, '{{"a":{{"b":[{{"user":{{"name":"usr-' || {_tag('h', 8)} || '"}}}},{{"n":"[ELIDED]","d":{{"e":{{"f":{{"g":{{"h":{{"i":{{"j":"[ELIDED]"}}}}}}}}}}}}}}]}},"ok":true}}' AS doc FROM s"""
+SQL["q_json_invalid"] = """SELECT event_id, CASE WHEN event_id % 3 = 2 THEN '{"k":' || user_id || '}' END AS doc FROM events"""
+SQL["q_dlp_resolved"] = f"WITH {_K} SELECT c_custkey, 18 AS start, 'vat' AS rule, 92 AS priority, 'DE' || lpad(k, 9, '0') AS value FROM t UNION ALL SELECT c_custkey, 35, 'phone', 90, '0' || lpad(k, 9, '0') FROM t"
+SQL["q_dlp_field"] = (
+    f"WITH {_K}, s AS (SELECT *, {_kind('person', chr(39) + 'ada lovelace' + chr(39))} AS hn, {_kind('phone', chr(39) + '+3906' + chr(39) + ' || lpad(k, 7, ' + chr(39) + '0' + chr(39) + ')')} AS hp, {_kind('iban', chr(39) + 'gb82west12345698765432' + chr(39))} AS hi FROM t) "
+    f"SELECT c_custkey, 'person-' || {_tag('hn', 12)} AS name, 'tel-' || {_tag('hp', 12)} AS phone, 'iban-' || {_tag('hi', 12)} AS iban, '[ELIDED]' AS secret, 'password: [ELIDED]' AS note FROM s"
+)
+SQL["q_keep_scrub"] = (
+    f"WITH {_K}, s AS (SELECT *, {_kind('email', chr(39) + 'bob' + chr(39) + ' || k || ' + chr(39) + '@example.com' + chr(39))} AS h, {_kind('emaildomain', chr(39) + 'example.com' + chr(39))} AS hd, {_kind('host', chr(39) + 'plant-' + chr(39) + ' || k')} AS hh FROM t) "
+    f"SELECT c_custkey, 'mail ' || {_MAIL_TOKEN} || ' from host-' || {_tag('hh', 8)} || ' for <C>' AS remark FROM s"
+)
+SQL["q_person_pairs"] = f"WITH {_K}, s AS (SELECT *, {_kind('person', chr(39) + 'mario rossi' + chr(39))} AS h1, {_kind('person', chr(39) + 'bianchi, ada' + chr(39))} AS h2 FROM t) SELECT c_custkey, 'Dear person-' || {_tag('h1', 12)} || ', no ' || k || ' and person-' || {_tag('h2', 12)} AS text FROM s"
+SQL["q_restore_table"] = f"WITH {_K} SELECT c_custkey, 'Owner ' || k AS owner, 'bob' || k || '@example.com' AS email, '10.1.' || (c_custkey % 250) || '.7' AS src_ip, 0::BIGINT AS n_unresolved FROM t"
+SQL |= {f"q_{fmt}_job": f"WITH {_K} SELECT c_custkey, {line} AS value, 0::BIGINT AS n_unresolved, false AS in_clear FROM t" for fmt, line in LINE_FORMS.items()}
+SQL["q_sweep_text"] = f"WITH {_K}, s AS (SELECT *, {_kind('fqdn', chr(39) + 'w' + chr(39) + ' || k || ' + chr(39) + '.plant.zz' + chr(39))} AS h FROM t) SELECT c_custkey, 'ping host-' || {_tag('h', 8)} || '.masked.local, then w' || k || '.plant.zzz' AS text FROM s"
+SQL["q_pseudonymize_residuals"] = f"WITH {_K}, s AS (SELECT *, {_kind('secret', chr(39) + 'hunter2' + chr(39) + ' || k')} AS h, {_kind('phone', chr(39) + '0' + chr(39) + ' || lpad(k, 9, ' + chr(39) + '0' + chr(39) + ')')} AS hp FROM t) SELECT c_custkey, 'password: secret-' || {_tag('h', 12)} || ' tel: tel-' || {_tag('hp', 12)} AS text FROM s"
+SQL["q_subnet_tokens"] = (
+    f"WITH v AS (SELECT DISTINCT '10.0.' || (user_id % 40) AS net, '10.0.' || (user_id % 40) || '.' || (event_id % 50) AS value FROM events), n AS (SELECT net, row_number() OVER (ORDER BY {_kind('ipv4net', 'net')}) - 1 AS a FROM (SELECT DISTINCT net FROM v)), "
+    f"h AS (SELECT net, value, row_number() OVER (PARTITION BY net ORDER BY {_kind('ipv4host', 'value')}) - 1 AS b FROM v) SELECT value, '198.18.' || a || '.' || b AS token FROM h JOIN n USING (net)"
+)
+
+QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q_")} | rule_queries.QUERIES
+SQL |= rule_queries.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ def collapsed(columns: list[str]) -> bool:
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """The table with every column as text, null cells as empty text, and NUL characters removed."""
     head = "\n".join(r["value"] for r in spark.read.text(path).limit(200).collect())
-    df = spark.read.csv(path, header=True, sep=sniff(head), quote='"', escape='"', multiLine=False, mode="PERMISSIVE")
+    df = spark.read.csv(path, header=True, sep=sniff(head), quote='"', escape='"', multiLine=True, mode="PERMISSIVE")
     return df.select([F.coalesce(F.translate(F.col(f"`{c}`"), "\x00", ""), F.lit("")).alias(c) for c in df.columns])
 
 

@@ -44,4 +44,4 @@ def test_reports_use_all_rules(spark, tmp_path):
     spark.createDataFrame([(i, "web", t) for i, t in enumerate(texts)], "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {tuple(r) for r in queries.q_dlp_report(spark, str(tmp_path)).collect()}
     assert got == {("credentials", "credential", 2, 1), ("iban", "iban", 1, 1), ("tax_id", "tax_id", 1, 1), ("credentials", "cloud_key", 1, 1), ("phone", "phone_international", 1, 1)}
-    assert [tuple(r) for r in queries.q_gate_report(spark, str(tmp_path)).collect()] == [("web", None, "fqdn", 3, 2)]
+    assert [tuple(r) for r in queries.q_gate_report(spark, str(tmp_path)).collect()] == [("web", None, "residual_host", 3, 2)]

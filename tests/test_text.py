@@ -35,10 +35,30 @@ def test_nothing_sensitive_is_left(masked):
     assert len(set(mails)) == 1
 
 
-def test_masking_is_idempotent(masked):
-    plain = masked.where("id <> 4")  # a masked domain SID looks like any other SID
-    again = {r.id: r.text for r in text.mask_text(plain, KEYS).collect()}
-    assert again == {r.id: r.text for r in plain.collect()}
+def test_masking_again_with_the_vault_changes_nothing(spark, lines):
+    plain = lines.where("id <> 4")  # a masked domain SID looks like any other SID
+    first, rows = jobs.mask_known(plain, KEYS)
+    once = {r.id: r.text for r in first.collect()}
+    again, more = jobs.mask_known(first, KEYS, known=rows)
+    assert {r.id: r.text for r in again.collect()} == once and more.isEmpty()
+
+
+def test_what_only_looks_like_a_token_is_masked(spark):
+    texts = ["card 02:42:ac:11:00:02", "at 198.18.7.9 up", "via fd00:aaaa:bbbb:cccc::1", "http://198.19.3.4/x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    masked, rows = jobs.mask(df, KEYS)
+    got = {r.id: r.text for r in masked.collect()}
+    assert not any(t.split()[-1 if i else -1] in got[i] for i, t in enumerate(texts[:1] + texts[2:3])) and "198.18.7.9" not in got[1] and "198.19.3.4" not in got[3]
+    assert [r.text for r in vault.restore(masked, rows, KEYS, "id").orderBy("id").collect()] == texts
+    assert gate.judge(masked, vault=rows).released and not gate.judge(df, vault=rows).released
+
+
+def test_domains_that_are_kept_come_back(spark):
+    df = spark.createDataFrame([(1, "on web01.corp.example.com now")], "id long, text string")
+    for o in (text.Options(keep_domain=True), text.Options(keep_scope=False)):
+        masked, rows = jobs.mask(df, KEYS, o)
+        assert ("example.com" in masked.first().text) == o.keep_domain
+        assert vault.restore(masked, rows, KEYS, "id").first().text == "on web01.corp.example.com now"
 
 
 def test_clean_text_stays(spark):
@@ -92,9 +112,12 @@ def test_colliding_tokens_get_a_salt(spark):
 
 
 def test_subnets(spark):
-    one = spark.createDataFrame([(f"10.0.{n}.{h}",) for n in (1, 2) for h in range(256)], "value string")
-    out = vault.subnet_tokens(one, KEYS)
-    assert out.select("token").distinct().count() == 512 and out.selectExpr("substring_index(token, '.', 3)").distinct().count() == 2
+    one = spark.createDataFrame([(f"10.0.{n}.{h}",) for n in (1, 2) for h in range(200)], "value string")
+    rows = vault.subnet_tokens(one, KEYS)
+    out = vault.subnet_map(rows)
+    assert out.select("token").distinct().count() == 400 and out.selectExpr("substring_index(token, '.', 3)").distinct().count() == 2
+    more = vault.subnet_map(vault.subnet_tokens(spark.createDataFrame([("10.0.1.250",), ("10.0.3.1",), ("10.0.1.7",)], "value string"), KEYS, rows))
+    assert more.count() == 402 == more.select("token").distinct().count() and out.exceptAll(more).isEmpty()  # nothing is renumbered
     many = spark.createDataFrame([(f"10.{n // 250}.{n % 250}.1",) for n in range(300)], "value string")
     with pytest.raises(vault.TokenSpaceExhausted):
         vault.subnet_tokens(many, KEYS)
@@ -107,6 +130,19 @@ def test_gate(spark, lines, masked, tmp_path):
         gate.release(lines, str(tmp_path / "bad"))
     assert not (tmp_path / "bad").exists() and not (tmp_path / "bad.staging").exists()
     assert gate.release(safe, str(tmp_path / "good")).n_rows == 8 and spark.read.parquet(str(tmp_path / "good")).count() == 8
+    with pytest.raises(FileExistsError):
+        gate.release(safe, str(tmp_path / "good"))
+    verdict, rows = jobs.release(lines.where("id in (0, 1)"), KEYS, str(tmp_path / "out"))
+    back = vault.restore(spark.read.parquet(str(tmp_path / "out")), rows, KEYS, "id")
+    assert verdict.released and back.where("id = 1").first().text == LINES[1]
+
+
+def test_a_vault_is_archived(spark, tmp_path):
+    path = str(tmp_path / "vault")
+    for n in (1, 2):
+        spark.range(1).write.parquet(path)
+        assert vault.archive(path, spark).endswith(f"archive-{n}")
+    assert not (tmp_path / "vault").exists()
 
 
 def test_stream(spark, lines, tmp_path):
