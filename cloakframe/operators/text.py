@@ -268,17 +268,31 @@ def mask_text(df: DataFrame, keys: Keys | Maker, o: Options = Options(), text: s
         out = out.withColumn(foreign, F.when(F.col(text).rlike(r"198\.1[89]\.|fd00:|02:|-[a-z2-7]{8}|ELIDED|CLIENT-"), looks_own(F.col(text))).otherwise(F.array().cast("array<string>")))
         make = Maker(make.keys, make.issued, F.col(foreign))
     notes = Recorder(make.foreign)
+    context = df.sparkSession.sparkContext.applicationId
     for name, stage in stages(o):
-        runs = [lambda m, s=stage: run_stage(F.col(text), s, lambda c: hidden(c, m, o, s), m.own)]
+        runs = [(name, lambda m, s=stage: run_stage(F.col(text), s, lambda c: hidden(c, m, o, s), m.own))]
         if name == "prose" and o.given_names and o.family_names:
-            runs.insert(0, lambda m: mask_pairs(F.col(text), list(o.given_names), list(o.family_names), m))
-        for run in runs:
+            runs.insert(0, ("pairs", lambda m: mask_pairs(F.col(text), list(o.given_names), list(o.family_names), m)))
+        for part, run in runs:
             if record:
-                out = out.withColumn(record, F.concat(record, slots(run(notes))))
-            out = out.withColumn(text, F.when(F.col(text).isNotNull(), run(make)))
+                out = out.withColumn(record, F.concat(record, slots(_once(context, part, o, text, notes, run))))
+            out = out.withColumn(text, F.when(F.col(text).isNotNull(), _once(context, part, o, text, make, run)))
     return out.drop(foreign)
 
 
+_BUILT: dict[tuple, Column] = {}
+
+
+def _once(context: str, part: str, o: Options, text: str, make: Maker, run: Callable[[Maker], Column]) -> Column:
+    """The stage's expression, built once for an application: building it takes thousands of calls to the JVM."""
+    key = (context, part, repr(o), text, type(make).__name__, make.keys, str(make.issued), str(make.foreign))
+    if key not in _BUILT:
+        if len(_BUILT) >= 256:
+            _BUILT.clear()
+        _BUILT[key] = run(make)
+    return _BUILT[key]
+
+
 def findings(df: DataFrame, stage: tuple[Rule, ...], text: str = "text") -> DataFrame:
     """One row for each accepted match: the other columns of ``df``, ``at`` (its number in the text), and
     rule, kind, category and value."""

@@ -132,7 +132,7 @@ def restore(df: DataFrame, vault: DataFrame, keys: Keys, id_col: str, text: str
     # a bare host label falls back to the one qualified token that starts with it
     stems = vault.where("kind = 'fqdn'").groupBy(F.substring_index("token", ".", 1).alias("token")).agg(F.count("*").alias("n"), F.min("raw_enc").alias("raw_enc")).where("n = 1").select("token", "raw_enc")
     known = vault.select("token", "raw_enc").unionByName(stems.join(vault.select("token"), "token", "left_anti"))
-    raws = known.join(seen.select("token").distinct(), "token", "left_semi").select("token", tokens.decrypt(keys, F.col("raw_enc")).alias("raw"))
+    raws = kept(known.join(seen.select("token").distinct(), "token", "left_semi").select("token", tokens.decrypt(keys, F.col("raw_enc")).alias("raw")), "originals")
     nested = raws.where(F.col("raw").rlike(TOKEN_IN_TEXT)).withColumnRenamed("token", "_of")
     if depth and not nested.isEmpty():  # a later stage masked a passage with tokens of an earlier one
         inner = restore(nested, vault, keys, "_of", "raw", depth - 1).select(F.col("_of").alias("token"), "raw")

@@ -90,7 +90,7 @@ def test_policy(spark):
 
 
 def test_vault_round_trip_and_lookup(spark, lines, masked):
-    found = jobs.all_findings(lines, text.Options())
+    found = jobs.all_findings(lines, text.Options()).cache()
     rows = vault.assign(found, KEYS)
     stored = vault.sealed(rows, KEYS)
     assert rows.count() == rows.select("token").distinct().count()
