@@ -36,7 +36,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import cut, scratch
+from .storage import cut, discard, scratch
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -187,6 +187,7 @@ def apply_rules(docs: DataFrame, labels: DataFrame, rules: QualityRules = Qualit
     marked = labelled(docs, labels, rules, text)
     ratios = cut(log_ratios(docs, marked, rules, text), "ratios")
     threshold = derived_threshold(marked, ratios, rules) if rules.threshold is None else rules.threshold
+    discard(marked)  # ratios and threshold are all that is read from here on
     hashed, tokens, table = scratch(docs, "hashes", "words", "ratios")
     out = docs.withColumn(tokens, words(F.col(f"`{text}`"))).withColumn(hashed, F.transform(tokens, lambda w: F.xxhash64(w)))
     out = with_counts(out, tokens, hashed, text).withColumn("base_failed", base_failed(rules))

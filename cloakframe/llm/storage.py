@@ -33,7 +33,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     executor costs no recomputation beyond them, and the plan above is not run again."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a ``cut`` that nothing reads any more."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch(df: DataFrame, *stems: str) -> list[str]:
