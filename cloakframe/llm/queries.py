@@ -80,6 +80,42 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-OPERATORS = [op1_quality_rules, op2_decontamination, op3_quality_classifier, op4_mixing, op5_warc, op6_toxicity, op7_substring_dedup, op8_sharding, op9_html_extraction, op10_jaccard_join]
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranked_search import search
+
+    return search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan
+
+    out = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("detections").cast("long").alias("n_detections"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation_repair import damaged, reports
+
+    turns = table(spark, sf_dir, "conversations")
+    done = reports(damaged(turns)).withColumnRenamed("conv_id", "met")
+    out = turns.select("conv_id").distinct().join(done, F.col("conv_id").eqNullSafe(F.col("met")), "left")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return out.select("conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"))
+
+
+OPERATORS = [
+    op1_quality_rules, op2_decontamination, op3_quality_classifier, op4_mixing, op5_warc, op6_toxicity, op7_substring_dedup, op8_sharding, op9_html_extraction, op10_jaccard_join,
+    op11_ranked_search, op12_license_scan, op13_conversation_repair,
+]
 QUERIES = {f.__name__: f for f in OPERATORS}
-ORACLE_SQL: dict[str, str] = {}
+
+_TERMS = r"unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS w"
+ORACLE_SQL: dict[str, str] = {
+    "op11_ranked_search": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents), t AS (SELECT r, doc_id, {_TERMS} FROM d),
+  n AS (SELECT r, any_value(doc_id) AS doc_id, count(*) AS n FROM t GROUP BY r), c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM n),
+  q AS (SELECT DISTINCT item_id, w FROM (SELECT item_id, {_TERMS} FROM benchmark)), f AS (SELECT r, w, count(*) AS tf FROM t WHERE w IN (SELECT w FROM q) GROUP BY ALL),
+  g AS (SELECT w, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM f, c GROUP BY w),
+  s AS (SELECT item_id, r, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total)))) AS BIGINT) AS score FROM q JOIN f USING (w) JOIN g USING (w) JOIN n USING (r), c GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER best AS INTEGER) AS rank, doc_id, score FROM s JOIN n USING (r) WHERE score > 0 WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER best <= 10""",
+}
