@@ -8,10 +8,10 @@ document's score for a query is the sum, over the query's distinct terms, of
 where m grows with the document's length against the mean and the weight falls with the number of documents that have the term.
 
 * ``statistics``: one scan counts documents, terms, and the documents of each query term.
-* ``sketches``: one scan folds each document's impacts into coordinatewise maxima: every term has a coordinate in each of two
+* ``sketches``: one scan folds each document's impacts into coordinatewise maxima: every term has a coordinate in each of four
   rows, and a coordinate keeps the greatest impact of the terms that fall on it, rounded up to a byte.  The width
-  follows the number of distinct terms (a power of four), so long documents are told as well as short ones.
-* Bounds: for a batch of queries the coordinates of all their terms are looked up in a block of sketches of one width; the lesser of a term's two
+  follows the number of distinct terms (a power of two), so long documents are told as well as short ones.
+* Bounds: for a batch of queries the coordinates of all their terms are looked up in a block of sketches of one width; the least of a term's four
   values, times its weight, is at least what it can add, so the sum is an upper bound of the score.
 * Rescoring goes down the bounds: of each query the documents with the greatest bounds are scored exactly, which gives a
   threshold (the k-th best score so far); documents with lower bounds are out for good; further rounds take longer
@@ -32,7 +32,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .storage import cut, discard
 from .words import Words, chunks, mix, raw
 
-NARROWEST, WIDEST = 64, 1 << 18
+NARROWEST, WIDEST, ROWS = 64, 1 << 18, 4
 STEP = 4096  # an impact, at most 10**6, in units of a byte
 DIGESTS = ("d0", "d1")
 
@@ -144,16 +144,15 @@ def statistics(docs: DataFrame, block: Block) -> Block:
 
 
 def width(terms: np.ndarray) -> np.ndarray:
-    """The sketch width for a number of distinct terms: the least power of four of twice as many."""
-    bits = 2 * np.ceil(np.log2(np.maximum(2 * terms, NARROWEST)) / 2).astype(np.int64)
-    return np.minimum(np.int64(1) << bits, WIDEST)
+    """The width of a sketch's rows for a number of distinct terms: the least power of two that is three times as many."""
+    return np.minimum(np.int64(1) << np.ceil(np.log2(np.maximum(3 * terms, NARROWEST))).astype(np.int64), WIDEST)
 
 
-def places(hashes: np.ndarray, wide: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-    """A term's coordinates in the two rows of a sketch of a width."""
-    other = mix(hashes)
-    mask = np.asarray(wide, dtype=np.uint64) - np.uint64(1)
-    return (hashes & mask).astype(np.int64), (other & mask).astype(np.int64) + np.asarray(wide, dtype=np.int64)
+def places(hashes: np.ndarray, wide: np.ndarray | int) -> list[np.ndarray]:
+    """A term's coordinates in the rows of a sketch of a width."""
+    mask, wide = np.asarray(wide, dtype=np.uint64) - np.uint64(1), np.asarray(wide, dtype=np.int64)
+    other, half = mix(hashes), np.uint64(32)
+    return [(h & mask).astype(np.int64) + i * wide for i, h in enumerate((hashes, other, hashes >> half, other >> half))]
 
 
 SKETCH = "doc_id {}, d0 long, d1 long, wide int, sketch binary"
@@ -168,7 +167,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], docs: int, total: int) -> Iterato
             terms = np.bincount(rows, minlength=len(n))
             wide = width(terms)
             value = -(-impacts(tf, n[rows], docs, total) // STEP)
-            off = np.append(0, np.cumsum(np.where(n > 0, 2 * wide, 0)))
+            off = np.append(0, np.cumsum(np.where(n > 0, ROWS * wide, 0)))
             sketch = np.zeros(off[-1], dtype=np.uint8)
             for at in places(hashes, wide[rows]):
                 np.maximum.at(sketch, off[rows] + at, value.astype(np.uint8))
@@ -194,11 +193,10 @@ def sketches(docs: DataFrame, n: int, total: int) -> DataFrame:
 
 def bounds(block: Block, wide: int, values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(query number, upper bounds of its scores) over sketches of one width; ``values`` has a coordinate in each row."""
-    p, q = places(block.terms, wide)
-    weights = block.weights.astype(np.float32)
-    least = np.minimum(values[p], values[q]).astype(np.float32) * (weights * np.float32(STEP))[:, None]
+    least = reduce(np.minimum, (values[at] for at in places(block.terms, wide)))
+    least = least.astype(np.float32) * (block.weights.astype(np.float32) * np.float32(STEP))[:, None]
     for number, member in zip(block.queries, block.members, strict=True):
-        yield int(number), least[member].sum(axis=0, dtype=np.float64) * (1 + 1e-6)  # rounding of 32-bit products is below 1e-7
+        yield int(number), least[member].sum(axis=0, dtype=np.float64) * (1 + 1e-6)  # 32-bit products round by less than 1e-6
 
 
 def _bound(batches: Iterator[pa.RecordBatch], block: Block, at_least: dict[int, int] | None, top: int, limit: int = 512) -> Iterator[pa.RecordBatch]:
@@ -239,10 +237,10 @@ def _bound(batches: Iterator[pa.RecordBatch], block: Block, at_least: dict[int,
         data = np.frombuffer(data, dtype=np.uint8)
         for x in np.unique(wide):
             mine = np.flatnonzero(wide == x)
-            step = max(1, min(limit, (1 << 24) // int(2 * x)))
+            step = max(1, min(limit, (1 << 24) // int(ROWS * x)))
             for i in range(0, len(mine), step):
                 some = mine[i : i + step]
-                values = np.frombuffer(b"".join(data[off[j] : off[j + 1]].tobytes() for j in some), dtype=np.uint8).reshape(len(some), 2 * int(x))
+                values = np.frombuffer(b"".join(data[off[j] : off[j + 1]].tobytes() for j in some), dtype=np.uint8).reshape(len(some), ROWS * int(x))
                 held.setdefault(int(x), []).append((d0[some], d1[some], values))
                 if sum(len(h[0]) for h in held[int(x)]) >= step:
                     yield from use(int(x), held.pop(int(x)))
@@ -391,9 +389,11 @@ def search(docs: DataFrame, items: DataFrame, options: Search = Search()) -> Dat
         if not block.total:
             continue
         if index is None:
-            index = cut(sketches(docs, block.n, block.total), "sketches")
-        hits = _search_block(docs, index, block, options)
+            index = cut(sketches(docs, block.n, block.total), "sketches", "zstd")  # mostly zeros
+        hits = cut(_search_block(docs, index, block, options), "hits")
         found = hits if found is None else found.unionByName(hits)
+    if index is not None:
+        discard(index)
     out = f"item_id {items.schema['item_id'].dataType.simpleString()}, rank int, doc_id {docs.schema['doc_id'].dataType.simpleString()}, score long"
     if found is None:
         return docs.sparkSession.createDataFrame([], out)
