@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -109,13 +111,4 @@ OPERATORS = [
     op11_ranked_search, op12_license_scan, op13_conversation_repair,
 ]
 QUERIES = {f.__name__: f for f in OPERATORS}
-
-_TERMS = r"unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS w"
-ORACLE_SQL: dict[str, str] = {
-    "op11_ranked_search": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents), t AS (SELECT r, doc_id, {_TERMS} FROM d),
-  n AS (SELECT r, any_value(doc_id) AS doc_id, count(*) AS n FROM t GROUP BY r), c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM n),
-  q AS (SELECT DISTINCT item_id, w FROM (SELECT item_id, {_TERMS} FROM benchmark)), f AS (SELECT r, w, count(*) AS tf FROM t WHERE w IN (SELECT w FROM q) GROUP BY ALL),
-  g AS (SELECT w, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM f, c GROUP BY w),
-  s AS (SELECT item_id, r, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total)))) AS BIGINT) AS score FROM q JOIN f USING (w) JOIN g USING (w) JOIN n USING (r), c GROUP BY ALL)
-SELECT item_id, CAST(row_number() OVER best AS INTEGER) AS rank, doc_id, score FROM s JOIN n USING (r) WHERE score > 0 WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER best <= 10""",
-}
+ORACLE_SQL: dict[str, str] = {"op11_ranked_search": oracles.RANKED_SEARCH, "op12_license_scan": oracles.license_scan(), "op13_conversation_repair": oracles.conversation_repair()}
