@@ -26,6 +26,26 @@ def valid_iban(value: Column) -> Column:
     return F.coalesce(compact.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$") & (rest == 1), F.lit(False))
 
 
+#: Lengths of account numbers by country, of the public registry of ISO 13616 (fixed values).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def iban_shapes() -> str:
+    """A pattern of account numbers of the registry, each as long as its country says, so that it does not run into the words behind."""
+    return "(?:" + "|".join(f"(?:{'|'.join(codes.split())})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Z0-9])" for n, codes in IBAN_LENGTHS.items()) + ")"
+
+
+def iban_within(value: Column) -> Column:
+    """The longest beginning of a value, at the end of a word, that is an account number; "" if there is none.  The value offers its
+    beginnings by a fold over its words."""
+    words = F.split(value, " ")
+    starts = F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, 1, n), " "))
+    return F.aggregate(starts, F.lit(""), lambda best, x: F.when(valid_iban(x), x).otherwise(best))
+
+
 def luhn(value: Column) -> Column:
     """The standard Luhn rule on a string of digits."""
     return F.coalesce(value.rlike("^[0-9]+$") & F.call_function("luhn_check", value), F.lit(False))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import network, rules, tokens
 from ..functions.tokens import Keys
+from . import fields
 from . import text as free_text
 from .kits import KITS, Kit
 
@@ -37,8 +38,10 @@ CATALOGUE = (
     (r"(?:.*[._])?(?:street_?)?address", "address"),
 )
 TEXT_NAMES = re.compile(r"(?:.*[._])?(?:message|msg|text|description|comment|note|details?|body|command_?line|raw_?log|html|url|uri)")
-#: Whole name segments that mark operational metadata (fixed values).
-SAFE_SEGMENTS = frozenset("timestamp time date severity level status action type category count total size bytes port protocol version priority score rank flag quantity price discount tax balance key number linenumber code line year month day segment region nation".split())
+#: Whole names of operational metadata: a noun, with what it may belong to before it.
+SAFE_NOUNS = "action,balance,bytes,category,code,count,date,day,direction,discount,duration,facility,flag,hour,interval,level,line,lineno,linenumber,minute,month,offset,outcome,packets,port,price,priority,protocol,proto,quantity,rank,rate,result,retries,row,score,second,segment,seq,sequence,severity,size,stage,state,status,subtype,tax,time,timestamp,total,ts,type,unit,version,week,year,zone"
+SAFE_SIDES = "action,alert,avg,bytes,commit,created,creation,dest,destination,detection,dst,duration,end,error,event,exit,expiry,file,finish,first,http,last,log,market,mkt,max,message,min,modified,network,num,order,os,packet,part,process,product,receipt,received,record,request,response,retail,return,rule,schema,ship,source,src,start,supply,threat,total,update,updated"
+SAFE_NAME = re.compile(rf"(?:[a-z]{{1,2}}_)?(?:(?:{SAFE_SIDES.replace(',', '|')})_?)*(?:{SAFE_NOUNS.replace(',', '|')})")
 
 
 @dataclass(frozen=True)
@@ -65,18 +68,24 @@ def candidates(name: str) -> list[str]:
 
 
 def safe_name(name: str) -> bool:
-    return bool(SAFE_SEGMENTS & set(re.split(r"[^a-z0-9]+", candidates(name)[-1])))
+    """Whether the whole last segment of a name is operational; a name that only holds such a word is not."""
+    leaf = candidates(re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name))[-1].replace("-", "_")
+    return bool(SAFE_NAME.fullmatch(leaf)) and not fields.sensitive(name)
+
+
+#: The weight of fingerprints that tells a kit, whatever else it has.
+ENOUGH = 6.0
 
 
 def detect_kit(columns: list[str], kits: dict[str, Kit] = KITS) -> tuple[str | None, float, int, float]:
-    """(kit, confidence, fingerprints met, weight) of the best kit: two fingerprints and a weight of 5, or
-    a weight of 8; ties go to more fingerprints, then to the greater id."""
+    """(kit, confidence, fingerprints met, weight) of the best kit, if it has a third of its kit's weight, or a weight of ``ENOUGH`` by two
+    fingerprints or more; ties go to more fingerprints, then to the greater id."""
     have = {c for name in columns for c in candidates(name)}
     scored = sorted(((sum(w for f, w in k.fingerprints.items() if f in have), sum(f in have for f in k.fingerprints), i) for i, k in kits.items()), reverse=True)
     if not scored:
         return None, 0.0, 0, 0.0
     score, n, best = scored[0]
-    if not ((n >= 2 and score >= 5) or score >= 8):
+    if n < 2 or score < min(ENOUGH, sum(kits[best].fingerprints.values()) / 3):
         return None, 0.0, n, score
     second = scored[1][0] if len(scored) > 1 else 0
     return best, score / (score + second + 1), n, score  # its share of the weight of the best two
@@ -132,11 +141,18 @@ def decide(column: str, seen: dict | None, kit: str | None = None, keep: tuple[s
         for pattern, action, kind in kits[kit].rules:
             if any(re.fullmatch(pattern, f) for f in forms):
                 return Decision(column, kind, action, f"kit:{kit}")
+    if fields.sensitive(column):
+        return Decision(column, None, "redact", "sensitive")
     if any(TEXT_NAMES.fullmatch(f) for f in forms):
         return Decision(column, None, "text", "name")
     for pattern, kind in CATALOGUE:
         if any(re.fullmatch(pattern, f) for f in forms):
             return Decision(column, kind, "mask", "name")
+    category = fields.category(column)
+    if category and category != "credentials":
+        return Decision(column, fields.KINDS[category], "mask", "field")
+    if category:
+        return Decision(column, None, "redact", "sensitive")
     if safe_name(column):
         return Decision(column, None, "keep", "safe")
     n = (seen or {}).get("n_filled") or 0
@@ -178,7 +194,7 @@ def masked_cell(kind: str, cell: Column, keys: Keys | free_text.Maker, o: free_t
     """A cell, which may hold several values: separators (comma, semicolon, bar, brackets, quotes, and
     white space but for names of people and users) stay, every value between them is masked."""
     between = r"[,;|\[\]\"]+\s*" if kind in ("user", "person", "address", "winuser") else r"[,;|\s\[\]\"]+"
-    parts = F.split(F.regexp_replace(F.translate(cell, free_text.MARK, ""), f"({between})", free_text.MARK + "$1" + free_text.MARK), free_text.MARK)
+    parts = F.split(F.regexp_replace(F.translate(cell, free_text.OURS, ""), f"({between})", free_text.MARK + "$1" + free_text.MARK), free_text.MARK)
     one = lambda p, i: F.when((i % 2 == 1) | ~filled(p), p).otherwise(masked_scalar(kind, p, keys, o))
     return F.array_join(F.transform(parts, one), "")
 
@@ -187,9 +203,8 @@ def apply_plan(df: DataFrame, decisions: list[Decision], keys: Keys | free_text.
     """One projection: drop empties, redact elides, mask masks cells, text runs the text stages, keep keeps.
     The array ``record`` gets the ``kind|value`` of every token written; the columns ``carry`` stay."""
     out = [F.col(f"`{c}`") for c in carry]
-    if record:
-        cells = [free_text.slots(masked_cell(d.kind, F.col(f"`{d.column}`").cast("string"), free_text.Recorder(), o)) for d in decisions if d.action == "mask"]
-        out.append(F.concat(F.array().cast("array<string>"), *cells).alias(record))
+    cells = [d.column for d in decisions if d.action == "mask"] if record else []
+    make = free_text.noting(free_text.made(keys)) if record else free_text.made(keys)
     for d in decisions:
         c = F.col(f"`{d.column}`")
         v = c.cast("string")
@@ -198,11 +213,15 @@ def apply_plan(df: DataFrame, decisions: list[Decision], keys: Keys | free_text.
         elif d.action == "redact":
             c = F.when(filled(v), F.lit(free_text.ELIDED)).otherwise(v)
         elif d.action == "mask":
-            c = F.when(v.isNotNull(), masked_cell(d.kind, v, keys, o))
+            c = F.when(v.isNotNull(), masked_cell(d.kind, v, make, o))
         elif d.action == "text":
             c = v
         out.append(c.alias(d.column))
     done = df.select(*out)
+    if record:
+        none = F.array().cast("array<string>")
+        notes = F.concat(none, *[F.coalesce(free_text.noted(F.col(f"`{c}`")), none) for c in cells])
+        done = done.select(*[free_text.plain(F.col(f"`{c}`")).alias(c) if c in cells else F.col(f"`{c}`") for c in done.columns], notes.alias(record))
     for d in decisions:
         if d.action == "text":
             done = free_text.mask_text(done, keys, o, d.column, record)

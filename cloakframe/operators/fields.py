@@ -11,25 +11,43 @@ from ..functions import checks, rules
 from ..functions.tokens import let
 from . import text as free_text
 
-#: Names of fields by category; a name counts as the end of a path (fixed values).
+#: Names of fields by category; a name counts as the end of a path.  The nouns are those of vCard (RFC 6350), the person schema of directories (RFC
+#: 2798, 4519), schema.org, the Elastic Common Schema and OAuth (RFC 6749), and their Italian counterparts; qualifiers go before them.
 FIELD_NAMES = {
-    "credentials": "access token,api key,apikey,authorization,client secret,cookie,id token,passwd,password,private token,pwd,refresh token,secret,session id,set cookie",
-    "phone": "cellulare,mobile,phone,recapito,telefono,telephone",
-    "person_name": "cognome,contact name,display name,first name,full name,last name,nome,nome cognome,persona",
-    "address": "address,address line1,address line2,billing address,domicilio,home address,indirizzo,mailing address,residenza,sede legale,shipping address,street address",
-    "vat_id": "p iva,partita iva,piva,tva,ust id,vat,vat id,vat number,vat reg no",
-    "tax_id": "cf,codice fiscale,fiscal code,tax id",
-    "iban": "iban",
-    "cloud_id": "account id,aws account id,cloud id,guid,object id,resource id,subscription id,tenant id,tenant uuid,uuid",
-}
+    "credentials": ("authorization,client secret,cookie,credential,credentials,otp,passcode,passphrase,passwd,password,pin,private key,pwd,secret,session id,session token,set cookie,token", "access,admin,api,auth,bearer,client,csrf,id,login,old,new,private,proxy,refresh,root,user"),
+    "api_key": ("key", "access,account,api,app,auth,encryption,master,private,secret,service,shared,signing,storage"),
+    "phone": ("cell,cellulare,fax,fax number,home phone,mobile,mobile number,mobile phone,phone,phone number,recapito,tel,telefono,telephone,telephone number", ""),
+    "person_name": ("additional name,cognome,contact name,contact person,display name,family name,first name,full name,given name,intestatario,last name,maiden name,middle name,nome,nome cognome,nominativo,persona,surname", ""),
+    "address": ("address,address line1,address line2,address line3,domicilio,indirizzo,post office box,postal address,residenza,sede,sede legale,street,street address", "billing,delivery,home,mailing,office,permanent,residential,shipping,work"),
+    "vat_id": ("btw,nif,p iva,partita iva,piva,tva,ust id,vat,vat id,vat no,vat number,vat reg no", "company,customer,supplier"),
+    "tax_id": ("cf,codice fiscale,fiscal code,tax code,tax id,tax number,tin", "personal"),
+    "iban": ("iban", "account,bank"),
+    "cloud_id": ("account id,cloud id,guid,object id,project id,resource id,subscription id,tenant id,tenant uuid,uuid", "aws,azure,cloud,gcp"),
+}
 KINDS = {"credentials": "secret", "phone": "phone", "person_name": "person", "address": "address", "vat_id": "vat", "tax_id": "taxid", "iban": "iban", "cloud_id": "cloud"}
-PATTERNS = {c: re.compile(rf"(?i)(?:^|[._-]){rules.any_of(names)}$") for c, names in FIELD_NAMES.items()}
+PATTERNS = {c: re.compile(rf"(?i)(?:^|[._-]){rules.labels(nouns, sides, many=c == 'credentials') if c != 'api_key' else rules.any_of(sides) + '[_.-]?key'}$") for c, (nouns, sides) in FIELD_NAMES.items()}
 
 
 def category(name: str) -> str | None:
     """The category of a field by its name."""
-    plain = re.sub(r"\[[0-9]*\]", "", name.strip())
-    return next((c for c, p in PATTERNS.items() if p.search(plain)), None)
+    plain = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", re.sub(r"\[[0-9]*\]", "", name.strip()))
+    found = next((c for c, p in PATTERNS.items() if p.search(plain)), None)
+    return "credentials" if found == "api_key" else found
+
+
+#: Words of a name that tell that its values must not be seen, alone or one behind the other.
+SENSITIVE = frozenset("cvc cvv dob otp passcode passphrase passwd password pin psw pwd secret secrets ssn token tokens credential credentials cookie biometric fingerprint".split())
+SENSITIVE_PAIRS = frozenset(
+    "access key,account number,account no,api key,bank account,birth date,birth day,birth place,card number,card no,credit card,date birth,debit card,driver license,driving licence,encryption key,health id,identity card,license number,master key,medical record,national id,passport no,"
+    "passport number,place birth,private key,routing number,secret key,security code,security number,shared key,signing key,social security,sort code,storage key,tax code,tax number".split(",")
+)
+
+
+def sensitive(name: str) -> bool:
+    """Whether a field's name alone says that its values must not leave, wherever in the name it says so."""
+    plain = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name.strip()).lower()
+    words = [w for w in re.split(r"[^a-z0-9]+", plain.rpartition(".")[2]) if w and w != "of"]
+    return bool(SENSITIVE & set(words)) or any(f"{a} {b}" in SENSITIVE_PAIRS or a + b in ("apikey", "birthdate") for a, b in zip(words, [*words[1:], ""], strict=True)) or bool({"apikey", "birthdate", "birthday"} & set(words))
 
 
 def fits(kind: str, value: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import checks, network, tokens
@@ -24,7 +24,7 @@ RESIDUAL = (
     Rule("residual_key", "secret", r"-----BEGIN [A-Z ]*(?:KEY|CERTIFICATE)-----", category="private_key", priority=95),
     Rule("residual_vat", "vat", r"[A-Z]{2} ?[A-Z0-9]{8,12}", before=EDGE, after=r"\b", valid=checks.valid_vat, category="vat_id", priority=92, opens=tuple(f"{c} " for c in checks.VAT_FORMS)),
     Rule("residual_email", "email", r"[^\s@<>,;:()\"\u0001]{1,64}@[^\s@<>,;:()\"\u0001]+\.[A-Za-z]{2,24}", priority=90),
-    Rule("residual_iban", "iban", r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}", before=EDGE, after=r"\b", valid=checks.valid_iban, category="iban", priority=90),
+    Rule("residual_iban", "iban", r"[A-Z]{2}[0-9]{2}(?:[ -]?[A-Z0-9]){11,34}", before=EDGE, valid=lambda v: _holds_iban(v), category="iban", priority=90),
     Rule("residual_tax_id", "taxid", r"[A-Z]{6}[0-9]{2}[A-Z][0-9]{2}[A-Z][0-9]{3}[A-Z]", before=EDGE, after=r"\b", valid=checks.valid_tax_id, category="tax_id", priority=90),
     Rule("residual_mac", "mac", r"[0-9A-F]{2}(?:[:-][0-9A-F]{2}){5}", before=EDGE, after=r"\b", priority=85),
     Rule("residual_ipv4", "ipv4", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", before=r"(?<![0-9.])", after=r"(?![0-9]|\.[0-9])", valid=network.valid_ipv4, priority=85),
@@ -36,6 +36,12 @@ RESIDUAL = (
 )
 
 
+def _holds_iban(value: Column) -> Column:
+    """Whether any beginning of a run of letters and digits, whatever its spacing, is an account number; no table of countries is asked."""
+    compact = F.upper(F.regexp_replace(value, "[ -]", ""))
+    return F.exists(F.sequence(F.lit(15), F.least(F.lit(34), F.greatest(F.length(compact), F.lit(15)))), lambda n: checks.valid_iban(F.substr(compact, F.lit(1), n)))
+
+
 class Blocked(RuntimeError):
     """The output still holds sensitive data."""
 
@@ -67,15 +73,25 @@ def foreign_tokens(df: DataFrame, vault: DataFrame, text: str = "text") -> DataF
     return seen.join(vault.select(stem).distinct(), "value", "left_anti")
 
 
-def judge(df: DataFrame, o: Options = Options(), text: str = "text", vault: DataFrame | None = None) -> Verdict:
-    """Counts of what is left; with the vault, values that only look like tokens count too."""
+def judge(df: DataFrame, o: Options = Options(), text: str | list[str] = "text", vault: DataFrame | None = None) -> Verdict:
+    """Counts of what is left in a text column, or several; with the vault, values that only look like tokens count too.  One
+    pass finds everything: cells become rows, and rows their residual findings and looks."""
+    columns = [text] if isinstance(text, str) else list(text)
     blocked = [k for k, a in o.dlp.items() if a == "block"]
-    strange = foreign_tokens(df, vault, text).where(F.col("value").rlike(r"^(?:[0-9]|fd00:)")).count() if vault is not None else 0
-    counts = residuals(df, o, text).agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.col("category").isin(blocked), F.lit(False))).alias("b")).first()
+    cells = df.select(F.explode(F.array(*[F.col(f"`{c}`").cast("string") for c in columns])).alias("text")) if len(columns) > 1 else df.select(F.col(f"`{columns[0]}`").cast("string").alias("text"))
+    counts = residuals(cells, o).agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.col("category").isin(blocked), F.lit(False))).alias("b")).first()
+    strange = foreign_tokens(cells, vault).where(F.col("value").rlike(r"^(?:[0-9]|fd00:)")).count() if vault is not None else 0
     return Verdict(df.count(), counts["n"] - counts["b"] + strange, counts["b"])
 
 
-def release(df: DataFrame, path: str, o: Options = Options(), text: str = "text", vault: DataFrame | None = None) -> Verdict:
+def require(df: DataFrame, o: Options, columns: list[str]) -> None:
+    """Raises if something sensitive is left in the columns."""
+    verdict = judge(df, o, columns) if columns else Verdict(0, 0, 0)
+    if not verdict.released:
+        raise Blocked(f"{verdict.n_residual} residual and {verdict.n_blocked} blocked findings in {', '.join(columns)}")
+
+
+def release(df: DataFrame, path: str, o: Options = Options(), text: str | list[str] = "text", vault: DataFrame | None = None) -> Verdict:
     """Writes ``df`` as Parquet to ``path`` if the gate passes, else raises and leaves nothing there.  A path that exists is
     refused."""
     spark = df.sparkSession

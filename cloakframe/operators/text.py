@@ -23,8 +23,11 @@ from pyspark.sql import functions as F
 from ..functions import network, rules, tokens
 from ..functions.rules import Rule
 from ..functions.tokens import Keys, let
+from ..shared import free_names
 
-MARK = "\x01"
+MARK, HOLD = "\x01", "\x05"
+NOTE, MIDDLE, END = "\x06", "\x07", "\x08"  # around what a token was made of, and the token, until both are taken apart
+OURS = "\x01\x02\x03\x05\x06\x07\x08"  # characters that no text keeps
 ELIDED = "[ELIDED]"
 
 
@@ -78,13 +81,18 @@ def whole(piece: Column) -> Column:
 def classified(piece: Column, stage: tuple[Rule, ...], own: Own = tokens.is_token) -> Column:
     """struct(rule, kind, category, prefix, value) of a match, null if its rule's check fails or it is
     one of our tokens."""
-    none = F.lit(None).cast("struct<rule:string,kind:string,category:string,prefix:string,value:string>")
+    none = F.lit(None).cast("struct<rule:string,kind:string,category:string,prefix:string,value:string,rest:string>")
 
     def struct(at: Column) -> Column:
         body = F.btrim(piece, F.lit(VALUE + NEXT))
         prefix = F.when(body.contains(VALUE), F.substring_index(body, VALUE, 1)).otherwise("")
         told = lambda xs: F.get(F.array(*[F.lit(x).cast("string") for x in xs]), at)
-        return F.struct(told([r.name for r in stage]).alias("rule"), told([r.kind for r in stage]).alias("kind"), told([r.category for r in stage]).alias("category"), prefix.alias("prefix"), F.substring_index(body, VALUE, -1).alias("value"))
+        value, name = F.substring_index(body, VALUE, -1), told([r.name for r in stage])
+        kept = value
+        for r in (r for r in stage if r.shorter):
+            kept = F.when(name == r.name, r.shorter(value)).otherwise(kept)
+        made = lambda k: F.struct(name.alias("rule"), told([r.kind for r in stage]).alias("kind"), told([r.category for r in stage]).alias("category"), prefix.alias("prefix"), k.alias("value"), F.substr(value, F.length(k) + 1).alias("rest"))
+        return let(kept, made) if any(r.shorter for r in stage) else made(value)
 
     def checked(c: Column) -> Column:
         bad = [(c["rule"] == r.name) & ~r.valid(c["value"]) for r in stage if r.valid]
@@ -115,26 +123,35 @@ class Maker:
         return self._known(kind, _normal(kind, v, kinds), _prefixed(kind, v, kinds, self.keys))
 
 
-class Recorder(Maker):
-    """Writes between marks, in the place of a token, the kind and value that the token is made of."""
-
-    def __init__(self, foreign: Column | None = None):
-        super().__init__(None, foreign=foreign)
+class Noting(Maker):
+    """Writes with every token the kind and value that it is made of; ``noted`` and ``plain`` take them apart."""
 
     def token(self, kind: str, raw: Column, internal: Column | None = None, keep_domain: bool = False) -> Column:
-        return F.lit("") if kind not in tokens.REVERSIBLE else F.concat(F.lit(f"{MARK}{kind}|"), raw, F.lit(MARK))
+        token = super().token(kind, raw, internal, keep_domain)
+        return token if kind not in tokens.REVERSIBLE else F.concat(F.lit(f"{NOTE}{kind}|"), raw, F.lit(MIDDLE), token, F.lit(END))
 
     def prefixed(self, kind: Column, v: Column, kinds: list[str]) -> Column:
-        return F.when(kind.isin(*tokens.REVERSIBLE), F.concat(F.lit(MARK), kind, F.lit("|"), v, F.lit(MARK))).otherwise("")
+        token = super().prefixed(kind, v, kinds)
+        return F.when(kind.isin(*tokens.REVERSIBLE), F.concat(F.lit(NOTE), kind, F.lit("|"), v, F.lit(MIDDLE), token, F.lit(END))).otherwise(token)
 
 
 def made(keys: Keys | Maker) -> Maker:
     return keys if isinstance(keys, Maker) else Maker(keys)
 
 
-def slots(recorded: Column) -> Column:
-    """What a ``Recorder`` wrote into a text: an array of ``kind|value``."""
-    return F.filter(F.split(F.coalesce(recorded, F.lit("")), MARK), lambda p, i: i % 2 == 1)
+def noting(make: Maker) -> Noting:
+    return Noting(make.keys, make.issued, make.foreign)
+
+
+def noted(coded: Column) -> Column:
+    """What the tokens that a ``Noting`` wrote are made of: an array of ``kind|value``."""
+    none = F.array().cast("array<string>")
+    return F.when(coded.contains(NOTE), F.regexp_extract_all(coded, F.lit(f"{NOTE}([^{MIDDLE}]*){MIDDLE}"))).otherwise(none)
+
+
+def plain(coded: Column) -> Column:
+    """The text that a ``Noting`` wrote, without its notes."""
+    return F.when(coded.contains(NOTE), F.regexp_replace(coded, f"{NOTE}[^{MIDDLE}]*{MIDDLE}([^{END}]*){END}", "$1")).otherwise(coded)
 
 
 def mask_url(url: Column, keys: Keys | Maker, o: Options) -> Column:
@@ -150,7 +167,7 @@ def mask_url(url: Column, keys: Keys | Maker, o: Options) -> Column:
     hidden = F.when(ip, make.token("ipv4", host, network.is_internal(host) if o.keep_scope else None)).otherwise(make.token("fqdn", host, keep_domain=o.keep_domain))
     inner = network.is_internal(host) | network.in_networks(host, o.tenant_networks)
     shown = {"all": F.when(host == "", host).when(make.own(host), host).otherwise(hidden), "internal": F.when(ip & inner, hidden).otherwise(host)}.get(o.url_mode, host)
-    segment = lambda s: F.when(s.rlike(rf"(?i)^(?:WB-[A-Z0-9][A-Z0-9-]{{6,80}}|[0-9a-f]{{24,64}}|{rules.GUID})$"), make.token("opaque", s)).otherwise(s)
+    segment = lambda s: F.when(s.rlike(rf"(?i)^(?:{rules.WORKBENCH}|[0-9a-f]{{24,64}}|{rules.GUID})$"), make.token("opaque", s)).otherwise(s)
     path = F.array_join(F.transform(F.split(part(5), "/"), segment), "/") if o.url_mode == "all" else part(5)
 
     def parameter(p: Column) -> Column:
@@ -215,21 +232,61 @@ def hidden(c: Column, keys: Keys | Maker, o: Options, stage: tuple[Rule, ...]) -
         masked = F.when(kind == k, masks[k]()).otherwise(masked)
     if any(r.category for r in stage):
         masked = F.when(act("keep") | act("block"), v).when(act("redact"), ELIDED).otherwise(masked)
-    return F.concat(c["prefix"], masked)
+    return F.concat(c["prefix"], masked, c["rest"])
+
+
+#: What every match of a stage holds somewhere (a pattern); texts without it are not looked at further.
+NEEDS = {
+    rules.MAIN: r"[0-9@:=\\/_-]|\.\w", rules.IDENTITY: "[:=]", rules.SHARED_FOLDER: "/", rules.BARE_HOST: "[0-9_-]", rules.PROSE: "(?i)user|account|operator|utente",
+}
+BANDS = ((100, r"[0-9:=&_@!#$%*+?^~/-]|\.\w|[A-Za-z]{20}"), (90, "[0-9/]"), (80, "[0-9:=]"), (0, "[0-9]"))
+
+
+def bands(stage: tuple[Rule, ...]) -> list[tuple[tuple[Rule, ...], str]]:
+    """The rules of a stage by bands of priority, with what each band needs."""
+    out, rest = [], list(stage)
+    for least, needs in BANDS:
+        mine = tuple(r for r in rest if r.priority >= least)
+        rest = [r for r in rest if r.priority < least]
+        if mine:
+            out.append((mine, needs))
+    return out
 
 
 def run_stage(text: Column, stage: tuple[Rule, ...], change: Callable[[Column], Column], own: Own = tokens.is_token) -> Column:
-    """The text with every accepted match replaced by ``change`` of its classification."""
-    one = lambda p: let(classified(p, stage, own), lambda c: F.when(c.isNull(), whole(p)).otherwise(change(c)))
-    marks = {rules.IDENTITY: (":", "="), rules.SHARED_FOLDER: ("/",)}.get(stage)  # without one of these there is no match
-    met = reduce(Column.__or__, [text.contains(m) for m in marks]) if marks else F.lit(True)
-    return F.when(~met, F.translate(text, MARK + VALUE + NEXT, "")).otherwise(_replaced(text, stage, one))
+    """The text with every accepted match replaced by ``change`` of its classification.  Rules with categories go by bands of priority:
+    what a band has replaced is closed to the next, so of findings that overlap the one of higher priority
+    stays, whichever starts first; within a band the leftmost does."""
+    if any(r.category for r in stage):
+        return _banded(text, stage, change, own)
+    needs = NEEDS[rules.MAIN] if set(stage) <= set(rules.MAIN) else NEEDS.get(stage)
+    done = _replaced(text, stage, lambda p: _one(p, stage, change, own))
+    return F.when(text.rlike(needs), done).otherwise(F.translate(text, MARK + VALUE + NEXT, "")) if needs else done
+
+
+def _one(piece: Column, stage: tuple[Rule, ...], change: Callable[[Column], Column], own: Own) -> Column:
+    return let(classified(piece, stage, own), lambda c: F.when(c.isNull(), whole(piece)).otherwise(change(c)))
 
 
 def _replaced(text: Column, stage: tuple[Rule, ...], one: Callable[[Column], Column]) -> Column:
     return F.array_join(F.transform(pieces(text, stage), lambda p, i: F.when(i % 2 == 1, one(p)).otherwise(p)), "")
 
 
+def _cut_on(cut: Column, band: tuple[Rule, ...], needs: str, one: Callable[[Column], Column]) -> Column:
+    run = lambda p: F.when(p.rlike(needs), F.split(_replaced(p, band, one), MARK)).otherwise(F.array(p))
+    return F.flatten(F.transform(cut, lambda p, i: F.when(i % 2 == 1, F.array(p)).otherwise(run(p))))
+
+
+def _banded(text: Column, stage: tuple[Rule, ...], change: Callable[[Column], Column], own: Own) -> Column:
+    """Text is cut into open and closed pieces in turn, and every band cuts the open ones further.  An open piece ends in a mark
+    where it meets a closed one, so that its end is not taken for that of the text."""
+    closed = lambda c: F.concat(F.lit(HOLD + MARK), change(c), F.lit(MARK + HOLD))
+    cut = F.array(F.translate(F.coalesce(text, F.lit("")), OURS, ""))
+    for band, needs in bands(stage):
+        cut = _cut_on(cut, band, needs, lambda q, band=band: _one(q, band, closed, own))
+    return F.when(text.isNotNull(), F.translate(F.array_join(cut, ""), HOLD, ""))
+
+
 def mask_pairs(text: Column, given: list[str], family: list[str], make: Maker) -> Column:
     """A given and a family name side by side, in either order, as one person.  Every two neighbouring words are looked
     up, so a word before the pair does not hide it; a word belongs to one pair at most, the first."""
@@ -262,22 +319,25 @@ def mask_text(df: DataFrame, keys: Keys | Maker, o: Options = Options(), text: s
     every token that they write, as each stage sees the text.  Nothing in the input counts as a token of ours, unless ``keys``
     is a ``Maker`` that knows the ``foreign`` values."""
     make = made(keys)
-    out = df
-    foreign = "_foreign_" + text
+    foreign, coded = free_names(df, "foreign", "coded")
+    out = df.withColumn(text, F.translate(F.col(text), OURS, ""))
     if make.foreign is None:
         out = out.withColumn(foreign, F.when(F.col(text).rlike(r"198\.1[89]\.|fd00:|02:|-[a-z2-7]{8}|ELIDED|CLIENT-"), looks_own(F.col(text))).otherwise(F.array().cast("array<string>")))
         make = Maker(make.keys, make.issued, F.col(foreign))
-    notes = Recorder(make.foreign)
+    notes = noting(make)
     context = df.sparkSession.sparkContext.applicationId
     for name, stage in stages(o):
         runs = [(name, lambda m, s=stage: run_stage(F.col(text), s, lambda c: hidden(c, m, o, s), m.own))]
         if name == "prose" and o.given_names and o.family_names:
             runs.insert(0, ("pairs", lambda m: mask_pairs(F.col(text), list(o.given_names), list(o.family_names), m)))
         for part, run in runs:
-            if record:
-                out = out.withColumn(record, F.concat(record, slots(_once(context, part, o, text, notes, run))))
-            out = out.withColumn(text, F.when(F.col(text).isNotNull(), _once(context, part, o, text, make, run)))
-    return out.drop(foreign)
+            if not record:
+                out = out.withColumn(text, F.when(F.col(text).isNotNull(), _once(context, part, o, text, make, run)))
+                continue
+            out = out.withColumn(coded, F.when(F.col(text).isNotNull(), _once(context, part, o, text, notes, run)))
+            both = F.coalesce(noted(F.col(coded)), F.array().cast("array<string>"))
+            out = out.withColumns({record: F.concat(record, both), text: plain(F.col(coded))})
+    return out.drop(foreign, coded)
 
 
 _BUILT: dict[tuple, Column] = {}
@@ -314,6 +374,6 @@ def pseudonymize_residuals(df: DataFrame, keys: Keys | Maker, o: Options = Optio
 def redact_residuals(df: DataFrame, o: Options = Options(), text: str = "text") -> DataFrame:
     """Elides what the personal-data rules still find, but for categories that are kept or blocked."""
     fixed = [k for k, a in o.dlp.items() if a in ("keep", "block")]
-    change = lambda c: F.concat(c["prefix"], F.when(F.coalesce(c["category"].isin(fixed), F.lit(False)), c["value"]).otherwise(ELIDED))
+    change = lambda c: F.concat(c["prefix"], F.when(F.coalesce(c["category"].isin(fixed), F.lit(False)), c["value"]).otherwise(ELIDED), c["rest"])
     stage = rules.DLP + tuple(r for r in rules.MAIN if r.name == "email")
     return df.withColumn(text, F.when(F.col(text).isNotNull(), run_stage(F.col(text), stage, change)))

@@ -96,21 +96,30 @@ def mask(df: DataFrame, keys: Keys, o: text.Options = text.Options(), column: st
     return masked, vault.sealed(rows, keys)
 
 
-def mask_table(df: DataFrame, keys: Keys, o: text.Options = text.Options(), **config) -> tuple[DataFrame, list[classify.Decision], DataFrame]:
+def mask_table(df: DataFrame, keys: Keys, o: text.Options = text.Options(), gated: bool = True, **config) -> tuple[DataFrame, list[classify.Decision], DataFrame]:
     """(masked table, plan, vault rows): every column classified and masked by its decision, with the tokens
-    of the vault."""
+    of the vault.  Columns that the configuration does not keep pass the gate, or the job ends (``gated``)."""
     decisions = classify.plan(df, **config)
     masked = [d.column for d in decisions if d.action in ("mask", "text")]
-    if not masked:
-        return classify.apply_plan(df, decisions, keys, o), decisions, vault.sealed(vault.assign(_pairs(_recorded(df)), keys), keys)
+    if masked:
 
-    def run(x: DataFrame, make: text.Maker) -> DataFrame:
-        return classify.apply_plan(x, decisions, make, o, "_made", ("_key", "_foreign", *(["_issued"] if make.issued is not None else []))).drop("_issued", "_foreign")
+        def run(x: DataFrame, make: text.Maker) -> DataFrame:
+            return classify.apply_plan(x, decisions, make, o, "_made", ("_key", "_foreign", *(["_issued"] if make.issued is not None else []))).drop("_issued", "_foreign")
 
-    out, rows = _through_vault(df, keys, o, masked, run, None)
+        out, rows = _through_vault(df, keys, o, masked, run, None)
+    else:
+        out, rows = classify.apply_plan(df, decisions, keys, o), vault.assign(_pairs(_recorded(df)), keys)
+    if gated:
+        gate.require(out, o, [d.column for d in decisions if d.by not in ("config", "override") and not (d.kind or "").startswith("sid")])
     return out, decisions, vault.sealed(rows, keys)
 
 
+def release_table(df: DataFrame, keys: Keys, path: str, o: text.Options = text.Options(), **config) -> tuple[gate.Verdict, DataFrame]:
+    """Masks a table and writes it, or raises and writes nothing."""
+    masked, decisions, rows = mask_table(df, keys, o, gated=False, **config)
+    return gate.release(masked, path, o, [d.column for d in decisions if d.by not in ("config", "override")], rows), rows
+
+
 def release(df: DataFrame, keys: Keys, path: str, o: text.Options = text.Options(), column: str = "text") -> tuple[gate.Verdict, DataFrame]:
     """Masks and writes, or raises and writes nothing; gives the verdict and the vault rows that restore what was written."""
     masked, rows = mask(df, keys, o, column)
@@ -155,7 +164,7 @@ def mask_lines(df: DataFrame, fmt: str, keys: Keys, o: text.Options = text.Optio
 
 def _lines_masked(x: DataFrame, fmt: str, make: text.Maker, o: text.Options, column: str, decisions: dict) -> DataFrame:
     _, render = lines.PARSERS[fmt]
-    notes = text.Recorder(make.foreign)
+    notes = text.noting(make)
     kinds = {k: d for k, d in decisions.items() if d.action == "mask"}
     clear = [k for k, d in decisions.items() if d.action == "keep" and d.by != "unclassified"]
     free = [k for k, d in decisions.items() if d.action == "text"]
@@ -167,9 +176,9 @@ def _lines_masked(x: DataFrame, fmt: str, make: text.Maker, o: text.Options, col
             out = F.when(key.isin(*mine), classify.masked_cell(kind, v, m, o)).otherwise(out)
         return out
 
-    noted = F.transform("_record.pairs", lambda p: F.when(p["key"].isin(*kinds), value(p["key"], p["value"], notes)).otherwise("")) if kinds else F.array().cast("array<string>")
-    out = x.withColumn("_made", F.concat("_made", F.coalesce(text.slots(F.array_join(noted, "")), F.array().cast("array<string>"))))
-    out = out.withColumn("_record", lines.transform_pairs(F.col("_record"), lambda k, v: value(k, v, make)))
+    out = x.withColumn("_record", lines.transform_pairs(F.col("_record"), lambda k, v: value(k, v, notes)))
+    out = out.withColumn("_made", F.concat("_made", F.coalesce(text.noted(F.array_join(F.transform("_record.pairs", lambda p: p["value"]), "")), F.array().cast("array<string>"))))
+    out = out.withColumn("_record", lines.transform_pairs(F.col("_record"), lambda k, v: text.plain(v)))
     # free text of the record: the name of the event, the prefix, and message fields, masked as one text with separators
     pick = F.filter("_record.pairs", lambda p: p["key"].isin(*free)) if free else F.filter("_record.pairs", lambda p: F.lit(False))
     head = F.when(F.size("_record.header") > 5, F.get("_record.header", F.lit(5))).otherwise("")

@@ -212,6 +212,32 @@ def q_dlp_report(spark, sf_dir):
     return text.findings(docs, rules.DLP).groupBy("category", "rule").agg(F.count("*").alias("n"), F.count_distinct("value").alias("n_values"))
 
 
+_ACCOUNT = "lpad(cast(doc_id AS string), 14, '0')"
+_IBAN = f"concat('GB', lpad(cast(98 - cast(concat('32142829', {_ACCOUNT}, '161100') AS decimal(38, 0)) % 97 AS string), 2, '0'), 'WEST', {_ACCOUNT})"
+
+
+def q_iban_prose(spark, sf_dir):
+    """Whole texts with an account number before words, closed up or in groups of four: what the personal-data rules put in place of account
+    numbers, and how many the gate, which has a test of its own, sees in the unmasked text."""
+    docs = _spread(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("iban", F.expr(_IBAN))
+    spaced = F.concat_ws(" ", *[F.substring("iban", 4 * i + 1, 4) for i in range(6)])
+    docs = docs.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" paid to "), F.when(F.col("doc_id") % 2 == 0, F.col("iban")).otherwise(spaced), F.lit(" for invoice 7")))
+    masked = text.run_stage(F.col("text"), rules.DLP, lambda c: text.hidden(c, DEMO, text.Options(), rules.DLP))
+    found = docs.select("doc_id", F.array_join(F.array_sort(F.regexp_extract_all(masked, F.lit("(iban-[a-z2-7]{12})"))), ",").alias("tokens"))
+    seen = gate.residuals(docs.select("doc_id", "text")).where("rule = 'residual_iban'").groupBy("doc_id").agg(F.count("*").alias("n_gate"))
+    return found.join(seen, "doc_id", "left").select("doc_id", "tokens", F.coalesce("n_gate", F.lit(0)).alias("n_gate"))
+
+
+CLOSED = "api_key secret_key private_key card_number account_number passport_number social_security_number tax_code date_of_birth action_token type_of_secret home_region password".split()
+
+
+def q_columns_fail_closed(spark, sf_dir):
+    """Columns whose names hold a harmless word, and are not harmless; only whole operational names stay."""
+    c = _customers(spark, sf_dir, *[f"'v' || k || 'x{i}' AS {n}" for i, n in enumerate(CLOSED)], "'high' AS severity", "c_custkey AS event_count")
+    masked, _, _ = jobs.mask_table(c, DEMO, keep=("c_custkey",))
+    return masked.select("c_custkey", *CLOSED, "severity", F.col("event_count").cast("long").alias("event_count"))
+
+
 def q_luhn(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(\b[0-9]{16}\b)"))).alias("number"))
     return docs.select("doc_id", "number", checks.luhn(F.col("number")).alias("valid")).distinct()
@@ -461,7 +487,7 @@ def _line_job(spark, sf_dir, fmt):
     """Lines masked by a job and restored; what was in clear must not be left in between."""
     df = _customers(spark, sf_dir, LINE_FORMS[fmt] + " AS value")
     masked, rows = jobs.mask_lines(df, fmt, DEMO)
-    left = masked.select("c_custkey", F.col("value").rlike(r"bob|ann|eve|10\.1\.2\.|corp").alias("in_clear"))
+    left = masked.select("c_custkey", F.col("value").rlike(r"bob[0-9]|ann[0-9]+( |\^|$)|eve[0-9]+@|10\.1\.2\.|corp").alias("in_clear"))
     return jobs.restore_lines(masked, fmt, rows, DEMO, "c_custkey").join(left, "c_custkey")
 
 
@@ -597,6 +623,12 @@ SQL["q_keep_scrub"] = (
     f"SELECT c_custkey, 'mail ' || {_MAIL_TOKEN} || ' from host-' || {_tag('hh', 8)} || ' for <C>' AS remark FROM s"
 )
 SQL["q_person_pairs"] = f"WITH {_K}, s AS (SELECT *, {_kind('person', chr(39) + 'mario rossi' + chr(39))} AS h1, {_kind('person', chr(39) + 'bianchi, ada' + chr(39))} AS h2 FROM t) SELECT c_custkey, 'Dear person-' || {_tag('h1', 12)} || ', no ' || k || ' and person-' || {_tag('h2', 12)} AS text FROM s"
+SQL["q_columns_fail_closed"] = "SELECT c_custkey, " + ", ".join(f"'[ELIDED]' AS {n}" for n in CLOSED) + ", 'high' AS severity, c_custkey AS event_count FROM customer"
+_SQL_ACCOUNT = "lpad(CAST(doc_id AS VARCHAR), 14, '0')"
+SQL["q_iban_prose"] = (
+    f"WITH d AS (SELECT doc_id, 'gb' || lpad(CAST(98 - CAST('32142829' || {_SQL_ACCOUNT} || '161100' AS HUGEINT) % 97 AS VARCHAR), 2, '0') || 'west' || {_SQL_ACCOUNT} AS norm FROM documents), s AS (SELECT doc_id, {_kind('iban', 'norm')} AS h FROM d) "
+    f"SELECT doc_id, 'iban-' || {_tag('h', 12)} AS tokens, 1::BIGINT AS n_gate FROM s"
+)
 SQL["q_restore_table"] = f"WITH {_K} SELECT c_custkey, 'Owner ' || k AS owner, 'bob' || k || '@example.com' AS email, '10.1.' || (c_custkey % 250) || '.7' AS src_ip, 0::BIGINT AS n_unresolved FROM t"
 SQL |= {f"q_{fmt}_job": f"WITH {_K} SELECT c_custkey, {line} AS value, 0::BIGINT AS n_unresolved, false AS in_clear FROM t" for fmt, line in LINE_FORMS.items()}
 SQL["q_sweep_text"] = f"WITH {_K}, s AS (SELECT *, {_kind('fqdn', chr(39) + 'w' + chr(39) + ' || k || ' + chr(39) + '.plant.zz' + chr(39))} AS h FROM t) SELECT c_custkey, 'ping host-' || {_tag('h', 8)} || '.masked.local, then w' || k || '.plant.zzz' AS text FROM s"

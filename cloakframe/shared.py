@@ -24,3 +24,15 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder(df.sparkSession)}/cloakframe-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def free_names(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that ``df`` does not have, one for each stem."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        name = f"_{stem}"
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
