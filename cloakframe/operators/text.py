@@ -319,25 +319,22 @@ def mask_text(df: DataFrame, keys: Keys | Maker, o: Options = Options(), text: s
     every token that they write, as each stage sees the text.  Nothing in the input counts as a token of ours, unless ``keys``
     is a ``Maker`` that knows the ``foreign`` values."""
     make = made(keys)
-    foreign, coded = free_names(df, "foreign", "coded")
-    out = df.withColumn(text, F.translate(F.col(text), OURS, ""))
+    foreign, coded, body = free_names(df, "foreign", "coded", "body")  # always the same names, so that expressions are built once
+    out = df.withColumn(body, F.translate(F.col(f"`{text}`"), OURS, ""))
     if make.foreign is None:
-        out = out.withColumn(foreign, F.when(F.col(text).rlike(r"198\.1[89]\.|fd00:|02:|-[a-z2-7]{8}|ELIDED|CLIENT-"), looks_own(F.col(text))).otherwise(F.array().cast("array<string>")))
+        out = out.withColumn(foreign, F.when(F.col(body).rlike(r"198\.1[89]\.|fd00:|02:|-[a-z2-7]{8}|ELIDED|CLIENT-"), looks_own(F.col(body))).otherwise(F.array().cast("array<string>")))
         make = Maker(make.keys, make.issued, F.col(foreign))
     notes = noting(make)
     context = df.sparkSession.sparkContext.applicationId
     for name, stage in stages(o):
-        runs = [(name, lambda m, s=stage: run_stage(F.col(text), s, lambda c: hidden(c, m, o, s), m.own))]
+        runs = [(name, lambda m, s=stage: run_stage(F.col(body), s, lambda c: hidden(c, m, o, s), m.own))]
         if name == "prose" and o.given_names and o.family_names:
-            runs.insert(0, ("pairs", lambda m: mask_pairs(F.col(text), list(o.given_names), list(o.family_names), m)))
+            runs.insert(0, ("pairs", lambda m: mask_pairs(F.col(body), list(o.given_names), list(o.family_names), m)))
         for part, run in runs:
-            if not record:
-                out = out.withColumn(text, F.when(F.col(text).isNotNull(), _once(context, part, o, text, make, run)))
-                continue
-            out = out.withColumn(coded, F.when(F.col(text).isNotNull(), _once(context, part, o, text, notes, run)))
-            both = F.coalesce(noted(F.col(coded)), F.array().cast("array<string>"))
-            out = out.withColumns({record: F.concat(record, both), text: plain(F.col(coded))})
-    return out.drop(foreign, coded)
+            out = out.withColumn(coded, F.when(F.col(body).isNotNull(), _once(context, part, o, body, notes, run)))
+            more = {record: F.concat(record, F.coalesce(noted(F.col(coded)), F.array().cast("array<string>")))} if record else {}
+            out = out.withColumns(more | {body: plain(F.col(coded))})
+    return out.withColumn(text, F.col(body)).drop(foreign, coded, body)
 
 
 _BUILT: dict[tuple, Column] = {}

@@ -39,9 +39,11 @@ def values(found: DataFrame, keys: Keys) -> DataFrame:
 
 
 def salted(df: DataFrame, keys: Keys, keep_scope: bool = True, keep_domain: bool = False) -> DataFrame:
-    """Adds the token of (kind, norm, salt); ``keep_scope`` and ``keep_domain`` as in the options of the texts."""
-    seeded = df.withColumn("_seed", tokens.seed(keys, F.col("kind"), F.col("norm"), F.col("salt")))
-    return seeded.withColumn("token", _by_kind(lambda k: tokens.shape(k, F.col("_seed"), F.col("norm"), keys, network.is_internal(F.col("norm")) if k == "ipv4" and keep_scope else None, keep_domain))).drop("_seed")
+    """Adds the token of (kind, norm, salt); ``keep_scope`` and ``keep_domain`` as in the options of the texts.  The token is made inside a
+    lambda: as plain expressions, the shapes of all kinds would outgrow what one generated method may hold."""
+    seeded = tokens.seed(keys, F.col("kind"), F.col("norm"), F.col("salt"))
+    shaped = lambda h: _by_kind(lambda k: tokens.shape(k, h, F.col("norm"), keys, network.is_internal(F.col("norm")) if k == "ipv4" and keep_scope else None, keep_domain))
+    return df.withColumn("token", tokens.let(seeded, shaped))
 
 
 def assign(found: DataFrame, keys: Keys, vault: DataFrame | None = None, keep_scope: bool = True, keep_domain: bool = False) -> DataFrame:
@@ -50,23 +52,26 @@ def assign(found: DataFrame, keys: Keys, vault: DataFrame | None = None, keep_sc
     new = values(found, keys)
     if vault is not None:
         new = new.join(vault.select("bidx"), "bidx", "left_anti")
-    open_, done = kept(salted(new.withColumn("salt", F.lit(0)), keys, keep_scope, keep_domain), "values"), None
-    crowded = open_.where("kind = 'ipv4'").groupBy(F.substring("token", 1, 7).alias("scope")).count().where(F.col("count") > 65_536)
-    if not crowded.isEmpty():  # told at once, not after all rounds
-        raise TokenSpaceExhausted("more addresses of one scope than there are tokens")
+    open_ = kept(salted(new.withColumn("salt", F.lit(0)), keys, keep_scope, keep_domain), "values")
     taken = open_.where(tokens.is_token(F.col("raw"))).select(F.col("raw").alias("token"))
     if vault is not None:
         taken = taken.union(vault.select("token"))
-    order = Window.partitionBy("token").orderBy("bidx")
+    order, done = Window.partitionBy("token").orderBy("bidx"), None
     for salt in range(1, MAX_SALT + 1):
-        free = open_.join(taken, "token", "left_anti")
-        won = free.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-        won = kept(won, "assigned")
+        met = open_.join(taken.select(F.col("token").alias("_met")).distinct(), F.col("token") == F.col("_met"), "left")
+        place = F.row_number().over(order)
+        ranked = kept(met.withColumn("_won", F.col("_met").isNull() & (place == 1)).drop("_met"), "assigned")
+        won, lost = ranked.where("_won").drop("_won"), ranked.where("NOT _won").drop("_won")
         done = won if done is None else done.unionByName(won)
-        lost = open_.join(won.select("bidx"), "bidx", "left_anti")
         if lost.isEmpty():
             return done
+        if salt == 1:
+            crowded = open_.where("kind = 'ipv4'").groupBy(F.substring("token", 1, 7).alias("scope")).count().where(F.col("count") > 65_536)
+            if not crowded.isEmpty():  # told at once, not after all rounds
+                raise TokenSpaceExhausted("more addresses of one scope than there are tokens")
         taken = taken.union(won.select("token"))
+        if salt % 8 == 0:  # one table instead of many
+            taken, done = kept(taken, "taken"), kept(done, "assigned")
         open_ = kept(salted(lost.drop("token").withColumn("salt", F.lit(salt)), keys, keep_scope, keep_domain), "values")
     raise TokenSpaceExhausted("a kind has no free token left; archive the vault or use another tenant")
 

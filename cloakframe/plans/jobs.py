@@ -58,12 +58,16 @@ def _with_foreign(df: DataFrame, columns: list[str], known: DataFrame | None) ->
     return df.join(alien, "_key", "left").withColumn("_foreign", F.coalesce("_foreign", F.array().cast("array<string>")))
 
 
+def _flat(issued: DataFrame) -> DataFrame:
+    return issued.select("_key", F.explode("_issued"))
+
+
 Run = Callable[[DataFrame, text.Maker], DataFrame]
 
 
 def _through_vault(df: DataFrame, keys: Keys, o: text.Options, columns: list[str], run: Run, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """(masked table, new vault rows).  ``run`` masks and records in ``_made``; the first time with unsalted
-    tokens, then with those of the vault for rows that have a value with another one, until no token
+    tokens, then, for rows that have a value with another one, with those of the vault, until no token
     changes: later stages see tokens that earlier ones wrote, so it ends after as many times as there are
     stages, and after one where no value is salted."""
     source = _recorded(df).withColumn("_key", F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns])), 256))
@@ -74,10 +78,11 @@ def _through_vault(df: DataFrame, keys: Keys, o: text.Options, columns: list[str
         rows = vault.assign(found.select("kind", "value"), keys, known, o.keep_scope, o.keep_domain)
         every = rows.select("bidx", "token") if known is None else rows.select("bidx", "token").union(known.select("bidx", "token"))
         issued = kept(vault.issued(found, every, keys, "_key", o.keep_scope, o.keep_domain), "issued")
-        now = issued.select(F.explode("_issued")).distinct()
-        if issued.isEmpty() if before is None else before.exceptAll(now).isEmpty() and now.exceptAll(before).isEmpty():
+        if issued.isEmpty() if before is None else _flat(before).exceptAll(_flat(issued)).isEmpty() and _flat(issued).exceptAll(_flat(before)).isEmpty():
             return done.drop("_made", "_key"), rows
-        done, before = kept(run(source.join(issued, "_key", "left"), text.Maker(keys, F.col("_issued"), F.col("_foreign"))), "masked"), now
+        touched = issued.select("_key") if before is None else issued.select("_key").union(before.select("_key")).distinct()
+        again = run(source.join(touched, "_key", "left_semi").join(issued, "_key", "left"), text.Maker(keys, F.col("_issued"), F.col("_foreign")))
+        done, before = kept(done.join(touched, "_key", "left_anti").unionByName(again.select(*[f"`{c}`" for c in done.columns])), "masked"), issued
     raise RuntimeError("the tokens of the vault do not settle")
 
 
