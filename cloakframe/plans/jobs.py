@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.tokens import Keys
 from ..operators import classify, gate, text, vault
+from ..operators.vault_table import Busy, VaultTable
 from ..shared import kept
-from ..sources import lines
+from ..sources import lines, trees
 
 #: Option bundles by use.
 PROFILES: dict[str, dict] = {
@@ -210,3 +212,75 @@ def restore_lines(df: DataFrame, fmt: str, rows: DataFrame, keys: Keys, id_col:
     pairs = F.transform("_record.pairs", lambda p, i: p.withField("value", F.col("_texts")[i + n + 1]))
     record = F.col("_record").withField("prefix", F.col("_texts")[F.lit(0)]).withField("header", header).withField("pairs", pairs)
     return df.drop(column).join(parts.join(done, id_col).select(id_col, render(record).alias(column), "n_unresolved"), id_col, "left")
+
+
+LEAF_BREAK = "\n\x04\n"  # between texts that are masked or restored as one
+
+
+def _leaf(path: str, keep: tuple[str, ...], overrides: dict, kit: str | None) -> tuple[str, str | None]:
+    """What is to be done with a leaf by its path; what no rule knows is elided."""
+    d = classify.decide(path, None, kit, keep=keep, overrides=overrides)
+    return ("redact", None) if d.by == "unclassified" else (d.action, d.kind)
+
+
+def mask_json(df: DataFrame, keys: Keys, o: text.Options = text.Options(), column: str = "value", keep: tuple[str, ...] = (), overrides: dict | None = None, kit: str | None = None, invalid: str = "raise", known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(masked table, vault rows) of a column of JSON documents, or of lines of NDJSON: every leaf by what its path is classified as,
+    at any depth, with the tokens of the vault.  The leaves of a document that are free text are masked as one text.  A text that is no
+    JSON ends the job, or becomes null if ``invalid`` is "null"; blank lines stay."""
+    decide = partial(_leaf, keep=keep, overrides=overrides or {}, kit=kit)
+    parsed = kept(trees.with_leaves(df, column, decide, invalid), "leaves")
+    kinds = [r["kind"] for r in parsed.select(F.explode("_leaves").alias("x")).where("x.action = 'mask'").select("x.kind").distinct().collect()]  # those that masks know
+
+    def run(x: DataFrame, make: text.Maker) -> DataFrame:
+        return _json_masked(x, make, o, column, kinds)
+
+    out, rows = _through_vault(parsed, keys, o, [column], run, known)
+    return out, vault.sealed(rows, keys)
+
+
+def _json_masked(x: DataFrame, make: text.Maker, o: text.Options, column: str, kinds: list[str]) -> DataFrame:
+    notes, none = text.noting(make), F.array().cast("array<string>")
+
+    def cell(leaf):
+        new = F.when((leaf["action"] == "redact") & classify.filled(leaf["value"]), text.ELIDED).when(leaf["action"] == "drop", "")
+        for kind in kinds:
+            new = new.when((leaf["action"] == "mask") & (leaf["kind"] == kind), classify.masked_cell(kind, leaf["value"], notes, o))
+        return new
+
+    out = x.withColumn("_new", F.transform("_leaves", cell))
+    out = out.withColumn("_made", F.concat("_made", F.coalesce(F.flatten(F.transform("_new", lambda v: F.coalesce(text.noted(v), none))), none)))
+    texts = F.transform(F.filter("_leaves", lambda leaf: leaf["action"] == "text"), lambda leaf: F.translate(leaf["value"], "\x04", ""))
+    out = text.mask_text(out.withColumn("_free", F.array_join(texts, LEAF_BREAK)), make, o, "_free", "_made")
+    out = out.withColumn("_cut", F.split("_free", LEAF_BREAK))
+    new = lambda leaf, i: F.when(leaf["action"] == "text", F.get("_cut", leaf["nth"])).otherwise(text.plain(F.get("_new", i)))
+    changed = F.transform(F.transform("_leaves", lambda leaf, i: F.struct(leaf["value"].alias("old"), new(leaf, i).alias("new"))), lambda p: F.when(p["new"] != p["old"], p["new"]))
+    out = out.withColumn("_new", F.when(F.col("_leaves").isNotNull(), changed)).drop("_free", "_cut", "_leaves", "_foreign", "_issued")
+    return trees.put_back(out, column, "_new")
+
+
+def restore_json(df: DataFrame, rows: DataFrame, keys: Keys, column: str = "value", invalid: str = "raise") -> DataFrame:
+    """``df`` with the tokens in the strings of its JSON documents restored, and n_unresolved."""
+    base = kept(trees.with_leaves(df.withColumn("_row", F.expr("uuid()")), column, _every_text, invalid), "leaves")
+    texts = base.select("_row", F.array_join(F.transform(F.filter("_leaves", lambda leaf: leaf["action"] == "text"), lambda leaf: leaf["value"]), LEAF_BREAK).alias("text"))
+    back = vault.restore(texts.where("text <> ''"), rows, keys, "_row").select("_row", F.split("text", LEAF_BREAK).alias("_cut"), "n_unresolved")
+    out = base.drop(*[n for n in ("n_unresolved",) if n in base.columns]).join(back, "_row", "left")
+    value = lambda leaf: F.when(leaf["action"] == "text", F.get("_cut", leaf["nth"]))
+    out = out.withColumn("_new", F.transform("_leaves", lambda leaf: F.when(value(leaf) != leaf["value"], value(leaf)))).withColumn("n_unresolved", F.coalesce("n_unresolved", F.lit(0)).cast("long"))
+    names = [c for c in df.columns if c != "n_unresolved"] + ["n_unresolved"]
+    return trees.put_back(out.select(*[f"`{c}`" for c in names], "_new"), column, "_new")
+
+
+def _every_text(path: str) -> tuple[str, None]:
+    return "text", None
+
+
+def mask_into(df: DataFrame, keys: Keys, table: VaultTable, o: text.Options = text.Options(), column: str = "text", tries: int = 64) -> tuple[DataFrame, int]:
+    """(masked table, vault version): the tokens are those of a vault that others may be writing; if one of them turns out to be taken,
+    the texts are masked again."""
+    for _ in range(tries):
+        base = table.version()
+        masked, rows = mask_known(df, keys, o, column, table.read(base))
+        done = table.commit(vault.sealed(rows, keys), base)
+        if done is not None:
+            return masked, done
+    raise Busy(f"{tries} other writers were first")

@@ -434,6 +434,38 @@ def q_json_mask_nested(spark, sf_dir):
     return trees.mask_json(events, "event_id", "doc", decide, lambda kind, v: tokens.token(DEMO, kind, v))
 
 
+def q_json_roundtrip(spark, sf_dir):
+    """Documents as JSON, masked leaf by leaf through the vault and restored; nothing that was masked is seen in between.  Secrets and
+    URLs, which are elided for good, are left out."""
+    docs = _spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    who, where = F.concat(F.lit("usr"), F.col("doc_id")), F.concat(F.lit("10.1."), F.col("doc_id") % 250, F.lit(".7"))
+    doc = F.to_json(F.struct(F.struct(F.struct(who.alias("name")).alias("user")).alias("actor"), F.array(F.struct(where.alias("src_ip"), F.lit(6).alias("severity"))).alias("net"), F.col("text").alias("message")))
+    o = jobs.options(types=tuple(r.name for r in rules.MAIN if r.kind != "url"), dlp={k: "keep" for k, a in rules.DEFAULT_POLICY.items() if a == "redact"})
+    masked, rows = jobs.mask_json(docs.select("doc_id", doc.alias("value")), DEMO, o)
+    left = masked.select("doc_id", (F.get_json_object("value", "$.actor.user.name").rlike("^usr[0-9]+$") | F.get_json_object("value", "$.net[0].src_ip").startswith("10.1.")).alias("in_clear"))
+    out = jobs.restore_json(masked, rows, DEMO)
+    parsed = F.from_json("value", "actor struct<user: struct<name: string>>, net array<struct<src_ip: string, severity: int>>, message string")
+    out = out.select("doc_id", parsed.alias("d"), "n_unresolved").join(left, "doc_id")
+    return out.select("doc_id", "d.actor.user.name", F.col("d.net")[0]["src_ip"].alias("src_ip"), F.col("d.net")[0]["severity"].alias("severity"), F.md5(F.encode("d.message", "UTF-8")).alias("digest"), "n_unresolved", "in_clear")
+
+
+def q_vault_writers(spark, sf_dir):
+    """Four writers at once assign overlapping shares of all values to one vault: what it holds at the end is what one writer would have
+    written."""
+    import uuid
+    from concurrent.futures import ThreadPoolExecutor
+
+    from .operators.vault_table import VaultTable
+    from .shared import folder
+
+    path = f"{folder(spark)}/cloakframe-writers-{uuid.uuid4().hex}"
+    found = _found_values(spark, sf_dir)
+    share = lambda n: found.where(f"pmod(crc32(cast(value AS binary)), 4) IN ({n}, {(n + 1) % 4})")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda n: VaultTable(spark, path).assign(share(n), DEMO), range(4)))
+    return VaultTable(spark, path).read().select("bidx", "kind", "token")
+
+
 def q_json_invalid(spark, sf_dir):
     """Texts that are no JSON, or repeat a key, do not pass."""
     doc = """CASE WHEN event_id % 3 = 0 THEN '{"k":' || user_id WHEN event_id % 3 = 1 THEN '{"k":1,"k":' || user_id || '}' ELSE '{"k":' || user_id || '}' END AS doc"""
@@ -629,6 +661,8 @@ SQL["q_iban_prose"] = (
     f"WITH d AS (SELECT doc_id, 'gb' || lpad(CAST(98 - CAST('32142829' || {_SQL_ACCOUNT} || '161100' AS HUGEINT) % 97 AS VARCHAR), 2, '0') || 'west' || {_SQL_ACCOUNT} AS norm FROM documents), s AS (SELECT doc_id, {_kind('iban', 'norm')} AS h FROM d) "
     f"SELECT doc_id, 'iban-' || {_tag('h', 12)} AS tokens, 1::BIGINT AS n_gate FROM s"
 )
+SQL["q_json_roundtrip"] = "SELECT doc_id, 'usr' || doc_id AS name, '10.1.' || (doc_id % 250) || '.7' AS src_ip, 6 AS severity, md5(text) AS digest, 0::BIGINT AS n_unresolved, false AS in_clear FROM documents"
+SQL["q_vault_writers"] = f"SELECT bidx, kind, token FROM ({SQL['q_vault_assign']})"
 SQL["q_restore_table"] = f"WITH {_K} SELECT c_custkey, 'Owner ' || k AS owner, 'bob' || k || '@example.com' AS email, '10.1.' || (c_custkey % 250) || '.7' AS src_ip, 0::BIGINT AS n_unresolved FROM t"
 SQL |= {f"q_{fmt}_job": f"WITH {_K} SELECT c_custkey, {line} AS value, 0::BIGINT AS n_unresolved, false AS in_clear FROM t" for fmt, line in LINE_FORMS.items()}
 SQL["q_sweep_text"] = f"WITH {_K}, s AS (SELECT *, {_kind('fqdn', chr(39) + 'w' + chr(39) + ' || k || ' + chr(39) + '.plant.zz' + chr(39))} AS h FROM t) SELECT c_custkey, 'ping host-' || {_tag('h', 8)} || '.masked.local, then w' || k || '.plant.zzz' AS text FROM s"

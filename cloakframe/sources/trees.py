@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ACTIONS = ("keep", "mask", "redact", "drop")
+ACTIONS = ("keep", "mask", "text", "redact", "drop")
 
 
 def _unique(pairs: list[tuple]) -> dict:
@@ -58,38 +58,45 @@ def _text(value) -> str | None:
     return None if value is None else _plain(value) if isinstance(value, str) else json.dumps(value)
 
 
-LEAF = pa.struct([("path", pa.string()), ("value", pa.string()), ("action", pa.string()), ("kind", pa.string())])
+LEAF = pa.struct([("path", pa.string()), ("value", pa.string()), ("action", pa.string()), ("kind", pa.string()), ("nth", pa.int32())])
+LEAVES = "array<struct<path:string,value:string,action:string,kind:string,nth:int>>"
 
 
-def _read(batches: Iterator[pa.RecordBatch], column: str, decide: Callable[[str], tuple[str, str | None]] | None, invalid: str) -> Iterator[pa.RecordBatch]:
-    """Adds ``_leaves``: the leaves of each document with what ``decide`` says of their paths."""
+def _read(batches: Iterator[pa.RecordBatch], column: str, name: str, decide: Callable[[str], tuple[str, str | None]] | None, invalid: str) -> Iterator[pa.RecordBatch]:
+    """Adds the leaves of each document with what ``decide`` says of their paths; ``nth`` numbers those with the action text.  A
+    blank document has none."""
     decided = lru_cache(65_536)(decide or (lambda path: ("keep", None)))
 
     def leaves(document: str | None) -> list[dict] | None:
         if document is None:
             return None
+        if not document.strip():
+            return []
         try:
             root = [strict(document)]
         except ValueError as e:
             if invalid == "raise":
                 raise ValueError(f"a value of {column} is no JSON document: {type(e).__name__}") from None
             return None
-        out = []
+        out, nth = [], 0
         for container, key, path in _leaves(root):
             path, value = _plain(path), container[key]
             action, kind = decided(path)
             if action not in ACTIONS:
                 raise ValueError(f"unknown action for {path}: {action}")
-            out.append({"path": path, "value": _text(value), "action": "keep" if isinstance(value, bool) else action, "kind": kind})
+            action = "keep" if value is None or isinstance(value, bool) else action
+            out.append({"path": path, "value": _text(value), "action": action, "kind": kind, "nth": nth})
+            nth += action == "text"
         return out
 
     for batch in batches:
         found = pa.array([leaves(x.as_py()) for x in batch.column(column)], pa.list_(LEAF))
-        yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "_leaves"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, name])
 
 
-def _write(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Puts ``_new`` back, leaf by leaf in the order of ``_read``: null leaves the leaf and its type."""
+def _write(batches: Iterator[pa.RecordBatch], column: str, name: str) -> Iterator[pa.RecordBatch]:
+    """Puts the column ``name`` back, leaf by leaf in the order of ``_read``: null leaves the leaf and its type.  A document of several
+    lines is written on several lines, and one that ends in a line break ends in one."""
 
     def written(document: str | None, new: list | None) -> str | None:
         if document is None or new is None:
@@ -100,11 +107,13 @@ def _write(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
         for (container, key, _), x in zip(list(_leaves(root)), new, strict=True):
             if x is not None:
                 container[key] = x
-        return _plain(json.dumps(root[0], ensure_ascii=False, separators=(",", ":"), allow_nan=False))
+        body = document.rstrip()
+        layout = {"indent": 2} if "\n" in body else {"separators": (",", ":")}
+        return _plain(json.dumps(root[0], ensure_ascii=False, allow_nan=False, **layout)) + "\n" * document.endswith("\n")
 
     for batch in batches:
-        out = pa.array([written(d.as_py(), n.as_py()) for d, n in zip(batch.column(column), batch.column("_new"), strict=True)], pa.string())
-        names = [n for n in batch.schema.names if n != "_new"]
+        out = pa.array([written(d.as_py(), n.as_py()) for d, n in zip(batch.column(column), batch.column(name), strict=True)], pa.string())
+        names = [n for n in batch.schema.names if n != name]
         yield pa.RecordBatch.from_arrays([out if n == column else batch.column(n) for n in names], names=names)
 
 
@@ -112,14 +121,20 @@ def _schema(df: DataFrame, more: str = "") -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + more
 
 
-def _with_leaves(df: DataFrame, column: str, decide: Callable[[str], tuple[str, str | None]] | None = None, invalid: str = "null") -> DataFrame:
-    return df.mapInArrow(partial(_read, column=column, decide=decide, invalid=invalid), _schema(df, ", `_leaves` array<struct<path:string,value:string,action:string,kind:string>>"))
+def with_leaves(df: DataFrame, column: str, decide: Callable[[str], tuple[str, str | None]] | None = None, invalid: str = "null", name: str = "_leaves") -> DataFrame:
+    """``df`` with the scalar leaves of a JSON column as an array of struct(path, value, action, kind, nth)."""
+    return df.mapInArrow(partial(_read, column=column, name=name, decide=decide, invalid=invalid), _schema(df, f", `{name}` {LEAVES}"))
+
+
+def put_back(df: DataFrame, column: str, name: str) -> DataFrame:
+    """``df`` with the array ``name``, new values of the leaves in their order (null: as it was), written into the JSON column."""
+    return df.mapInArrow(partial(_write, column=column, name=name), _schema(df.drop(name)))
 
 
 def flatten(df: DataFrame, id_col: str, column: str) -> DataFrame:
     """(id, path, value): every scalar leaf of a JSON column at any depth; array elements share the path
     ``p[]``.  A text that is no JSON has no leaves."""
-    found = _with_leaves(df.select(F.col(id_col).alias("id"), F.col(column).alias("document")), "document")
+    found = with_leaves(df.select(F.col(id_col).alias("id"), F.col(column).alias("document")), "document")
     return found.select("id", F.explode("_leaves").alias("x")).select("id", "x.path", "x.value")
 
 
@@ -138,7 +153,7 @@ def mask_json(df: DataFrame, id_col: str, column: str, decide: Callable[[str], t
     becomes null if ``invalid`` is "null"; it never passes as it is."""
     if invalid not in ("raise", "null"):
         raise ValueError(f"unknown treatment of invalid documents: {invalid}")
-    found = _with_leaves(df, column, decide, invalid)
+    found = with_leaves(df, column, decide, invalid)
     kinds = [r["kind"] for r in found.select(F.explode("_leaves").alias("x")).where("x.action = 'mask'").select("x.kind").distinct().collect()]
 
     def changed(x: Column) -> Column:
@@ -148,4 +163,4 @@ def mask_json(df: DataFrame, id_col: str, column: str, decide: Callable[[str], t
         return F.when(new != x["value"], new)
 
     done = found.withColumn("_new", F.transform("_leaves", changed)).drop("_leaves")
-    return done.mapInArrow(partial(_write, column=column), _schema(df))
+    return put_back(done, column, "_new")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.tokens import Keys
-from ..operators import text, vault
+from ..operators import text
+from ..operators.vault_table import VaultTable
 from ..plans import jobs
 
 
@@ -20,19 +21,13 @@ def mask_stream(stream: DataFrame, keys: Keys, o: text.Options = text.Options(),
 
 
 def start(stream: DataFrame, keys: Keys, vault_path: str, emit: Callable[[DataFrame, int], None], checkpoint: str, o: text.Options = text.Options(), column: str = "text") -> StreamingQuery:
-    """Runs the stream; each batch's new values are appended to the vault table before it is emitted.
+    """Runs the stream; each batch's new values are committed to the vault table before it is emitted, whoever else writes to it.
     Assignment is keyed by value, so a repeated batch adds nothing."""
 
+    table = VaultTable(stream.sparkSession, vault_path)
+
     def batch(df: DataFrame, n: int) -> None:
-        spark = df.sparkSession
-        try:
-            known = spark.read.parquet(vault_path)
-        except Exception as e:  # the first batch: there is no vault yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            known = None
-        masked, rows = jobs.mask_known(df, keys, o, column, known)
-        vault.sealed(rows, keys).write.mode("append").parquet(vault_path)
+        masked, _ = jobs.mask_into(df, keys, table, o, column)
         emit(masked, n)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -4,6 +4,7 @@ from cloakframe.functions import rules
 from cloakframe.functions.tokens import Keys
 from cloakframe.operators import gate, text, vault
 from cloakframe.plans import jobs
+from cloakframe.operators.vault_table import VaultTable
 from cloakframe.streaming import masking
 
 KEYS = Keys.derive(b"k" * 32, "demo")
@@ -152,7 +153,7 @@ def test_stream(spark, lines, tmp_path):
     q = masking.start(stream, KEYS, str(tmp_path / "vault"), lambda df, n: df.write.mode("append").parquet(str(tmp_path / "out")), str(tmp_path / "cp"), o)
     q.awaitTermination(120)
     out = {r.id: r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert "@example.com" not in out[0] and spark.read.parquet(str(tmp_path / "vault")).where("kind = 'email'").count() == 1
+    assert "@example.com" not in out[0] and VaultTable(spark, str(tmp_path / "vault")).read().where("kind = 'email'").count() == 1
 
 
 def test_masking_uses_the_tokens_of_the_vault(spark, tmp_path):
@@ -174,7 +175,7 @@ def test_masking_uses_the_tokens_of_the_vault(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
     q = masking.start(stream, KEYS, str(tmp_path / "vault"), lambda x, n: x.write.mode("append").parquet(str(tmp_path / "out")), str(tmp_path / "cp"), o)
     q.awaitTermination(120)
-    back = vault.restore(spark.read.parquet(str(tmp_path / "out")), spark.read.parquet(str(tmp_path / "vault")), KEYS, "id")
+    back = vault.restore(spark.read.parquet(str(tmp_path / "out")), VaultTable(spark, str(tmp_path / "vault")).read(), KEYS, "id")
     assert back.select("id", "text").exceptAll(df).isEmpty() and back.count() == 2000
 
 
