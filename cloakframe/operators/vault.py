@@ -149,41 +149,69 @@ def restore(df: DataFrame, vault: DataFrame, keys: Keys, id_col: str, text: str
     return joined.withColumn(text, F.when(F.col(text).isNotNull(), F.array_join(fill, ""))).withColumn("n_unresolved", F.coalesce("n_unresolved", F.lit(0)).cast("long")).drop("_pieces", "_raws")
 
 
-def sweep(df: DataFrame, vault: DataFrame, keys: Keys, id_col: str, text: str = "text", kinds: tuple[str, ...] = ("fqdn", "host", "email", "user", "person"), sieve_rows: int = 2_000_000) -> DataFrame:
-    """(id, at, kind, token): words of the texts, and pairs of neighbouring words, that the vault knows as sensitive, found by
-    blind index; of several kinds the first of ``kinds`` wins.  Single words that do not look like names of machines
-    or people (no digit, dot, hyphen or @) are left alone; pairs count as persons only, and both begin with a capital.
-
-    Blind indexes are costly, so the distinct words are first met with the hashes of the originals of the vault, which are
-    broadcast if they are counted to be at most ``sieve_rows`` and joined otherwise."""
-    word = r"[A-Za-z0-9][A-Za-z0-9._@-]{2,252}"
-    words = df.select(id_col, F.posexplode(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"({word})"))).alias("at", "word"))
-    words = words.select(id_col, "at", F.lower(F.rtrim(F.col("word"), F.lit(".-_"))).alias("word"), F.lit(False).alias("pair")).where(F.col("word").rlike("[0-9.@-]") & ~tokens.is_token(F.col("word")))
-    if "person" in kinds:
-        name = r"\p{Lu}[\p{L}'-]{1,40}"
-        pairs = df.select(id_col, F.posexplode(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(rf"(?<![\w@.-])({name})(?=( {name})(?![\w@-]))"), F.lit(0))).alias("at", "first"), text)
-        both = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(rf"(?<![\w@.-]){name}(?= ({name})(?![\w@-]))"), F.lit(1))
-        pairs = pairs.select(id_col, "at", F.lower(F.concat("first", F.lit(" "), F.get(both, F.col("at")))).alias("word"), F.lit(True).alias("pair"))
-        words = words.union(pairs)
-    known = vault.where(F.col("kind").isin(*kinds)).select(tokens.decrypt(keys, F.col("raw_enc")).alias("raw") if "raw_enc" in vault.columns else F.col("norm").alias("raw"))
-    sieve = known.select(F.xxhash64(F.lower("raw")).alias("h")).distinct()
-    sieve = F.broadcast(sieve) if vault.count() <= sieve_rows else sieve
-    words = words.withColumn("h", F.xxhash64("word")).join(sieve, "h", "left_semi").drop("h")
-    ranked = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(k).alias("kind")) for i, k in enumerate(kinds)])
-    known = words.select("word", "pair").distinct().select("word", "pair", F.explode(ranked).alias("k")).select("word", "pair", "k.*").where("pair = (kind = 'person')")
-    known = known.withColumn("bidx", tokens.blind_index(keys, F.col("kind"), F.col("word")))
-    hit = known.join(vault.select("bidx", "token"), "bidx").groupBy("word").agg(F.min_by(F.struct("kind", "token"), "rank").alias("best"))
-    return words.join(hit, "word").select(id_col, "at", "best.kind", "best.token")
-
-
-def sweep_text(df: DataFrame, vault: DataFrame, keys: Keys, id_col: str, text: str = "text", kinds: tuple[str, ...] = ("fqdn", "host", "email", "user", "person")) -> DataFrame:
-    """``df`` (unique ``id_col``) with every original of the vault that ``sweep`` finds in its text replaced by its token: each
-    text is met with its own hits only."""
-    found = sweep(df, vault, keys, id_col, text, kinds).select(id_col, "token").distinct()
-    raws = vault.select("token", tokens.decrypt(keys, F.col("raw_enc")).alias("raw"))
-    mine = found.join(raws, "token").groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct((-F.length("raw")).alias("n"), "raw", "token"))).alias("_hits"))
-    swap = lambda acc, h: F.regexp_replace(acc, F.concat(F.lit(r"(?i)(?<![\w@.-])\Q"), h["raw"], F.lit(r"\E(?![\w@-])")), h["token"])
-    return df.join(mine, id_col, "left").withColumn(text, F.when(F.col("_hits").isNull(), F.col(text)).otherwise(F.aggregate("_hits", F.col(text), swap))).drop("_hits")
+SWEPT = ("fqdn", "host", "email", "user", "person", "address", "opaque", "windomain", "cloud", "iban", "vat", "taxid", "phone")
+#: A text in words and what is between them, in turn; a word begins and ends with a letter or digit.
+WORDS = r"([\p{L}\p{N}](?:[\p{L}\p{N}._@-]*[\p{L}\p{N}])?|[^\p{L}\p{N}]+)"
+_HITS = "array<struct<place:int,size:int,rank:int,kind:string,token:string,core:string>>"
+
+
+def _anchors(vault: DataFrame, keys: Keys, kinds: tuple[str, ...]) -> DataFrame:
+    """(h, nth, size, rank, kind, token, core): the originals to look for, each under the hash of the word that the fewest originals have, its ``nth``;
+    ``core`` is the original in lower case.  Single words that do not look like names of machines or people
+    (no digit, dot, hyphen or @), originals of less than three characters, and those with marks at an end are not looked for."""
+    raw = tokens.decrypt(keys, F.col("raw_enc")) if "raw_enc" in vault.columns else F.col("norm")
+    ranks = F.create_map(*[F.lit(x) for i, k in enumerate(kinds) for x in (k, i)])
+    out = vault.where(F.col("kind").isin(*kinds)).select("kind", "token", F.lower(raw).alias("core"), ranks[F.col("kind")].alias("rank")).where(F.length("core") >= 3)
+    out = out.withColumn("cut", F.regexp_extract_all("core", F.lit(WORDS))).where(F.col("core").rlike(r"^[\p{L}\p{N}]") & (F.size("cut") % 2 == 1))
+    out = out.where((F.size("cut") > 1) | F.col("core").rlike("[0-9.@-]"))
+    out = out.withColumn("size", ((F.size("cut") + 1) / 2).cast("int"))
+    words = out.select("token", F.posexplode(F.filter("cut", lambda w, i: i % 2 == 0)).alias("nth", "w"))
+    words = words.join(words.groupBy("w").agg(F.count("*").alias("n")), "w")
+    rarest = words.groupBy("token").agg(F.min(F.struct("n", (-F.length("w")).alias("length"), "nth", "w")).alias("best"))
+    return out.join(rarest, "token").select(F.xxhash64("best.w").alias("h"), "best.nth", "size", "rank", "kind", "token", "core")
+
+
+def _swept(df: DataFrame, vault: DataFrame, keys: Keys, id_col: str, text: str, kinds: tuple[str, ...], sieve_rows: int) -> DataFrame:
+    """``df`` with _cut, the text in words and what is between them, and _hits, where the vault's originals stand in it: by place, the longest
+    of those at one place, none over another."""
+    base = df.withColumn("_cut", F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORDS)))
+    first = F.when(F.get("_cut", F.lit(0)).rlike(r"^[\p{L}\p{N}]"), 0).otherwise(1)
+    words = base.select(id_col, F.posexplode(F.transform(F.filter("_cut", lambda w, i: i % 2 == first), lambda w: F.xxhash64(F.lower(w)))).alias("n", "h"))
+    anchors = _anchors(vault, keys, kinds)
+    anchors = F.broadcast(anchors) if vault.count() <= sieve_rows else anchors
+    near = words.join(anchors, "h").where("n >= nth").select(id_col, F.struct((F.col("n") - F.col("nth")).alias("place"), "size", "rank", "kind", "token", "core").alias("x"))
+    near = near.groupBy(id_col).agg(F.array_sort(F.collect_set("x")).cast(_HITS).alias("_hits"))
+    out = base.join(near, id_col, "left")
+
+    def stands(x: Column) -> Column:
+        at = 2 * x["place"] + first
+        before, behind = F.coalesce(F.get("_cut", at - 1), F.lit("")), F.coalesce(F.get("_cut", at + 2 * x["size"] - 1), F.lit(""))
+        same = F.lower(F.array_join(F.slice("_cut", at + 1, 2 * x["size"] - 1), "")) == x["core"]
+        titled = (x["kind"] != "person") | (x["size"] == 1) | F.forall(F.filter(F.slice("_cut", at + 1, 2 * x["size"] - 1), lambda w, i: i % 2 == 0), lambda w: w.rlike(r"^\p{Lu}"))
+        return same & titled & ~before.rlike(r"[_.@-]$") & ~behind.rlike("^[_@-]")
+
+    ranked = F.array_sort(F.filter("_hits", stands), lambda a, b: F.when(a["place"] != b["place"], a["place"] - b["place"]).when(a["size"] != b["size"], b["size"] - a["size"]).otherwise(a["rank"] - b["rank"]))
+    free = lambda acc, x: F.when(x["place"] >= F.coalesce(F.try_element_at(acc, F.lit(-1))["place"] + F.try_element_at(acc, F.lit(-1))["size"], F.lit(0)), F.concat(acc, F.array(x))).otherwise(acc)
+    return out.withColumn("_hits", F.aggregate(ranked, F.array().cast(_HITS), free)).withColumn("_first", first)
+
+
+def sweep(df: DataFrame, vault: DataFrame, keys: Keys, id_col: str, text: str = "text", kinds: tuple[str, ...] = SWEPT, sieve_rows: int = 500_000) -> DataFrame:
+    """(id, at, kind, token): where originals of the vault, of any number of words, stand in the texts (unique ``id_col``); ``at`` counts words.
+    An original is looked for under the word that the fewest originals have: the words of all texts meet those in one join (broadcast if the vault is counted
+    to have at most ``sieve_rows`` rows), and what is met is compared whole, ignoring case.  Of several originals at one place the longest wins, then the
+    first of ``kinds``; names of people of several words count only where all begin with a capital."""
+    out = _swept(df.select(id_col, text), vault, keys, id_col, text, kinds, sieve_rows).where(F.size("_hits") > 0)
+    return out.select(id_col, F.explode("_hits").alias("x")).select(id_col, F.col("x.place").alias("at"), "x.kind", "x.token")
+
+
+def sweep_text(df: DataFrame, vault: DataFrame, keys: Keys, id_col: str, text: str = "text", kinds: tuple[str, ...] = SWEPT, sieve_rows: int = 500_000) -> DataFrame:
+    """``df`` (unique ``id_col``) with every original that ``sweep`` finds in its text replaced by its token."""
+    swept = _swept(df, vault, keys, id_col, text, kinds, sieve_rows)
+    at = lambda x: 2 * x["place"] + F.col("_first")
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    step = lambda acc, x: F.struct(F.concat(acc["out"], F.array_join(F.slice("_cut", acc["at"] + 1, at(x) - acc["at"]), ""), x["token"]).alias("out"), (at(x) + 2 * x["size"] - 1).cast("int").alias("at"))
+    done = F.aggregate("_hits", start, step, lambda acc: F.concat(acc["out"], F.array_join(F.slice("_cut", acc["at"] + 1, F.greatest(F.size("_cut") - acc["at"], F.lit(0))), "")))
+    return swept.withColumn(text, F.when(F.size("_hits") > 0, done).otherwise(F.col(text))).select(*[f"`{c}`" for c in df.columns])
 
 
 def host_labels(names: DataFrame, column: str = "value") -> DataFrame:

@@ -543,6 +543,15 @@ def q_sweep_text(spark, sf_dir):
     return vault.sweep_text(texts, rows, DEMO, "c_custkey")
 
 
+def q_sweep_long(spark, sf_dir):
+    """Originals of three and five words, in whole texts that no rule finds them in: the longest at a place wins."""
+    kept_in = _customers(spark, sf_dir, "'address' AS kind", "'Old Mill Lane ' || k AS value").select("kind", "value").union(_customers(spark, sf_dir, "'address' AS kind", "'Old Mill Lane ' || k || ' Upper Town' AS value").select("kind", "value"))
+    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id", F.pmod("doc_id", F.lit(150)).alias("n"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select("doc_id", F.concat("text", F.lit(" | to OLD mill lane "), "n", F.lit(" upper town, then Old Mill Lane "), "n", F.lit(" - not Old Mill Lane-"), "n").alias("text"))
+    out = vault.sweep_text(texts, vault.sealed(vault.assign(kept_in, DEMO), DEMO), DEMO, "doc_id")
+    return out.select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("digest"))
+
+
 def q_pseudonymize_residuals(spark, sf_dir):
     """Documents that stay readable: secrets and phone numbers get tokens instead of a blank."""
     c = _customers(spark, sf_dir, "'password: hunter2' || k || ' tel: 0' || lpad(k, 9, '0')  AS text")
@@ -666,6 +675,10 @@ SQL["q_vault_writers"] = f"SELECT bidx, kind, token FROM ({SQL['q_vault_assign']
 SQL["q_restore_table"] = f"WITH {_K} SELECT c_custkey, 'Owner ' || k AS owner, 'bob' || k || '@example.com' AS email, '10.1.' || (c_custkey % 250) || '.7' AS src_ip, 0::BIGINT AS n_unresolved FROM t"
 SQL |= {f"q_{fmt}_job": f"WITH {_K} SELECT c_custkey, {line} AS value, 0::BIGINT AS n_unresolved, false AS in_clear FROM t" for fmt, line in LINE_FORMS.items()}
 SQL["q_sweep_text"] = f"WITH {_K}, s AS (SELECT *, {_kind('fqdn', chr(39) + 'w' + chr(39) + ' || k || ' + chr(39) + '.plant.zz' + chr(39))} AS h FROM t) SELECT c_custkey, 'ping host-' || {_tag('h', 8)} || '.masked.local, then w' || k || '.plant.zzz' AS text FROM s"
+SQL["q_sweep_long"] = (
+    f"WITH {_K}, s AS (SELECT c_custkey, {_kind('address', chr(39) + 'old mill lane ' + chr(39) + ' || k')} AS h1, {_kind('address', chr(39) + 'old mill lane ' + chr(39) + ' || k || ' + chr(39) + ' upper town' + chr(39))} AS h2 FROM t), d AS (SELECT doc_id, doc_id % 150 AS n, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL) "
+    f"SELECT doc_id, md5(text || ' | to ' || coalesce('addr-' || {_tag('h2', 12)}, 'OLD mill lane ' || n || ' upper town') || ', then ' || coalesce('addr-' || {_tag('h1', 12)}, 'Old Mill Lane ' || n) || ' - not Old Mill Lane-' || n) AS digest FROM d LEFT JOIN s ON c_custkey = n"
+)
 SQL["q_pseudonymize_residuals"] = f"WITH {_K}, s AS (SELECT *, {_kind('secret', chr(39) + 'hunter2' + chr(39) + ' || k')} AS h, {_kind('phone', chr(39) + '0' + chr(39) + ' || lpad(k, 9, ' + chr(39) + '0' + chr(39) + ')')} AS hp FROM t) SELECT c_custkey, 'password: secret-' || {_tag('h', 12)} || ' tel: tel-' || {_tag('hp', 12)} AS text FROM s"
 SQL["q_subnet_tokens"] = (
     f"WITH v AS (SELECT DISTINCT '10.0.' || (user_id % 40) AS net, '10.0.' || (user_id % 40) || '.' || (event_id % 50) AS value FROM events), n AS (SELECT net, row_number() OVER (ORDER BY {_kind('ipv4net', 'net')}) - 1 AS a FROM (SELECT DISTINCT net FROM v)), "
