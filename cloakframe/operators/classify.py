@@ -9,9 +9,9 @@ which becomes one projection.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import network, rules, tokens
@@ -20,7 +20,7 @@ from . import fields
 from . import text as free_text
 from .kits import KITS, Kit
 
-ACTIONS = ("mask", "text", "keep", "drop", "redact")
+ACTIONS = ("mask", "text", "ioc", "keep", "drop", "redact")
 WRAPPERS = ("_source.", "fields.", "_source.fields.", "winlog.event_data.", "winlog.", "kibana.alert.", "signal.", "event_data.")
 #: General names: pattern of the normalised name -> kind (fixed values).
 CATALOGUE = (
@@ -44,6 +44,10 @@ SAFE_SIDES = "action,alert,avg,bytes,commit,created,creation,dest,destination,de
 SAFE_NAME = re.compile(rf"(?:[a-z]{{1,2}}_)?(?:(?:{SAFE_SIDES.replace(',', '|')})_?)*(?:{SAFE_NOUNS.replace(',', '|')})")
 
 
+#: Fields that hold what was detected: their URLs stay readable, but for hosts of one's own.
+IOC_NAMES = re.compile(r"(?:.*[._])?(?:iocs?|indicators?(?:_?value)?|(?:malicious|suspicious|blocked|threat|remote|phishing|c2)_?(?:urls?|uris?|links?))")
+
+
 @dataclass(frozen=True)
 class Decision:
     column: str
@@ -143,6 +147,8 @@ def decide(column: str, seen: dict | None, kit: str | None = None, keep: tuple[s
                 return Decision(column, kind, action, f"kit:{kit}")
     if fields.sensitive(column):
         return Decision(column, None, "redact", "sensitive")
+    if any(IOC_NAMES.fullmatch(f) for f in forms):
+        return Decision(column, None, "ioc", "name")
     if any(TEXT_NAMES.fullmatch(f) for f in forms):
         return Decision(column, None, "text", "name")
     for pattern, kind in CATALOGUE:
@@ -214,7 +220,7 @@ def apply_plan(df: DataFrame, decisions: list[Decision], keys: Keys | free_text.
             c = F.when(filled(v), F.lit(free_text.ELIDED)).otherwise(v)
         elif d.action == "mask":
             c = F.when(v.isNotNull(), masked_cell(d.kind, v, make, o))
-        elif d.action == "text":
+        elif d.action in ("text", "ioc"):
             c = v
         out.append(c.alias(d.column))
     done = df.select(*out)
@@ -223,9 +229,52 @@ def apply_plan(df: DataFrame, decisions: list[Decision], keys: Keys | free_text.
         notes = F.concat(none, *[F.coalesce(free_text.noted(F.col(f"`{c}`")), none) for c in cells])
         done = done.select(*[free_text.plain(F.col(f"`{c}`")).alias(c) if c in cells else F.col(f"`{c}`") for c in done.columns], notes.alias(record))
     for d in decisions:
-        if d.action == "text":
-            done = free_text.mask_text(done, keys, o, d.column, record)
-    return done
+        if d.action in ("text", "ioc"):
+            done = free_text.mask_text(done, keys, replace(o, url_mode="internal") if d.action == "ioc" else o, d.column, record)
+    scrubbed = [d.column for d in decisions if d.action == "keep" and d.by not in ("config", "override") and dict(done.dtypes).get(d.column) == "string"]
+    return fields.scrub_all(done, scrubbed, keys, o, record) if scrubbed else done
+
+
+def samples(df: DataFrame, k: int = 10) -> DataFrame:
+    """(column, value): the k least distinct non-empty values of every column, as text, from one pass: each task keeps at most k values a column, and
+    what is shuffled are those."""
+    from functools import partial
+
+    cells = df.select([F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
+    few = cells.mapInArrow(partial(_least, k=k), "column string, value string").distinct()
+    place = F.row_number().over(Window.partitionBy("column").orderBy("value"))
+    return few.withColumn("_n", place).where(F.col("_n") <= k).drop("_n")
+
+
+def _least(batches, k: int):
+    """The k least distinct values of each column of a partition."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    best: dict[str, pa.Array] = {}
+    for batch in batches:
+        for name in batch.schema.names:
+            x = pc.unique(batch.column(name).cast(pa.large_string()))
+            x = x.filter(pc.fill_null(pc.not_equal(pc.utf8_trim_whitespace(x), ""), False))
+            x = pc.unique(pa.concat_arrays([best[name], x])) if name in best else x
+            best[name] = x.take(pc.sort_indices(x)[:k])
+    for name, x in best.items():
+        yield pa.RecordBatch.from_arrays([pa.array([name] * len(x), pa.string()), x.cast(pa.string())], names=["column", "value"])
+
+
+def policy_document(decisions: list[Decision], kit: str | None) -> dict:
+    """A plan as an editable document."""
+    return {"default": "redact", "catalog": kit, "columns": {d.column: {"action": d.action, "kind": d.kind, "inferred_by": d.by} for d in decisions}}
+
+
+def overrides_of(document: dict) -> dict[str, tuple[str, str | None]]:
+    """The overrides that a policy document stands for; an unknown action or kind is an error."""
+    out = {}
+    for column, spec in document.get("columns", {}).items():
+        if spec.get("action") not in ACTIONS:
+            raise ValueError(f"unknown action for {column}: {spec.get('action')}")
+        out[normalised(column)] = (spec["action"], spec.get("kind"))
+    return out
 
 
 def field_report(before: DataFrame, after: DataFrame, decisions: list[Decision], id_col: str) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import checks, rules
 from ..functions.tokens import let
+from ..shared import free_names
 from . import text as free_text
 
 #: Names of fields by category; a name counts as the end of a path.  The nouns are those of vCard (RFC 6350), the person schema of directories (RFC
@@ -85,3 +86,23 @@ def scrub_kept(name: str, value: Column, keys, o: free_text.Options = free_text.
         if stage:
             out = _staged(out, stage, make, o, stage is mail)
     return out
+
+
+BREAK = "\n\x04\n"
+
+
+def scrub_all(df: DataFrame, columns: list[str], keys, o: free_text.Options = free_text.Options(), record: str | None = None) -> DataFrame:
+    """``df`` with its kept text columns without personal data, e-mail addresses and accounts, configured host names and customer
+    names.  They are scrubbed as one text, so the cost does not grow with their number."""
+    make = free_text.noting(free_text.made(keys))
+    joined, cut = free_names(df, "joined", "cut")
+    cells = [F.translate(F.coalesce(F.col(f"`{c}`"), F.lit("")), free_text.OURS + "\x04", "") for c in columns]
+    out = df.withColumn(joined, F.array_join(F.array(*cells), BREAK))
+    mail = tuple(r for r in rules.MAIN if r.name in ("email", "upn"))
+    for stage in (rules.DLP, mail, rules.host_terms(list(o.host_terms)), rules.client_terms(list(o.client_terms))):
+        if stage:
+            out = out.withColumn(joined, free_text.run_stage(F.col(joined), stage, lambda c, stage=stage: free_text.hidden(c, make, o, stage), make.own))
+            more = {record: F.concat(record, F.coalesce(free_text.noted(F.col(joined)), F.array().cast("array<string>")))} if record else {}
+            out = out.withColumns(more | {joined: free_text.plain(F.col(joined))})
+    out = out.withColumn(cut, F.split(joined, BREAK))
+    return out.withColumns({c: F.when(F.col(f"`{c}`").isNotNull(), F.get(cut, F.lit(i))) for i, c in enumerate(columns)}).drop(joined, cut)

@@ -48,6 +48,12 @@ class Options:
     types: tuple[str, ...] = ()
     only: tuple[str, ...] = ()
     dlp: dict = field(default_factory=rules.policy)
+    keep_subnets: bool = False
+    residuals: str = "redact"
+    #: Columns of arrays that jobs fill for each text: the listed names and the hosts of the vault that it holds.
+    given_column: str = ""
+    family_column: str = ""
+    hosts_column: str = ""
 
 
 def stages(o: Options) -> list[tuple[str, tuple[Rule, ...]]]:
@@ -158,15 +164,19 @@ def mask_url(url: Column, keys: Keys | Maker, o: Options) -> Column:
     """A URL with its host, user information, identifiers and query values masked.
 
     ``all`` masks every host; ``internal`` keeps public hosts and ordinary values and masks internal
-    addresses and sensitive parameters; ``none`` masks user information and sensitive parameters only."""
+    addresses, hosts with a customer's name, hosts that the vault knows, and sensitive parameters; ``none`` masks user information and sensitive parameters only."""
     sensitive = f"(?i)^(?:{rules.SECRET_PARAMETERS}|{rules.TARGET_PARAMETERS})$"
     safe = r"(?i)^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9:.]+(?:Z|[+-][0-9]{2}:?[0-9]{2})?)?|[0-9]{1,13}|true|false|yes|no)$"
     part = lambda i: F.regexp_extract(url, r"^(?i)(https?://)([^/@?#]*@)?([^/:?#]*)(:[0-9]+)?([^?#]*)(\?[^#]*)?(#.*)?$", i)
     host, make = part(3), made(keys)
     ip = network.valid_ipv4(host)
     hidden = F.when(ip, make.token("ipv4", host, network.is_internal(host) if o.keep_scope else None)).otherwise(make.token("fqdn", host, keep_domain=o.keep_domain))
-    inner = network.is_internal(host) | network.in_networks(host, o.tenant_networks)
-    shown = {"all": F.when(host == "", host).when(make.own(host), host).otherwise(hidden), "internal": F.when(ip & inner, hidden).otherwise(host)}.get(o.url_mode, host)
+    mine = ip & (network.is_internal(host) | network.in_networks(host, o.tenant_networks))
+    for client in rules.client_terms(list(o.client_terms)):
+        mine = mine | host.rlike(f"(?i){client.pattern}")
+    if o.hosts_column:
+        mine = mine | F.coalesce(F.array_contains(F.col(o.hosts_column), F.lower(host)), F.lit(False))
+    shown = {"all": F.when(host == "", host).when(make.own(host), host).otherwise(hidden), "internal": F.when(mine & ~make.own(host), hidden).otherwise(host)}.get(o.url_mode, host)
     segment = lambda s: F.when(s.rlike(rf"(?i)^(?:{rules.WORKBENCH}|[0-9a-f]{{24,64}}|{rules.GUID})$"), make.token("opaque", s)).otherwise(s)
     path = F.array_join(F.transform(F.split(part(5), "/"), segment), "/") if o.url_mode == "all" else part(5)
 
@@ -287,10 +297,12 @@ def _banded(text: Column, stage: tuple[Rule, ...], change: Callable[[Column], Co
     return F.when(text.isNotNull(), F.translate(F.array_join(cut, ""), HOLD, ""))
 
 
-def mask_pairs(text: Column, given: list[str], family: list[str], make: Maker) -> Column:
+def mask_pairs(text: Column, given: list[str] | Column, family: list[str] | Column, make: Maker) -> Column:
     """A given and a family name side by side, in either order, as one person.  Every two neighbouring words are looked
-    up, so a word before the pair does not hide it; a word belongs to one pair at most, the first."""
-    first, last = rules.named(given), rules.named(family)
+    up, so a word before the pair does not hide it; a word belongs to one pair at most, the first.  The names are lists, or columns of
+    arrays of the listed names (lower case) that the text holds."""
+    listed = lambda names: (lambda word: F.coalesce(F.array_contains(names, F.lower(word)), F.lit(False))) if isinstance(names, Column) else rules.named(names)
+    first, last = listed(given), listed(family)
     cut = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([\p{L}']+|[^\p{L}']+)"))
 
     def pair(p: Column, i: Column) -> Column:
@@ -328,7 +340,9 @@ def mask_text(df: DataFrame, keys: Keys | Maker, o: Options = Options(), text: s
     context = df.sparkSession.sparkContext.applicationId
     for name, stage in stages(o):
         runs = [(name, lambda m, s=stage: run_stage(F.col(body), s, lambda c: hidden(c, m, o, s), m.own))]
-        if name == "prose" and o.given_names and o.family_names:
+        if name == "prose" and o.given_column and o.family_column:
+            runs.insert(0, ("pairs", lambda m: mask_pairs(F.col(body), F.col(o.given_column), F.col(o.family_column), m)))
+        elif name == "prose" and o.given_names and o.family_names:
             runs.insert(0, ("pairs", lambda m: mask_pairs(F.col(body), list(o.given_names), list(o.family_names), m)))
         for part, run in runs:
             out = out.withColumn(coded, F.when(F.col(body).isNotNull(), _once(context, part, o, body, notes, run)))
@@ -359,13 +373,16 @@ def findings(df: DataFrame, stage: tuple[Rule, ...], text: str = "text") -> Data
     return found.select(*others, F.expr("cast((at - 1) div 2 AS int)").alias("at"), "c.rule", "c.kind", "c.category", "c.value")
 
 
-def pseudonymize_residuals(df: DataFrame, keys: Keys | Maker, o: Options = Options(), text: str = "text") -> DataFrame:
+def pseudonymize_residuals(df: DataFrame, keys: Keys | Maker, o: Options = Options(), text: str = "text", record: str | None = None) -> DataFrame:
     """Gives tokens to what the personal-data rules still find, for documents that are to stay readable; secrets get a
-    token that no vault keeps.  Categories that are kept or blocked stay."""
+    token that no vault keeps.  Categories that are kept or blocked stay.  The array ``record`` gets what the tokens are made of."""
     fixed = {k: a if a in ("keep", "block") else "pseudonymize" for k, a in o.dlp.items()}
-    stage, make = rules.DLP + tuple(r for r in rules.MAIN if r.name == "email"), made(keys)
+    stage, make = rules.DLP + tuple(r for r in rules.MAIN if r.name == "email"), noting(made(keys))
+    (coded,) = free_names(df, "coded")
     change = lambda c: hidden(c, make, replace(o, dlp=fixed), stage)
-    return df.withColumn(text, F.when(F.col(text).isNotNull(), run_stage(F.col(text), stage, change, make.own)))
+    out = df.withColumn(coded, F.when(F.col(text).isNotNull(), run_stage(F.col(text), stage, change, make.own)))
+    more = {record: F.concat(record, F.coalesce(noted(F.col(coded)), F.array().cast("array<string>")))} if record else {}
+    return out.withColumns(more | {text: plain(F.col(coded))}).drop(coded)
 
 
 def redact_residuals(df: DataFrame, o: Options = Options(), text: str = "text") -> DataFrame:

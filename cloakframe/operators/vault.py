@@ -46,9 +46,18 @@ def salted(df: DataFrame, keys: Keys, keep_scope: bool = True, keep_domain: bool
     return df.withColumn("token", tokens.let(seeded, shaped))
 
 
-def assign(found: DataFrame, keys: Keys, vault: DataFrame | None = None, keep_scope: bool = True, keep_domain: bool = False) -> DataFrame:
+def assign(found: DataFrame, keys: Keys, vault: DataFrame | None = None, keep_scope: bool = True, keep_domain: bool = False, subnets: bool = False) -> DataFrame:
     """The rows (bidx, kind, norm, raw, hits, salt, token) to add to the vault: values that it does not
-    hold, each with a token that nothing else has and that is none of the values themselves."""
+    hold, each with a token that nothing else has and that is none of the values themselves.  With ``subnets`` the addresses
+    of a /24 keep one: networks and hosts get slots, and ``vault`` must have its originals (raw_enc)."""
+    if subnets:
+        rest = assign(found.where("kind <> 'ipv4'"), keys, vault, keep_scope, keep_domain)
+        ips = values(found.where("kind = 'ipv4'"), keys)
+        if vault is not None:
+            ips = ips.join(vault.select("bidx"), "bidx", "left_anti")
+        slots = subnet_map(subnet_tokens(ips.select(F.col("norm").alias("value")), keys, None if vault is None else known_subnets(vault, keys)))
+        ips = ips.join(slots.withColumnRenamed("value", "norm"), "norm").withColumn("salt", F.lit(0))
+        return rest.unionByName(kept(ips.select(*rest.columns), "assigned"))
     new = values(found, keys)
     if vault is not None:
         new = new.join(vault.select("bidx"), "bidx", "left_anti")
@@ -245,6 +254,16 @@ def subnet_tokens(found: DataFrame, keys: Keys, known: DataFrame | None = None)
     return out if known is None else known.unionByName(out)
 
 
+def known_subnets(vault: DataFrame, keys: Keys) -> DataFrame:
+    """The rows of ``subnet_tokens`` that the addresses of a vault stand for."""
+    ips = vault.where("kind = 'ipv4'").select(tokens.decrypt(keys, F.col("raw_enc")).alias("value"), "token")
+    part = lambda i: F.element_at(F.split("token", r"\."), i)
+    net = F.substring_index("value", ".", 3)
+    nets = ips.select(F.lit("ipv4net").alias("kind"), net.alias("value"), F.substring_index("token", ".", 2).alias("within"), part(3).cast("int").alias("slot")).distinct()
+    hosts = ips.select(F.lit("ipv4host").alias("kind"), "value", net.alias("within"), part(4).cast("int").alias("slot"))
+    return kept(nets.union(hosts).withColumn("bidx", tokens.blind_index(keys, F.col("kind"), F.col("value"))), "subnets")
+
+
 def subnet_map(rows: DataFrame) -> DataFrame:
     """(value, token) of the addresses in the rows of ``subnet_tokens``."""
     nets = rows.where("kind = 'ipv4net'").select(F.col("value").alias("within"), F.col("within").alias("scope"), F.col("slot").alias("net"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import replace
 from functools import partial
@@ -11,9 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.tokens import Keys
-from ..operators import classify, gate, text, vault
+from ..operators import classify, gate, lookups, text, vault
 from ..operators.vault_table import Busy, VaultTable
-from ..shared import kept
+from ..shared import free_names, kept
 from ..sources import lines, trees
 
 #: Option bundles by use.
@@ -21,7 +22,7 @@ PROFILES: dict[str, dict] = {
     "logs": {},
     "incident": {"ip_mode": "internal", "url_mode": "internal"},
     "sharing": {"client_mode": "label"},
-    "documents": {"client_mode": "pseudonymize", "keep_domain": False},
+    "documents": {"client_mode": "pseudonymize", "keep_domain": False, "residuals": "pseudonymize"},
     "hunting": {"ip_mode": "none", "url_mode": "none"},
 }
 
@@ -77,7 +78,7 @@ def _through_vault(df: DataFrame, keys: Keys, o: text.Options, columns: list[str
     done, before = kept(run(source, text.Maker(keys, None, F.col("_foreign"))), "masked"), None
     for _ in range(len(text.stages(o)) + 2):
         found = _pairs(done, "_key")
-        rows = vault.assign(found.select("kind", "value"), keys, known, o.keep_scope, o.keep_domain)
+        rows = vault.assign(found.select("kind", "value"), keys, known, o.keep_scope, o.keep_domain, o.keep_subnets)
         every = rows.select("bidx", "token") if known is None else rows.select("bidx", "token").union(known.select("bidx", "token"))
         issued = kept(vault.issued(found, every, keys, "_key", o.keep_scope, o.keep_domain), "issued")
         if issued.isEmpty() if before is None else _flat(before).exceptAll(_flat(issued)).isEmpty() and _flat(issued).exceptAll(_flat(before)).isEmpty():
@@ -88,26 +89,63 @@ def _through_vault(df: DataFrame, keys: Keys, o: text.Options, columns: list[str
     raise RuntimeError("the tokens of the vault do not settle")
 
 
-def mask_known(df: DataFrame, keys: Keys, o: text.Options = text.Options(), column: str = "text", known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(masked table, new rows of the vault ``known``): every value has the token that the vault has for it."""
-    names = [*df.columns, "_made", "_key"]
-    return _through_vault(df, keys, o, [column], lambda x, make: text.mask_text(x, make, o, column, "_made").select(*[f"`{n}`" for n in names]), known)
+def mask_known(df: DataFrame, keys: Keys, o: text.Options = text.Options(), column: str = "text", known: DataFrame | None = None, names: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(masked table, new rows of the vault ``known``): every value has the token that the vault has for it.  ``names`` (name, role) is a table of given
+    and family names, of any length; hosts that the vault knows are masked in URLs even where others stay."""
+    source, given, family, hosts = df, *free_names(df, "given", "family", "hosts")
+    if names is not None:
+        source, o = lookups.with_names(source, names, column, given, family), replace(o, given_column=given, family_column=family)
+    if known is not None and o.url_mode == "internal":
+        source, o = lookups.with_known_hosts(source, known, keys, column, hosts), replace(o, hosts_column=hosts)
+
+    def run(x: DataFrame, make: text.Maker) -> DataFrame:
+        out = text.mask_text(x, make, o, column, "_made")
+        if o.residuals == "pseudonymize":
+            out = text.pseudonymize_residuals(out, make, o, column, "_made")
+        return out.select(*[f"`{n}`" for n in (*df.columns, "_made", "_key")])
+
+    return _through_vault(source, keys, o, [column], run, known)
 
 
-def mask(df: DataFrame, keys: Keys, o: text.Options = text.Options(), column: str = "text", safe: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(masked table, vault rows): text masked by all stages with the tokens of the vault, residual personal
-    data elided if ``safe``."""
-    masked, rows = mask_known(df, keys, o, column)
+def mask(df: DataFrame, keys: Keys, o: text.Options = text.Options(), column: str = "text", safe: bool = True, names: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(masked table, vault rows): text masked by all stages with the tokens of the vault; residual personal
+    data gets tokens if the options say so, and what is left of it is elided if ``safe``."""
+    masked, rows = mask_known(df, keys, o, column, names=names)
     if safe:
         masked = text.redact_residuals(masked, o, column)
     return masked, vault.sealed(rows, keys)
 
 
+def scan(df: DataFrame, policy_path: str | None = None, force: bool = False, dry_run: bool = False, k: int = 10, **config) -> DataFrame:
+    """(column, kind, action, decided_by, samples): what is to be done with each column and its k least values.  The plan is
+    written to ``policy_path`` as an editable JSON document, which is never overwritten unless forced; a dry run writes nothing."""
+    kit = config.get("kit") or classify.detect_kit(df.columns)[0]
+    decisions = classify.plan(df, **config)
+    if policy_path and not dry_run:
+        jvm, spark = df.sparkSession.sparkContext._jvm, df.sparkSession
+        target = jvm.org.apache.hadoop.fs.Path(policy_path)
+        fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if force or not fs.exists(target):
+            out = fs.create(target, True)
+            out.write(json.dumps(classify.policy_document(decisions, kit), indent=2).encode())
+            out.close()
+    rows = [(i, d.column, d.kind, d.action, d.by) for i, d in enumerate(decisions)]
+    plan = df.sparkSession.createDataFrame(rows, "n int, column string, kind string, action string, decided_by string")
+    few = classify.samples(df, k).groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("samples"))
+    return plan.join(few, "column", "left").orderBy("n").drop("n")
+
+
+def load_policy(spark, path: str) -> dict[str, tuple[str, str | None]]:
+    """The overrides of a policy document that ``scan`` wrote, for ``mask_table(overrides=...)``."""
+    lines_ = [r["value"] for r in spark.read.text(path, wholetext=True).collect()]  # one small document
+    return classify.overrides_of(json.loads(lines_[0]))
+
+
 def mask_table(df: DataFrame, keys: Keys, o: text.Options = text.Options(), gated: bool = True, **config) -> tuple[DataFrame, list[classify.Decision], DataFrame]:
     """(masked table, plan, vault rows): every column classified and masked by its decision, with the tokens
     of the vault.  Columns that the configuration does not keep pass the gate, or the job ends (``gated``)."""
     decisions = classify.plan(df, **config)
-    masked = [d.column for d in decisions if d.action in ("mask", "text")]
+    masked = [d.column for d in decisions if d.action in ("mask", "text", "ioc") or (d.action == "keep" and d.by not in ("config", "override"))]
     if masked:
 
         def run(x: DataFrame, make: text.Maker) -> DataFrame:
@@ -174,7 +212,7 @@ def _lines_masked(x: DataFrame, fmt: str, make: text.Maker, o: text.Options, col
     notes = text.noting(make)
     kinds = {k: d for k, d in decisions.items() if d.action == "mask"}
     clear = [k for k, d in decisions.items() if d.action == "keep" and d.by != "unclassified"]
-    free = [k for k, d in decisions.items() if d.action == "text"]
+    free = [k for k, d in decisions.items() if d.action in ("text", "ioc")]
 
     def value(key, v, m):
         out = F.when(key.isin(*clear, *free), v).otherwise(F.when(classify.filled(v), F.lit(text.ELIDED)).otherwise(v)) if clear or free else F.when(classify.filled(v), F.lit(text.ELIDED)).otherwise(v)
@@ -220,7 +258,7 @@ LEAF_BREAK = "\n\x04\n"  # between texts that are masked or restored as one
 def _leaf(path: str, keep: tuple[str, ...], overrides: dict, kit: str | None) -> tuple[str, str | None]:
     """What is to be done with a leaf by its path; what no rule knows is elided."""
     d = classify.decide(path, None, kit, keep=keep, overrides=overrides)
-    return ("redact", None) if d.by == "unclassified" else (d.action, d.kind)
+    return ("redact", None) if d.by == "unclassified" else ("text", None) if d.action == "ioc" else (d.action, d.kind)
 
 
 def mask_json(df: DataFrame, keys: Keys, o: text.Options = text.Options(), column: str = "value", keep: tuple[str, ...] = (), overrides: dict | None = None, kit: str | None = None, invalid: str = "raise", known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

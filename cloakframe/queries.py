@@ -238,6 +238,55 @@ def q_columns_fail_closed(spark, sf_dir):
     return masked.select("c_custkey", *CLOSED, "severity", F.col("event_count").cast("long").alias("event_count"))
 
 
+def q_sql_functions(spark, sf_dir):
+    """Tokens made in SQL by the registered functions are those of the columns."""
+    from .functions import sql
+
+    sql.register(spark, DEMO)
+    c = _customers(spark, sf_dir, "c_custkey % 250 AS n")
+    e = c.selectExpr("c_custkey", "'bob' || c_custkey || '@Example.com' AS mail", "'10.1.' || n || '.9' AS inner_ip", "'8.8.' || n || '.9' AS outer_ip", "'+39 06-' || c_custkey AS phone")
+    return e.selectExpr("c_custkey", "ps_token('email', mail) AS mail", "ps_mask_ip(inner_ip) AS inner_ip", "ps_mask_ip(outer_ip) AS outer_ip", "ps_token('phone', phone) AS phone", "ps_blind_index('email', mail) AS bidx", "ps_is_token(ps_token('host', mail)) AS own")
+
+
+def q_scan_samples(spark, sf_dir):
+    """The ten least values of every column of three tables, from one pass each."""
+    parts = [classify.samples(table(spark, sf_dir, n)).withColumn("table_name", F.lit(n)) for n in ("customer", "nation", "region")]
+    return reduce(DataFrame.unionByName, parts).where("column <> 'c_acctbal'")
+
+
+def q_subnet_mask(spark, sf_dir):
+    """Addresses masked so that those of one network stay in one, and restored: per text whether the two of a network still share one, and
+    whether the third, of another, does not."""
+    net = "(c_custkey % 60)"
+    texts = _customers(spark, sf_dir, f"'10.1.' || {net} || '.' || (c_custkey % 250) || ' and 10.1.' || {net} || '.' || (c_custkey % 240 + 1) || ' or 10.2.' || {net} || '.7' AS text")
+    masked, rows = jobs.mask_known(texts, DEMO, jobs.options(types=("ipv4",), only=("main",), keep_subnets=True))
+    part = lambda i: F.substring_index(F.element_at(F.split("text", " (?:and|or) "), i), ".", 3)
+    looked = masked.select("c_custkey", (part(1) == part(2)).alias("together"), (part(1) != part(3)).alias("apart"), F.col("text").startswith("198.18.").alias("hidden"))
+    out = vault.restore(masked, vault.sealed(rows, DEMO), DEMO, "c_custkey")
+    return out.select("c_custkey", F.md5(F.encode("text", "UTF-8")).alias("digest"), "n_unresolved").join(looked, "c_custkey")
+
+
+def q_person_tables(spark, sf_dir):
+    """Pairs of names from a table of many thousand names, in whole texts: the same rows as with the lists as literals."""
+    c = table(spark, sf_dir, "customer").where("c_custkey IS NOT NULL")
+    letters = F.translate(F.col("c_custkey").cast("string"), "0123456789", "abcdefghij")
+    names = c.select(F.explode(F.array(F.struct(F.concat(F.lit("mar"), letters).alias("name"), F.lit("given").alias("role")), F.struct(F.concat(F.lit("ross"), letters).alias("name"), F.lit("family").alias("role")))).alias("x")).select("x.*")
+    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    mine = F.translate((F.col("doc_id") % 100).cast("string"), "0123456789", "abcdefghij")
+    texts = docs.select("doc_id", F.concat("text", F.lit(" | by Mar"), mine, F.lit(" Ross"), mine, F.lit(", not Mar"), mine, F.lit(" Bianchi")).alias("text"))
+    masked, _ = jobs.mask_known(texts, DEMO, jobs.options(only=("prose",)), names=names)
+    return masked.select("doc_id", F.md5(F.encode(F.substring_index("text", " | ", -1), "UTF-8")).alias("digest"))
+
+
+def q_url_known_hosts(spark, sf_dir):
+    """URLs whose public hosts stay, but for those that the vault knows."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("see "), F.col("url"), F.lit(" and https://www.unknown.example/a")).alias("text"), _host().alias("host"))
+    known = vault.sealed(vault.assign(p.where("page_id % 2 = 0").select(F.lit("fqdn").alias("kind"), F.col("host").alias("value")), DEMO), DEMO)
+    masked, _ = jobs.mask_known(p.select("page_id", "text"), DEMO, jobs.options("incident", types=("url",), only=("main",)), known=known)
+    hosts = F.regexp_extract_all("text", F.lit("https?://([^/:?#]*)"))
+    return masked.select("page_id", hosts[0].alias("first"), hosts[1].alias("second"))
+
+
 def q_luhn(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(\b[0-9]{16}\b)"))).alias("number"))
     return docs.select("doc_id", "number", checks.luhn(F.col("number")).alias("valid")).distinct()
@@ -672,6 +721,21 @@ SQL["q_iban_prose"] = (
 )
 SQL["q_json_roundtrip"] = "SELECT doc_id, 'usr' || doc_id AS name, '10.1.' || (doc_id % 250) || '.7' AS src_ip, 6 AS severity, md5(text) AS digest, 0::BIGINT AS n_unresolved, false AS in_clear FROM documents"
 SQL["q_vault_writers"] = f"SELECT bidx, kind, token FROM ({SQL['q_vault_assign']})"
+SQL["q_sql_functions"] = (
+    f"WITH s AS (SELECT c_custkey, {_kind('email', chr(39) + 'bob' + chr(39) + ' || c_custkey || ' + chr(39) + '@example.com' + chr(39))} AS h, {_kind('emaildomain', chr(39) + 'example.com' + chr(39))} AS hd, {_kind('ipv4', chr(39) + '10.1.' + chr(39) + ' || (c_custkey % 250) || ' + chr(39) + '.9' + chr(39))} AS hi, "
+    f"{_kind('ipv4', chr(39) + '8.8.' + chr(39) + ' || (c_custkey % 250) || ' + chr(39) + '.9' + chr(39))} AS ho, {_kind('phone', chr(39) + '+3906' + chr(39) + ' || c_custkey')} AS hp FROM customer) SELECT c_custkey, {_MAIL_TOKEN} AS mail, {_IPV4_TOKEN.format(inner='true').replace('(h,', '(hi,')} AS inner_ip, "
+    f"{_IPV4_TOKEN.format(inner='false').replace('(h,', '(ho,')} AS outer_ip, 'tel-' || {_tag('hp', 12)} AS phone, {_bidx(chr(39) + 'email' + chr(39), chr(39) + 'bob' + chr(39) + ' || c_custkey || ' + chr(39) + '@example.com' + chr(39))} AS bidx, true AS own FROM s"
+)
+SQL["q_scan_samples"] = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS \"column\", v AS value FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM {t} WHERE {c} IS NOT NULL AND trim(CAST({c} AS VARCHAR)) <> '' ORDER BY v LIMIT 10)"
+    for t, cs in (("customer", "c_custkey c_name c_nationkey c_mktsegment"), ("nation", "n_nationkey n_name n_regionkey"), ("region", "r_regionkey r_name")) for c in cs.split()
+)
+SQL["q_subnet_mask"] = "WITH t AS (SELECT c_custkey, '10.1.' || (c_custkey % 60) || '.' || (c_custkey % 250) || ' and 10.1.' || (c_custkey % 60) || '.' || (c_custkey % 240 + 1) || ' or 10.2.' || (c_custkey % 60) || '.7' AS text FROM customer) SELECT c_custkey, md5(text) AS digest, 0::BIGINT AS n_unresolved, true AS together, true AS apart, true AS hidden FROM t"
+SQL["q_person_tables"] = (
+    f"WITH d AS (SELECT doc_id, translate(CAST(doc_id % 100 AS VARCHAR), '0123456789', 'abcdefghij') AS n, doc_id % 100 AS k FROM documents WHERE doc_id IS NOT NULL), s AS (SELECT d.*, c_custkey, {_kind('person', chr(39) + 'mar' + chr(39) + ' || n || ' + chr(39) + ' ross' + chr(39) + ' || n')} AS h FROM d LEFT JOIN customer ON c_custkey = k) "
+    f"SELECT doc_id, md5('by ' || CASE WHEN c_custkey IS NULL THEN 'Mar' || n || ' Ross' || n ELSE 'person-' || {_tag('h', 12)} END || ', not Mar' || n || ' Bianchi') AS digest FROM s"
+)
+SQL["q_url_known_hosts"] = f"WITH {_HOSTS}, k AS (SELECT DISTINCT host FROM hosts WHERE page_id % 2 = 0), s AS (SELECT page_id, regexp_extract(url, '^https?://([^/:?#]*)', 1) AS shown, k.host AS known, {_kind('fqdn', 'hosts.host')} AS h FROM hosts JOIN pages USING (page_id) LEFT JOIN k ON k.host = hosts.host) SELECT page_id, CASE WHEN known IS NULL THEN shown ELSE 'host-' || {_tag('h', 8)} || '.masked.local' END AS first, 'www.unknown.example' AS second FROM s"
 SQL["q_restore_table"] = f"WITH {_K} SELECT c_custkey, 'Owner ' || k AS owner, 'bob' || k || '@example.com' AS email, '10.1.' || (c_custkey % 250) || '.7' AS src_ip, 0::BIGINT AS n_unresolved FROM t"
 SQL |= {f"q_{fmt}_job": f"WITH {_K} SELECT c_custkey, {line} AS value, 0::BIGINT AS n_unresolved, false AS in_clear FROM t" for fmt, line in LINE_FORMS.items()}
 SQL["q_sweep_text"] = f"WITH {_K}, s AS (SELECT *, {_kind('fqdn', chr(39) + 'w' + chr(39) + ' || k || ' + chr(39) + '.plant.zz' + chr(39))} AS h FROM t) SELECT c_custkey, 'ping host-' || {_tag('h', 8)} || '.masked.local, then w' || k || '.plant.zzz' AS text FROM s"
