@@ -3,16 +3,17 @@
 A page is read as a sequence of text blocks, each with its root-to-leaf path of block tags.  For every
 path the text outside links per node and the punctuation per node are aggregated (tag-path ratios); both
 are smoothed along the page with a Gaussian kernel, so that a short block among long ones is lifted and an
-isolated one is not, and fused as the geometric mean of text and 1 + punctuation.  A path is content if
-the mean fused score of its nodes reaches ``share`` of the page's best path (and, outside articles, most of its
-text is not linked); its nodes are the main text, and so
-is what stands, not mostly linked, between two content nodes of one part of the body (a table amid paragraphs).
+isolated one is not, and fused as the geometric mean of text and 1 + punctuation, and, for nodes that their
+surroundings make doubtful, ``doubt``.  A node is content if the mean fused score of its path
+reaches ``share`` of the page's best path without doubt (and, outside articles, most of its
+path's text is not linked); so is what stands, undoubted and not mostly linked, between two content nodes of one part of the body (a table
+amid paragraphs).  A page with doubtful nodes only has no main text.
 
-Tags and names only take away what is no article: navigation, headers outside articles, footers, asides,
+Doubtful is what lies in navigation, headers outside articles, footers, asides,
 forms, dialogs, hidden parts, and elements whose class, id or role says so.  A name counts if it is a whole
 class (``share``, ``cookie-notice``) or, for names that leave no doubt, the end of one (``site-nav``); it is ignored on an element
 that holds an article or main element, or most of the page's text (comments excepted).  An article next
-to one with over ``1 / related`` times its text is a teaser and goes.
+to one with over ``1 / related`` times its text is a teaser and doubtful too.
 
 Within a block, character references are decoded and white space is one space; blocks are joined in page
 order by one newline.  Nothing else is dropped or cut.
@@ -76,10 +77,11 @@ BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(BLOCKS))})[\s/>]", re.I)
 @dataclass(frozen=True)
 class Extraction:
     """``sigma``: reach of the smoothing in nodes; ``share``: of the best path's fused score that content
-    needs; ``related``: an article with less than this share of the largest one's text is a teaser."""
+    needs; ``doubt``: what remains of the score of a doubtful node; ``related``: an article with less than this share of the largest one's text is a teaser."""
 
     sigma: float = 1.0
-    share: float = 0.05
+    share: float = 0.3
+    doubt: float = 0.12
     related: float = 0.2
 
 
@@ -231,7 +233,7 @@ def parse(source: str) -> Page:
 
 
 def mark(page: Page, p: Extraction) -> None:
-    """Marks the elements that are no part of the article, and all inside them, as dull."""
+    """Marks the elements that are hardly part of the article, and all inside them, as dull."""
     for b in page.blocks:
         b.element.size += max(0, len(b.text) - b.linked)
     for e in reversed(page.elements[1:]):
@@ -272,20 +274,21 @@ def main_text(source: str | None, p: Extraction = Extraction()) -> str:
         return ""
     page = parse(source)
     mark(page, p)
-    blocks = [b for b in page.blocks if not b.element.dull]
-    if not blocks:
+    blocks = page.blocks
+    if all(b.element.dull for b in blocks):
         return ""
-    scores = path_scores(blocks, p)
+    paths = path_scores(blocks, p)
+    scores = [paths[b.element.path] * (p.doubt if b.element.dull else 1.0) for b in blocks]
     links: Counter[int] = Counter()
     for b in blocks:
         if not b.element.in_article:
             links[b.element.path] += 2 * b.linked - len(b.text)
-    least = p.share * max(scores.values())
-    content = [scores[b.element.path] >= least and scores[b.element.path] > 0 and links[b.element.path] <= 0 for b in blocks]
+    least = p.share * max(x for b, x in zip(blocks, scores, strict=True) if not b.element.dull)
+    content = [x >= least and x > 0 and links[b.element.path] <= 0 for b, x in zip(blocks, scores, strict=True)]
     chosen = [i for i, c in enumerate(content) if c]
     for i, k in zip(chosen, chosen[1:], strict=False):
         if k - i > 1 and blocks[i].element.top is blocks[k].element.top is not None:
-            content[i + 1 : k] = [2 * b.linked <= len(b.text) for b in blocks[i + 1 : k]]
+            content[i + 1 : k] = [not b.element.dull and 2 * b.linked <= len(b.text) for b in blocks[i + 1 : k]]
     return "\n".join(b.text for b, c in zip(blocks, content, strict=True) if c)
 
 

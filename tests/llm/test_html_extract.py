@@ -107,3 +107,40 @@ def test_open_elements_end_at_the_next_block():
 def test_clashing_names(spark):
     df = spark.createDataFrame([(1, "<p>Some, text.</p>", "mine")], "page_id long, html string, _html string")
     assert extract(df).first().asDict() == {"page_id": 1, "_html": "mine", "text": "Some, text.", "n_chars": 11}
+
+
+def real_pages():
+    import pathlib
+
+    import pyarrow.parquet as pq
+    import pytest
+
+    path = pathlib.Path("/root/testdata/sf0.01/pages.parquet")
+    if not path.exists():
+        pytest.skip("the given tables are not here")
+    return [h for h in pq.read_table(path).column("html").to_pylist() if h]
+
+
+def test_the_default_share_decides_on_the_given_pages():
+    """At half and at one and a half times the default share other blocks come in or go; at the default the paragraphs of every article are
+    whole and nothing of a menu, footer, form or remark is left."""
+    import re
+
+    pages, p = real_pages(), Extraction()
+    texts = [main_text(h) for h in pages]
+    for factor in (0.5, 1.5):
+        assert sum(main_text(h, Extraction(share=factor * p.share)) != t for h, t in zip(pages, texts, strict=True)) >= 3
+    for html, text in zip(pages, texts, strict=True):
+        kept = set(text.split("\n"))
+        for part in re.findall(r"(?s)<(?:nav|footer|form)\b.*?</(?:nav|footer|form)>", html):
+            if re.search("(?i)<article|<main", part):
+                continue
+            blocks = [re.sub(r"\s+", " ", re.sub("<[^>]+>", "", b)).strip() for b in re.split("(?i)</?(?:p|div|li|ul)[^>]*>", part)]
+            assert not [b for b in blocks if len(b) > 20 and b in kept]
+
+
+def test_evidence_and_ratio_are_one_score():
+    """Without doubt being a reason to score less, boilerplate with much text and punctuation is content."""
+    loud = "<footer><p>All of this, and that, is ours, said they; so it is, and so it stays, they said, again.</p></footer>"
+    html = "<body><article>" + "".join(f"<p>{b}</p>" for b in BODY) + f"</article>{loud}</body>"
+    assert main_text(html) == "\n".join(BODY) and "ours" in main_text(html, Extraction(doubt=1.0)) and "ours" in main_text(html, Extraction(share=0.05))
