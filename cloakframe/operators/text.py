@@ -328,7 +328,8 @@ def looks_own(text: Column) -> Column:
 
 def mask_text(df: DataFrame, keys: Keys | Maker, o: Options = Options(), text: str = "text", record: str | None = None) -> DataFrame:
     """``df`` with its text masked by all stages in order.  The array ``record`` gets the ``kind|value`` of
-    every token that they write, as each stage sees the text.  Nothing in the input counts as a token of ours, unless ``keys``
+    every token that they write, as each stage sees the text.  Write the result before filtering on it: a filter would be
+    pushed down through the stages.  Nothing in the input counts as a token of ours, unless ``keys``
     is a ``Maker`` that knows the ``foreign`` values."""
     make = made(keys)
     foreign, coded, body = free_names(df, "foreign", "coded", "body")  # always the same names, so that expressions are built once

@@ -46,8 +46,9 @@ def _recorded(df: DataFrame) -> DataFrame:
 def all_findings(df: DataFrame, o: text.Options, column: str = "text", keys: Keys = Keys(bytes(32))) -> DataFrame:
     """(kind, value) of every token that masking the texts with all stages makes, for the vault: hosts and
     identifiers in URLs and the parts of accounts included.  A value that embeds the token of an earlier
-    stage is the one of these ``keys``."""
-    return _pairs(text.mask_text(_recorded(df), keys, o, column, "_made"))
+    stage is the one of these ``keys``.  What the stages recorded is written first: a filter on it, which exploding implies, would
+    be pushed down through all stages and repeat their expressions."""
+    return _pairs(kept(text.mask_text(_recorded(df), keys, o, column, "_made").select("_made"), "recorded"))
 
 
 def _with_foreign(df: DataFrame, columns: list[str], known: DataFrame | None) -> DataFrame:

@@ -224,7 +224,8 @@ def q_iban_prose(spark, sf_dir):
     docs = docs.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" paid to "), F.when(F.col("doc_id") % 2 == 0, F.col("iban")).otherwise(spaced), F.lit(" for invoice 7")))
     masked = text.run_stage(F.col("text"), rules.DLP, lambda c: text.hidden(c, DEMO, text.Options(), rules.DLP))
     found = docs.select("doc_id", F.array_join(F.array_sort(F.regexp_extract_all(masked, F.lit("(iban-[a-z2-7]{12})"))), ",").alias("tokens"))
-    seen = gate.residuals(docs.select("doc_id", "text")).where("rule = 'residual_iban'").groupBy("doc_id").agg(F.count("*").alias("n_gate"))
+    own = tuple(r for r in gate.RESIDUAL if r.kind == "iban")
+    seen = text.findings(docs.select("doc_id", "text"), own).groupBy("doc_id").agg(F.count("*").alias("n_gate"))
     return found.join(seen, "doc_id", "left").select("doc_id", "tokens", F.coalesce("n_gate", F.lit(0)).alias("n_gate"))
 
 
@@ -505,10 +506,10 @@ def q_vault_writers(spark, sf_dir):
     from concurrent.futures import ThreadPoolExecutor
 
     from .operators.vault_table import VaultTable
-    from .shared import folder
+    from .shared import folder, kept
 
     path = f"{folder(spark)}/cloakframe-writers-{uuid.uuid4().hex}"
-    found = _found_values(spark, sf_dir)
+    found = kept(_found_values(spark, sf_dir), "found")
     share = lambda n: found.where(f"pmod(crc32(cast(value AS binary)), 4) IN ({n}, {(n + 1) % 4})")
     with ThreadPoolExecutor(4) as pool:
         list(pool.map(lambda n: VaultTable(spark, path).assign(share(n), DEMO), range(4)))
