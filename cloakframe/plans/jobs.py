@@ -127,7 +127,8 @@ def scan(df: DataFrame, policy_path: str | None = None, force: bool = False, dry
         target = jvm.org.apache.hadoop.fs.Path(policy_path)
         fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         if force or not fs.exists(target):
-            out = fs.create(target, True)
+            plain = fs.getRawFileSystem() if fs.getScheme() == "file" else fs  # no checksum beside a file that is to be edited
+            out = plain.create(target, True)
             out.write(json.dumps(classify.policy_document(decisions, kit), indent=2).encode())
             out.close()
     rows = [(i, d.column, d.kind, d.action, d.by) for i, d in enumerate(decisions)]
