@@ -183,14 +183,14 @@ def _anchors(vault: DataFrame, keys: Keys, kinds: tuple[str, ...]) -> DataFrame:
 def _swept(df: DataFrame, vault: DataFrame, keys: Keys, id_col: str, text: str, kinds: tuple[str, ...], sieve_rows: int) -> DataFrame:
     """``df`` with _cut, the text in words and what is between them, and _hits, where the vault's originals stand in it: by place, the longest
     of those at one place, none over another."""
-    base = df.withColumn("_cut", F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORDS)))
+    cut = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORDS))
     first = F.when(F.get("_cut", F.lit(0)).rlike(r"^[\p{L}\p{N}]"), 0).otherwise(1)
-    words = base.select(id_col, F.posexplode(F.transform(F.filter("_cut", lambda w, i: i % 2 == first), lambda w: F.xxhash64(F.lower(w)))).alias("n", "h"))
+    words = df.select(id_col, cut.alias("_cut")).select(id_col, F.posexplode(F.transform(F.filter("_cut", lambda w, i: i % 2 == first), lambda w: F.xxhash64(F.lower(w)))).alias("n", "h"))
     anchors = _anchors(vault, keys, kinds)
     anchors = F.broadcast(anchors) if vault.count() <= sieve_rows else anchors
     near = words.join(anchors, "h").where("n >= nth").select(id_col, F.struct((F.col("n") - F.col("nth")).alias("place"), "size", "rank", "kind", "token", "core").alias("x"))
     near = near.groupBy(id_col).agg(F.array_sort(F.collect_set("x")).cast(_HITS).alias("_hits"))
-    out = base.join(near, id_col, "left")
+    out = df.join(near, id_col, "left").withColumn("_cut", cut)  # texts are shuffled, not their words
 
     def stands(x: Column) -> Column:
         at = 2 * x["place"] + first
