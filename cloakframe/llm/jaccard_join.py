@@ -1,7 +1,8 @@
 """Self-join on the Jaccard similarity of word-shingle sets, with Bayesian pruning of candidates.
 
 1. Every text becomes the set of its ``shingle``-word shingles (a text of fewer words is one shingle).
-   Texts with equal sets are one class, led by the least doc_id; copies are never expanded again.
+   Texts with equal sets are one class with a number of its own, led by the least doc_id; copies are never
+   expanded again.
 2. A class gets ``hashes`` MinHash values (16 bits kept of each); ``band_rows`` of them in a row make a
    band, and classes that agree on a band meet in a bucket.
 3. In a bucket, pairs are compared ``step`` values at a time.  With m agreements among n values and a
@@ -21,9 +22,10 @@ Results: class_id is the least doc_id of the connected component of links; n_lin
 documents (copies included) with similarity of at least ``threshold``.
 
 Defined results: null, empty and blank texts have no shingles and link to nothing, not even each other;
-rows of one doc_id count as one document (the union of their links); rows with a null id get a null
-class; an empty table gives an empty result; the result has no extra columns (``keep_one`` passes them
-through, working columns get free names).
+a doc_id with several texts takes part with each of them (their components are one, n_links is the largest
+of its texts', and a link to two of them counts twice); rows with a null id get a null class; an empty
+table gives an empty result; the result has no extra columns (``keep_one`` passes them through, working
+columns get free names).
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .storage import cut, scratch
+from .storage import cut, discard, scratch
 
 
 @dataclass(frozen=True)
@@ -92,8 +94,8 @@ def _signatures(batches: Iterator[pa.RecordBatch], p: JaccardJoin) -> Iterator[p
                         digest[lane, full] = np.add.reduceat(W.mix(sets ^ W.lane(13, 2)[lane]), at)
             raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * p.hashes), len(texts), [None, pa.py_buffer(sig.tobytes())])
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), pa.array(np.diff(off)), raw.cast(pa.binary())],
-                names=["id", "d0", "d1", "n", "sig"],
+                [part.column("id"), part.column("version"), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), pa.array(np.diff(off)), raw.cast(pa.binary())],
+                names=["id", "version", "d0", "d1", "n", "sig"],
             )
 
 
@@ -288,35 +290,41 @@ def _tasks(df: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, p: JaccardJoin = JaccardJoin(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, class_id, n_links, n_shingles): one row for each distinct id of ``docs``."""
-    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")).withColumn("version", F.xxhash64("text"))
     kind = dict(slim.dtypes)["id"]
-    told = cut(slim.mapInArrow(partial(_signatures, p=p), f"id {kind}, d0 long, d1 long, n long, sig binary"), "signatures")
+    told = cut(slim.mapInArrow(partial(_signatures, p=p), f"id {kind}, version long, d0 long, d1 long, n long, sig binary"), "signatures")
     named = told.where("n > 0 AND id IS NOT NULL")
-    classes = cut(named.groupBy("d0", "d1").agg(F.min("id").alias("cls"), F.count_distinct("id").alias("copies"), F.max("sig").alias("sig")), "classes")
-    lead = classes.select("d0", "d1", "cls", "copies")
-    member = named.select("id", "d0", "d1").distinct().join(lead, ["d0", "d1"]).select("id", "cls", "copies")
+    first = named.groupBy("d0", "d1").agg(F.min(F.struct("id", "version")).alias("first"), F.count_distinct("id").alias("copies"), F.max("sig").alias("sig"))
+    # the numbers are written with the classes, so they are the same for all that reads them
+    classes = cut(first.select(F.monotonically_increasing_id().alias("cls"), "d0", "d1", "first.*", "copies", "sig"), "classes")
+    member = cut(named.select("id", "d0", "d1").distinct().join(classes.select("d0", "d1", "cls", "copies"), ["d0", "d1"]).select("id", "cls", "copies"), "members")
 
-    bands = classes.select("cls", "sig").mapInArrow(partial(_bands, p=p), f"key long, cls {kind}, band int")
+    bands = classes.select("cls", "sig").mapInArrow(partial(_bands, p=p), "key long, cls long, band int")
     crowd = bands.groupBy("key").agg(F.count("*").alias("crowd")).where("crowd > 1")
     dealt = bands.join(crowd, "key").withColumn("blocks", F.ceil(F.col("crowd") / p.block).cast("int"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cls", F.lit(17)), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = dealt.select("key", "band", "block", "cls", other).select("key", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("k"), "block", "cls")
-    task = f"key long, band int, i int, k int, block int, cls {kind}"
-    sig = classes.select("cls", "sig", "copies").dropDuplicates(["cls"])
-    left = cut(_tasks(dealt.join(sig.drop("copies"), "cls")).mapInArrow(partial(_prune, p=p), task), "candidates")
+    left = cut(_tasks(dealt.join(classes.select("cls", "sig"), "cls")).mapInArrow(partial(_prune, p=p), "key long, band int, i int, k int, block int, cls long"), "candidates")
 
     # the list of classes grows with the corpus, so the join is a merge join at every size
-    need = left.select(F.col("cls").alias("id")).distinct().hint("merge")
-    texts = slim.join(need, "id").dropDuplicates(["id"]).withColumnRenamed("id", "cls")
-    full = _tasks(left.join(texts.join(sig, "cls"), "cls"))
-    found = cut(full.mapInArrow(partial(_verify, p=p), f"cls {kind}, links long, root {kind}"), "links")
+    asked = left.join(classes.select("cls", "id", "version"), "cls")
+    need = asked.select("id", "version").distinct().hint("merge")
+    texts = slim.join(need, ["id", "version"]).dropDuplicates(["id", "version"])
+    full = _tasks(asked.join(texts.join(classes.select("id", "version", "sig", "copies"), ["id", "version"]), ["id", "version"]).drop("id", "version"))
+    found = cut(full.mapInArrow(partial(_verify, p=p), "cls long, links long, root long"), "links")
+    discard(left)
 
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
-    parts = components(found.select(F.col("cls").alias("u"), F.col("root").alias("v")))
-    by_class = member.join(links, "cls", "left").join(parts.withColumnRenamed("node", "cls"), "cls", "left")
-    one = by_class.select("id", F.coalesce("component", "cls").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    one = one.groupBy("id").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
+    # the classes of a document with several texts belong together; written, so that a hot id can be split in the join
+    several = cut(member.groupBy("id").agg(F.min("cls").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "several")
+    ties = member.join(several, "id").select(F.col("cls").alias("u"), F.col("least").alias("v"))
+    parts = components(found.select(F.col("cls").alias("u"), F.col("root").alias("v")).union(ties)).withColumnRenamed("node", "cls")
+    heads = parts.join(classes.select("cls", "id"), "cls")
+    least = cut(heads.groupBy("component").agg(F.min("id").alias("class_id")), "least")
+    leads = classes.select("cls", F.col("id").alias("own")).join(parts.join(least, "component").select("cls", "class_id"), "cls", "left").join(links, "cls", "left")
+    leads = leads.select("cls", F.coalesce("class_id", "own").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    one = member.join(leads, "cls").groupBy("id").agg(F.min("class_id").alias("class_id"), F.max(F.col("links") + F.col("copies") - 1).alias("n_links"))
     every = told.groupBy("id").agg(F.max("n").alias("n_shingles"))
     out = every.join(one, "id", "left")
     return out.select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_shingles")

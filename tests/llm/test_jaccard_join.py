@@ -67,6 +67,18 @@ def test_edges(spark, edge_docs, empty_docs):
     assert near_duplicates(empty_docs).count() == 0
 
 
+def test_an_id_with_several_texts(spark):
+    a, b, c = family(21, 3, 120, 2), family(22, 3, 100, 2), family(23, 2, 90, 1)
+    rows = [(1, a[0]), (1, b[0]), (1, b[0]), (2, a[1]), (3, a[2]), (4, b[1]), (4, " "), (5, b[2]), (5, c[0]), (6, c[1]), (7, "one of its own"), (1, "")]
+    got = {r.id: r for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute(list(enumerate(t for _, t in rows)))  # every row a document of its own
+    links = {i: max(len({j for j, (k, u) in enumerate(rows) if k != i and (sets(t) and 5 * len(sets(t) & sets(u)) >= 4 * len(sets(t) | sets(u)))}) for k, t in rows if k == i) for i in range(1, 8)}
+    links[4] -= 1  # text b of document 1 stands in two rows, which are one
+    links[5] -= 1
+    assert len({w[0] for w in want.values()}) == 6 and {i: r.n_links for i, r in got.items()} == links
+    assert {i: r.class_id for i, r in got.items()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 7}
+
+
 def test_pruning_keeps_what_may_reach_the_threshold():
     p = JaccardJoin()
     least = floors(p)
