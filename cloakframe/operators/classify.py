@@ -63,7 +63,7 @@ def normalised(name: str) -> str:
 def candidates(name: str) -> list[str]:
     """Forms under which a name is looked up, in order: as it is, without array marks, without transport
     wrappers, its last segment."""
-    first = normalised(name).replace("[]", "")
+    first = normalised(name).replace("[]", "").lstrip(".")
     out = [first]
     for form in out:
         out += [form.removeprefix(w) for w in WRAPPERS if form.startswith(w) and form.removeprefix(w) not in out]

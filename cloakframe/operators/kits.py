@@ -25,7 +25,7 @@ class Kit:
 
 def _kit(id: str, label: str, prints: str, ip: str = "", user: str = "", host: str = "", email: str = "", opaque: str = "", text: str = "", keep: str = "", domain: str = "", aliases: tuple[str, ...] = ()) -> Kit:
     """A kit from lists of names; a fingerprint written ``name*3`` weighs 3 (2 otherwise)."""
-    weights = {p.partition("*")[0]: float(p.partition("*")[2] or 2) for p in prints.split()}
+    weights = {p.partition("*")[0].lower(): float(p.partition("*")[2] or 2) for p in prints.split()}
     parts = (("mask", "ip", ip), ("mask", "user", user), ("mask", "endpoint", host), ("mask", "email", email), ("mask", "fqdn", domain), ("mask", "opaque", opaque), ("text", None, text), ("keep", None, keep))
     return Kit(id, label, weights, tuple((re.escape(n).replace(r"\*", ".*"), action, kind) for action, kind, names in parts for n in names.split()), aliases)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.tokens import Keys
-from ..operators import classify, gate, lookups, text, vault
+from ..operators import classify, gate, lookups, nested, text, vault
 from ..operators.vault_table import Busy, VaultTable
 from ..shared import free_names, kept
 from ..sources import lines, trees
@@ -190,53 +190,62 @@ def restore_header(columns: list[str], rows: DataFrame, keys: Keys) -> list[str]
     return [r["text"] for r in vault.restore(named, rows, keys, "n").orderBy("n").collect()]
 
 
-def mask_lines(df: DataFrame, fmt: str, keys: Keys, o: text.Options = text.Options(), column: str = "value", keep: tuple[str, ...] = (), invalid: str = "raise") -> tuple[DataFrame, DataFrame]:
+def mask_lines(df: DataFrame, fmt: str, keys: Keys, o: text.Options = text.Options(), column: str = "value", keep: tuple[str, ...] = (), invalid: str = "raise", by: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(masked table, vault rows) of CEF, LEEF or key=value syslog lines: each pair's value is masked by what its key is classified
     as, the event name of CEF and the prefix of syslog as free text, other header fields stay.  A line that is not of the
-    format ends the job, or becomes null if ``invalid`` is "null"."""
+    format ends the job, or becomes null if ``invalid`` is "null".  With ``by`` every source named by that column gets the rules of
+    the kit that its keys tell."""
     parse, _ = lines.PARSERS[fmt]
-    parsed = kept(df.withColumn("_record", parse(F.col(column))), "lines")
+    found = nested.with_kits(df, column, fmt, by, "_kit") if by else df.withColumn("_kit", F.lit(None).cast("string"))
+    found = found.withColumn("_record", parse(F.col(column)))
+    told = nested.decisions(F.col("_record.pairs.key"), F.col("_kit"), partial(_pair, keep=keep))
+    parsed = kept(found.withColumn("_told", told).drop("_kit"), "lines")
     bad = parsed.where(F.col("_record").isNull() & F.col(column).isNotNull())
     if invalid == "raise" and not bad.isEmpty():
         raise ValueError(f"a line is no {fmt} record")
-    names = [r["key"] for r in parsed.select(F.explode("_record.pairs.key").alias("key")).distinct().collect()]  # few: a format's fields
-    decisions = {n: classify.decide(n, None, keep=keep) for n in names}
+    kinds = [r["kind"] for r in parsed.select(F.explode("_told").alias("x")).where("x.action = 'mask'").select("x.kind").distinct().collect()]  # those that masks know
 
     def run(x: DataFrame, make: text.Maker) -> DataFrame:
-        return _lines_masked(x, fmt, make, o, column, decisions)
+        return _lines_masked(x, fmt, make, o, column, sorted(kinds))
 
     out, rows = _through_vault(parsed, keys, o, [column], run, None)
     return out, vault.sealed(rows, keys)
 
 
-def _lines_masked(x: DataFrame, fmt: str, make: text.Maker, o: text.Options, column: str, decisions: dict) -> DataFrame:
+def _pair(key: str, kit: str | None, keep: tuple[str, ...]) -> tuple[str, str | None]:
+    """What is to be done with a pair by its key; what no rule knows is elided."""
+    d = classify.decide(key, None, kit, keep=keep)
+    if d.action == "keep" and d.by == "unclassified":
+        return "redact", None
+    return ("text", None) if d.action == "ioc" else (d.action, d.kind)
+
+
+def _lines_masked(x: DataFrame, fmt: str, make: text.Maker, o: text.Options, column: str, kinds: list[str]) -> DataFrame:
     _, render = lines.PARSERS[fmt]
     notes = text.noting(make)
-    kinds = {k: d for k, d in decisions.items() if d.action == "mask"}
-    clear = [k for k, d in decisions.items() if d.action == "keep" and d.by != "unclassified"]
-    free = [k for k, d in decisions.items() if d.action in ("text", "ioc")]
-
-    def value(key, v, m):
-        out = F.when(key.isin(*clear, *free), v).otherwise(F.when(classify.filled(v), F.lit(text.ELIDED)).otherwise(v)) if clear or free else F.when(classify.filled(v), F.lit(text.ELIDED)).otherwise(v)
-        for kind in sorted({d.kind for d in kinds.values()}):
-            mine = [k for k, d in kinds.items() if d.kind == kind]
-            out = F.when(key.isin(*mine), classify.masked_cell(kind, v, m, o)).otherwise(out)
-        return out
-
-    out = x.withColumn("_record", lines.transform_pairs(F.col("_record"), lambda k, v: value(k, v, notes)))
+
+    def value(v, told):
+        out = F.when(told["action"].isin("keep", "text") | ~classify.filled(v), v)
+        for kind in kinds:
+            out = out.when((told["action"] == "mask") & (told["kind"] == kind), classify.masked_cell(kind, v, notes, o))
+        return out.otherwise(text.ELIDED)
+
+    free = F.transform("_told", lambda t: t["action"] == "text")
+    masked = F.transform("_record.pairs", lambda p, i: p.withField("value", value(p["value"], F.get("_told", i))))
+    out = x.withColumn("_record", F.when(F.col("_record").isNotNull(), F.col("_record").withField("pairs", masked))).withColumn("_told", free)
     out = out.withColumn("_made", F.concat("_made", F.coalesce(text.noted(F.array_join(F.transform("_record.pairs", lambda p: p["value"]), "")), F.array().cast("array<string>"))))
     out = out.withColumn("_record", lines.transform_pairs(F.col("_record"), lambda k, v: text.plain(v)))
     # free text of the record: the name of the event, the prefix, and message fields, masked as one text with separators
-    pick = F.filter("_record.pairs", lambda p: p["key"].isin(*free)) if free else F.filter("_record.pairs", lambda p: F.lit(False))
+    pick = F.filter("_record.pairs", lambda p, i: F.get("_told", i))
     head = F.when(F.size("_record.header") > 5, F.get("_record.header", F.lit(5))).otherwise("")
     joined = F.concat_ws("\n\x04\n", head, F.col("_record.prefix"), F.transform(pick, lambda p: p["value"]))
     out = text.mask_text(out.withColumn("_free", joined), make, o, "_free", "_made")
     cut = F.split("_free", "\n\x04\n")
     header = F.transform("_record.header", lambda h, i: F.when((i == 5) & (F.size("_record.header") > 5), F.get(cut, F.lit(0))).otherwise(h))
-    at = lambda i: F.size(F.filter(F.slice("_record.pairs", 1, i), lambda p: p["key"].isin(*free)))
-    pairs = F.transform("_record.pairs", lambda p, i: F.when(p["key"].isin(*free), p.withField("value", F.get(cut, at(i) + 2))).otherwise(p)) if free else F.col("_record.pairs")
+    at = lambda i: F.size(F.filter(F.slice("_told", 1, i), lambda t: t))
+    pairs = F.transform("_record.pairs", lambda p, i: F.when(F.get("_told", i), p.withField("value", F.get(cut, at(i) + 2))).otherwise(p))
     record = F.when(F.col("_record").isNotNull(), F.col("_record").withField("header", header).withField("prefix", F.get(cut, F.lit(1))).withField("pairs", pairs))
-    return out.withColumn(column, render(record)).drop("_record", "_free", "_foreign", "_issued")
+    return out.withColumn(column, render(record)).drop("_record", "_told", "_free", "_foreign", "_issued")
 
 
 def restore_lines(df: DataFrame, fmt: str, rows: DataFrame, keys: Keys, id_col: str, column: str = "value") -> DataFrame:
@@ -257,18 +266,23 @@ def restore_lines(df: DataFrame, fmt: str, rows: DataFrame, keys: Keys, id_col:
 LEAF_BREAK = "\n\x04\n"  # between texts that are masked or restored as one
 
 
-def _leaf(path: str, keep: tuple[str, ...], overrides: dict, kit: str | None) -> tuple[str, str | None]:
-    """What is to be done with a leaf by its path; what no rule knows is elided."""
-    d = classify.decide(path, None, kit, keep=keep, overrides=overrides)
+def _leaf(path: str, found: str | None = None, *, keep: tuple[str, ...], overrides: dict, kit: str | None) -> tuple[str, str | None]:
+    """What is to be done with a leaf by its path and the kit found for its source; what no rule knows is elided."""
+    d = classify.decide(path, None, found or kit, keep=keep, overrides=overrides)
     return ("redact", None) if d.by == "unclassified" else ("text", None) if d.action == "ioc" else (d.action, d.kind)
 
 
-def mask_json(df: DataFrame, keys: Keys, o: text.Options = text.Options(), column: str = "value", keep: tuple[str, ...] = (), overrides: dict | None = None, kit: str | None = None, invalid: str = "raise", known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def mask_json(df: DataFrame, keys: Keys, o: text.Options = text.Options(), column: str = "value", keep: tuple[str, ...] = (), overrides: dict | None = None, kit: str | None = None, invalid: str = "raise", known: DataFrame | None = None, by: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(masked table, vault rows) of a column of JSON documents, or of lines of NDJSON: every leaf by what its path is classified as,
     at any depth, with the tokens of the vault.  The leaves of a document that are free text are masked as one text.  A text that is no
-    JSON ends the job, or becomes null if ``invalid`` is "null"; blank lines stay."""
+    JSON ends the job, or becomes null if ``invalid`` is "null"; blank lines stay.  With ``by`` every source named by that column gets
+    the rules of the kit that its paths tell, or of ``kit`` if they tell none."""
     decide = partial(_leaf, keep=keep, overrides=overrides or {}, kit=kit)
-    parsed = kept(trees.with_leaves(df, column, decide, invalid), "leaves")
+    if by:
+        parsed = trees.with_leaves(nested.with_kits(df, column, "json", by, "_kit"), column, decide, invalid, by="_kit").drop("_kit")
+    else:
+        parsed = trees.with_leaves(df, column, decide, invalid)
+    parsed = kept(parsed, "leaves")
     kinds = [r["kind"] for r in parsed.select(F.explode("_leaves").alias("x")).where("x.action = 'mask'").select("x.kind").distinct().collect()]  # those that masks know
 
     def run(x: DataFrame, make: text.Maker) -> DataFrame:

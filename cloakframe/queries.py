@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from .functions import checks, network, rules, tokens
 from .functions.tokens import BASE32, Keys, pads
 from . import rule_queries
-from .operators import classify, fields, gate, spans, text, vault
+from .operators import classify, fields, gate, nested, spans, text, vault
+from .operators.kits import KITS
 from .plans import jobs
 from .sources import documents as doc_formats
 from .sources import lines, trees
@@ -188,6 +189,22 @@ def q_classify_columns(spark, sf_dir):
     return out
 
 
+#: (source, number, kit, fingerprint): the sources of ``q_nested_kits``, one for each kit.
+SOURCES = [(g, j, k.id, f, w) for g, k in enumerate(KITS[i] for i in sorted(KITS)) for j, (f, w) in enumerate(k.fingerprints.items())]
+
+
+def q_nested_kits(spark, sf_dir):
+    """The vendor of each source of a table that mixes nested documents: a document holds one of the names that tell its source's
+    vendor; two sources have no vendor, one of them with a single name that tells one."""
+    n = len(KITS) + 2
+    sizes = spark.createDataFrame([(g, j, sum(s[0] == g for s in SOURCES), f) for g, j, _, f, _ in SOURCES] + [(n - 2, 0, 1, "some.thing"), (n - 1, 0, 1, SOURCES[0][3])], "g int, j int, size int, form string")
+    own = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("k"), (F.col("c_custkey") % n).cast("int").alias("g"))
+    named = own.join(F.broadcast(sizes), "g").where("floor(k / %d) %% size = j" % n)
+    doc = F.concat(F.lit('[{"_source":{"'), F.replace("form", F.lit("."), F.lit('":[{"')), F.lit('":"v'), "k", F.lit('"'), F.expr("repeat('}]', size(split(form, '[.]')) - 1)"), F.lit("}}]"))
+    found = nested.detect(named.select("g", doc.alias("value")), "value", "json", "g")
+    return found.select(F.col("by").alias("source"), "kit", F.round("confidence", 6).alias("confidence"), "n_prints", "weight")
+
+
 def q_column_policy(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
     D = classify.Decision
@@ -721,6 +738,14 @@ SQL["q_iban_prose"] = (
     f"SELECT doc_id, 'iban-' || {_tag('h', 12)} AS tokens, 1::BIGINT AS n_gate FROM s"
 )
 SQL["q_json_roundtrip"] = "SELECT doc_id, 'usr' || doc_id AS name, '10.1.' || (doc_id % 250) || '.7' AS src_ip, 6 AS severity, md5(text) AS digest, 0::BIGINT AS n_unresolved, false AS in_clear FROM documents"
+SQL["q_nested_kits"] = (
+    "WITH p(g, j, kit, form, w) AS (VALUES " + ", ".join(f"({g}, {j}, '{k}', '{f}', {w}::DOUBLE)" for g, j, k, f, w in SOURCES) + f"), t AS (SELECT kit, least({classify.ENOUGH}, sum(w) / 3) AS least FROM p GROUP BY kit), "
+    f"d AS (SELECT g, j, count(*) OVER (PARTITION BY g) AS size, form FROM p UNION ALL VALUES ({len(KITS)}, 0, 1, 'some.thing'), ({len(KITS) + 1}, 0, 1, '{SOURCES[0][3]}')), "
+    f"seen AS (SELECT DISTINCT g, form FROM d JOIN customer ON c_custkey % {len(KITS) + 2} = g AND (c_custkey // {len(KITS) + 2}) % size = j), x AS (SELECT g, string_split(form, '.') AS s FROM seen), "
+    "f AS (SELECT DISTINCT g, unnest(list_concat(s, [array_to_string(s[1:i], '.') for i in range(1, len(s) + 1)])) AS form FROM x), m AS (SELECT f.g, kit, sum(w) AS weight, count(*) AS n FROM f JOIN p USING (form) GROUP BY ALL), "
+    "r AS (SELECT *, row_number() OVER o AS rank, coalesce(lead(weight) OVER o, 0) AS second FROM m JOIN t USING (kit) WINDOW o AS (PARTITION BY g ORDER BY weight DESC, n DESC, kit DESC)) "
+    "SELECT s.g AS source, CASE WHEN n >= 2 AND weight >= least THEN kit END AS kit, round(CASE WHEN n >= 2 AND weight >= least THEN weight / (weight + second + 1) ELSE 0 END, 6) AS confidence, coalesce(n, 0)::BIGINT AS n_prints, coalesce(weight, 0) AS weight FROM (SELECT DISTINCT g FROM seen) s LEFT JOIN r ON r.g = s.g AND rank = 1"
+)
 SQL["q_vault_writers"] = f"SELECT bidx, kind, token FROM ({SQL['q_vault_assign']})"
 SQL["q_sql_functions"] = (
     f"WITH s AS (SELECT c_custkey, {_kind('email', chr(39) + 'bob' + chr(39) + ' || c_custkey || ' + chr(39) + '@example.com' + chr(39))} AS h, {_kind('emaildomain', chr(39) + 'example.com' + chr(39))} AS hd, {_kind('ipv4', chr(39) + '10.1.' + chr(39) + ' || (c_custkey % 250) || ' + chr(39) + '.9' + chr(39))} AS hi, "

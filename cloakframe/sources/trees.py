@@ -62,12 +62,12 @@ LEAF = pa.struct([("path", pa.string()), ("value", pa.string()), ("action", pa.s
 LEAVES = "array<struct<path:string,value:string,action:string,kind:string,nth:int>>"
 
 
-def _read(batches: Iterator[pa.RecordBatch], column: str, name: str, decide: Callable[[str], tuple[str, str | None]] | None, invalid: str) -> Iterator[pa.RecordBatch]:
-    """Adds the leaves of each document with what ``decide`` says of their paths; ``nth`` numbers those with the action text.  A
+def _read(batches: Iterator[pa.RecordBatch], column: str, name: str, decide: Callable[..., tuple[str, str | None]] | None, invalid: str, by: str | None) -> Iterator[pa.RecordBatch]:
+    """Adds the leaves of each document with what ``decide`` says of their paths (and of the row's value of ``by``); ``nth`` numbers those with the action text.  A
     blank document has none."""
     decided = lru_cache(65_536)(decide or (lambda path: ("keep", None)))
 
-    def leaves(document: str | None) -> list[dict] | None:
+    def leaves(document: str | None, *more) -> list[dict] | None:
         if document is None:
             return None
         if not document.strip():
@@ -81,7 +81,7 @@ def _read(batches: Iterator[pa.RecordBatch], column: str, name: str, decide: Cal
         out, nth = [], 0
         for container, key, path in _leaves(root):
             path, value = _plain(path), container[key]
-            action, kind = decided(path)
+            action, kind = decided(path, *more)
             if action not in ACTIONS:
                 raise ValueError(f"unknown action for {path}: {action}")
             action = "keep" if value is None or isinstance(value, bool) else action
@@ -90,7 +90,8 @@ def _read(batches: Iterator[pa.RecordBatch], column: str, name: str, decide: Cal
         return out
 
     for batch in batches:
-        found = pa.array([leaves(x.as_py()) for x in batch.column(column)], pa.list_(LEAF))
+        used = [batch.column(c).to_pylist() for c in ((column, by) if by else (column,))]
+        found = pa.array([leaves(*x) for x in zip(*used, strict=True)], pa.list_(LEAF))
         yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, name])
 
 
@@ -121,9 +122,10 @@ def _schema(df: DataFrame, more: str = "") -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + more
 
 
-def with_leaves(df: DataFrame, column: str, decide: Callable[[str], tuple[str, str | None]] | None = None, invalid: str = "null", name: str = "_leaves") -> DataFrame:
-    """``df`` with the scalar leaves of a JSON column as an array of struct(path, value, action, kind, nth)."""
-    return df.mapInArrow(partial(_read, column=column, name=name, decide=decide, invalid=invalid), _schema(df, f", `{name}` {LEAVES}"))
+def with_leaves(df: DataFrame, column: str, decide: Callable[..., tuple[str, str | None]] | None = None, invalid: str = "null", name: str = "_leaves", by: str | None = None) -> DataFrame:
+    """``df`` with the scalar leaves of a JSON column as an array of struct(path, value, action, kind, nth); ``decide(path)``, or with the
+    column ``by`` ``decide(path, its value)``, says what is to be done with each."""
+    return df.mapInArrow(partial(_read, column=column, name=name, decide=decide, invalid=invalid, by=by), _schema(df, f", `{name}` {LEAVES}"))
 
 
 def put_back(df: DataFrame, column: str, name: str) -> DataFrame:
