@@ -323,7 +323,8 @@ def near_duplicates(docs: DataFrame, p: JaccardJoin = JaccardJoin(), id_col: str
     heads = parts.join(classes.select("cls", "id"), "cls")
     least = cut(heads.groupBy("component").agg(F.min("id").alias("class_id")), "least")
     leads = classes.select("cls", F.col("id").alias("own")).join(parts.join(least, "component").select("cls", "class_id"), "cls", "left").join(links, "cls", "left")
-    leads = leads.select("cls", F.coalesce("class_id", "own").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    # written, so that a class of very many copies can be split in the join
+    leads = cut(leads.select("cls", F.coalesce("class_id", "own").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links")), "leads")
     one = member.join(leads, "cls").groupBy("id").agg(F.min("class_id").alias("class_id"), F.max(F.col("links") + F.col("copies") - 1).alias("n_links"))
     every = told.groupBy("id").agg(F.max("n").alias("n_shingles"))
     out = every.join(one, "id", "left")
