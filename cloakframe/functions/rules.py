@@ -234,7 +234,7 @@ DLP = (
     Rule("credential", "secret", rf"(?:basic|bearer|digest|negotiate)\s+[^\s,;{STOP}]+|\"[^\"\r\n{STOP}]{{4,}}\"|'[^'\r\n{STOP}]{{4,}}'|[^\s,;\"'{STOP}][^\s,;{STOP}]{{5,}}", prefix=SECRET_LABELS + JOINED, before=r"(?<![\w-])", category="credentials", priority=120,
          valid=lambda v: ~v.rlike(r"^[A-Za-z]{3,14}[.!?]$"), opens=first_words(SECRET_NOUNS, SECRET_SIDES)),
     Rule("credential_prose", "secret", rf"(?=[^\s,;{STOP}]*[0-9!#$%&*+=?@^_])[^\s,;\"'{STOP}]{{6,}}", prefix=any_of("pwd,passwd,password,passphrase,api key,client secret") + r"[ \t]{1,3}", before=r"(?<![\w-])", category="credentials", priority=119, opens=("pwd", "passwd", "password", "passphrase", "api", "client")),
-    Rule("jwt", "secret", r"eyJ[\w-]{5,}\.[\w-]{5,}\.[\w-]{5,}", category="credentials", priority=118),
+    Rule("jwt", "secret", r"(?-i:eyJ)[\w-]{5,}\.[\w-]{5,}\.[\w-]{5,}", category="credentials", priority=118),
     Rule("cloud_key", "secret", r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[opsur]_[A-Z0-9]{20,255}", after=r"\b", opens=("akia", "asia"), category="credentials", priority=117),
     Rule("bearer", "secret", r"[A-Z0-9._~+/-]{8,}=*", prefix=r"bearer\s+", opens=("bearer",), category="credentials", priority=116, valid=lambda v: v.rlike("[0-9._~+/=-]")),
     Rule("iban", "iban", rf"{checks.iban_shapes()}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}}", before=r"(?<![A-Z0-9])", after=r"(?![A-Z0-9])", valid=checks.valid_iban, shorter=checks.iban_within, category="iban", priority=100),
