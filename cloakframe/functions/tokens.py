@@ -102,8 +102,13 @@ PREFIXED = {
 }
 
 
-def shape(kind: str, hexed: Column, norm: Column, keys: Keys, internal: Column | None = None, keep_domain: bool = False) -> Column:
-    """The token of a value of ``kind`` from its seed."""
+#: The salt from which addresses draw from 240.0.0.0/4 (reserved, RFC 1112), as 198.18.0.0/15 holds only 65,536 of a scope.
+WIDE = 4
+
+
+def shape(kind: str, hexed: Column, norm: Column, keys: Keys, internal: Column | None = None, keep_domain: bool = False, salt: Column | None = None) -> Column:
+    """The token of a value of ``kind`` from its seed.  Addresses that still have none at the salt ``WIDE`` get one of 240 to 247 if they are
+    internal, else of 248 to 254."""
     if kind in PREFIXED:
         prefix, n = PREFIXED[kind]
         return F.concat(F.lit(prefix), tag(hexed, n))
@@ -116,7 +121,12 @@ def shape(kind: str, hexed: Column, norm: Column, keys: Keys, internal: Column |
         return F.concat(F.lit("host-"), tag(hexed, 8), F.when(labels > 2, kept).otherwise(".masked.local") if keep_domain else F.lit(".masked.local"))
     if kind == "ipv4":
         scope = F.when(internal, "198.18.").otherwise("198.19.") if internal is not None else F.lit("198.19.")
-        return F.concat(scope, octet(hexed, 0).cast("string"), F.lit("."), octet(hexed, 1).cast("string"))
+        near = F.concat(scope, octet(hexed, 0).cast("string"), F.lit("."), octet(hexed, 1).cast("string"))
+        if salt is None:
+            return near
+        outer = octet(hexed, 0) % 7 + 248
+        first = F.when(internal, octet(hexed, 0) % 8 + 240).otherwise(outer) if internal is not None else outer
+        return F.when(salt < WIDE, near).otherwise(F.concat_ws(".", first.cast("string"), *[octet(hexed, i).cast("string") for i in (1, 2, 3)]))
     if kind == "ipv6":
         return F.concat(F.lit("fd00:"), F.concat_ws(":", *[F.substring(hexed, 4 * i + 1, 4) for i in range(3)]), F.lit("::1"))
     if kind == "mac":
@@ -151,7 +161,7 @@ REVERSIBLE = ("user", "host", "opaque", "taxid", "iban", "phone", "person", "add
 OWN_SHAPE = (
     r"(?:usr-[a-z2-7]{8}(?:@[a-z2-7]{6}\.masked)?|host-[a-z2-7]{8}(?:\.masked\.local|(?:\.[A-Za-z0-9-]+){2})?"
     r"|(?:id|cf|iban|tel|person|addr|vat|cloud|secret)-[a-z2-7]{12}|DOM-[a-z2-7]{8}|CLIENT-[0-9a-f]{6}|\[ELIDED\]"
-    r"|198\.1[89]\.[0-9]{1,3}\.[0-9]{1,3}|fd00:[0-9a-f]{4}:[0-9a-f]{4}:[0-9a-f]{4}::1|02(?::[0-9a-f]{2}){5})"
+    r"|(?:198\.1[89]|2(?:4[0-9]|5[0-4])\.[0-9]{1,3})\.[0-9]{1,3}\.[0-9]{1,3}|fd00:[0-9a-f]{4}:[0-9a-f]{4}:[0-9a-f]{4}::1|02(?::[0-9a-f]{2}){5})"
 )
 
 

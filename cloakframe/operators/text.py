@@ -335,7 +335,7 @@ def mask_text(df: DataFrame, keys: Keys | Maker, o: Options = Options(), text: s
     foreign, coded, body = free_names(df, "foreign", "coded", "body")  # always the same names, so that expressions are built once
     out = df.withColumn(body, F.translate(F.col(f"`{text}`"), OURS, ""))
     if make.foreign is None:
-        out = out.withColumn(foreign, F.when(F.col(body).rlike(r"198\.1[89]\.|fd00:|02:|-[a-z2-7]{8}|ELIDED|CLIENT-"), looks_own(F.col(body))).otherwise(F.array().cast("array<string>")))
+        out = out.withColumn(foreign, F.when(F.col(body).rlike(r"198\.1[89]\.|2[45][0-9]\.|fd00:|02:|-[a-z2-7]{8}|ELIDED|CLIENT-"), looks_own(F.col(body))).otherwise(F.array().cast("array<string>")))
         make = Maker(make.keys, make.issued, F.col(foreign))
     notes = noting(make)
     context = df.sparkSession.sparkContext.applicationId

@@ -19,6 +19,7 @@ from ..shared import kept
 
 KINDS = tokens.REVERSIBLE
 MAX_SALT = 4096
+ADDRESSES = 65_536 + 7 * 2**24  # of one scope: in 198.18.0.0/15, and beyond
 
 
 class TokenSpaceExhausted(RuntimeError):
@@ -42,7 +43,7 @@ def salted(df: DataFrame, keys: Keys, keep_scope: bool = True, keep_domain: bool
     """Adds the token of (kind, norm, salt); ``keep_scope`` and ``keep_domain`` as in the options of the texts.  The token is made inside a
     lambda: as plain expressions, the shapes of all kinds would outgrow what one generated method may hold."""
     seeded = tokens.seed(keys, F.col("kind"), F.col("norm"), F.col("salt"))
-    shaped = lambda h: _by_kind(lambda k: tokens.shape(k, h, F.col("norm"), keys, network.is_internal(F.col("norm")) if k == "ipv4" and keep_scope else None, keep_domain))
+    shaped = lambda h: _by_kind(lambda k: tokens.shape(k, h, F.col("norm"), keys, network.is_internal(F.col("norm")) if k == "ipv4" and keep_scope else None, keep_domain, F.col("salt")))
     return df.withColumn("token", tokens.let(seeded, shaped))
 
 
@@ -75,7 +76,7 @@ def assign(found: DataFrame, keys: Keys, vault: DataFrame | None = None, keep_sc
         if lost.isEmpty():
             return done
         if salt == 1:
-            crowded = open_.where("kind = 'ipv4'").groupBy(F.substring("token", 1, 7).alias("scope")).count().where(F.col("count") > 65_536)
+            crowded = open_.where("kind = 'ipv4'").groupBy(F.substring("token", 1, 7).alias("scope")).count().where(F.col("count") > ADDRESSES)
             if not crowded.isEmpty():  # told at once, not after all rounds
                 raise TokenSpaceExhausted("more addresses of one scope than there are tokens")
         taken = taken.union(won.select("token"))
@@ -129,10 +130,11 @@ def lookup(vault: DataFrame, keys: Keys, value: str) -> DataFrame:
     return hits.withColumn("raw", tokens.decrypt(keys, F.col("raw_enc"))).drop("raw_enc")
 
 
-#: Tokens as they are found in text.
+#: Tokens as they are found in text.  They may follow a dot, hyphen or @, as the addresses, hosts and numbers that they stand for do; letters may follow the
+#: number of a telephone.
 TOKEN_IN_TEXT = (
-    r"((?<=@)DOM-[a-z2-7]{8}|(?<=\[ELIDED\]@)(?:host-[a-z2-7]{8}(?:\.[A-Za-z0-9-]+){2}|198\.1[89]\.[0-9]{1,3}\.[0-9]{1,3})|(?<![A-Za-z0-9._@-])(?:usr-[a-z2-7]{8}@[a-z2-7]{6}\.masked|host-[a-z2-7]{8}(?:\.[A-Za-z0-9-]+){2}|(?:usr|host)-[a-z2-7]{8}|(?:id|cf|iban|tel|person|addr|vat|cloud)-[a-z2-7]{12}"
-    r"|DOM-[a-z2-7]{8}|198\.1[89]\.[0-9]{1,3}\.[0-9]{1,3}|fd00:[0-9a-f]{4}:[0-9a-f]{4}:[0-9a-f]{4}::1|02(?::[0-9a-f]{2}){5}|S-1-5-21(?:-[0-9]+){3}))(?![A-Za-z0-9])"
+    r"(?<![A-Za-z0-9_])(tel-[a-z2-7]{12}|(?:usr-[a-z2-7]{8}@[a-z2-7]{6}\.masked|host-[a-z2-7]{8}(?:\.[A-Za-z0-9-]+){2}|(?:usr|host)-[a-z2-7]{8}|(?:id|cf|iban|person|addr|vat|cloud)-[a-z2-7]{12}"
+    r"|DOM-[a-z2-7]{8}|(?:198\.1[89]|2(?:4[0-9]|5[0-4])\.[0-9]{1,3})\.[0-9]{1,3}\.[0-9]{1,3}|fd00:[0-9a-f]{4}:[0-9a-f]{4}:[0-9a-f]{4}::1|02(?::[0-9a-f]{2}){5}|S-1-5-21(?:-[0-9]+){3})(?![A-Za-z0-9]))"
 )
 _MARK = "\x01"
 
