@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .functions import rules
 from .functions.rules import Rule
 from .operators import text
+from .shared import spread
 
 K9, K2 = "lpad(k, 9, '0')", "lpad(substr(k, 1, 2), 2, '0')"
 B, Q, N = "chr(92)", "chr(34)", "chr(10)"
@@ -73,7 +74,7 @@ def _query(name: str):
     stage, cases = CASES[name]
 
     def run(spark, sf_dir):
-        keyed = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.col("c_custkey").cast("string").alias("k"))
+        keyed = spread(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")).withColumn("k", F.col("c_custkey").cast("string"))
         made = F.explode(F.array(*[F.struct(F.lit(i).alias("n"), F.expr(t).alias("text")) for i, (t, _) in enumerate(cases)])).alias("c")
         texts = keyed.select("c_custkey", made).select("c_custkey", F.col("c.n").alias("n_case"), "c.text")
         return text.findings(texts, STAGES[stage]).where(F.col("rule") == NAMES.get(name, name)).select("c_custkey", "n_case", "value")

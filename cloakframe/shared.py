@@ -36,3 +36,9 @@ def free_names(df: DataFrame, *stems: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over at least four partitions for each core: text stages cost far more than dealing the rows.  A file may have all of
+    them in one row group, which the number of partitions does not tell."""
+    return df.repartition(max(4 * df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()))
