@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import network, tokens
 from ..functions.tokens import Keys
-from ..shared import kept
+from ..shared import free_names, kept
 
 KINDS = tokens.REVERSIBLE
 MAX_SALT = 4096
@@ -86,15 +86,29 @@ def assign(found: DataFrame, keys: Keys, vault: DataFrame | None = None, keep_sc
     raise TokenSpaceExhausted("a kind has no free token left; archive the vault or use another tenant")
 
 
-def issued(found: DataFrame, rows: DataFrame, keys: Keys, key: str, keep_scope: bool = True, keep_domain: bool = False) -> DataFrame:
-    """(key, _issued): for each key of the findings (key, kind, value) a map from ``kind|norm`` to token of the
-    values whose token in the vault is not the unsalted one.  Other keys have no row."""
+def moved(rows: DataFrame, keys: Keys, keep_scope: bool = True, keep_domain: bool = False, subnets: bool = False) -> DataFrame:
+    """(kind, norm, token): the rows of ``assign`` whose token is not the unsalted one.  Salted tokens never are; those that ``subnets`` gave
+    are compared with it."""
+    other = rows.where("salt > 0").select("kind", "norm", "token")
+    if not subnets:
+        return other
+    first = salted(rows.where("kind = 'ipv4'").select("kind", "norm", "salt", F.col("token").alias("_token")), keys, keep_scope, keep_domain)
+    return other.where("kind <> 'ipv4'").union(first.where("token <> _token").select("kind", "norm", F.col("_token").alias("token")))
+
+
+def moved_among(found: DataFrame, vault: DataFrame, keys: Keys, keep_scope: bool = True, keep_domain: bool = False) -> DataFrame:
+    """(kind, norm, token): the values of the findings (kind, value) whose token in the ``vault`` is not the unsalted one."""
+    norm = _by_kind(lambda k: tokens.normal(k, F.col("value")))
+    seen = found.where(F.col("kind").isin(*KINDS)).select("kind", norm.alias("norm")).distinct().withColumn("bidx", tokens.blind_index(keys, F.col("kind"), F.col("norm")))
+    seen = salted(seen.withColumn("salt", F.lit(0)), keys, keep_scope, keep_domain).withColumnRenamed("token", "_first")
+    return seen.join(vault.select("bidx", "token"), "bidx").where("token <> _first").select("kind", "norm", "token")
+
+
+def issued(found: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """(key, _issued): for each key of the findings (key, kind, value) a map from ``kind|norm`` to token of those of its
+    values that ``other`` (kind, norm, token) holds.  Other keys have no row."""
     norm = _by_kind(lambda k: tokens.normal(k, F.col("value")))
-    seen = found.where(F.col("kind").isin(*KINDS)).select(key, "kind", norm.alias("norm")).distinct()
-    known = seen.select("kind", "norm").distinct().withColumn("bidx", tokens.blind_index(keys, F.col("kind"), F.col("norm")))
-    known = salted(known.withColumn("salt", F.lit(0)), keys, keep_scope, keep_domain).withColumnRenamed("token", "_first")
-    other = known.join(rows.select("bidx", "token"), "bidx").where("token <> _first").select("kind", "norm", "token")
-    met = seen.join(other, ["kind", "norm"])
+    met = found.where(F.col("kind").isin(*KINDS)).select(key, "kind", norm.alias("norm")).join(other, ["kind", "norm"]).distinct()
     return met.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.lit("|"), "norm"), "token"))).alias("_issued"))
 
 
@@ -139,12 +153,14 @@ TOKEN_IN_TEXT = (
 _MARK = "\x01"
 
 
-def restore(df: DataFrame, vault: DataFrame, keys: Keys, id_col: str, text: str = "text", depth: int = 16) -> DataFrame:
-    """``df`` (unique ``id_col``) with every token of this vault replaced by its original, and n_unresolved.
-    Tokens become rows, meet the vault in a join, and go back by their position in the text."""
-    cut = F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), TOKEN_IN_TEXT, _MARK + "$1" + _MARK), _MARK)
-    base = kept(df.withColumn("_pieces", cut), "pieces")
-    seen = base.select(id_col, F.posexplode("_pieces").alias("at", "token")).where("at % 2 = 1")
+def restore(df: DataFrame, vault: DataFrame, keys: Keys, id_col: str, text: str | list[str] = "text", depth: int = 16) -> DataFrame:
+    """``df`` (unique ``id_col``) with every token of this vault in a text column, or in several, replaced by its original, and n_unresolved.
+    Tokens become rows, meet the vault in a join, and go back by their number in the row."""
+    columns = [text] if isinstance(text, str) else list(text)
+    pieces = free_names(df, *[f"pieces{n}" for n in range(len(columns))])
+    cut = lambda c: F.split(F.regexp_replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), TOKEN_IN_TEXT, _MARK + "$1" + _MARK), _MARK)
+    base = kept(df.withColumns({p: cut(c) for p, c in zip(pieces, columns)}), "pieces")
+    seen = base.select(id_col, F.posexplode(F.concat(*[F.filter(p, lambda x, i: i % 2 == 1) for p in pieces])).alias("at", "token"))
     # a bare host label falls back to the one qualified token that starts with it
     stems = vault.where("kind = 'fqdn'").groupBy(F.substring_index("token", ".", 1).alias("token")).agg(F.count("*").alias("n"), F.min("raw_enc").alias("raw_enc")).where("n = 1").select("token", "raw_enc")
     known = vault.select("token", "raw_enc").unionByName(stems.join(vault.select("token"), "token", "left_anti"))
@@ -154,10 +170,14 @@ def restore(df: DataFrame, vault: DataFrame, keys: Keys, id_col: str, text: str
         inner = restore(nested, vault, keys, "_of", "raw", depth - 1).select(F.col("_of").alias("token"), "raw")
         raws = raws.where(~F.col("raw").rlike(TOKEN_IN_TEXT)).unionByName(inner)
     back = seen.join(raws.select("token", "raw"), "token", "left").groupBy(id_col)
-    back = back.agg(F.map_from_entries(F.collect_list(F.struct("at", "raw"))).alias("_raws"), F.count_if(F.col("raw").isNull()).alias("n_unresolved"))
-    joined = base.join(back, id_col, "left")
-    fill = F.transform("_pieces", lambda p, i: F.when(i % 2 == 1, F.coalesce(F.col("_raws")[i], p)).otherwise(p))
-    return joined.withColumn(text, F.when(F.col(text).isNotNull(), F.array_join(fill, ""))).withColumn("n_unresolved", F.coalesce("n_unresolved", F.lit(0)).cast("long")).drop("_pieces", "_raws")
+    in_order = F.map_values(F.map_from_entries(F.array_sort(F.collect_list(F.struct("at", "raw")))))  # an id that is not unique is an error
+    back = back.agg(in_order.alias("_raws"), F.count_if(F.col("raw").isNull()).alias("n_unresolved"))
+    filled = lambda p, before: F.transform(p, lambda x, i: F.when(i % 2 == 1, F.coalesce(F.get("_raws", (before + (i - 1) / 2).cast("int")), x)).otherwise(x))
+    out, before = {}, F.lit(0)
+    for c, p in zip(columns, pieces):
+        out[c] = F.when(F.col(f"`{c}`").isNotNull(), F.array_join(filled(p, before), ""))
+        before = before + ((F.size(p) - 1) / 2).cast("int")
+    return base.join(back, id_col, "left").withColumns(out).withColumn("n_unresolved", F.coalesce("n_unresolved", F.lit(0)).cast("long")).drop(*pieces, "_raws")
 
 
 SWEPT = ("fqdn", "host", "email", "user", "person", "address", "opaque", "windomain", "cloud", "iban", "vat", "taxid", "phone")

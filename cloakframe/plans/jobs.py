@@ -73,20 +73,31 @@ def _through_vault(df: DataFrame, keys: Keys, o: text.Options, columns: list[str
     """(masked table, new vault rows).  ``run`` masks and records in ``_made``; the first time with unsalted
     tokens, then, for rows that have a value with another one, with those of the vault, until no token
     changes: later stages see tokens that earlier ones wrote, so it ends after as many times as there are
-    stages, and after one where no value is salted."""
+    stages, and after one where no value is salted.  If masking rows anew records what it did before, the vault
+    stays as it is and is not made again."""
     source = _recorded(df).withColumn("_key", F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns])), 256))
     source = _with_foreign(source, columns, known)
     done, before = kept(run(source, text.Maker(keys, None, F.col("_foreign"))), "masked"), None
     for _ in range(len(text.stages(o)) + 2):
         found = _pairs(done, "_key")
         rows = vault.assign(found.select("kind", "value"), keys, known, o.keep_scope, o.keep_domain, o.keep_subnets)
-        every = rows.select("bidx", "token") if known is None else rows.select("bidx", "token").union(known.select("bidx", "token"))
-        issued = kept(vault.issued(found, every, keys, "_key", o.keep_scope, o.keep_domain), "issued")
-        if issued.isEmpty() if before is None else _flat(before).exceptAll(_flat(issued)).isEmpty() and _flat(issued).exceptAll(_flat(before)).isEmpty():
+        if known is None:
+            other = vault.moved(rows, keys, o.keep_scope, o.keep_domain, o.keep_subnets)
+        else:
+            other = vault.moved_among(found, rows.select("bidx", "token").union(known.select("bidx", "token")), keys, o.keep_scope, o.keep_domain)
+        other = kept(other, "moved")
+        if before is None and other.isEmpty():
+            return done.drop("_made", "_key"), rows
+        issued = kept(vault.issued(found, other, "_key"), "issued")
+        if before is not None and _flat(before).exceptAll(_flat(issued)).isEmpty() and _flat(issued).exceptAll(_flat(before)).isEmpty():
             return done.drop("_made", "_key"), rows
         touched = issued.select("_key") if before is None else issued.select("_key").union(before.select("_key")).distinct()
         again = run(source.join(touched, "_key", "left_semi").join(issued, "_key", "left"), text.Maker(keys, F.col("_issued"), F.col("_foreign")))
-        done, before = kept(done.join(touched, "_key", "left_anti").unionByName(again.select(*[f"`{c}`" for c in done.columns])), "masked"), issued
+        after = kept(done.join(touched, "_key", "left_anti").unionByName(again.select(*[f"`{c}`" for c in done.columns])), "masked")
+        made = lambda x: x.select("_key", "_made").join(touched, "_key", "left_semi")
+        if made(after).exceptAll(made(done)).isEmpty():  # as many rows as before
+            return after.drop("_made", "_key"), rows
+        done, before = after, issued
     raise RuntimeError("the tokens of the vault do not settle")
 
 
@@ -174,14 +185,12 @@ def release(df: DataFrame, keys: Keys, path: str, o: text.Options = text.Options
 
 
 def restore_table(df: DataFrame, rows: DataFrame, keys: Keys, columns: list[str] | None = None) -> DataFrame:
-    """``df`` with the tokens in its columns (all text columns) restored, and n_unresolved: the columns of a row
-    become rows of one text column, are restored by one join, and go back."""
+    """``df`` with the tokens in its columns (all text columns) restored, and n_unresolved: the tokens of all columns of a
+    row are restored by one join and go back by one grouping."""
     names = columns or [n for n, t in df.dtypes if t == "string"]
-    base = kept(df.withColumn("_row", F.expr("uuid()")), "rows")
-    cells = base.select(F.explode(F.array(*[F.struct(F.concat_ws("|", "_row", F.lit(n)).alias("cell"), "_row", F.lit(n).alias("column"), F.col(f"`{n}`").alias("text")) for n in names])).alias("c")).select("c.*")
-    back = vault.restore(cells, rows, keys, "cell").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("column", "text"))).alias("_cells"), F.sum("n_unresolved").alias("n_unresolved"))
-    out = base.drop(*[n for n in ("n_unresolved",) if n in base.columns]).join(back, "_row")
-    return out.select(*[F.col("_cells")[n].alias(n) if n in names else F.col(f"`{n}`") for n in df.columns if n != "n_unresolved"], "n_unresolved")
+    (row,) = free_names(df, "row")
+    out = vault.restore(df.drop("n_unresolved").withColumn(row, F.monotonically_increasing_id()), rows, keys, row, names)
+    return out.select(*[f"`{n}`" for n in df.columns if n != "n_unresolved"], "n_unresolved")
 
 
 def restore_header(columns: list[str], rows: DataFrame, keys: Keys) -> list[str]:
