@@ -89,15 +89,17 @@ def classified(piece: Column, stage: tuple[Rule, ...], own: Own = tokens.is_toke
     one of our tokens."""
     none = F.lit(None).cast("struct<rule:string,kind:string,category:string,prefix:string,value:string,rest:string>")
 
-    def struct(at: Column) -> Column:
-        body = F.btrim(piece, F.lit(VALUE + NEXT))
-        prefix = F.when(body.contains(VALUE), F.substring_index(body, VALUE, 1)).otherwise("")
-        told = lambda xs: F.get(F.array(*[F.lit(x).cast("string") for x in xs]), at)
-        value, name = F.substring_index(body, VALUE, -1), told([r.name for r in stage])
-        kept = value
+    told = lambda xs, at: F.get(F.array(*[F.lit(x).cast("string") for x in xs]), at)
+
+    def cut(x: Column) -> Column:
+        body, prefix = x["body"], F.when(x["body"].contains(VALUE), F.substring_index(x["body"], VALUE, 1)).otherwise("")
+        return F.struct(x["at"].alias("at"), told([r.name for r in stage], x["at"]).alias("rule"), prefix.alias("prefix"), F.substring_index(body, VALUE, -1).alias("value"))
+
+    def struct(x: Column) -> Column:
+        value, kept = x["value"], x["value"]
         for r in (r for r in stage if r.shorter):
-            kept = F.when(name == r.name, r.shorter(value)).otherwise(kept)
-        made = lambda k: F.struct(name.alias("rule"), told([r.kind for r in stage]).alias("kind"), told([r.category for r in stage]).alias("category"), prefix.alias("prefix"), k.alias("value"), F.substr(value, F.length(k) + 1).alias("rest"))
+            kept = F.when(x["rule"] == r.name, r.shorter(value)).otherwise(kept)
+        made = lambda k: F.struct(x["rule"].alias("rule"), told([r.kind for r in stage], x["at"]).alias("kind"), told([r.category for r in stage], x["at"]).alias("category"), x["prefix"].alias("prefix"), k.alias("value"), F.substr(value, F.length(k) + 1).alias("rest"))
         return let(kept, made) if any(r.shorter for r in stage) else made(value)
 
     def checked(c: Column) -> Column:
@@ -105,7 +107,8 @@ def classified(piece: Column, stage: tuple[Rule, ...], own: Own = tokens.is_toke
         return F.when(reduce(Column.__or__, bad, own(c["value"]) | own(F.concat(c["prefix"], c["value"]))), none).otherwise(c)
 
     at = F.floor((F.length(piece) - F.length(F.ltrim(piece, F.lit(VALUE + NEXT)))) / 2).cast("int")
-    return let(let(at, struct), checked)
+    body = F.btrim(piece, F.lit(VALUE + NEXT))
+    return let(let(let(F.struct(at.alias("at"), body.alias("body")), cut), struct), checked)
 
 
 class Maker:
@@ -367,11 +370,14 @@ def _once(context: str, part: str, o: Options, text: str, make: Maker, run: Call
 
 def findings(df: DataFrame, stage: tuple[Rule, ...], text: str = "text") -> DataFrame:
     """One row for each accepted match: the other columns of ``df``, ``at`` (its number in the text), and
-    rule, kind, category and value."""
+    rule, kind, category and value.  Matches are classified before they become rows: a filter on rows would be pushed below their
+    classification and repeat it."""
     others = [c for c in df.columns if c != text]
-    cut = df.select(*others, F.posexplode(pieces(F.col(text), stage)).alias("at", "piece")).where("at % 2 = 1")
-    found = cut.withColumn("c", classified(F.col("piece"), stage)).where("c IS NOT NULL")
-    return found.select(*others, F.expr("cast((at - 1) div 2 AS int)").alias("at"), "c.rule", "c.kind", "c.category", "c.value")
+    (found,) = free_names(df, "found")
+    one = lambda p, i: F.when(i % 2 == 1, F.struct(((i - 1) / 2).cast("int").alias("at"), classified(p, stage).alias("c")))
+    accepted = F.filter(F.transform(pieces(F.col(text), stage), one), lambda x: x["c"].isNotNull())
+    rows = df.select(*others, F.explode(accepted).alias(found))
+    return rows.select(*others, *[f"{found}.{c}" for c in ("at", "c.rule", "c.kind", "c.category", "c.value")])
 
 
 def pseudonymize_residuals(df: DataFrame, keys: Keys | Maker, o: Options = Options(), text: str = "text", record: str | None = None) -> DataFrame:
