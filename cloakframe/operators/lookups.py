@@ -31,9 +31,8 @@ def _with_met(df: DataFrame, text: str, words: Column, listed: DataFrame, groups
 def with_names(df: DataFrame, names: DataFrame, text: str, given: str, family: str, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with the columns ``given`` and ``family``: the names of the table (name, role) that stand in a text, capitalised, beside another
     capitalised word."""
-    beside = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(rf"({NAME})(?=[ \t]{{1,3}}{NAME}|, ?{NAME}|[._-]{NAME})"))
-    behind = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(rf"(?<=[ \t._,-])({NAME})"))
-    words = F.transform(F.concat(beside, behind), lambda w: F.lower(w))
+    beside = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(rf"({NAME}+(?:(?:[ \t]{{1,3}}|, ?|[._-]){NAME}+)+)"))
+    words = F.transform(F.regexp_extract_all(F.array_join(beside, "\n"), F.lit(f"({NAME})")), lambda w: F.lower(w))
     listed = names.select(F.lower("name").alias("word"), "role").distinct()
     return _with_met(df, text, words, listed, {given: F.col("role") == "given", family: F.col("role") == "family"}, rows)
 

@@ -321,12 +321,14 @@ def mask_pairs(text: Column, given: list[str] | Column, family: list[str] | Colu
         out = lambda s: F.transform(p, lambda x, i: F.when(F.array_contains(s, i), token(i)).when(F.array_contains(s, i - 1) | F.array_contains(s, i - 2), "").otherwise(x))
         return let(free, lambda s: F.array_join(out(s), ""))
 
-    return let(cut, masked)
+    out = let(cut, masked)
+    return F.when((F.size(given) > 0) & (F.size(family) > 0), out).otherwise(F.coalesce(text, F.lit(""))) if isinstance(given, Column) and isinstance(family, Column) else out
 
 
 def looks_own(text: Column) -> Column:
-    """All values in a text that look like tokens of ours, but for SIDs."""
-    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"(?<![A-Za-z0-9._@-])({tokens.OWN_SHAPE})(?![A-Za-z0-9])")))
+    """All values in a text that look like tokens of ours, but for SIDs.  Texts without the signs of any are not looked at further."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?<![A-Za-z0-9._@-])({tokens.OWN_SHAPE})(?![A-Za-z0-9])")))
+    return F.when(text.rlike(r"198\.1[89]\.|2[45][0-9]\.|fd00:|02:|-[a-z2-7]{8}|ELIDED|CLIENT-"), found).otherwise(F.array().cast("array<string>"))
 
 
 def mask_text(df: DataFrame, keys: Keys | Maker, o: Options = Options(), text: str = "text", record: str | None = None) -> DataFrame:
@@ -338,7 +340,7 @@ def mask_text(df: DataFrame, keys: Keys | Maker, o: Options = Options(), text: s
     foreign, coded, body = free_names(df, "foreign", "coded", "body")  # always the same names, so that expressions are built once
     out = df.withColumn(body, F.translate(F.col(f"`{text}`"), OURS, ""))
     if make.foreign is None:
-        out = out.withColumn(foreign, F.when(F.col(body).rlike(r"198\.1[89]\.|2[45][0-9]\.|fd00:|02:|-[a-z2-7]{8}|ELIDED|CLIENT-"), looks_own(F.col(body))).otherwise(F.array().cast("array<string>")))
+        out = out.withColumn(foreign, looks_own(F.col(body)))
         make = Maker(make.keys, make.issued, F.col(foreign))
     notes = noting(make)
     context = df.sparkSession.sparkContext.applicationId
