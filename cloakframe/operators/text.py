@@ -306,13 +306,14 @@ def mask_pairs(text: Column, given: list[str] | Column, family: list[str] | Colu
     arrays of the listed names (lower case) that the text holds."""
     listed = lambda names: (lambda word: F.coalesce(F.array_contains(names, F.lower(word)), F.lit(False))) if isinstance(names, Column) else rules.named(names)
     first, last = listed(given), listed(family)
-    cut = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([\p{L}']+|[^\p{L}']+)"))
+    # capitalised words and all between them in turn: words at odd places
+    cut = F.split(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), MARK, ""), r"(?<![\p{L}'])(\p{Lu}[\p{L}']*+)", f"{MARK}$1{MARK}"), MARK)
 
     def pair(p: Column, i: Column) -> Column:
         a, b = F.get(p, i), F.get(p, i + 2)
-        titled = a.rlike(r"^\p{Lu}") & b.rlike(r"^\p{Lu}") & F.get(p, i + 1).rlike(rules.PERSON_GAP)
-        edges = ~F.coalesce(F.get(p, i - 1), F.lit("")).rlike(r"[\w@.-]$") & ~F.coalesce(F.get(p, i + 3), F.lit("")).rlike(r"^[\w@-]|^\.\w")
-        return F.coalesce(titled & edges & ((first(a) & last(b)) | (last(a) & first(b))), F.lit(False))
+        titled = (i % 2 == 1) & F.get(p, i + 1).rlike(rules.PERSON_GAP)
+        edges = ~F.get(p, i - 1).rlike(r"[0-9_@.-]$") & ~F.coalesce(F.get(p, i + 3), F.lit("")).rlike(r"^[0-9_@-]|^\.[0-9_]")
+        return F.coalesce(b.isNotNull() & titled & edges & ((first(a) & last(b)) | (last(a) & first(b))), F.lit(False))
 
     def masked(p: Column) -> Column:
         starts = F.filter(F.transform(p, lambda x, i: F.when(pair(p, i), i)), lambda i: i.isNotNull())
