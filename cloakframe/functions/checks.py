@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .tokens import let
+
 
 def _number(c: Column) -> Column:
     """0-9 and A-Z as 0 to 35."""
@@ -69,9 +71,8 @@ def vat_shapes() -> str:
 
 def valid_vat(value: Column) -> Column:
     """The form of a country, for Italy with the check digit; eleven digits alone are Italian."""
-    v = F.upper(F.regexp_replace(value, r"[\s.-]+", ""))
-    digits = F.regexp_extract(v, "^(?:IT)?([0-9]{11})$", 1)
-    return F.coalesce(F.when(digits != "", luhn(digits)).otherwise(v.rlike(f"^{vat_shapes()}$")), F.lit(False))
+    made = lambda v: F.when(v.rlike("^(?:IT)?[0-9]{11}$"), luhn(F.substring(v, -11, 11))).otherwise(v.rlike(f"^{vat_shapes()}$"))
+    return F.coalesce(let(F.upper(F.regexp_replace(value, r"[\s.-]+", "")), made), F.lit(False))
 
 
 #: Values of the characters 0-9, A-Z at odd positions of an Italian tax id (fixed values).
