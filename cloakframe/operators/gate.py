@@ -66,7 +66,7 @@ def residuals(df: DataFrame, o: Options = Options(), text: str = "text") -> Data
     clear, do not count."""
     kept = [k for k, a in o.dlp.items() if a == "keep"]
     clear = ([] if o.ip_mode == "all" else ["ipv4"]) + ([] if o.url_mode == "all" else ["fqdn"]) + ["siddomain"]  # a domain's token looks like any SID
-    found = findings(df, RESIDUAL, text).where(~F.coalesce(F.col("category").isin(kept), F.lit(False)) & ~F.col("kind").isin(clear))
+    found = findings(df, RESIDUAL, text, tokens.is_token).where(~F.coalesce(F.col("category").isin(kept), F.lit(False)) & ~F.col("kind").isin(clear))
     return found.where(~F.col("value").contains("[ELIDED]") & ~F.col("value").rlike(f"^(?:{tokens.OWN_SHAPE})"))
 
 

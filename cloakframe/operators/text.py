@@ -70,6 +70,11 @@ VALUE, NEXT = "\x03", "\x02"  # before a rule's value, and behind it
 Own = Callable[[Column], Column]
 
 
+def no_token(value: Column) -> Column:
+    """For texts of the input: what looks like a token there is none of ours."""
+    return F.lit(False)
+
+
 def pieces(text: Column, stage: tuple[Rule, ...]) -> Column:
     """The text cut at the stage's matches: odd elements (from 0) are the matches, each its prefix, ``VALUE`` and its value, with a
     ``NEXT`` before the value for each rule that comes first and one behind it for each that comes later."""
@@ -384,13 +389,13 @@ def _once(context: str, part: str, o: Options, text: str, make: Maker, run: Call
     return _BUILT[key]
 
 
-def findings(df: DataFrame, stage: tuple[Rule, ...], text: str = "text") -> DataFrame:
+def findings(df: DataFrame, stage: tuple[Rule, ...], text: str = "text", own: Own = no_token) -> DataFrame:
     """One row for each accepted match: the other columns of ``df``, ``at`` (its number in the text), and
-    rule, kind, category and value.  Matches are checked before they become rows: a filter on rows would be pushed below their
-    check and repeat it.  Their rules are named after that."""
+    rule, kind, category and value.  Texts are taken as input, in which nothing is a token of ours; those that masks wrote need ``own``.  Matches are
+    checked before they become rows: a filter on rows would be pushed below their check and repeat it.  Their rules are named after that."""
     others = [c for c in df.columns if c != text]
     (found,) = free_names(df, "found")
-    one = lambda p, i: F.when(i % 2 == 1, F.struct(((i - 1) / 2).cast("int").alias("at"), accepted(p, stage).alias("c")))
+    one = lambda p, i: F.when(i % 2 == 1, F.struct(((i - 1) / 2).cast("int").alias("at"), accepted(p, stage, own).alias("c")))
     rows = df.select(*others, F.explode(F.filter(F.transform(pieces(F.col(text), stage), one), lambda x: x["c"].isNotNull())).alias(found))
     return rows.select(*others, f"{found}.at", *told(F.col(f"{found}.c.n"), stage), f"{found}.c.value")
 
