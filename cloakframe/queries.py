@@ -128,7 +128,7 @@ def q_blind_index(spark, sf_dir):
 
 
 def q_text_elide(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     stage = (BY_NAME["email"], BY_NAME["ipv4"])
     out = docs.withColumn("text", text.run_stage(F.col("text"), stage, lambda c: F.concat(c["prefix"], F.lit(text.ELIDED)), text.no_token))
     return out.select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("digest"), F.length("text").cast("long").alias("n_chars"))
