@@ -246,7 +246,7 @@ DLP = (
     Rule("jwt", "secret", r"(?-i:eyJ)[\w-]{5,}\.[\w-]{5,}\.[\w-]{5,}", category="credentials", priority=118),
     Rule("cloud_key", "secret", r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[opsur]_[A-Z0-9]{20,255}", after=r"\b", opens=("akia", "asia"), category="credentials", priority=117),
     Rule("bearer", "secret", r"[A-Z0-9._~+/-]{8,}=*", prefix=r"bearer\s+", opens=("bearer",), category="credentials", priority=116, valid=lambda v: v.rlike("[0-9._~+/=-]")),
-    Rule("iban", "iban", rf"{checks.iban_shapes()}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}}", before=r"(?<![A-Z0-9])", after=r"(?![A-Z0-9])", valid=checks.valid_iban, shorter=checks.iban_within, category="iban", priority=100),
+    Rule("iban", "iban", rf"{checks.iban_shapes()}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}}", before=r"(?<![A-Z0-9])", after=r"(?![A-Z0-9])", valid=checks.country_iban, shorter=checks.iban_within, category="iban", priority=100),
     Rule("tax_id", "taxid", r"[A-Z]{6}[0-9]{2}[A-EHLMPRST][0-9]{2}[A-Z][0-9]{3}[A-Z]", before="(?<![A-Z0-9])", after="(?![A-Z0-9])", valid=checks.valid_tax_id, category="tax_id", priority=100),
     Rule("azure", "cloud", rf"/subscriptions/[0-9a-f-]{{36}}(?:/[A-Za-z.]+/[^\s/?#{STOP}]+)*", category="cloud_id", priority=96),
     Rule("arn", "cloud", rf"arn:aws(?:-[a-z]+){{0,2}}:[\w-]+:[\w-]*:[0-9]{{12}}:[^\s,;{STOP}]+", category="cloud_id", priority=95),

@@ -37,13 +37,12 @@ RESIDUAL = (
 
 
 def _holds_iban(value: Column) -> Column:
-    """Whether a beginning of a run of letters and digits, whatever its spacing, is an account number: one that ends where a group ends, or is as long
-    as the numbers of its country are.  Other beginnings, of a hash for one, meet the check digits by chance."""
+    """Whether a beginning of a run of letters and digits, whatever its spacing, is an account number: one that is as long as the numbers of its
+    country are or, where the registry says no length, ends where a group ends.  Other beginnings, of a hash for one, meet the check digits by chance."""
     compact = F.upper(F.regexp_replace(value, "[ -]", ""))
-    lengths = F.create_map(*[F.lit(x) for n, codes in checks.IBAN_LENGTHS.items() for code in codes.split() for x in (code, n)])
     ends = lambda n: F.rlike(value, F.concat(F.lit("(?i)^(?:[ -]?[A-Z0-9]){"), n.cast("string"), F.lit("}(?:[ -]|$)")))
-    whole = lambda n: (F.coalesce(F.try_element_at(lengths, F.substr(compact, F.lit(1), F.lit(2))), F.lit(0)) == n) | ends(n)
-    return F.exists(F.sequence(F.lit(15), F.least(F.lit(34), F.greatest(F.length(compact), F.lit(15)))), lambda n: checks.valid_iban(F.substr(compact, F.lit(1), n)) & whole(n))
+    whole = lambda n: ends(n) | ~F.substr(compact, F.lit(1), F.lit(2)).isin(checks.OTHER_COUNTRIES.split())
+    return F.exists(F.sequence(F.lit(15), F.least(F.lit(34), F.greatest(F.length(compact), F.lit(15)))), lambda n: checks.country_iban(F.substr(compact, F.lit(1), n)) & whole(n))
 
 
 class Blocked(RuntimeError):
