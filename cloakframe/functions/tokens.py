@@ -157,11 +157,14 @@ def token(keys: Keys, kind: str, raw: Column, internal: Column | None = None, sa
 #: Kinds whose originals the vault keeps.
 REVERSIBLE = ("user", "host", "opaque", "taxid", "iban", "phone", "person", "address", "vat", "cloud", "windomain", "email", "fqdn", "ipv4", "ipv6", "mac", "siddomain")
 
+OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+#: The addresses that serve as tokens.
+OWN_ADDRESS = rf"(?:198\.1[89]|2(?:4[0-9]|5[0-4])\.{OCTET})\.{OCTET}\.{OCTET}"
 #: What every token of ours looks like (whole string).
 OWN_SHAPE = (
     r"(?:usr-[a-z2-7]{8}(?:@[a-z2-7]{6}\.masked)?|host-[a-z2-7]{8}(?:\.masked\.local|(?:\.[A-Za-z0-9-]+){2})?"
     r"|(?:id|cf|iban|tel|person|addr|vat|cloud|secret)-[a-z2-7]{12}|DOM-[a-z2-7]{8}|CLIENT-[0-9a-f]{6}|\[ELIDED\]"
-    r"|(?:198\.1[89]|2(?:4[0-9]|5[0-4])\.[0-9]{1,3})\.[0-9]{1,3}\.[0-9]{1,3}|fd00:[0-9a-f]{4}:[0-9a-f]{4}:[0-9a-f]{4}::1|02(?::[0-9a-f]{2}){5})"
+    rf"|{OWN_ADDRESS}|" r"fd00:[0-9a-f]{4}:[0-9a-f]{4}:[0-9a-f]{4}::1|02(?::[0-9a-f]{2}){5})"
 )
 
 

@@ -345,8 +345,9 @@ def mask_pairs(text: Column, given: list[str] | Column, family: list[str] | Colu
 
 
 def looks_own(text: Column) -> Column:
-    """All values in a text that look like tokens of ours, but for SIDs.  Texts without the signs of any are not looked at further."""
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?<![A-Za-z0-9._@-])({tokens.OWN_SHAPE})(?![A-Za-z0-9])")))
+    """All values in a text that look like tokens of ours, but for SIDs, behind whatever mark they stand: rules take them there too.  Texts without
+    the signs of any are not looked at further."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?<![A-Za-z0-9_])({tokens.OWN_SHAPE})(?![A-Za-z0-9])")))
     return F.when(text.rlike(r"198\.1[89]\.|2[45][0-9]\.|fd00:|02:|-[a-z2-7]{8}|ELIDED|CLIENT-"), found).otherwise(F.array().cast("array<string>"))
 
 

@@ -148,7 +148,7 @@ def lookup(vault: DataFrame, keys: Keys, value: str) -> DataFrame:
 #: number of a telephone.
 TOKEN_IN_TEXT = (
     r"(?<![A-Za-z0-9_])(tel-[a-z2-7]{12}|(?:usr-[a-z2-7]{8}@[a-z2-7]{6}\.masked|host-[a-z2-7]{8}(?:\.[A-Za-z0-9-]+){2}|(?:usr|host)-[a-z2-7]{8}|(?:id|cf|iban|person|addr|vat|cloud)-[a-z2-7]{12}"
-    r"|DOM-[a-z2-7]{8}|(?:198\.1[89]|2(?:4[0-9]|5[0-4])\.[0-9]{1,3})\.[0-9]{1,3}\.[0-9]{1,3}|fd00:[0-9a-f]{4}:[0-9a-f]{4}:[0-9a-f]{4}::1|02(?::[0-9a-f]{2}){5}|S-1-5-21(?:-[0-9]+){3})(?![A-Za-z0-9]))"
+    rf"|DOM-[a-z2-7]{{8}}|\b{tokens.OWN_ADDRESS}\b|" r"fd00:[0-9a-f]{4}:[0-9a-f]{4}:[0-9a-f]{4}::1|02(?::[0-9a-f]{2}){5}|S-1-5-21(?:-[0-9]+){3})(?![A-Za-z0-9]))"
 )
 _MARK = "\x01"
 
