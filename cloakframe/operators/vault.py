@@ -155,12 +155,12 @@ _MARK = "\x01"
 
 def restore(df: DataFrame, vault: DataFrame, keys: Keys, id_col: str, text: str | list[str] = "text", depth: int = 16) -> DataFrame:
     """``df`` (unique ``id_col``) with every token of this vault in a text column, or in several, replaced by its original, and n_unresolved.
-    Tokens become rows, meet the vault in a join, and go back by their number in the row."""
+    Tokens become rows, meet the vault in a join, and go back by their number in the row.  Texts are written once, in pieces."""
     columns = [text] if isinstance(text, str) else list(text)
     pieces = free_names(df, *[f"pieces{n}" for n in range(len(columns))])
-    cut = lambda c: F.split(F.regexp_replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), TOKEN_IN_TEXT, _MARK + "$1" + _MARK), _MARK)
-    base = kept(df.withColumns({p: cut(c) for p, c in zip(pieces, columns)}), "pieces")
-    seen = base.select(id_col, F.posexplode(F.concat(*[F.filter(p, lambda x, i: i % 2 == 1) for p in pieces])).alias("at", "token"))
+    cut = lambda c: F.split(F.regexp_replace(F.col(f"`{c}`").cast("string"), TOKEN_IN_TEXT, _MARK + "$1" + _MARK), _MARK)
+    base = kept(df.withColumns({p: cut(c) for p, c in zip(pieces, columns)}).drop(*columns), "pieces")
+    seen = base.select(id_col, F.posexplode(F.concat(*[F.coalesce(F.filter(p, lambda x, i: i % 2 == 1), F.array().cast("array<string>")) for p in pieces])).alias("at", "token"))
     # a bare host label falls back to the one qualified token that starts with it
     stems = vault.where("kind = 'fqdn'").groupBy(F.substring_index("token", ".", 1).alias("token")).agg(F.count("*").alias("n"), F.min("raw_enc").alias("raw_enc")).where("n = 1").select("token", "raw_enc")
     known = vault.select("token", "raw_enc").unionByName(stems.join(vault.select("token"), "token", "left_anti"))
@@ -175,9 +175,10 @@ def restore(df: DataFrame, vault: DataFrame, keys: Keys, id_col: str, text: str
     filled = lambda p, before: F.transform(p, lambda x, i: F.when(i % 2 == 1, F.coalesce(F.get("_raws", (before + (i - 1) / 2).cast("int")), x)).otherwise(x))
     out, before = {}, F.lit(0)
     for c, p in zip(columns, pieces):
-        out[c] = F.when(F.col(f"`{c}`").isNotNull(), F.array_join(filled(p, before), ""))
-        before = before + ((F.size(p) - 1) / 2).cast("int")
-    return base.join(back, id_col, "left").withColumns(out).withColumn("n_unresolved", F.coalesce("n_unresolved", F.lit(0)).cast("long")).drop(*pieces, "_raws")
+        out[c] = F.array_join(filled(p, before), "").alias(c)
+        before = before + F.when(F.col(p).isNull(), 0).otherwise((F.size(p) - 1) / 2).cast("int")
+    names = [out.get(c, F.col(f"`{c}`")) for c in df.columns if c != "n_unresolved"]
+    return base.drop("n_unresolved").join(back, id_col, "left").select(*names, F.coalesce("n_unresolved", F.lit(0)).cast("long").alias("n_unresolved"))
 
 
 SWEPT = ("fqdn", "host", "email", "user", "person", "address", "opaque", "windomain", "cloud", "iban", "vat", "taxid", "phone")

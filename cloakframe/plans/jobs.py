@@ -7,14 +7,14 @@ from collections.abc import Callable
 from dataclasses import replace
 from functools import partial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.tokens import Keys
 from ..operators import classify, gate, lookups, nested, text, vault
 from ..operators.vault_table import Busy, VaultTable
-from ..shared import free_names, kept
+from ..shared import discard, free_names, kept
 from ..sources import lines, trees
 
 #: Option bundles by use.
@@ -51,9 +51,9 @@ def all_findings(df: DataFrame, o: text.Options, column: str = "text", keys: Key
     return _pairs(kept(text.mask_text(_recorded(df), keys, o, column, "_made").select("_made"), "recorded"))
 
 
-def _with_foreign(df: DataFrame, columns: list[str], known: DataFrame | None) -> DataFrame:
-    """Adds ``_foreign``: what looks like a token in the row's columns and was not issued by the vault ``known``."""
-    looks = F.array_distinct(F.flatten(F.array(*[text.looks_own(F.col(f"`{c}`").cast("string")) for c in columns])))
+def _with_foreign(df: DataFrame, texts: list[Column], known: DataFrame | None) -> DataFrame:
+    """Adds ``_foreign``: what looks like a token in the row's texts and was not issued by the vault ``known``."""
+    looks = F.array_distinct(F.flatten(F.array(*[text.looks_own(t) for t in texts])))
     if known is None:
         return df.withColumn("_foreign", looks)
     seen = df.select("_key", F.explode(looks).alias("token")).distinct()
@@ -67,16 +67,19 @@ def _flat(issued: DataFrame) -> DataFrame:
 
 
 Run = Callable[[DataFrame, text.Maker], DataFrame]
+#: Keys of rows that are counted to be so few are broadcast; with more, the tables are shuffled.
+FEW_KEYS = 200_000
 
 
-def _through_vault(df: DataFrame, keys: Keys, o: text.Options, columns: list[str], run: Run, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+def _through_vault(df: DataFrame, keys: Keys, o: text.Options, columns: list[str], run: Run, known: DataFrame | None, texts: list[Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """(masked table, new vault rows).  ``run`` masks and records in ``_made``; the first time with unsalted
     tokens, then, for rows that have a value with another one, with those of the vault, until no token
     changes: later stages see tokens that earlier ones wrote, so it ends after as many times as there are
     stages, and after one where no value is salted.  If masking rows anew records what it did before, the vault
-    stays as it is and is not made again."""
+    stays as it is and is not made again.  Where few rows are masked anew, only they are written.  ``texts`` is what may hold values that
+    look like tokens (the columns)."""
     source = _recorded(df).withColumn("_key", F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns])), 256))
-    source = _with_foreign(source, columns, known)
+    source = _with_foreign(source, texts or [F.col(f"`{c}`").cast("string") for c in columns], known)
     done, before = kept(run(source, text.Maker(keys, None, F.col("_foreign"))), "masked"), None
     for _ in range(len(text.stages(o)) + 2):
         found = _pairs(done, "_key")
@@ -91,9 +94,12 @@ def _through_vault(df: DataFrame, keys: Keys, o: text.Options, columns: list[str
         issued = kept(vault.issued(found, other, "_key"), "issued")
         if before is not None and _flat(before).exceptAll(_flat(issued)).isEmpty() and _flat(issued).exceptAll(_flat(before)).isEmpty():
             return done.drop("_made", "_key"), rows
-        touched = issued.select("_key") if before is None else issued.select("_key").union(before.select("_key")).distinct()
-        again = run(source.join(touched, "_key", "left_semi").join(issued, "_key", "left"), text.Maker(keys, F.col("_issued"), F.col("_foreign")))
-        after = kept(done.join(touched, "_key", "left_anti").unionByName(again.select(*[f"`{c}`" for c in done.columns])), "masked")
+        touched = kept(issued.select("_key") if before is None else issued.select("_key").union(before.select("_key")).distinct(), "touched")
+        few = touched.count() <= FEW_KEYS
+        touched = F.broadcast(touched) if few else touched
+        again = run(source.join(touched, "_key", "left_semi").join(issued, "_key", "left"), text.Maker(keys, F.col("_issued"), F.col("_foreign"))).select(*[f"`{c}`" for c in done.columns])
+        after = done.join(touched, "_key", "left_anti").unionByName(kept(again, "masked") if few else again)
+        after = after if few else kept(after, "masked")
         made = lambda x: x.select("_key", "_made").join(touched, "_key", "left_semi")
         if made(after).exceptAll(made(done)).isEmpty():  # as many rows as before
             return after.drop("_made", "_key"), rows
@@ -287,17 +293,17 @@ def mask_json(df: DataFrame, keys: Keys, o: text.Options = text.Options(), colum
     JSON ends the job, or becomes null if ``invalid`` is "null"; blank lines stay.  With ``by`` every source named by that column gets
     the rules of the kit that its paths tell, or of ``kit`` if they tell none."""
     decide = partial(_leaf, keep=keep, overrides=overrides or {}, kit=kit)
-    if by:
-        parsed = trees.with_leaves(nested.with_kits(df, column, "json", by, "_kit"), column, decide, invalid, by="_kit").drop("_kit")
-    else:
-        parsed = trees.with_leaves(df, column, decide, invalid)
-    parsed = kept(parsed, "leaves")
+    source = kept(nested.with_kits(df, column, "json", by, "_kit") if by else df, "documents")
+    read = lambda x: trees.with_leaves(x, column, decide, invalid, by="_kit" if by else None).drop("_kit")
+    parsed = read(source)  # parsed again by each pass: with its leaves every text would be written twice
     kinds = [r["kind"] for r in parsed.select(F.explode("_leaves").alias("x")).where("x.action = 'mask'").select("x.kind").distinct().collect()]  # those that masks know
 
     def run(x: DataFrame, make: text.Maker) -> DataFrame:
-        return _json_masked(x, make, o, column, kinds)
+        return _json_masked(read(x), make, o, column, kinds)
 
-    out, rows = _through_vault(parsed, keys, o, [column], run, known)
+    strings = F.regexp_replace(F.col(column), r"\\(?:u[0-9A-Fa-f]{4}|.)", " ")  # an escaped line break is no letter before what follows it
+    out, rows = _through_vault(source, keys, o, [column], run, known, [strings])
+    discard(source)
     return out, vault.sealed(rows, keys)
 
 
@@ -323,18 +329,10 @@ def _json_masked(x: DataFrame, make: text.Maker, o: text.Options, column: str, k
 
 def restore_json(df: DataFrame, rows: DataFrame, keys: Keys, column: str = "value", invalid: str = "raise") -> DataFrame:
     """``df`` with the tokens in the strings of its JSON documents restored, and n_unresolved."""
-    base = kept(trees.with_leaves(df.withColumn("_row", F.expr("uuid()")), column, _every_text, invalid), "leaves")
-    texts = base.select("_row", F.array_join(F.transform(F.filter("_leaves", lambda leaf: leaf["action"] == "text"), lambda leaf: leaf["value"]), LEAF_BREAK).alias("text"))
-    back = vault.restore(texts.where("text <> ''"), rows, keys, "_row").select("_row", F.split("text", LEAF_BREAK).alias("_cut"), "n_unresolved")
-    out = base.drop(*[n for n in ("n_unresolved",) if n in base.columns]).join(back, "_row", "left")
-    value = lambda leaf: F.when(leaf["action"] == "text", F.get("_cut", leaf["nth"]))
-    out = out.withColumn("_new", F.transform("_leaves", lambda leaf: F.when(value(leaf) != leaf["value"], value(leaf)))).withColumn("n_unresolved", F.coalesce("n_unresolved", F.lit(0)).cast("long"))
-    names = [c for c in df.columns if c != "n_unresolved"] + ["n_unresolved"]
-    return trees.put_back(out.select(*[f"`{c}`" for c in names], "_new"), column, "_new")
-
-
-def _every_text(path: str) -> tuple[str, None]:
-    return "text", None
+    row, texts, hollow = free_names(df, "row", "texts", "hollow")
+    parts = trees.emptied(df.drop("n_unresolved").withColumn(row, F.monotonically_increasing_id()), column, texts, hollow, invalid)
+    out = vault.restore(parts.withColumn(texts, F.array_join(texts, LEAF_BREAK)), rows, keys, row, texts)
+    return trees.refilled(out.withColumn(texts, F.split(texts, LEAF_BREAK)).drop(row), column, texts, hollow)
 
 
 def mask_into(df: DataFrame, keys: Keys, table: VaultTable, o: text.Options = text.Options(), column: str = "text", tries: int = 64) -> tuple[DataFrame, int]:

@@ -507,8 +507,9 @@ def q_json_roundtrip(spark, sf_dir):
     left = masked.select("doc_id", (F.get_json_object("value", "$.actor.user.name").rlike("^usr[0-9]+$") | F.get_json_object("value", "$.net[0].src_ip").startswith("10.1.")).alias("in_clear"))
     out = jobs.restore_json(masked, rows, DEMO)
     parsed = F.from_json("value", "actor struct<user: struct<name: string>>, net array<struct<src_ip: string, severity: int>>, message string")
-    out = out.select("doc_id", parsed.alias("d"), "n_unresolved").join(left, "doc_id")
-    return out.select("doc_id", "d.actor.user.name", F.col("d.net")[0]["src_ip"].alias("src_ip"), F.col("d.net")[0]["severity"].alias("severity"), F.md5(F.encode("d.message", "UTF-8")).alias("digest"), "n_unresolved", "in_clear")
+    out = out.select("doc_id", parsed.alias("d"), "n_unresolved")
+    out = out.select("doc_id", "d.actor.user.name", F.col("d.net")[0]["src_ip"].alias("src_ip"), F.col("d.net")[0]["severity"].alias("severity"), F.md5(F.encode("d.message", "UTF-8")).alias("digest"), "n_unresolved")
+    return out.join(left, "doc_id")
 
 
 def q_vault_writers(spark, sf_dir):

@@ -23,7 +23,16 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once and read back, so that later steps neither repeat nor replan it."""
     path = f"{folder(df.sparkSession)}/cloakframe-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that was ``kept`` and that nothing reads any more."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df.kept_path)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def free_names(df: DataFrame, *stems: str) -> list[str]:

@@ -95,9 +95,14 @@ def _read(batches: Iterator[pa.RecordBatch], column: str, name: str, decide: Cal
         yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, name])
 
 
+def _laid_out(value, document: str) -> str:
+    """A value as JSON in the layout of the document: one of several lines is written on several lines, one that ends in a line break ends in one."""
+    layout = {"indent": 2} if "\n" in document.rstrip() else {"separators": (",", ":")}
+    return _plain(json.dumps(value, ensure_ascii=False, allow_nan=False, **layout)) + "\n" * document.endswith("\n")
+
+
 def _write(batches: Iterator[pa.RecordBatch], column: str, name: str) -> Iterator[pa.RecordBatch]:
-    """Puts the column ``name`` back, leaf by leaf in the order of ``_read``: null leaves the leaf and its type.  A document of several
-    lines is written on several lines, and one that ends in a line break ends in one."""
+    """Puts the column ``name`` back, leaf by leaf in the order of ``_read``: null leaves the leaf and its type."""
 
     def written(document: str | None, new: list | None) -> str | None:
         if document is None or new is None:
@@ -108,9 +113,7 @@ def _write(batches: Iterator[pa.RecordBatch], column: str, name: str) -> Iterato
         for (container, key, _), x in zip(list(_leaves(root)), new, strict=True):
             if x is not None:
                 container[key] = x
-        body = document.rstrip()
-        layout = {"indent": 2} if "\n" in body else {"separators": (",", ":")}
-        return _plain(json.dumps(root[0], ensure_ascii=False, allow_nan=False, **layout)) + "\n" * document.endswith("\n")
+        return _laid_out(root[0], document)
 
     for batch in batches:
         out = pa.array([written(d.as_py(), n.as_py()) for d, n in zip(batch.column(column), batch.column(name), strict=True)], pa.string())
@@ -133,6 +136,72 @@ def put_back(df: DataFrame, column: str, name: str) -> DataFrame:
     return df.mapInArrow(partial(_write, column=column, name=name), _schema(df.drop(name)))
 
 
+def _strings(root: list) -> list[tuple[list | dict, str | int]]:
+    """(container, key) of the leaves that are strings."""
+    return [(container, key) for container, key, _ in _leaves(root) if isinstance(container[key], str)]
+
+
+def _empty(batches: Iterator[pa.RecordBatch], column: str, texts: str, hollow: str, invalid: str) -> Iterator[pa.RecordBatch]:
+    """Takes the strings out of each document, which is left as a frame without them (``hollow``); one that would be laid out otherwise
+    when they are put back stays whole."""
+
+    def parts(document: str | None) -> tuple[str | None, list[str] | None, bool]:
+        if document is None or not document.strip():
+            return document, None if document is None else [], False
+        try:
+            root = [strict(document)]
+        except ValueError as e:
+            if invalid == "raise":
+                raise ValueError(f"a value of {column} is no JSON document: {type(e).__name__}") from None
+            return None, None, False
+        places = _strings(root)
+        found = [_plain(container[key]) for container, key in places]
+        if not places or _laid_out(root[0], document) != document:
+            return document, found, False
+        for container, key in places:
+            container[key] = ""
+        return _laid_out(root[0], document), found, True
+
+    for batch in batches:
+        frames, found, flags = zip(*map(parts, batch.column(column).to_pylist()), strict=True) if batch.num_rows else ((), (), ())
+        more = [pa.array(found, pa.list_(pa.string())), pa.array(flags, pa.bool_())]
+        kept = [pa.array(frames, pa.string()) if n == column else batch.column(n) for n in batch.schema.names]
+        yield pa.RecordBatch.from_arrays([*kept, *more], names=[*batch.schema.names, texts, hollow])
+
+
+def _fill(batches: Iterator[pa.RecordBatch], column: str, texts: str, hollow: str) -> Iterator[pa.RecordBatch]:
+    """Puts the strings, changed or not, back into what ``_empty`` left; a whole document without a change stays as it is written."""
+
+    def filled(document: str | None, new: list[str] | None, empty: bool) -> str | None:
+        if document is None or new is None:
+            return None
+        root = [strict(document)] if document.strip() else []
+        places = _strings(root) if root else []
+        if not places:
+            return document
+        changed = empty
+        for (container, key), x in zip(places, new, strict=True):
+            if empty or _plain(container[key]) != x:
+                container[key], changed = x, True
+        return _laid_out(root[0], document) if changed else document
+
+    for batch in batches:
+        out = pa.array([filled(*x) for x in zip(*[batch.column(c).to_pylist() for c in (column, texts, hollow)], strict=True)], pa.string())
+        names = [n for n in batch.schema.names if n not in (texts, hollow)]
+        yield pa.RecordBatch.from_arrays([out if n == column else batch.column(n) for n in names], names=names)
+
+
+def emptied(df: DataFrame, column: str, texts: str, hollow: str, invalid: str = "null") -> DataFrame:
+    """``df`` with the strings of a JSON column as an array ``texts``, and the documents without them where ``hollow`` says so: what is
+    written holds every string once."""
+    return df.mapInArrow(partial(_empty, column=column, texts=texts, hollow=hollow, invalid=invalid), _schema(df, f", `{texts}` array<string>, `{hollow}` boolean"))
+
+
+def refilled(df: DataFrame, column: str, texts: str, hollow: str) -> DataFrame:
+    """The documents of ``emptied`` with the strings in ``texts``."""
+    return df.mapInArrow(partial(_fill, column=column, texts=texts, hollow=hollow), _schema(df.drop(texts, hollow)))
+
+
 def flatten(df: DataFrame, id_col: str, column: str) -> DataFrame:
     """(id, path, value): every scalar leaf of a JSON column at any depth; array elements share the path
     ``p[]``.  A text that is no JSON has no leaves."""
